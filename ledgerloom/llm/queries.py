@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import lempel_ziv, mixing, packing, tokens
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op3_phrase_fingerprints": op3_phrase_fingerprints,
+    "op8_source_mix": op8_source_mix,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
