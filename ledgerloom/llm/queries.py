@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lempel_ziv, mixing, packing, tokens
+from . import langid, lempel_ziv, mixing, packing, tokens, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def op3_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(documents(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
@@ -37,6 +45,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_phrase_fingerprints": op3_phrase_fingerprints,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op8_source_mix": op8_source_mix,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
