@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lempel_ziv, lines, mixing, packing, tokens, toxicity
+from . import langid, lempel_ziv, lines, media, mixing, packing, tokens, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(media.store_payload(documents(spark, sf_dir)))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
