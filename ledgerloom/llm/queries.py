@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lempel_ziv, lines, media, mixing, packing, tokens, toxicity
+from . import jaccard, langid, lempel_ziv, lines, media, mixing, packing, tokens, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op3_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.edited_fingerprints(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_phrase_fingerprints": op3_phrase_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
