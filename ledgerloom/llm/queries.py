@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lempel_ziv, lines, media, mixing, packing, tokens, toxicity
+from . import jaccard, langid, lempel_ziv, lines, media, mixing, packing, repeats, tokens, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op3_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op4_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_phrase_fingerprints": op3_phrase_fingerprints,
+    "op4_run_length_repeats": op4_run_length_repeats,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
