@@ -1,12 +1,66 @@
-"""The corpus pipeline: placeholder stages until all operators are in."""
+"""The corpus pipeline: documents to packed sequences, in five stages that each call one operator.
+
+Every stage takes the rows its predecessor kept (the columns of documents) and works on all of them:
+
+1. language_id: documents without an identifiable language go.
+2. line_dedup: later repeated runs of lines are cut; a document of which nothing is left goes.
+3. near_dedup: of each class of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
+4. source_mix: every document is taken as often as the mix of its source says: not at all, in part, or up to twice.
+5. packing: sequences of at most 2048 tokens; this stage returns the pieces.
+
+Cases: an empty table passes through all stages; null texts are rejected by the first; documents that share an id
+after the second stage count as copies of each other in the third, where one row stays; columns beyond those of
+documents pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import jaccard, langid, lines, mixing, packing
+from ledgerloom.llm.common import checkpointed
+
+WORDS, PERCENT = 5, 80
+SEQUENCE = 2048
 
-STAGES: list = []
+#: The stages need suffix automata, winnowing and a tokenizer.
 ORACLE_SQL: str | None = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.learn(docs, F.lit(True))
+    return langid.with_language(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(docs, WORDS, PERCENT)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    one = Window.partitionBy("doc_id").orderBy("text")
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", pack)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -152,32 +152,41 @@ def learn(df: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
     return Model(languages, bytes(classes), tables, [float(np.log2(len(texts[x]) + 1)) for x in languages])
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score. The score is the winner's share of the inverse fourth powers of phrase bits."""
-    docs = keyed(df, id_col, text_col)
+def with_language(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with lang_pred and score (columns of these names in ``df`` are replaced). The score is the
+    winner's share of the inverse fourth powers of phrase bits."""
+    df = df.drop("lang_pred", "score")
     if model is None:
-        return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))
+        return df.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # bounded by the sample
     own: dict[str, Model] = {}
+    columns = df.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", lang_pred string, score double"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        model = own.setdefault("model", pickle.loads(sent.value)) if "model" not in own else own["model"]
+        if not own:
+            own["model"] = pickle.loads(sent.value)
+        model = own["model"]
         bits = np.array(model.bits)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            texts = batch.column(text_col).to_pylist()
+            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             for first, last in by_bytes(texts, 2 << 20):
-                lang, score = [UNDETERMINED] * (last - first), [0.0] * (last - first)
                 some = [i for i in range(first, last) if texts[i] and any(map(str.isalpha, texts[i]))]
-                ready = [prepared(texts[i]) for i in some]
                 if some:
-                    cost = model.phrases(ready) * bits
+                    cost = model.phrases([prepared(texts[i]) for i in some]) * bits
                     best = cost.argmin(axis=1)
                     share = (cost.min(axis=1, keepdims=True) / cost) ** 4
                     for i, b, s in zip(some, best.tolist(), (1 / share.sum(axis=1)).tolist(), strict=True):
-                        lang[i - first], score[i - first] = model.languages[b], s
-                yield {"doc_id": ids[first:last], "lang_pred": lang, "score": score}
+                        lang[i], score[i] = model.languages[b], s
+            yield {c: batch.column(c) for c in columns} | {"lang_pred": lang, "score": score}
+
+    return map_arrow(df, rows, schema)
 
-    return map_arrow(docs, rows, "doc_id long, lang_pred string, score double")
+
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score."""
+    return with_language(keyed(df, id_col, text_col), model).select("doc_id", "lang_pred", "score")
 
 
 def identified(df: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
