@@ -14,10 +14,10 @@ The prefix that ends first in the common order lies wholly inside what the other
 share an indexed token or pair. Tokens that one document alone holds are ordered but not indexed.
 
 Sets alike are one node. In each bucket the most central node (whose tokens are held by most documents) is paired with
-every other, and these pairs are verified on the texts. Only then do other pairs of a bucket matter, and only if their
-nodes are in different components so far: they are taken too, if the sizes and the numbers of shared tokens allow a
-link. So no link between components is lost, a group of near copies costs one pair per member, and pairs inside a group
-are not spelled out. Components come from the smallest label of neighbours and pointer jumping.
+every other, and these pairs are verified on the texts. Only then do other nodes of a bucket matter, and only if they
+are in different components so far. Such nodes form clusters (what shares a bucket, transitively), which are decided as
+a whole in blocks by products of 0-1 matrices; a block returns what connects, not its pairs. So no link between
+components is lost and pairs inside a group are never rows. Components come from the smallest label of neighbours and pointer jumping.
 
 Cases: null and empty texts and texts without words have an empty set and link with nothing; rows with one id are one
 document for the component, which links if one of its rows does; repeated rows get equal results; a null id counts as
@@ -40,7 +40,9 @@ from .shingles import mixed, shingle_sets
 
 #: Class (bit length of the number of documents) from which a token is frequent: 16 documents.
 FREQUENT = 5
+#: Frequent tokens of a set's prefix that are meant to fall into one group; nodes in a block.
 GROUP = 6
+BLOCK = 1024
 _LOWEST = -(1 << 63)
 
 
@@ -136,6 +138,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (places) that join the sets to their components: all pairs are decided by products of 0-1 matrices over
+    the tokens that several sets hold, but only what connects is returned."""
+    size = np.array([x.size for x in sets])
+    place, owner = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(size.size), size)
+    held = np.bincount(place)
+    several = held[place] > 1
+    column = (np.cumsum(held > 1) - 1)[place[several]]
+    owner = owner[several]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((size.size, size.size), np.float32)
+    for low in range(0, int(column[-1]) + 1 if column.size else 0, 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        part = np.zeros((size.size, min(4096, int(column[-1]) + 1 - low)), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        shared += part @ part.T
+    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    out, free = [], np.ones(size.size, bool)
+    for start in range(size.size):
+        if free[start]:
+            free[start] = False
+            waiting = [start]
+            while waiting:
+                one = waiting.pop()
+                near = np.flatnonzero(linked[one] & free)
+                free[near] = False
+                out += [(one, int(x)) for x in near]
+                waiting += near.tolist()
+    return out
+
+
+def cluster_links(clusters: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked inside each cluster (node, label). Clusters over BLOCK nodes are dealt
+    to blocks by hash and every two blocks meet in a task of their own; small clusters share tasks."""
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("_size"))
+    dealt = clusters.join(sizes, "label").withColumn("_blocks", F.expr(f"cast(ceil(_size / {BLOCK}) as int)")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    total = clusters.count()
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    task = F.when(F.col("_blocks") > 1, F.xxhash64("label", "_i", "_j")).otherwise(F.pmod(F.xxhash64("label"), F.lit(max(1, total // BLOCK))))
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    rows = met.withColumn("_task", task).select("_task", "label", "_i", "_j", "node").join(texts, "node")
+    schema = "a long, b long"
+    to = arrow_schema(schema)
+
+    def decide(table: pa.Table) -> pa.Table:
+        key = list(zip(*(table.column(c).to_pylist() for c in ("label", "_i", "_j")), strict=True))
+        node, text = table.column("node").to_pylist(), table.column("text").to_pylist()
+        groups: dict[tuple, list[int]] = {}
+        for i, k in enumerate(key):
+            groups.setdefault(k, []).append(i)
+        found: list[tuple[int, int]] = []
+        for own in groups.values():
+            found += [(node[own[x]], node[own[y]]) for x, y in block_links(shingle_sets([text[i] for i in own], words), percent)]
+        return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=to)
+
+    return rows.groupBy("_task").applyInArrow(decide, schema)
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every document."""
     if not 50 < percent <= 100:
@@ -159,15 +221,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     own = filled.join(nodes.select("same", "node"), "same")
     same = own.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))  # copies
     labels = components(links)
-    known = marks.join(labels, "node", "left").select("mark", "node", "n", "held", "hub", F.coalesce("label", "node").alias("label"))
-    mixed_marks = known.groupBy("mark").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("mark")
-    rest = checkpointed(known.join(mixed_marks, "mark", "left_semi").where("node <> hub"))
-    left = rest.select("mark", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("held").alias("a_held"), F.col("label").alias("a_label"))
-    right = rest.select("mark", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("held").alias("b_held"), F.col("label").alias("b_label"))
-    others = left.join(right, "mark").where("a < b and a_label <> b_label").where(possible("a_n", "a_held", "b_n", "b_held"))
-    others = checkpointed(others.select("a", "b").distinct())
-    if not others.isEmpty():
-        links = checkpointed(links.union(verified(others, docs, words, percent)))
+    known = marks.where("node <> hub").join(labels, "node", "left").select("mark", "node", F.coalesce("label", "node").alias("label"))
+    leads = known.groupBy("mark").agg(F.min("node").alias("lead"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
+    undecided = checkpointed(known.join(leads, "mark").select(F.col("node").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct())
+    if not undecided.isEmpty():
+        links = checkpointed(links.union(cluster_links(components(undecided), docs, words, percent)))
     labels = components(links.union(same))
     found = index.join(labels, index.doc_id == labels.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != _LOWEST, F.col(c)).alias(c)
