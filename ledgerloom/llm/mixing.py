@@ -52,8 +52,8 @@ def apportion(df: DataFrame, group: list[str], unit: list[str], votes: str, seat
         .withColumn("_k", F.expr("explode_outer(if(_off > 0, sequence(_sure + 1, _base + _off), cast(array() as array<bigint>)))"))
         .withColumn("_quotient", F.expr(f"{votes} / (2 * _k - 1)"))
     )
-    ranked = near.withColumn("_rank", F.row_number().over(whole.orderBy(F.col("_quotient").desc_nulls_last(), *order, "_k")))
-    won = F.expr("if(_k is not null and _rank <= _left, 1L, 0L)")
+    ranked = near.withColumn("_place", F.row_number().over(whole.orderBy(F.col("_quotient").desc_nulls_last(), *order, "_k")))
+    won = F.expr("if(_k is not null and _place <= _left, 1L, 0L)")
     return ranked.groupBy(*unit).agg((F.first("_sure") + F.sum(won)).alias("quota"))
 
 
