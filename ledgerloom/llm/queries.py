@@ -49,7 +49,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("source")
+    return mixing.mix(documents(spark, sf_dir), block_words=BLOCK).drop("source")
 
 
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,48 @@ QUERIES: dict[str, Query] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+
+
+def _seeded(x: str, seed: int) -> str:
+    p = mixing.PRIME
+    first = f"((((coalesce({x}, -1) % {p}) + {p}) % {p}) * 48271 + {seed}) % {p}"
+    return f"((xor({first}, ({first}) >> 15) * 69621 + 1013904223) % {p})"
+
+
+def _apportioned(name: str, table: str, group: str, unit: str, votes: str, seats: str, order: str) -> str:
+    """CTEs of the shares of ``seats`` by highest quotients, as ``mixing.apportion``."""
+    by = f"PARTITION BY {group}" if group else ""
+    return f"""{name}1 AS (SELECT *, CASE WHEN sum({votes}) OVER ({by}) > 0 THEN CAST(floor({seats} * ({votes} / sum({votes}) OVER ({by})) + 0.5) AS BIGINT) ELSE 0 END AS base FROM {table}),
+ {name}2 AS (SELECT *, CAST(abs(sum(base) OVER ({by}) - {seats}) AS BIGINT) AS off FROM {name}1),
+ {name}3 AS (SELECT *, greatest(0, base - off) AS sure, CAST({seats} - sum(greatest(0, base - off)) OVER ({by}) AS BIGINT) AS rest FROM {name}2),
+ {name}4 AS (SELECT *, unnest(CASE WHEN off > 0 THEN range(sure + 1, base + off + 1) ELSE [NULL] END) AS k FROM {name}3),
+ {name}5 AS (SELECT *, row_number() OVER ({by} ORDER BY {votes} / (2 * k - 1) DESC NULLS LAST, {order}, k) AS place FROM {name}4),
+ {name} AS (SELECT {unit}, any_value(sure) + count(*) FILTER (k IS NOT NULL AND place <= rest) AS quota FROM {name}5 GROUP BY {unit})"""
+
+
+def _taken(x: str, block: int) -> str:
+    j = f"(({x}) // {block})"
+    before, after = (f"(({k} * q + c) // m)" for k in (j, f"({j} + 1)"))
+    return f"(passes * ({x}) + {before} * {block} + ({after} - {before}) * (({x}) - {j} * {block}))"
+
+
+BLOCK = 16
+_BEFORE = "OVER (ORDER BY ratio, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+MIX_SQL = f"""WITH sized AS (SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, {_seeded("doc_id", 7)} AS h FROM documents),
+ s1 AS (SELECT nul, src, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM sized GROUP BY 1, 2),
+ s2 AS (SELECT *, row_number() OVER (ORDER BY nul, src) - 1 AS rk FROM s1),
+ s3 AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 2 AS cap, source_size * 2 / CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS ratio FROM s2),
+ s4 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) {_BEFORE}, 0)) / (sum(w) OVER () - coalesce(sum(w) {_BEFORE}, 0)) AS level FROM s3),
+ s5 AS (SELECT *, least(cap::DOUBLE, max(level) OVER () * w) AS target, CAST(least({mixing.MOST_SHARDS}, ceil(n / {mixing.SHARD_ROWS})) AS BIGINT) AS shards FROM s4),
+ sources AS (SELECT *, CAST(floor(sum(target) OVER () / {BLOCK} + 0.5) AS BIGINT) AS blocks FROM s5),
+ {_apportioned("quotas", "sources", "", "nul, src", "target", "blocks", "rk")},
+ dealt AS (SELECT d.*, source_size, target, rk, h % shards AS shard FROM sized d JOIN sources USING (nul, src)),
+ parts AS (SELECT nul, src, shard, any_value(rk) AS rk, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS seats FROM dealt JOIN quotas USING (nul, src) GROUP BY 1, 2, 3),
+ {_apportioned("shares", "parts", "nul, src", "nul, src, shard, words, rk", "words", "seats", "shard")},
+ t1 AS (SELECT *, (words + {BLOCK - 1}) // {BLOCK} AS m FROM shares),
+ t2 AS (SELECT *, least(quota, 2 * m) AS all_q, CASE WHEN m > 0 THEN greatest(0, least(quota, 2 * m) - 1) // m ELSE 0 END AS passes FROM t1),
+ t3 AS (SELECT nul, src, shard, m, passes, all_q - passes * m AS q, CASE WHEN m > 0 THEN {_seeded("shard * 65537 + rk", 8)} % m ELSE 0 END AS c FROM t2),
+ placed AS (SELECT *, CAST(sum(size) OVER (PARTITION BY nul, src, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM dealt JOIN t3 USING (nul, src, shard))
+ SELECT doc_id, size, source_size, target, CAST(CASE WHEN m > 0 THEN {_taken("stop", BLOCK)} - {_taken("stop - size", BLOCK)} ELSE 0 END AS BIGINT) AS taken FROM placed"""
+
+ORACLE: dict[str, str] = {"op8_source_mix": MIX_SQL}
