@@ -18,7 +18,7 @@ KINDS = {"a": "string", "b": "string", "n": "double", "d1": "date", "d2": "date"
 
 @pytest.fixture(scope="module")
 def features(spark):
-    rows = [(i, "FG"[i % 2], f"w{i % 7}-x", float(i % 5), f"2020-01-{i % 28 + 1:02}", f"2020-02-{(i * 3) % 28 + 1:02}") for i in range(60)]
+    rows = [(i, "FG"[i % 2], f"w{i % 7}-{i % 3}", float(i % 5), f"2020-01-{i % 28 + 1:02}", f"2020-02-{(i * 3) % 28 + 1:02}") for i in range(60)]
     df = spark.createDataFrame(rows, "pair_id long, a string, b string, n double, d1 string, d2 string")
     return df.withColumns({"d1": F.to_date("d1"), "d2": F.to_date("d2")})
 
@@ -50,7 +50,7 @@ def test_stability_and_proposals(features):
 
 
 def test_settle_order(spark, features):
-    base = [(i, "f", "AMBIGUOUS", "RULE", 1.0, "", "w", "path", f"w{i % 7}-x" if i else "odd", "a → 9" if i < 50 else "=" if i < 58 else "9 → a") for i in range(60)]
+    base = [(i, "f", "AMBIGUOUS", "RULE", 1.0, "", "w", "path", f"w{i % 7}-{i % 3}" if i else "odd", "a → 9" if i < 50 else "=" if i < 58 else "9 → a") for i in range(60)]
     df = spark.createDataFrame(base, "pair_id long, field string, verdict string, layer string, confidence double, method string, explanation string, path string, actual string, signature string")
     model = lambda ok: [FieldModel("f", Learned(Col("b"), 0.9, ok, []), 1.0)]
     rule = {r["pair_id"]: (r["verdict"], r["method"], r["confidence"]) for r in settle(df, features, model(True), KINDS).collect()}
