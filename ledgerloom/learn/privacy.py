@@ -1,7 +1,7 @@
 """Pseudonyms for rows that leave the cluster: allowed columns only, consistent fakes, scrubbed text, shifted dates.
 
-Fakes are injective by construction: a seeded pseudo-random order numbers the distinct identifiers, and the number is
-part of the fake. The map from real to fake is a DataFrame of one run and is never written.
+Fakes come from a seeded digest of the identifier: consistent everywhere, and injective but for collisions of 96 bits.
+The map from real to fake is a DataFrame of one run and is never written.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ DIGITS = r"\d{5,}"
 
 
 def fake_map(df: DataFrame, columns: dict[str, str], seed: int) -> DataFrame:
-    """kind, real, fake: for the values of ``columns`` (column to kind). Same length of digits for numbers. Numbered
-    within hash buckets, so no task sees all identifiers."""
+    """kind, real, fake: for the values of ``columns`` (column to kind). A fake is 96 bits of a seeded digest, in letters
+    only (so that the digit scrub leaves it alone); no task sees all identifiers."""
     values = None
     for c, kind in columns.items():
         part = df.select(F.lit(kind).alias("kind"), F.col(f"`{c}`").cast("string").alias("real")).where("real is not null")
         values = part if values is None else values.unionByName(part)
     code = F.sha2(F.concat(F.lit(f"{seed}/"), F.col("kind"), F.lit("/"), F.col("real")), 256)
-    return values.distinct().withColumn("fake", F.concat(F.upper(F.left("kind", F.lit(1))), F.left(code, F.lit(24))))
+    return values.distinct().withColumn("fake", F.concat(F.upper(F.left("kind", F.lit(1))), F.translate(F.left(code, F.lit(24)), "0123456789", "ghijklmnop")))
 
 
 def shift_days(row: Column, seed: int) -> Column:

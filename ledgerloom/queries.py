@@ -470,7 +470,7 @@ def prf(spark, sf_dir):
     return ev.prf(ev.counts(flagged, ["field", "method"]), ["field", "method"]).select("field", "method", "precision", "recall")
 
 
-@query(f"{BOTH}{LONG}, t AS (SELECT field, count(*) FILTER (k % 2 = 0 AND verdict = 'ANOMALY') AS tp, count(*) FILTER (k % 2 = 0 AND verdict <> 'ANOMALY') AS fp, count(*) FILTER (k % 2 <> 0 AND verdict = 'ANOMALY') AS fn FROM v GROUP BY 1) SELECT field, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS even FROM t")
+@query(f"{BOTH}{LONG}, t AS (SELECT field, count(*) FILTER (k % 2 = 0 AND verdict = 'ANOMALY') AS tp, count(*) FILTER (k % 2 = 0 AND verdict <> 'ANOMALY') AS fp, count(*) FILTER (k % 2 <> 0 AND verdict = 'ANOMALY') AS fn FROM v GROUP BY 1) SELECT field, 2 * p * r / nullif(p + r, 0) AS even FROM (SELECT field, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM t)")
 def f1_pivot(spark, sf_dir):
     flagged = _long(spark, sf_dir).select("field", F.lit("even").alias("method"), (F.col("pair_id") % 2 == 0).alias("flag"), (F.col("verdict") == "ANOMALY").alias("truth"))
     return ev.f1_pivot(ev.counts(flagged, ["field", "method"]), ["even"])

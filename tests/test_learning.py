@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.learn import evaluate as ev
 from ledgerloom.learn import privacy
-from ledgerloom.learn.dsl import Affix, Col, Concat, Const, DateAgg, Fn, IfEq, from_json, grounded
+from ledgerloom.learn.dsl import Affix, Col, Concat, DateAgg, Fn, IfEq, from_json, grounded
 from ledgerloom.learn.resolve import FieldModel, settle, stability, verify_proposals
 from ledgerloom.learn.search import Learned, learn
 from ledgerloom.operators.overrides import SCHEMA, apply_overrides
@@ -25,7 +25,7 @@ def features(spark):
 
 @pytest.mark.parametrize(
     "rule",
-    [Col("b"), Fn("upper", Col("b")), Concat("-", (Col("a"), Col("b"))), DateAgg("max", Col("d1"), Col("d2")), Affix("ID_", Col("b"), "@x"), IfEq("a", "F", Col("b"), Const("none")), Fn("zpad5", Col("n"))],
+    [Col("b"), Fn("upper", Col("b")), Concat("-", (Col("a"), Col("b"))), DateAgg("max", Col("d1"), Col("d2")), Affix("ID_", Col("b"), "@x"), IfEq("a", "F", Col("b"), Fn("upper", Col("b"))), Fn("zpad5", Col("n"))],
 )
 def test_rules_are_found_again(features, rule):
     df = features.withColumn("y", rule.text(KINDS))
