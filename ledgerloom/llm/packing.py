@@ -4,7 +4,8 @@ Pieces (documents cut at the sequence length) are packed by length, not one by o
 of lengths, whose size is bounded by the sequence length whatever the number of documents. The plan indexes the sums of
 one, two and three available lengths; starting from the longest length left it takes a combination that fills the gap
 exactly, as often as the availability counts allow, and only if there is none adds the longest length that fits (best
-fit) and looks again. Each pattern exhausts a length, so there are at most as many patterns as lengths.
+fit) and looks again. Each pattern leaves some length with fewer pieces than it takes of it, so the number of patterns is
+a small multiple of that of lengths.
 
 Pieces of one length are interchangeable, so a piece needs only its rank among them. Ranks come from counts per
 (length, salt): a length that holds a third of all pieces is spread over ``SALTS`` windows.
