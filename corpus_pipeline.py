@@ -53,7 +53,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE)
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE, ranks=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", pack)]

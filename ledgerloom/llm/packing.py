@@ -31,12 +31,12 @@ END_ID = 0
 SALTS = 64
 
 
-def pieces(df: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece. Only documents over ``limit`` are cut; the first piece
     takes the remainder, so all others are full."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = ChunkEncoder.of(tokenizer_path, False)
+        encoder = ChunkEncoder.of(tokenizer_path, False, ranks)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for first, last in by_bytes(texts, 8 << 20):
@@ -163,7 +163,7 @@ def pack(parts: DataFrame, limit: int = 2048) -> DataFrame:
     return map_arrow(ranked, rows, schema)
 
 
-def packed_documents(df: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(df: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
     """Every piece of every document with its sequence and its place there. The pieces (five numbers each) are
     checkpointed, so the texts are encoded once."""
-    return pack(checkpointed(pieces(df, tokenizer_path, limit, id_col, text_col)), limit)
+    return pack(checkpointed(pieces(df, tokenizer_path, limit, id_col, text_col, ranks)), limit)

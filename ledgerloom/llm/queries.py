@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Parameters of the queries.
 TOKEN_LIMIT = 2048
+BYTE_RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
+    return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT, ranks=BYTE_RANKS)
 
 
 QUERIES: dict[str, Query] = {

@@ -69,6 +69,10 @@ def test_chunks_encode_as_whole_texts(monkeypatch):
         path = public_tokenizers.path(name)
         want = [np.array(e.ids, np.uint32).tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
         assert list(tokens.encoded(texts, tokens.ChunkEncoder(path, False))) == want
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    quick = tokens.ChunkEncoder(path, False, ranks)
+    assert quick.quick and list(tokens.encoded(texts, quick)) == want
+    assert tokens.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), False, ranks).quick is None
 
 
 def near_classes(texts, words, percent):
