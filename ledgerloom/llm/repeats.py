@@ -8,7 +8,8 @@ have equal anchors, and a stretch of consecutive windows with one anchor travels
    most of the text, goes nowhere.
 2. Each batch sends every distinct segment with a shared anchor once, with the smallest document that has it, to the
    anchor's group. Where a larger document of the batch has an equal segment, it is covered, which needs no message.
-3. A group builds a run-length index of its distinct segments: suffix array by doubling, Burrows-Wheeler transform cut
+3. A group builds a run-length index of its distinct segments (of those whose anchor is contested; a segment alone with
+   its anchor covers its equals and nothing else): suffix array by doubling, Burrows-Wheeler transform cut
    into runs with the suffix array sampled at run ends, and, also by runs of rows, the smallest document among suffixes
    that agree in ``LENGTH`` bytes. Suffix array and text are then dropped. Segments stream through it backwards by
    LF steps, all side by side; at each byte the row tells whether the longest match with a smaller document reaches
@@ -183,6 +184,16 @@ def _suffix_array(symbol: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.
     return order, np.append(False, same)
 
 
+def contested(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """Places of the segments whose anchor another segment of another document has: only these can share a window."""
+    anchor = segments(texts)[3]  # one segment each
+    order = np.argsort(anchor, kind="stable")
+    first = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+    own = docs[order]
+    several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    return np.sort(order[np.repeat(several, np.diff(np.append(first, order.size)))])
+
+
 def covered_places(texts: list[bytes], docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For distinct texts and the documents they stand for: (texts, places) of windows that a smaller document has."""
     owner = np.unique(docs, return_inverse=True)[1]
@@ -268,9 +279,11 @@ def repeated_spans(docs: DataFrame, count: int) -> DataFrame:
             marks = []
             later = doc > smallest[text]
             marks.append(np.stack([batch[later], doc[later], place[later], (place + size[text])[later]], axis=1))
-            found = covered_places(texts, smallest)
+            rivals = contested(texts, smallest)
+            found = covered_places([texts[i] for i in rivals], smallest[rivals])
             if found:
                 hit, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                hit = rivals[hit]
                 order = np.lexsort((at, hit))
                 hit, at = hit[order], at[order]
                 first = np.append(True, (hit[1:] != hit[:-1]) | (at[1:] - at[:-1] > LENGTH))
