@@ -5,7 +5,7 @@ Every stage takes the rows its predecessor kept (the columns of documents) and w
 1. language_id: documents without an identifiable language go.
 2. line_dedup: later repeated runs of lines are cut; a document of which nothing is left goes.
 3. near_dedup: of each class of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
-4. source_mix: every document is taken as often as the mix of its source says: not at all, in part, or up to twice.
+4. source_mix: every document is taken whole, as often as the mix of its source says: not at all, once or twice.
 5. packing: sequences of at most 2048 tokens; this stage returns the pieces.
 
 Cases: an empty table passes through all stages; null texts are rejected by the first; documents that share an id
@@ -49,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    return mixing.mix_whole(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ change hands are listed and ranked, so the work depends on the number of sources
 Selection: the documents of a shard stand in seeded order as one stream of words, cut into blocks. A quota Q of M
 blocks takes block j if floor((jQ + c) / M) steps at j, with a seeded start c: exactly Q blocks, evenly spread. Beyond
 one whole pass the stream starts again, twice at most. What a document gives is a difference of two closed forms, so
-blocks are never made into rows. A shard holds a bounded share of its source, so a hot source is many windows.
+blocks are never made into rows. Where texts are wanted whole (``mix_whole``) the shard's quota goes to documents
+instead: the whole passes and then the first documents of the stream until the rest is filled. A shard holds a bounded share of its source, so a hot source is many windows.
 
 Cases: null text has size 0 and gives 0; null source is a source of its own, last in order; an empty table gives an
 empty result; sources without words have target 0; rows alike in id and size are interchangeable; other columns of the
@@ -72,11 +73,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def mix(
+def _placed(
     df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block_words: int = 16, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken. The small columns are checkpointed: texts are read once."""
+    """What ``mix`` and ``mix_whole`` choose from: every document with its place in its shard's stream, the words
+    ``taken`` of it by blocks and its whole passes and one more (``times``) by documents."""
     sized = checkpointed(
         df.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).isNull().alias("_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), word_count(F.col(text_col)).alias("size"),
@@ -100,7 +102,7 @@ def mix(
         .withColumn("_passes", F.expr("if(_m > 0, greatest(0L, _q - 1) div _m, 0L)"))
         .withColumn("_q", F.expr("_q - _passes * _m"))
         .withColumn("_c", F.expr("_m") * 0 + F.when(F.col("_m") > 0, seeded(F.col("_shard") * 65537 + F.col("_rank"), seed + 1) % F.col("_m")).otherwise(0))
-        .select(*unit, "_m", "_q", "_passes", "_c")
+        .select(*unit, "_m", "_q", "_passes", "_c", "_words")
     )
     stream = Window.partitionBy(*unit).orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("_end", F.sum("size").over(stream)).join(shares, unit)
@@ -112,7 +114,25 @@ def mix(
         return f"(_passes * ({x}) + {before} * {block_words} + ({after} - {before}) * (({x}) - {j} * {block_words}))"
 
     taken = F.expr(f"if(_m > 0, {upto('_end')} - {upto('_end - size')}, 0L)")
-    return placed.select("doc_id", F.when(~F.col("_null"), F.col("_src")).alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    times = F.expr(f"if(_m > 0 and size > 0, _passes + if(2 * _end - size <= 2 * ({upto('_words')} - _passes * _words), 1L, 0L), 0L)")
+    return placed.select("doc_id", F.when(~F.col("_null"), F.col("_src")).alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), times.alias("times"))
+
+
+def mix(df: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken. The small columns are checkpointed: texts are read once."""
+    return _placed(df, **options).drop("times")
+
+
+def mix_whole(df: DataFrame, **options) -> DataFrame:
+    """The mix as whole documents: ``df`` with each row as often as it is taken. A shard's quota of words is filled in
+    seeded order, its last document being in if at least half of it fits, so a shard is at most half a document off.
+    Rows count by all their columns: null and shared ids are documents of their own."""
+    keyed = df.withColumn("_key", F.xxhash64(*df.columns))
+    taken = _placed(keyed, id_col="_key", **options).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
+    alike = Window.partitionBy("_key").orderBy("_key")
+    rows = keyed.join(taken, "_key").withColumn("_nth", F.row_number().over(alike))
+    rows = rows.withColumn("_copies", F.expr("cast(_times div _rows + if(_nth <= _times % _rows, 1, 0) as int)"))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*df.columns)
 
 
 def mix_documents(df: DataFrame, **options) -> DataFrame:

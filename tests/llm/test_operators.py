@@ -482,3 +482,17 @@ def test_shingles():
     assert [x.size for x in shingle_sets(["a b c d e", "A B c d E", "a b", None, "", "a b c d e a b c d e"], 4)] == [2, 2, 1, 0, 0, 5]
     one, two = shingle_sets(["a b c d e", "A\tB\nc  d E"], 4)
     assert np.array_equal(one, two)
+
+
+def test_mix_takes_whole_documents(spark):
+    rng = np.random.default_rng(9)
+    made = [(None if i % 3 == 0 else i % 1200, " ".join(f"d{i}w{j}" for j in range(int(rng.integers(1, 120)))), f"s{i % 6}") for i in range(1500)]
+    df = spark.createDataFrame([*made, made[1], (5, None, "s1")], "doc_id long, text string, source string")
+    rows = Counter(map(tuple, df.collect()))
+    got = Counter(map(tuple, mixing.mix_whole(df).collect()))
+    assert set(got) <= set(rows) and all(n <= 2 * rows[r] for r, n in got.items())
+    want = {r["source"]: r["target"] for r in mixing.mix(df).collect()}
+    for source, target in want.items():
+        assert abs(sum(len(r[1].split()) * n for r, n in got.items() if r[2] == source) - target) <= 120
+    assert mixing.mix_whole(df.where("false")).count() == 0
+    assert sorted(map(str, mixing.mix_whole(df.repartition(7)).collect())) == sorted(str(r) for r in mixing.mix_whole(df).collect())
