@@ -1,16 +1,20 @@
 """Line deduplication by winnowing.
 
-The lines of a document that are not blank, without white space at their ends, are hashed. Every ``GRAM`` lines in a row
-have a hash, and of every ``WINDOW`` such hashes in a row the smallest (the last of equals) is a fingerprint. Two
-documents that share GRAM + WINDOW - 1 lines in a row are sure to share one, and the fingerprints of a shared run leave
-no gap between them, as GRAM is not below WINDOW. Each fingerprint is joined with its first occurrence by (doc_id, line); the match is
-extended both ways over the line hashes of the two documents, and the later run is deleted if it has ``LEAST_WORDS``
-words. The first occurrence of a line is never deleted: what goes always has an equal line before it.
+The lines of a document that are not blank, without white space at their ends, are hashed. A passage is the fewest
+lines in a row, from a line on or back from it, that have ``LEAST_WORDS`` words: a long line is one alone. The hash of
+every passage is a fingerprint (winnowing with a window of one, as the shortest run to be found is a passage). Each is
+joined with its first occurrence by (doc_id, line), and a passage that occurred before is deleted.
+
+What goes is exactly the lines of runs of ``LEAST_WORDS`` words and more that occurred before. Every line of such a run
+lies in a passage inside the run: in the one from it on or the one back to it, or if both leave the run, in the last
+passage that begins in the run before it. Passages depend on their own lines only, so they are the same in both places,
+and it makes no difference which document was first with which part of a run. The first occurrence of a line is never
+deleted: what goes always has an equal line before it.
 
 A fingerprint of a third of all documents costs one partial aggregate and a join with one row for it; nothing is
-gathered per fingerprint. What is gathered per pair of documents is bounded by the lines of the later one.
+gathered per fingerprint. What is gathered per document is bounded by its lines.
 
-Cases: null and empty texts have no lines and stay as they are; blank lines inside a deleted run go with it, others
+Cases: null and empty texts have no lines and stay as they are; blank lines between deleted lines go with them, others
 stay; documents with one id are ordered by a hash of the text, and rows alike in id and text count as one document, so
 they get the same result and don't delete each other; null ids come first; an empty table gives an empty result.
 """
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_arrow
 
-GRAM, WINDOW, LEAST_WORDS = 2, 2, 8
+GRAM, WINDOW, LEAST_WORDS = 1, 1, 8
 _LOWEST = -(1 << 63)
 
 
@@ -69,58 +73,61 @@ def extended(later: np.ndarray, first: np.ndarray, seeds: list[tuple[int, int]])
     return runs
 
 
+def passages(hashes: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and fingerprints of the shortest runs of ``least_words`` words from each line on and back from it."""
+    n, least = hashes.size, max(1, least_words)
+    total = np.append(0, np.cumsum(words, dtype=np.int64))  # grows with every line
+    on, back = np.searchsorted(total, total[:-1] + least), np.searchsorted(total, total[1:] - least, "right") - 1
+    forward, backward = np.flatnonzero(on <= n), np.flatnonzero(back >= 0)
+    spans = np.unique(np.append(forward * (n + 1) + on[forward], back[backward] * (n + 1) + backward + 1))
+    begin, end = spans // (n + 1), spans % (n + 1)
+    value = np.zeros(spans.size, np.uint64)
+    for k in range(int((end - begin).max(initial=0))):
+        inside = begin + k < end
+        mixed = (value[inside] ^ hashes[begin[inside] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        value[inside] = mixed ^ (mixed >> np.uint64(29))
+    return begin, end, value
+
+
 def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)), "_of": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
 
 
 def repeated_runs(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_doc, _of (what identifies a document) and _runs: packed (begin, end) of its deleted runs."""
+    """_doc, _of (what identifies a document) and _runs: its deleted passages, each as begin * 2^32 + end."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("_lines", "_words", "_at", "_print")}
+            out: dict[str, list] = {k: [] for k in ("_at", "_print")}
             for text in batch.column("_text").to_pylist():
-                hashes, words = line_hashes(text)
-                at, value = winnowed(hashes)
-                for k, v in zip(out, (hashes.tobytes(), words.tobytes(), at.tolist(), value.view(np.int64).tolist()), strict=True):
-                    out[k].append(v)
+                begin, end, value = passages(*line_hashes(text), least_words)
+                out["_at"].append(begin << 32 | end)
+                out["_print"].append(value.view(np.int64))
             yield {"_doc": batch.column("_doc"), "_of": batch.column("_of")} | out
 
     texts = _identified(df, id_col, text_col).select("_doc", "_of", F.col(text_col).alias("_text"))
-    lines = checkpointed(map_arrow(texts, hashed, "_doc long, _of long, _lines binary, _words binary, _at array<int>, _print array<long>"))
-    lines = lines.where(F.size("_at") > 0)
+    lines = checkpointed(map_arrow(texts, hashed, "_doc long, _of long, _at array<long>, _print array<long>").where(F.size("_at") > 0))
     prints = lines.select("_doc", "_of", F.explode(F.arrays_zip("_at", "_print")).alias("_x")).select("_doc", "_of", F.col("_x._at").alias("_at"), F.col("_x._print").alias("_print"))
     first = prints.groupBy("_print").agg(F.min(F.struct("_doc", "_of", "_at")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = prints.join(first, "_print").where(F.struct("_doc", "_of", "_at") > F.col("_first"))
-    pairs = later.select("_doc", "_of", F.col("_first._doc").alias("_doc1"), F.col("_first._of").alias("_of1"), F.struct("_at", F.col("_first._at").alias("_at1")).alias("_seed")).groupBy("_doc", "_of", "_doc1", "_of1").agg(F.collect_set("_seed").alias("_seeds"))
-    unique = lines.select("_doc", "_of", "_lines", "_words").dropDuplicates(["_doc", "_of"])
-    sources = unique.select(F.col("_doc").alias("_doc1"), F.col("_of").alias("_of1"), F.col("_lines").alias("_lines1"))
-    both = pairs.join(sources, ["_doc1", "_of1"]).join(unique, ["_doc", "_of"]).select("_doc", "_of", "_lines", "_words", "_lines1", "_seeds")
-
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            found = []
-            for lines, words, other, seeds in zip(*(batch.column(c).to_pylist() for c in ("_lines", "_words", "_lines1", "_seeds")), strict=True):
-                total = np.append(0, np.cumsum(np.frombuffer(words, np.uint32), dtype=np.int64))
-                runs = extended(np.frombuffer(lines, np.uint64), np.frombuffer(other, np.uint64), [(s["_at"], s["_at1"]) for s in seeds])
-                found.append(np.array([r for r in runs if total[r[1]] - total[r[0]] >= least_words], np.int64).tobytes())
-            yield {"_doc": batch.column("_doc"), "_of": batch.column("_of"), "_runs": found}
-
-    return map_arrow(both, matched, "_doc long, _of long, _runs binary").groupBy("_doc", "_of").agg(F.collect_list("_runs").alias("_runs"))
+    return later.groupBy("_doc", "_of").agg(F.collect_set("_at").alias("_runs"))
 
 
-def kept_text(text: str | None, runs: list[bytes] | None) -> tuple[str | None, int, int]:
-    """The text without the runs, its number of lines that are not blank, and how many of these were deleted."""
+def kept_text(text: str | None, runs: list[int] | None) -> tuple[str | None, int, int]:
+    """The text without the runs (begin * 2^32 + end), its number of lines that are not blank, and how many of these were deleted."""
     if text is None:
         return None, 0, 0
     lines = text.split("\n")
     solid = [i for i, x in enumerate(lines) if x.strip()]
     if not runs:
         return text, len(solid), 0
-    gone = np.zeros(len(lines), bool)
-    for begin, end in np.frombuffer(b"".join(runs), np.int64).reshape(-1, 2).tolist():
-        gone[solid[begin] : solid[end - 1] + 1] = True
-    return "\n".join(x for x, y in zip(lines, gone, strict=True) if not y), len(solid), int(gone[solid].sum()) if solid else 0
+    gone = np.zeros(len(solid), bool)
+    for run in runs:
+        gone[run >> 32 : run & 0xFFFFFFFF] = True
+    drop = np.zeros(len(lines), bool)
+    for k in np.flatnonzero(gone).tolist():
+        drop[solid[k] : solid[k + 1] if k + 1 < len(solid) and gone[k + 1] else solid[k] + 1] = True
+    return "\n".join(x for x, y in zip(lines, drop, strict=True) if not y), len(solid), int(gone.sum())
 
 
 def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

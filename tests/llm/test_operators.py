@@ -496,3 +496,24 @@ def test_mix_takes_whole_documents(spark):
         assert abs(sum(len(r[1].split()) * n for r, n in got.items() if r[2] == source) - target) <= 120
     assert mixing.mix_whole(df.where("false")).count() == 0
     assert sorted(map(str, mixing.mix_whole(df.repartition(7)).collect())) == sorted(str(r) for r in mixing.mix_whole(df).collect())
+
+
+def test_every_repeated_run_of_lines_goes(spark):
+    rng = np.random.default_rng(10)
+    pool = [" ".join(f"p{i}x{k}" for k in range(int(rng.integers(1, 12)))) for i in range(14)]
+    made = ["\n".join(pool[int(k)] for k in rng.integers(0, len(pool), int(rng.integers(1, 9)))) for _ in range(60)]
+    made[3] = "a licence line of more than eight words in one line"
+    made[4] = f"other start\n{made[3]}\nother end"
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)).collect()}
+    earlier = set()
+    for i, text in enumerate(made):
+        own, gone = text.split("\n"), set()
+        for begin in range(len(own)):
+            for end in range(begin + 1, len(own) + 1):
+                run = tuple(own[begin:end])
+                if sum(len(x.split()) for x in run) >= lines.LEAST_WORDS:
+                    if run in earlier:
+                        gone |= set(range(begin, end))
+                    earlier.add(run)
+        assert got[i]["n_removed"] == len(gone) and got[i]["text"] == "\n".join(x for k, x in enumerate(own) if k not in gone)
+    assert got[4]["text"] == "other start\nother end"
