@@ -517,3 +517,14 @@ def test_every_repeated_run_of_lines_goes(spark):
                     earlier.add(run)
         assert got[i]["n_removed"] == len(gone) and got[i]["text"] == "\n".join(x for k, x in enumerate(own) if k not in gone)
     assert got[4]["text"] == "other start\nother end"
+
+
+def test_lines_around_a_shorter_first_occurrence(spark):
+    made, want = [], []
+    for i in range(60):
+        inner = f"b{i} one two\nc{i} one two\nd{i} one"  # eight words; two of its lines alone are too short to go
+        whole = f"a{i} long line at the edge of the run\n{inner}\ne{i} is another long line at the edge here"
+        made += [f"own beginning {i}\n{inner}\nown end {i}", whole, whole, f"start {i}\nc{i} one two\nd{i} one\n{whole}"]
+        want += [made[-4], f"{whole.split(chr(10))[0]}\n{whole.split(chr(10))[-1]}", "", f"start {i}\nc{i} one two\nd{i} one"]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == dict(enumerate(want))
