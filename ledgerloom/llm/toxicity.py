@@ -4,13 +4,14 @@ A word is the average of the embeddings of the word itself and its character n-g
 were never seen share most of their vector with what was. A window of ``WINDOW`` words is the average of its words, and
 a linear softmax over it gives the probability. A document is as toxic as its most toxic window: a few words in a long
 text are not averaged away. Embeddings and softmax are learned together: each epoch takes every training document's
-window that is most toxic under the model so far (the first epoch: all its words) and runs Adam over mini-batches.
+window that is most toxic under the model so far (the first eighth of the epochs: ``FIRST_WORDS`` words spread evenly
+over all of it, others each time) and runs Adam over mini-batches.
 
 Since averaging and softmax are linear, a trained model folds into one number per hashed n-gram; scoring is the mean of
 numbers. Every text is scored whole.
 
-Learning uses at most ``SAMPLE_DOCS`` labelled documents per class, those with the smallest hash of the id, and
-``SAMPLE_CHARS`` characters of each. Cases: null and empty texts and texts without words score as the bias alone says;
+Learning uses whole texts of at most ``SAMPLE_DOCS`` labelled documents per class, those with the smallest hash of the
+id, and of fewer if these have more than ``SAMPLE_CHARS`` characters in all. Cases: null and empty texts and texts without words score as the bias alone says;
 without labels of both classes the score is the share of label 1, or 0; repeated labels of a document all count;
 repeated rows give equal scores; null ids are never learned from; other columns are ignored.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import keyed, map_arrow
 from .tokens import by_bytes
 
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 6000
+SAMPLE_DOCS, SAMPLE_CHARS, FIRST_WORDS = 1500, 12_000_000, 200
 BUCKETS, DIMENSION, SIZES = 1 << 17, 12, (3, 4, 5)
 WINDOW, EPOCHS, BATCH, RATE = 12, 8, 64, 0.03
 #: Fewest steps; word occurrences, counted once a document, that an n-gram needs to be learned from.
@@ -144,16 +145,19 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     step = 0
     epochs = max(EPOCHS, STEPS * BATCH // y.size)
     for epoch in range(epochs):
-        begin_at, length, over = begins, np.minimum(sizes, 200), np.maximum(sizes, WINDOW).clip(max=200)
+        begin_at, length, over = begins, np.minimum(sizes, FIRST_WORDS), np.maximum(sizes, WINDOW).clip(max=FIRST_WORDS)
+        stride, start = sizes / np.maximum(length, 1), rng.random(sizes.size)
         if epoch >= epochs // 8:
             gain = embedding @ (weight[:, 1] - weight[:, 0])
             value = np.add.reduceat(gain[buckets], begin[:-1]) / counts
             begin_at, length, over = best_windows(value[stream], sizes)[1], np.minimum(sizes, WINDOW), np.full(sizes.size, WINDOW)
+            stride, start = np.ones(sizes.size), np.zeros(sizes.size)
         order = rng.permutation(np.flatnonzero(sizes))
         for some in np.array_split(order, max(1, order.size // BATCH)):
             step += 1
             row = np.repeat(np.arange(some.size), length[some])
-            at = np.arange(row.size) - np.repeat(np.cumsum(length[some]) - length[some], length[some]) + begin_at[some][row]
+            nth = np.arange(row.size) - np.repeat(np.cumsum(length[some]) - length[some], length[some])
+            at = np.minimum((nth + start[some][row]) * stride[some][row], sizes[some][row] - 1).astype(np.int64) + begin_at[some][row]
             word = stream[at]
             feature_row = np.repeat(np.arange(row.size), counts[word])
             feature = buckets[np.arange(feature_row.size) - np.repeat(np.cumsum(counts[word]) - counts[word], counts[word]) + begin[word][feature_row]]
@@ -185,9 +189,19 @@ def learn(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "do
         return train([], [])
     table = F.broadcast(given.sparkSession.createDataFrame(chosen, given.schema))  # at most 2 x SAMPLE_DOCS rows
     docs = keyed(df, id_col, text_col)
-    found = docs.join(table, docs.doc_id == table["_id"]).select("_hash", "_id", "_label", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(SAMPLE_CHARS)).alias("part")).collect()
-    found.sort()
-    return train([r["part"] for r in found], [r["_label"] for r in found])
+    found = docs.join(table, docs.doc_id == table["_id"]).select("_hash", "_id", "_label", F.coalesce("text", F.lit("")).alias("part"))
+    found = found.withColumn("_size", F.length("part"))
+    sizes = found.groupBy("_hash", "_id", "_label", "_size").count().collect()
+    left, taken = [SAMPLE_CHARS, SAMPLE_CHARS], []
+    for _, doc, label, size, n in sorted(map(tuple, sizes)):  # what does not fit leaves its room to later ones
+        if size * n <= left[label]:
+            left[label] -= size * n
+            taken.append((doc, label, size))
+    if len(taken) < len(sizes):
+        keep = F.broadcast(given.sparkSession.createDataFrame(taken, "_id long, _label int, _size int"))
+        found = found.join(keep, ["_id", "_label", "_size"], "left_semi")
+    rows = sorted(found.select("_hash", "_id", "_label", "part").collect())
+    return train([r["part"] for r in rows], [r["_label"] for r in rows])
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -528,3 +528,25 @@ def test_lines_around_a_shorter_first_occurrence(spark):
         want += [made[-4], f"{whole.split(chr(10))[0]}\n{whole.split(chr(10))[-1]}", "", f"start {i}\nc{i} one two\nd{i} one"]
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_toxicity_learns_from_the_ends_of_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnoprstuvw")
+    clean = ["".join(rng.choice(letters, 6)) for _ in range(300)]
+    rows = []
+    for i in range(240):
+        words = [str(w) for w in rng.choice(clean, 1200)]
+        if i % 3 == 0:
+            words[-40:-30] = ["zyzzyx", "qyxxaz"] * 5  # beyond 8000 characters
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic"), spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(df, labels).collect()}
+    held = [(got[a]["predicted"], c) for a, _, c in rows if got[a]["held_out"]]
+    assert sum(p == c for p, c in held) >= 0.95 * len(held)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 50_000)
+    given = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: given.append((texts, marks)))
+    toxicity.learn(df, labels, F.lit(True))
+    texts, marks = given[0]
+    assert set(texts) <= {x for _, x, _ in rows} and all(0 < sum(len(x) for x, y in zip(texts, marks, strict=True) if y == k) <= 50_000 for k in (0, 1))
