@@ -3,7 +3,8 @@
 Every stage takes the rows its predecessor kept (the columns of documents) and works on all of them:
 
 1. language_id: documents without an identifiable language go.
-2. line_dedup: later repeated runs of lines are cut; a document of which nothing is left goes.
+2. line_dedup: later repeated runs of lines are cut; a document of which nothing is left goes. Copies of a document
+   of one line are left to the third stage, which keeps one of them.
 3. near_dedup: of each class of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
 4. source_mix: every document is taken whole, as often as the mix of its source says: not at all, once or twice.
 5. packing: sequences of at most 2048 tokens; this stage returns the pieces.
@@ -35,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    left = lines.dedup_lines(docs, copies=False).where("n_removed = 0 or n_removed < n_lines")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast("long"))
     return left.select(*docs.columns)

@@ -93,23 +93,29 @@ def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)), "_of": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
 
 
-def repeated_runs(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_doc, _of (what identifies a document) and _runs: its deleted passages, each as begin * 2^32 + end."""
+def repeated_runs(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", copies: bool = True) -> DataFrame:
+    """_doc, _of (what identifies a document) and _runs: its deleted passages, each as begin * 2^32 + end.
+    Without ``copies`` a document of one line stays if the first with that line has only it, too."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("_at", "_print")}
+            out: dict[str, list] = {k: [] for k in ("_at", "_print", "_all")}
             for text in batch.column("_text").to_pylist():
-                begin, end, value = passages(*line_hashes(text), least_words)
+                hashes, words = line_hashes(text)
+                begin, end, value = passages(hashes, words, least_words)
+                out["_all"].append(hashes.size == 1)
                 out["_at"].append(begin << 32 | end)
                 out["_print"].append(value.view(np.int64))
             yield {"_doc": batch.column("_doc"), "_of": batch.column("_of")} | out
 
     texts = _identified(df, id_col, text_col).select("_doc", "_of", F.col(text_col).alias("_text"))
-    lines = checkpointed(map_arrow(texts, hashed, "_doc long, _of long, _at array<long>, _print array<long>").where(F.size("_at") > 0))
-    prints = lines.select("_doc", "_of", F.explode(F.arrays_zip("_at", "_print")).alias("_x")).select("_doc", "_of", F.col("_x._at").alias("_at"), F.col("_x._print").alias("_print"))
-    first = prints.groupBy("_print").agg(F.min(F.struct("_doc", "_of", "_at")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = prints.join(first, "_print").where(F.struct("_doc", "_of", "_at") > F.col("_first"))
+    lines = checkpointed(map_arrow(texts, hashed, "_doc long, _of long, _at array<long>, _print array<long>, _all boolean").where(F.size("_at") > 0))
+    prints = lines.select("_doc", "_of", "_all", F.explode(F.arrays_zip("_at", "_print")).alias("_x")).select("_doc", "_of", "_all", F.col("_x._at").alias("_at"), F.col("_x._print").alias("_print"))
+    place = F.struct("_doc", "_of", "_at", "_all")
+    first = prints.groupBy("_print").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = prints.join(first, "_print").where(place > F.col("_first"))
+    if not copies:
+        later = later.where(~(F.col("_all") & F.col("_first._all")))
     return later.groupBy("_doc", "_of").agg(F.collect_set("_at").alias("_runs"))
 
 
@@ -130,11 +136,12 @@ def kept_text(text: str | None, runs: list[int] | None) -> tuple[str | None, int
     return "\n".join(x for x, y in zip(lines, drop, strict=True) if not y), len(solid), int(gone.sum())
 
 
-def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", copies: bool = True) -> DataFrame:
     """The rows of ``df`` with the repeated runs cut from the text, and what was cut in two columns at the end,
-    n_lines and n_removed (columns of these names in ``df`` are replaced)."""
+    n_lines and n_removed (columns of these names in ``df`` are replaced). Without ``copies`` documents of one line
+    that copy a whole document are left to who compares documents."""
     df = df.drop("n_lines", "n_removed")
-    marked = _identified(df, id_col, text_col).join(repeated_runs(df, least_words, id_col, text_col), ["_doc", "_of"], "left").drop("_doc", "_of")
+    marked = _identified(df, id_col, text_col).join(repeated_runs(df, least_words, id_col, text_col, copies), ["_doc", "_of"], "left").drop("_doc", "_of")
     columns = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", n_lines long, n_removed long"
 

@@ -550,3 +550,11 @@ def test_toxicity_learns_from_the_ends_of_long_texts(spark, monkeypatch):
     toxicity.learn(df, labels, F.lit(True))
     texts, marks = given[0]
     assert set(texts) <= {x for _, x, _ in rows} and all(0 < sum(len(x) for x, y in zip(texts, marks, strict=True) if y == k) <= 50_000 for k in (0, 1))
+
+
+def test_copies_of_one_line_can_be_left(spark):
+    line, other = "a document of one line that has more than eight words", "another document of one line that has more than eight words"
+    df = spark.createDataFrame(list(enumerate([line, line, f"top\n{line}", f"top\n{other}", other, other])), "doc_id long, text string")
+    left = lambda copies: [r["text"] for r in lines.dedup_lines(df, copies=copies).orderBy("doc_id").collect()]
+    assert left(True) == [line, "", "top", f"top\n{other}", "", ""]
+    assert left(False) == [line, line, "top", f"top\n{other}", "", ""]
