@@ -9,9 +9,9 @@ Every stage takes the rows its predecessor kept (the columns of documents) and w
 4. source_mix: every document is taken whole, as often as the mix of its source says: not at all, once or twice.
 5. packing: sequences of at most 2048 tokens; this stage returns the pieces.
 
-Cases: an empty table passes through all stages; null texts are rejected by the first; documents that share an id
-after the second stage count as copies of each other in the third, where one row stays; columns beyond those of
-documents pass through.
+Cases: an empty table passes through all stages; null texts are rejected by the first; in the third, rows whose id is
+null or shared are documents of their own by id and text (null ids come first in a class), and of rows alike in both
+one stays; columns beyond those of documents pass through.
 """
 
 from __future__ import annotations
@@ -42,11 +42,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own in _key: the id, or where that is null or shared a hash of id and text."""
+    own = F.xxhash64("doc_id", "text")
+    shared = checkpointed(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_shared")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    n = shared.count()
+    if not n:
+        return docs.withColumn("_key", F.coalesce("doc_id", own))
+    marked = docs.join(F.broadcast(shared) if n <= 50_000 else shared, F.col("doc_id") == F.col("_shared"), "left")
+    return marked.withColumn("_key", F.when(F.col("_shared").isNull(), F.col("doc_id")).otherwise(own)).withColumn("_key", F.coalesce("_key", own)).drop("_shared")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(docs, WORDS, PERCENT)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+    named = keyed(docs)
+    found = jaccard.near_duplicates(named, WORDS, PERCENT, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    least = F.min(F.struct("doc_id", "_key"))
+    kept = found.join(named.select("_key", "doc_id"), "_key").groupBy("component_id").agg(least.alias("_least")).select(F.col("_least._key").alias("_key"))
+    one = Window.partitionBy("_key").orderBy("text")
+    return named.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

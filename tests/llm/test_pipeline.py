@@ -27,3 +27,13 @@ def test_pipeline(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_keeps_texts_with_null_and_shared_ids(spark):
+    text = lambda i: " ".join(f"t{i}x{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (3, text(3) + " end"), (4, text(4)), (5, text(4)), (9, text(0) + " end"), (1, text(5))]
+    docs = spark.createDataFrame([(a, b, "en", "s1", len(b)) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())))
+    assert kept == sorted(map(str, [(None, text(0)), (None, text(1)), (7, text(2)), (3, text(3) + " end"), (4, text(4)), (1, text(5))]))
+    other = docs.where("doc_id in (4, 5, 1)")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, other, "").collect()} == {4, 1}
