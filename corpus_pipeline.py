@@ -2,7 +2,7 @@
 
 Every stage takes the rows its predecessor kept (the columns of documents) and works on all of them:
 
-1. language_id: documents without an identifiable language go.
+1. language_id: null texts and texts without a letter go; there is no threshold for languages that were not learned.
 2. line_dedup: later repeated runs of lines are cut; a document of which nothing is left goes. Copies of a document
    of one line are left to the third stage, which keeps one of them.
 3. near_dedup: of each class of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
