@@ -1,11 +1,15 @@
 """Toxicity by subword bags: a linear softmax over averaged embeddings, trained jointly in numpy.
 
 A word is the average of the embeddings of the word itself and its character n-grams (hashed), so misspellings that
-were never seen share most of their vector with what was. A window of ``WINDOW`` words is the average of its words, and
-a linear softmax over it gives the probability. A document is as toxic as its most toxic window: a few words in a long
-text are not averaged away. Embeddings and softmax are learned together: each epoch takes every training document's
-window that is most toxic under the model so far (the first eighth of the epochs: ``FIRST_WORDS`` words spread evenly
-over all of it, others each time) and runs Adam over mini-batches.
+were never seen share most of their vector with what was. A window of ``WINDOW`` words is the average of its words (up to
+a constant factor: their sum over ``scales``), and a linear softmax over it gives the probability. A document is as toxic
+as its most toxic window: a few words in a long text are not averaged away. Embeddings and softmax are learned together:
+each epoch takes every training document's window that is most toxic under the model so far (every ``SHORT``-th epoch one
+of ``SCALE`` words, so that few words can be enough) and runs Adam over mini-batches. The first windows are those with most of the n-grams that can tell toxic documents.
+
+Only such n-grams have an embedding: found in ``LEAST_DOCS`` documents and ``LEAST_EXCESS`` standard deviations more
+often in toxic ones than in others (a document counts up to ``CLIP`` occurrences). With some hundreds of labels all other
+n-grams of a window would merely be learned by heart.
 
 Since averaging and softmax are linear, a trained model folds into one number per hashed n-gram; scoring is the mean of
 numbers. Every text is scored whole.
@@ -19,7 +23,7 @@ repeated rows give equal scores; null ids are never learned from; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import keyed, map_arrow
 from .tokens import by_bytes
 
-SAMPLE_DOCS, SAMPLE_CHARS, FIRST_WORDS = 1500, 12_000_000, 200
-BUCKETS, DIMENSION, SIZES = 1 << 17, 12, (3, 4, 5)
-WINDOW, EPOCHS, BATCH, RATE = 12, 8, 64, 0.03
-#: Fewest steps; word occurrences, counted once a document, that an n-gram needs to be learned from.
-STEPS, LEAST_DOCS = 300, 4
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 12_000_000
+BUCKETS, DIMENSION, SIZES = 1 << 17, 12, (4, 5, 6, 7)
+WINDOW, SCALE = 128, 12
+SHORT = 4
+EPOCHS, STEPS, BATCH, RATE = 30, 300, 64, 0.03
+LEAST_DOCS, LEAST_EXCESS, CLIP = 3, 5.0, 3
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -96,22 +101,27 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         own = [words_of(x) for x in texts]
-        top, _ = best_windows(self.word_scores([w for x in own for w in x]), np.array([len(x) for x in own], np.int64))
+        top, _ = best_windows(self.word_scores([w for x in own for w in x]), np.array([len(x) for x in own], np.int64), WINDOW)
         return 1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30)))
 
 
-def best_windows(scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each document the highest mean of ``WINDOW`` consecutive words (places it lacks count as 0), and where that
-    window begins among all words."""
+def scales(sizes: np.ndarray) -> np.ndarray:
+    """What the sum of a window's words is divided by: SCALE, or the number of words of shorter texts, half of SCALE at least."""
+    return np.clip(sizes, SCALE // 2, SCALE)
+
+
+def best_windows(scores: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the highest sum of ``window`` consecutive words over ``scales``, and where that window
+    begins among all words."""
     sums = np.append(0.0, np.cumsum(scores))
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    short = np.minimum(sizes, WINDOW)
+    short = np.minimum(sizes, window)
     count = sizes - short + 1
     count[sizes == 0] = 0
     owner = np.repeat(np.arange(sizes.size), count)
     at = np.arange(owner.size) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins, count)
-    mean = (sums[at + short[owner]] - sums[at]) / WINDOW
+    mean = (sums[at + short[owner]] - sums[at]) / scales(sizes)[owner]
     top, where = np.zeros(sizes.size), begins.copy()
     filled = np.flatnonzero(count)
     if filled.size:
@@ -123,55 +133,95 @@ def best_windows(scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return top, where
 
 
+@dataclass
+class Corpus:
+    """Documents as numbers of words; for each word the buckets of its n-grams (``first`` and ``held``: where they begin
+    and how many they are) and the share of each in the word's average."""
+
+    stream: np.ndarray
+    sizes: np.ndarray
+    begins: np.ndarray
+    buckets: np.ndarray
+    first: np.ndarray
+    held: np.ndarray
+    share: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Corpus:
+        own = [words_of(x) for x in texts]
+        sizes = np.array([len(x) for x in own], np.int64)
+        vocabulary: dict[bytes, int] = {}
+        stream = np.array([vocabulary.setdefault(w, len(vocabulary)) for x in own for w in x], np.int64)
+        buckets, first = subwords(list(vocabulary) or [b"-"])
+        held = np.diff(first)
+        return cls(stream, sizes, np.cumsum(sizes) - sizes, buckets, first[:-1], held, 1 / held)
+
+    def only(self, keep: np.ndarray) -> Corpus:
+        """With no other buckets than those of ``keep``; the averages stay as they are."""
+        ok = keep[self.buckets]
+        held = np.add.reduceat(ok.astype(np.int64), self.first)
+        return replace(self, buckets=self.buckets[ok], first=np.cumsum(held) - held, held=held)
+
+    def ngrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words' n-grams, and for each the place of its word in ``words``."""
+        held = self.held[words]
+        place = np.repeat(np.arange(words.size), held)
+        nth = np.arange(place.size) - (np.cumsum(held) - held)[place]
+        return self.buckets[self.first[words[place]] + nth], place
+
+    def word_means(self, gain: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(self.held.size), self.held), gain[self.buckets], self.held.size) * self.share
+
+
+def telling(corpus: Corpus, y: np.ndarray) -> np.ndarray:
+    """Which buckets are clearly more frequent in documents of label 1."""
+    found, docs = np.zeros((2, BUCKETS)), np.zeros(BUCKETS)
+    for begin, size, label in zip(corpus.begins.tolist(), corpus.sizes.tolist(), y.tolist(), strict=True):
+        words, times = np.unique(corpus.stream[begin : begin + size], return_counts=True)
+        bucket, place = corpus.ngrams(words)
+        used, slot = np.unique(bucket, return_inverse=True)
+        found[int(label), used] += np.minimum(np.bincount(slot, times[place], used.size), CLIP)
+        docs[used] += 1
+    expected = (found[0] + 1) * (found[1].sum() / max(1.0, found[0].sum()))
+    return (docs >= LEAST_DOCS) & (found[1] - expected >= LEAST_EXCESS * np.sqrt(expected + 1))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     y = np.array(labels, np.float64)
     if not y.size or y.min() == y.max():
         share = float(y.mean()) if y.size else 0.0
         return Model(np.zeros(BUCKETS), float(np.log((share + 1e-9) / (1 - share + 1e-9))), {})
     rng = np.random.default_rng(seed)
-    own = [words_of(x) for x in texts]
-    sizes = np.array([len(x) for x in own], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    vocabulary: dict[bytes, int] = {}
-    stream = np.array([vocabulary.setdefault(w, len(vocabulary)) for x in own for w in x], np.int64)
-    buckets, begin = subwords(list(vocabulary) or [b"-"])
-    counts = np.diff(begin)
-    pairs = np.unique(np.repeat(np.arange(sizes.size), sizes) * len(vocabulary) + stream) % len(vocabulary)
-    seen = np.bincount(buckets, np.repeat(np.bincount(pairs, minlength=len(vocabulary)), counts), BUCKETS)
-    common = (seen >= LEAST_DOCS).astype(np.float64)[:, None]  # what few documents have is not learned from
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSION)) * common
+    corpus = Corpus.of(texts)
+    keep = telling(corpus, y)
+    corpus = corpus.only(keep)
+    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSION)) * keep[:, None]
     weight, bias = rng.normal(0, 0.1, (DIMENSION, 2)), np.zeros(2)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, weight, bias)]
+    over = scales(corpus.sizes)
     step = 0
-    epochs = max(EPOCHS, STEPS * BATCH // y.size)
-    for epoch in range(epochs):
-        begin_at, length, over = begins, np.minimum(sizes, FIRST_WORDS), np.maximum(sizes, WINDOW).clip(max=FIRST_WORDS)
-        stride, start = sizes / np.maximum(length, 1), rng.random(sizes.size)
-        if epoch >= epochs // 8:
-            gain = embedding @ (weight[:, 1] - weight[:, 0])
-            value = np.add.reduceat(gain[buckets], begin[:-1]) / counts
-            begin_at, length, over = best_windows(value[stream], sizes)[1], np.minimum(sizes, WINDOW), np.full(sizes.size, WINDOW)
-            stride, start = np.ones(sizes.size), np.zeros(sizes.size)
-        order = rng.permutation(np.flatnonzero(sizes))
+    for epoch in range(max(EPOCHS, STEPS * BATCH // y.size)):
+        gain = embedding @ (weight[:, 1] - weight[:, 0]) if epoch else keep.astype(np.float64)
+        window = SCALE if epoch % SHORT == SHORT - 1 else WINDOW
+        at = best_windows(corpus.word_means(gain)[corpus.stream], corpus.sizes, window)[1]
+        length = np.minimum(corpus.sizes, window)
+        order = rng.permutation(y.size)  # a document without words is an empty window
         for some in np.array_split(order, max(1, order.size // BATCH)):
             step += 1
             row = np.repeat(np.arange(some.size), length[some])
-            nth = np.arange(row.size) - np.repeat(np.cumsum(length[some]) - length[some], length[some])
-            at = np.minimum((nth + start[some][row]) * stride[some][row], sizes[some][row] - 1).astype(np.int64) + begin_at[some][row]
-            word = stream[at]
-            feature_row = np.repeat(np.arange(row.size), counts[word])
-            feature = buckets[np.arange(feature_row.size) - np.repeat(np.cumsum(counts[word]) - counts[word], counts[word]) + begin[word][feature_row]]
-            share = (1 / counts[word] / over[some][row])[feature_row]
-            used, slot = np.unique(feature, return_inverse=True)
+            nth = np.arange(row.size) - (np.cumsum(length[some]) - length[some])[row]
+            words = corpus.stream[at[some][row] + nth]
+            bucket, place = corpus.ngrams(words)
+            used, slot = np.unique(bucket, return_inverse=True)
             bag = np.zeros((some.size, used.size))
-            np.add.at(bag, (row[feature_row], slot), share)
+            np.add.at(bag, (row[place], slot), (corpus.share[words] / over[some][row])[place])
             mean = bag @ embedding[used]
             logits = mean @ weight + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(some.size), y[some].astype(int)] -= 1
             p /= some.size
-            slopes = (bag.T @ (p @ weight.T) * common[used], mean.T @ p, p.sum(axis=0))
+            slopes = (bag.T @ (p @ weight.T), mean.T @ p, p.sum(axis=0))
             for values, own_state, slope, part in zip((embedding, weight, bias), state, slopes, (used, slice(None), slice(None)), strict=True):
                 own_state[0][part] = 0.9 * own_state[0][part] + 0.1 * slope
                 own_state[1][part] = 0.999 * own_state[1][part] + 0.001 * slope**2
