@@ -1,14 +1,16 @@
 """Lempel-Ziv phrase fingerprints (LZ78 phrases, minimum-hash signature).
 
-A text is parsed into dictionary phrases: each phrase is the shortest run of code points not yet in the dictionary. The
-set of phrases is hashed and the ``SIGNATURE`` smallest hashes are the fingerprint, so texts that a dictionary coder
-would compress alike share phrases. The likeness of two fingerprints is the Jaccard index of the two sets, exact for
-small sets and estimated from the smallest hashes of the union otherwise.
+A text is parsed into dictionary phrases: each phrase is the shortest run of code points not yet in the dictionary; what
+is left at the end counts as a phrase of its own, closed by the end. The set of phrases is hashed and the ``SIGNATURE``
+smallest hashes are the fingerprint, so texts that a dictionary coder would compress alike share phrases. The likeness
+of two fingerprints is the Jaccard index of the two sets, exact for small sets and estimated from the smallest hashes of
+the union otherwise. As in dictionary coders a full dictionary (``PHRASES``) is emptied and filled again, which bounds
+the memory for texts of any length; the set takes in the phrases of all fillings.
 
 The contract's edited text needs the next document by descending id. Documents are dealt to ranges of ids (bounds are
 quantiles, as many as shuffle partitions); the first document of a range also goes, as a guest, to the end of the range
 above it. Each range is then sorted and streamed once. The edited text shares a prefix with the text, which is parsed
-once: what the first tail adds to the dictionary is taken out again before the second is parsed.
+once: each tail is parsed on top of the dictionary at the end of the prefix.
 
 Cases: a null text counts as empty; an empty text has an empty fingerprint, and two empty ones are alike (1.0), an
 empty and another are not (0.0); rows with one id follow each other by text, null ids come after all others; a single
@@ -18,7 +20,7 @@ document is its own next; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,40 +31,78 @@ from pyspark.sql import functions as F
 from .common import keyed, map_arrow, shuffle_width
 
 SIGNATURE = 128
+#: Phrases of a full dictionary.
+PHRASES = 1 << 20
 _MULTIPLIER, _MASK = 0x2545F4914F6CDD1D, (1 << 61) - 1
-_HASH = -1  # key of a node's own hash; code points are never negative
 _LOWEST = -(1 << 63)
-
-
-def dictionary() -> dict:
-    return {_HASH: 1}
-
-
-def parse(codes: Iterable[int], root: dict, node: dict, found: list[int], added: list | None = None) -> dict:
-    """Goes on parsing at ``node``; appends the hashes of new phrases; returns the node it ends at. ``added`` gets what
-    was put into the dictionary."""
-    for c in codes:
-        following = node.get(c)
-        if following is None:
-            value = (node[_HASH] * _MULTIPLIER + c + 1) & _MASK
-            node[c] = {_HASH: value}
-            found.append(value)
-            if added is not None:
-                added.append((node, c))
-            node = root
-        else:
-            node = following
-    return node
-
-
-def signature(phrases: list[int], size: int = SIGNATURE) -> np.ndarray:
-    """The smallest 48-bit hashes, ascending."""
-    x = np.array(phrases, np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+_END = 0x110000  # beyond all code points
+
+
+class Parser:
+    """The dictionary as one table from (node, code point) to node; a node's number is its place in ``hashes``."""
+
+    def __init__(self):
+        self.table: dict[int, int] = {}
+        self.hashes = [1]
+        self.node = 0
+        self.found: list[int] = []
+
+    def parse(self, text: str) -> None:
+        """Goes on at the node that was reached."""
+        table, hashes, node = self.table, self.hashes, self.node
+        get = table.get
+        for c in map(ord, text):
+            key = node << 21 | c
+            following = get(key)
+            if following is not None:
+                node = following
+                continue
+            table[key] = len(hashes)
+            hashes.append((hashes[node] * _MULTIPLIER + c + 1) & _MASK)
+            node = 0
+            if len(hashes) > PHRASES:
+                self._flush()
+                table, hashes = self.table, self.hashes
+                get = table.get
+        self.node = node
+
+    def _flush(self) -> None:
+        """Keeps what can still be among the smallest hashes and empties the dictionary."""
+        self.found = signature(self.found + self.hashes[1:], mixed=False).tolist()
+        self.table, self.hashes = {}, [1]
+
+    def phrases(self) -> list[int]:
+        rest = [(self.hashes[self.node] * _MULTIPLIER + _END + 1) & _MASK] if self.node else []
+        return self.found + self.hashes[1:] + rest
+
+    def mark(self) -> tuple:
+        return len(self.hashes), self.node, list(self.found)
+
+    def back(self, mark: tuple) -> bool:
+        """Takes out what came after ``mark``; impossible if the dictionary was emptied since."""
+        size, node, found = mark
+        if self.found != found or len(self.hashes) < size:
+            return False
+        while len(self.hashes) > size:  # entries stand in the order they were made in
+            self.table.popitem()
+            self.hashes.pop()
+        self.node = node
+        return True
+
+
+def signature(phrases: list[int], size: int = SIGNATURE, mixed: bool = True) -> np.ndarray:
+    """The smallest 48-bit hashes, ascending; or the phrases that have them, if not ``mixed``."""
+    raw = np.array(phrases, np.uint64)
+    x = (raw ^ (raw >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x = (x ^ (x >> np.uint64(31))) >> np.uint64(16)
-    if x.size > 4 * size:
-        x = np.partition(x, 2 * size)[: 2 * size]  # phrases differ, so their hashes all but always do
+    if not mixed:
+        smallest = np.unique(x)[:size]
+        return np.unique(raw[x <= smallest[-1]]) if smallest.size else raw
+    if x.size > 8 * size:
+        least = np.unique(np.partition(x, 2 * size)[: 2 * size])  # of phrases that two fillings share the hash is there twice
+        if least.size >= size:
+            return least[:size]
     return np.unique(x)[:size]
 
 
@@ -82,23 +122,22 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIGNATURE) -> float:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    root, found = dictionary(), []
-    parse(map(ord, text), root, root, found)
-    return signature(found)
+    parser = Parser()
+    parser.parse(text)
+    return signature(parser.phrases())
 
 
 def both_fingerprints(text: str, kept: int, tail: str) -> tuple[np.ndarray, np.ndarray]:
     """Of ``text`` and of ``text[:kept] + tail``."""
-    root, found, added = dictionary(), [], []
-    node = parse(map(ord, text[:kept]), root, root, found)
-    common = len(found)
-    parse(map(ord, text[kept:]), root, node, found, added)
-    own = signature(found)
-    for where, c in reversed(added):
-        del where[c]
-    del found[common:]
-    parse(map(ord, tail), root, node, found)
-    return own, signature(found)
+    parser = Parser()
+    parser.parse(text[:kept])
+    mark = parser.mark()
+    parser.parse(text[kept:])
+    own = signature(parser.phrases())
+    if not parser.back(mark):
+        return own, fingerprint(text[:kept] + tail)
+    parser.parse(tail)
+    return own, signature(parser.phrases())
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
