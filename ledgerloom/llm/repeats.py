@@ -16,12 +16,14 @@ have equal anchors, and a stretch of consecutive windows with one anchor travels
    ``LENGTH``.
 4. What was found returns to the documents' batches, where intervals become spans.
 
-A passage of a third of all documents costs one segment per batch and variant. A group's memory is that of its distinct
-shared text; groups grow in number with the batches.
+A passage of a third of all documents costs one segment per batch and variant. Before and after such a passage every
+document has windows of its own under the passage's anchors; from ``HOT`` documents on the windows of an anchor are dealt
+by their own hash, so that they do not meet in one group. A group's memory is that of its distinct shared text; groups
+grow in number with the batches.
 
 Cases: a null text counts as empty; texts under ``LENGTH`` bytes keep all; rows with one id are one document for what
 counts as smaller (they don't remove from each other); null ids are smallest; repeated rows repeat; very long texts are
-hashed in one piece; an empty table gives an empty result; other columns are ignored.
+hashed in blocks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,22 +37,30 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, keyed
 from .shared import batches_of, classes_of, distinct_keys, with_classes
-from .shingles import _power, mixed
+from .shingles import BLOCK, mixed, powers, prefix_sums
 
 LENGTH, GRAM = 50, 20
+#: Class (bit length of the number of documents) from which the windows of an anchor go their own ways: 65536 documents.
+HOT = 17
 _LOWEST = -(1 << 63)
 
 
 def segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document (place in ``raw``), first byte, number of windows and anchor of every segment."""
+    """Document (place in ``raw``), first byte, number of windows and anchor of every segment. Texts are hashed in blocks;
+    one longer than a block is cut into blocks that share all but one byte of a window."""
     parts, start = [], 0
     while start < len(raw):
         end, size = start, 0
-        while end < len(raw) and (end == start or size + len(raw[end]) < 1 << 20):
+        while end < len(raw) and size + len(raw[end]) <= BLOCK:
             size += len(raw[end])
             end += 1
-        doc, at, count, anchor = _segments(raw[start:end])
-        parts.append((doc + start, at, count, anchor))
+        if end > start:
+            blocks = [(0, raw[start:end])]
+        else:
+            blocks, end = [(at, [raw[start][at : at + BLOCK]]) for at in range(0, len(raw[start]), BLOCK - LENGTH + 1)], start + 1
+        for shift, block in blocks:
+            doc, at, count, anchor = _segments(block)
+            parts.append((doc + start, at + shift, count, anchor))
         start = end
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
@@ -61,9 +71,8 @@ def _segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     wide = LENGTH - GRAM + 1  # grams in a window
     if grams < wide:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    up, down = _power(data.size + 1)
-    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: data.size]))
-    least = mixed((sums[GRAM:] - sums[:-GRAM]) * down[:grams])
+    sums = prefix_sums(data)
+    least = mixed((sums[GRAM:] - sums[:-GRAM]) * powers()[1][:grams])
     reach = 1
     while reach * 2 <= wide:
         least = np.minimum(least[:-reach], least[reach:])
@@ -80,6 +89,19 @@ def _segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return doc[first], at[first], np.diff(np.append(first, doc.size)), anchor[first]
 
 
+def single_windows(texts: list[bytes], doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments taken apart: each window for itself, with the hash of its bytes as anchor."""
+    each = np.repeat(np.arange(doc.size), windows)
+    place = at[each] + np.arange(each.size) - (np.cumsum(windows) - windows)[each]
+    parts = [np.zeros(0, np.uint64)]
+    for d, p, n in zip(doc.tolist(), at.tolist(), windows.tolist(), strict=True):
+        for shift in range(0, n, BLOCK - LENGTH + 1):
+            count = min(n - shift, BLOCK - LENGTH + 1)
+            sums = prefix_sums(np.frombuffer(texts[d], np.uint8, count + LENGTH - 1, p + shift))
+            parts.append(mixed((sums[LENGTH:] - sums[:-LENGTH]) * powers()[1][:count]))
+    return doc[each], place, np.ones(each.size, np.int64), np.concatenate(parts)
+
+
 @dataclass
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of texts, each closed by an own terminator (rows 0 to texts - 1).
@@ -224,8 +246,10 @@ def repeated_spans(docs: DataFrame, count: int) -> DataFrame:
         texts, ids = raw(table), table.column("doc_id").to_numpy()
         doc, at, windows, anchor = segments(texts)
         keys = np.unique(anchor >> np.uint64(16))
-        shared = classes[np.searchsorted(keys, anchor >> np.uint64(16))] > 1
-        doc, at, windows, anchor = doc[shared], at[shared], windows[shared], anchor[shared]
+        held = classes[np.searchsorted(keys, anchor >> np.uint64(16))]
+        whole, hot = (held > 1) & (held < HOT), held >= HOT
+        parts = (doc[whole], at[whole], windows[whole], anchor[whole]), single_windows(texts, doc[hot], at[hot], windows[hot])
+        doc, at, windows, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
         route = (mixed(anchor) % np.uint64(routes)).astype(np.int64)
         order = np.lexsort((ids[doc], route))
         batch = table.column("_batch")[0].as_py()
