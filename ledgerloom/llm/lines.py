@@ -2,8 +2,10 @@
 
 The lines of a document that are not blank, without white space at their ends, are hashed. A passage is the fewest
 lines in a row, from a line on or back from it, that have ``LEAST_WORDS`` words: a long line is one alone. The hash of
-every passage is a fingerprint (winnowing with a window of one, as the shortest run to be found is a passage). Each is
-joined with its first occurrence by (doc_id, line), and a passage that occurred before is deleted.
+every passage is a fingerprint. Winnowing guarantees a common run of window + gram - 1 units; the shortest run to be
+found here is one passage, so the window is one and every minimum is selected. Each fingerprint is joined with its first
+occurrence by (doc_id, line), and a passage that occurred before is deleted; passages of a run overlap or touch, so
+deleting all of them extends a match both ways to the ends of the run.
 
 What goes is exactly the lines of runs of ``LEAST_WORDS`` words and more that occurred before. Every line of such a run
 lies in a passage inside the run: in the one from it on or the one back to it, or if both leave the run, in the last
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_arrow
 
-GRAM, WINDOW, LEAST_WORDS = 1, 1, 8
+LEAST_WORDS = 8
 _LOWEST = -(1 << 63)
 
 
@@ -41,38 +43,6 @@ def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64), np.array([len(x.split()) for x in lines], np.uint32)
 
 
-def winnowed(hashes: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the fingerprints."""
-    n = hashes.size - gram + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = np.zeros(n, np.uint64)
-    for i in range(gram):
-        value = (value ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-    width = min(window, n)
-    view = np.lib.stride_tricks.sliding_window_view(value[::-1], width)
-    places = np.unique(n - 1 - (np.arange(view.shape[0]) + view.argmin(axis=1)))
-    return places, value[places]
-
-
-def extended(later: np.ndarray, first: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs [begin, end) of ``later`` that equal a run of ``first`` around a seed (place in later, place in first)."""
-    runs: list[tuple[int, int]] = []
-    done: dict[int, int] = {}  # by diagonal: how far it has been followed
-    for a, b in sorted(seeds):
-        if done.get(a - b, -1) > a:
-            continue
-        begin, end = a, a
-        while end < later.size and end - a + b < first.size and later[end] == first[end - a + b]:
-            end += 1
-        while begin and begin - a + b and later[begin - 1] == first[begin - 1 - a + b]:
-            begin -= 1
-        done[a - b] = end
-        runs.append((begin, end))
-    return runs
-
-
 def passages(hashes: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begins, ends and fingerprints of the shortest runs of ``least_words`` words from each line on and back from it."""
     n, least = hashes.size, max(1, least_words)
