@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) take a temporary folder."""
+    """Use the cluster's spark.checkpoint.dir. Where it is unset a single machine takes a temporary folder; a cluster has
+    no folder that all machines see, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -47,6 +52,30 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+@dataclass
+class Renamed:
+    """A table whose columns are numbered, so that no name of the user's meets one of an operator's."""
+
+    df: DataFrame
+    names: list[str]
+
+    @classmethod
+    def of(cls, df: DataFrame) -> Renamed:
+        return cls(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns)
+
+    def __getitem__(self, name: str) -> str:
+        return f"c{self.names.index(name)}"
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df``, which has the numbered columns and maybe others, with the columns of before."""
+        return df.select(*self.df.columns).toDF(*self.names)
+
+
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no hash of their own, by their JSON."""
+    return F.xxhash64(*(F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema))
+
+
 def arrow_schema(schema: T.StructType | str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 

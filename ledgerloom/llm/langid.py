@@ -4,9 +4,9 @@ For each language a suffix automaton is built over a bounded sample of labelled
 each automaton: the longest match with the sample is one phrase, and the next starts after it. The language that needs
 the fewest phrases, normalised by the bits that address its sample (log2 of the sample's length), wins.
 
-Learning: ``SAMPLE_DOCS`` documents per language, those with the smallest hash of the id, give ``SAMPLE_CHARS``
-characters each from a place set by that hash. The bound is what the automata's size depends on, so they can be
-broadcast. Predicting: whole texts, as UTF-8 of the lower-cased text with everything between letters as one class. Texts
+Learning: ``SAMPLE_DOCS`` documents of each of the ``LANGUAGES`` languages with most documents, those with the smallest
+hash of the id, give ``SAMPLE_CHARS`` characters each from a place set by that hash. The bound is what the automata's
+size depends on, so they can be broadcast. Predicting: whole texts, as UTF-8 of the lower-cased text with everything between letters as one class. Texts
 are cut into stretches of ``STRETCH`` bytes that are parsed side by side; each stretch starts a new phrase for every
 language alike.
 
@@ -30,7 +30,9 @@ from .common import keyed, map_arrow
 from .tokens import by_bytes
 
 SAMPLE_DOCS, SAMPLE_CHARS = 120, 400
-STRETCH = 256
+#: Languages that are learned: those with most labelled documents.
+LANGUAGES = 200
+STRETCH = 1024
 UNDETERMINED = "und"
 
 
@@ -38,39 +40,74 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def suffix_automaton(text: bytes, width: int) -> np.ndarray:
-    """Transitions [state, class] of the suffix automaton of ``text`` (bytes are classes); 0 is none, 1 the start."""
-    edges: list[dict[int, int]] = [{}, {}]
-    link, length = [0, 0], [0, 0]
-    last = 1
-    for c in text:
-        new = len(edges)
-        edges.append({})
-        length.append(length[last] + 1)
-        link.append(1)
-        p = last
-        while p and c not in edges[p]:
-            edges[p][c] = new
-            p = link[p]
-        if p:
-            q = edges[p][c]
-            if length[q] == length[p] + 1:
-                link[new] = q
-            else:
-                twin = len(edges)
-                edges.append(dict(edges[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                link[q] = link[new] = twin
-                while p and edges[p].get(c) == q:
-                    edges[p][c] = twin
-                    p = link[p]
-        last = new
-    table = np.zeros((len(edges), width), np.int32)
-    for state, out in enumerate(edges):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+@dataclass
+class Automaton:
+    """A suffix automaton in flat arrays; state 0 is none, 1 the start. Most states have one transition: ``symbol`` and
+    ``to``. The others are rows of ``wide``, found by ``row`` (0: an empty row)."""
+
+    symbol: np.ndarray
+    to: np.ndarray
+    row: np.ndarray
+    wide: np.ndarray
+
+    @classmethod
+    def of(cls, text: bytes, width: int) -> Automaton:
+        """Of a text of classes 1 to ``width`` - 1."""
+        edges: list[dict[int, int]] = [{}, {}]
+        link, length = [0, 0], [0, 0]
+        last = 1
+        for c in text:
+            new = len(edges)
+            edges.append({})
+            length.append(length[last] + 1)
+            link.append(1)
+            p = last
+            while p and c not in edges[p]:
+                edges[p][c] = new
+                p = link[p]
+            if p:
+                q = edges[p][c]
+                if length[q] == length[p] + 1:
+                    link[new] = q
+                else:
+                    twin = len(edges)
+                    edges.append(dict(edges[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    link[q] = link[new] = twin
+                    while p and edges[p].get(c) == q:
+                        edges[p][c] = twin
+                        p = link[p]
+            last = new
+        symbol, to, row = np.zeros(len(edges), np.uint8), np.zeros(len(edges), np.int32), np.zeros(len(edges), np.int32)
+        several = [s for s, out in enumerate(edges) if len(out) > 1]
+        wide = np.zeros((len(several) + 1, width), np.int32)
+        for i, s in enumerate(several, 1):
+            row[s] = i
+            wide[i, list(edges[s])] = list(edges[s].values())
+        for s, out in enumerate(edges):
+            if len(out) == 1:
+                ((symbol[s], to[s]),) = out.items()
+        return cls(symbol, to, row, wide)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where each state goes with its symbol, 0 where it can't."""
+        return np.where(self.symbol[state] == symbol, self.to[state], self.wide[self.row[state], symbol])
+
+    def phrases(self, steps: np.ndarray) -> np.ndarray:
+        """For each column of ``steps`` (0: unknown, 255: the filling after its end) its number of phrases."""
+        state = np.ones(steps.shape[1], np.int32)
+        ended = np.ones(steps.shape[1], np.int64)
+        first = self.step(np.ones(256, np.int32), np.minimum(np.arange(256), self.wide.shape[1] - 1).astype(np.uint8))
+        first = np.where(first, first, 1).astype(np.int32)
+        for symbol in steps:
+            live = symbol != 255
+            known = np.where(live, symbol, 0)
+            to = self.step(state, known)
+            stop = (to == 0) & live
+            ended += stop
+            state = np.where(live, np.where(stop, first[known], to), state)
+        return ended
 
 
 @dataclass
@@ -79,35 +116,20 @@ class Model:
 
     languages: list[str]
     classes: bytes
-    tables: list[np.ndarray]
+    automata: list[Automaton]
     bits: list[float]
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Number of phrases [text, language]; ``texts`` are prepared and not empty."""
-        pad = self.tables[0].shape[1] - 1
         sizes = np.array([len(x) for x in texts])
         stretches = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(sizes.size), stretches)
-        flat = np.full(int(stretches.sum()) * STRETCH, pad, np.uint8)
+        flat = np.full(int(stretches.sum()) * STRETCH, 255, np.uint8)
         place = (np.cumsum(stretches) - stretches) * STRETCH
         data = np.frombuffer(b"".join(texts).translate(self.classes), np.uint8)
         flat[np.repeat(place - (np.cumsum(sizes) - sizes), sizes) + np.arange(data.size)] = data
-        steps = np.ascontiguousarray(flat.reshape(-1, STRETCH).T).astype(np.int64)
-        counts = np.empty((sizes.size, len(self.languages)), np.int64)
-        for k, table in enumerate(self.tables):
-            width = table.shape[1]
-            goto = table.ravel()
-            start = goto[width : 2 * width].copy()
-            start[start == 0] = width
-            state = np.full(owner.size, width, np.int64)
-            ended = np.zeros(owner.size, np.int64)
-            for symbol in steps:
-                to = goto[state + symbol]
-                stop = to == 0
-                ended += stop
-                state = np.where(stop, start[symbol], to)
-            counts[:, k] = np.bincount(owner, ended + 1, sizes.size)
-        return counts
+        steps = np.ascontiguousarray(flat.reshape(-1, STRETCH).T)
+        return np.stack([np.bincount(owner, a.phrases(steps), sizes.size) for a in self.automata], axis=1)
 
 
 def prepared(text: str) -> bytes:
@@ -123,7 +145,7 @@ def learn(df: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
     rows = df.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("_hash", F.xxhash64("doc_id", F.lit(5)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
     chosen = F.lit(False)
@@ -143,13 +165,9 @@ def learn(df: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
     classes = bytearray(256)
     for i, c in enumerate(met):
         classes[c] = i + 1
-    width = len(met) + 2
-    languages, tables = sorted(texts), []
-    for lang in languages:
-        table = suffix_automaton(texts[lang].translate(bytes(classes)), width)
-        table[:, width - 1] = np.arange(len(table))  # the filling at the end of a stretch stays where it is
-        tables.append(table * np.int32(width))
-    return Model(languages, bytes(classes), tables, [float(np.log2(len(texts[x]) + 1)) for x in languages])
+    languages = sorted(texts)
+    automata = [Automaton.of(texts[x].translate(bytes(classes)), len(met) + 1) for x in languages]
+    return Model(languages, bytes(classes), automata, [float(np.log2(len(texts[x]) + 1)) for x in languages])
 
 
 def with_language(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -159,14 +177,11 @@ def with_language(df: DataFrame, model: Model | None, text_col: str = "text") ->
     if model is None:
         return df.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # bounded by the sample
-    own: dict[str, Model] = {}
     columns = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", lang_pred string, score double"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        if not own:
-            own["model"] = pickle.loads(sent.value)
-        model = own["model"]
+        model = pickle.loads(sent.value)
         bits = np.array(model.bits)
         for batch in batches:
             texts = batch.column(text_col).to_pylist()

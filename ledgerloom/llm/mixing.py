@@ -12,7 +12,8 @@ Selection: the documents of a shard stand in seeded order as one stream of words
 blocks takes block j if floor((jQ + c) / M) steps at j, with a seeded start c: exactly Q blocks, evenly spread. Beyond
 one whole pass the stream starts again, twice at most. What a document gives is a difference of two closed forms, so
 blocks are never made into rows. Where texts are wanted whole (``mix_whole``) the shard's quota goes to documents
-instead: the whole passes and then the first documents of the stream until the rest is filled. A shard holds a bounded share of its source, so a hot source is many windows.
+instead: the whole passes and then the first documents of the stream until the rest is filled. A shard holds a small share of its
+source, so a hot source is many windows.
 
 Cases: null text has size 0 and gives 0; null source is a source of its own, last in order; an empty table gives an
 empty result; sources without words have target 0; rows alike in id and size are interchangeable; other columns of the
@@ -24,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, word_count
+from .common import Renamed, checkpointed, row_key, word_count
 
 WEIGHTS = (5, 2, 1)
 PRIME = 2147483647
-#: Documents a shard is meant to hold, and the most shards of a source.
-SHARD_ROWS, MOST_SHARDS = 512, 4096
+#: Documents a shard is meant to hold; a source of n documents has at most SHARD_ROOTS * sqrt(n) shards, so that the list
+#: of its shards and the shards themselves grow alike.
+SHARD_ROWS, SHARD_ROOTS = 512, 8
 #: Beyond so many sources the source table is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -87,7 +89,7 @@ def _placed(
     key = ["_null", "_src"]
     sources = source_targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), weights, share, most)
     sources = checkpointed(
-        sources.withColumn("_shards", F.expr(f"cast(least({MOST_SHARDS}, ceil(_rows / {SHARD_ROWS})) as int)")).withColumn("_blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5))
+        sources.withColumn("_shards", F.expr(f"cast(least(ceil({SHARD_ROOTS} * sqrt(_rows)), ceil(_rows / {SHARD_ROWS})) as int)")).withColumn("_blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5))
     )
     few = sources.count() <= BROADCAST_SOURCES
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
@@ -127,25 +129,11 @@ def mix_whole(df: DataFrame, **options) -> DataFrame:
     """The mix as whole documents: ``df`` with each row as often as it is taken. A shard's quota of words is filled in
     seeded order, its last document being in if at least half of it fits, so a shard is at most half a document off.
     Rows count by all their columns: null and shared ids are documents of their own."""
-    keyed = df.withColumn("_key", F.xxhash64(*df.columns))
-    taken = _placed(keyed, id_col="_key", **options).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
+    named = Renamed.of(df)
+    own = {k: named[options.pop(k, v)] for k, v in (("text_col", "text"), ("source_col", "source"))}
+    keyed = named.df.withColumn("_key", row_key(named.df))
+    taken = _placed(keyed, id_col="_key", **own, **options).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
     alike = Window.partitionBy("_key").orderBy("_key")
     rows = keyed.join(taken, "_key").withColumn("_nth", F.row_number().over(alike))
     rows = rows.withColumn("_copies", F.expr("cast(_times div _rows + if(_nth <= _times % _rows, 1, 0) as int)"))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*df.columns)
-
-
-def mix_documents(df: DataFrame, **options) -> DataFrame:
-    """The mix as documents: one row for each pass that takes words of a document, holding its first so many words
-    (all of them in a whole pass), with n_chars of what is held. The columns of ``df`` stay; rows that give nothing go."""
-    taken = mix(df, **options).select("doc_id", "taken", F.col("size").alias("_size"))
-    columns = df.columns
-    cut = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("_words").cast("int")), "")
-    rows = (
-        df.join(taken, df.doc_id.eqNullSafe(taken.doc_id)).drop(taken.doc_id)
-        .withColumn("_words", F.explode(F.filter(F.array(F.least("taken", "_size"), F.greatest(F.lit(0), F.col("taken") - F.col("_size"))), lambda x: x > 0)))
-        .withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut))
-    )
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    return named.back(rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))))

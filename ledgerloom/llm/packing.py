@@ -8,7 +8,8 @@ fit) and looks again. Each pattern leaves some length with fewer pieces than it
 a small multiple of that of lengths.
 
 Pieces of one length are interchangeable, so a piece needs only its rank among them. Ranks come from counts per
-(length, salt): a length that holds a third of all pieces is spread over ``SALTS`` windows.
+(length, salt): a length that holds many pieces is spread over windows of about ``WINDOW_ROWS`` each, or larger ones
+where that would be over ``WINDOWS``.
 
 Cases: a null text is an empty document (one piece: the end token); an empty table gives no pieces; repeated rows and
 null ids are packed as documents of their own; other columns of the input are ignored.
@@ -28,7 +29,8 @@ from .common import checkpointed, keyed, map_arrow
 from .tokens import ChunkEncoder, by_bytes, encoded
 
 END_ID = 0
-SALTS = 64
+#: Pieces of one length that are ranked in one window, and how many windows there may be besides one a length.
+WINDOW_ROWS, WINDOWS = 50_000, 10_000
 
 
 def pieces(df: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
@@ -126,8 +128,12 @@ def _slots(made: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int]]
 def pack(parts: DataFrame, limit: int = 2048) -> DataFrame:
     """``parts`` (with doc_id, piece, start and length up to ``limit``) with sequence_id and offset."""
     spark = parts.sparkSession
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int"))
-    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # at most limit x SALTS rows
+    sizes = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most limit
+    most = max(WINDOW_ROWS, sum(sizes.values()) // WINDOWS)
+    hot = {length: -(-n // most) for length, n in sizes.items() if n > most}
+    salts = F.coalesce(F.create_map(*(F.lit(x).cast("long") for kv in hot.items() for x in kv))[F.col("length")], F.lit(1)) if hot else F.lit(1)
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts).cast("int"))
+    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # at most 2 x limit + WINDOWS
     counts = np.zeros(limit + 1, np.int64)
     base: dict[tuple[int, int], int] = {}
     for g in sorted(groups):

@@ -106,7 +106,7 @@ MIX_SQL = f"""WITH sized AS (SELECT doc_id, source IS NULL AS nul, coalesce(sour
  s2 AS (SELECT *, row_number() OVER (ORDER BY nul, src) - 1 AS rk FROM s1),
  s3 AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 2 AS cap, source_size * 2 / CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS ratio FROM s2),
  s4 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) {_BEFORE}, 0)) / (sum(w) OVER () - coalesce(sum(w) {_BEFORE}, 0)) AS level FROM s3),
- s5 AS (SELECT *, least(cap::DOUBLE, max(level) OVER () * w) AS target, CAST(least({mixing.MOST_SHARDS}, ceil(n / {mixing.SHARD_ROWS})) AS BIGINT) AS shards FROM s4),
+ s5 AS (SELECT *, least(cap::DOUBLE, max(level) OVER () * w) AS target, CAST(least(ceil({mixing.SHARD_ROOTS} * sqrt(n)), ceil(n / {mixing.SHARD_ROWS})) AS BIGINT) AS shards FROM s4),
  sources AS (SELECT *, CAST(floor(sum(target) OVER () / {BLOCK} + 0.5) AS BIGINT) AS blocks FROM s5),
  {_apportioned("quotas", "sources", "", "nul, src", "target", "blocks", "rk")},
  dealt AS (SELECT d.*, source_size, target, rk, h % shards AS shard FROM sized d JOIN sources USING (nul, src)),

@@ -37,3 +37,15 @@ def test_near_dedup_keeps_texts_with_null_and_shared_ids(spark):
     assert kept == sorted(map(str, [(None, text(0)), (None, text(1)), (7, text(2)), (3, text(3) + " end"), (4, text(4)), (1, text(5))]))
     other = docs.where("doc_id in (4, 5, 1)")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, other, "").collect()} == {4, 1}
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    extra = ["taken", "_size", "score", "lang_pred", "n_lines", "n_removed", "a.b", "_key", "_doc", "_copy", "c1", "size", "component_id", "_nth"]
+    long = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, long(i % 9), "en", f"s{i % 2}", 5, *[f"{c}{i}" for c in extra], {"k": i}) for i in range(12)] + [(None, None, None, None, None, *[None] * len(extra), None)]
+    schema = ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"`{c}` string" for c in extra), "labels map<string,int>"])
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "").collect()
+        assert out and all(r[c] == f"{c}{r['doc_id']}" for r in out for c in extra) and all(r["labels"] == {"k": r["doc_id"]} for r in out), name
+    assert corpus_pipeline.pack(spark, docs, "").count() == 13
