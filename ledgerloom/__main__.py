@@ -1,51 +1,71 @@
-"""Command line: run, demo, trees, learn over star-schema tables. Spark settings come from spark-submit."""
+"""Command line over star-schema tables: run, demo, learn, payload, trees. Spark settings come from spark-submit."""
 
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings
 from .operators.report import by_field, demo_picks, kpis, to_investigate
-from .operators.verdicts import identity
 from .pipeline import Result, reconcile, report_order
 from .plans.tree import describe
+from .service import payload
 from .sources.tables import load_overrides, write_report, write_verdicts
 
 
 def _result(spark: SparkSession, args: argparse.Namespace) -> Result:
-    pairs = identity(bindings.solved_pairs(spark, args.data), {"kind": ("type", "type"), "position": ("position", "position"), "job": ("job", "job")})
-    return reconcile(pairs, bindings.STAR_RULES, overrides=load_overrides(spark, args.overrides) if args.overrides else None)
+    return reconcile(bindings.identified_pairs(spark, args.data), bindings.STAR_RULES, not args.no_learning, overrides=load_overrides(spark, args.overrides) if args.overrides else None)
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser("ledgerloom")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb in ("run", "demo", "trees"):
+    for verb in ("run", "demo", "learn", "payload", "trees"):
         p = verbs.add_parser(verb)
-        if verb != "trees":
-            p.add_argument("data")
+        if verb == "trees":
+            p.add_argument("field", nargs="?")
+            continue
+        p.add_argument("data")
+        if verb in ("run", "learn", "payload"):
+            p.add_argument("out")
+        if verb in ("run", "demo"):
             p.add_argument("--overrides")
+            p.add_argument("--no-learning", action="store_true", help="leave open rows open")
         if verb == "run":
-            p.add_argument("out")
             p.add_argument("--report", help="also a workbook with summaries and the first 1000 rows to investigate")
-    args = parser.parse_args()
+        if verb == "learn":
+            p.add_argument("--seeds", type=int, default=5)
+    args = parser.parse_args(argv)
     if args.verb == "trees":
-        print("\n".join(f"{r.target}\n{describe(r.tree, 1)}" for r in bindings.STAR_RULES))
+        print("\n".join(f"{r.target} <- {r.sources} ({r.rule})\n{describe(r.tree, 1)}" for r in bindings.STAR_RULES if args.field in (None, r.target)))
         return
     spark = SparkSession.builder.appName("ledgerloom").getOrCreate()
+    if args.verb == "learn":
+        from .learn.evaluate import write_study
+
+        print(write_study(bindings.dataset(spark, args.data).study(bindings.OPEN), args.out, args.seeds))
+        return
+    if args.verb == "payload":
+        study = bindings.dataset(spark, args.data).study(bindings.OPEN)
+        allowed = [c for c in study.features.kinds if c in bindings.ALLOWED]
+        for name in study.open:
+            payload(study, name, bindings.IDENTIFIERS, allowed, args.out)
+        print("\n".join(str(p) for p in sorted(Path(args.out).glob("*.txt"))))
+        return
     result = _result(spark, args)
     if args.verb == "run":
         write_verdicts(result.verdicts, args.out)
+        result.close()
         written = spark.read.parquet(args.out)
         if args.report:
             write_report({"Summary": kpis(written), "Fields": by_field(written), "To investigate": to_investigate(written).limit(1000)}, args.report)
-    else:
-        v = F.col("verdict")
-        cases = {x.lower(): (v == x, v == x) for x in ("MATCH", "JUSTIFIED", "ANOMALY", "AMBIGUOUS")}
-        demo_picks(report_order(result), cases).show(truncate=False)
+        return
+    v, layer = F.col("verdict"), F.col("layer")
+    cases = {x.lower(): (v == x, v == x) for x in ("MATCH", "JUSTIFIED", "ANOMALY", "AMBIGUOUS")} | {"learned": (layer == "LEARNED", layer == "LEARNED")}
+    demo_picks(report_order(result), cases).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.pairing import pair_records
+from .operators.verdicts import identity
 from .plans.fields import FieldRule, date_copy, direct, name
+from .service import Dataset
 
 REFERENCE = "1996-06-30"
 
@@ -52,6 +54,15 @@ def known_pairs(spark: SparkSession, sf_dir: str, changed: dict | None = None) -
     return pairs.select(F.col("_k").alias("pair_id"), F.col("s.entity").alias("entity"), F.col("s.type").alias("kind"), F.col("s.position").cast("string").alias("position"), F.col("s.job").alias("job"), "s", "d")
 
 
+def streamed_pairs(orders: DataFrame) -> DataFrame:
+    """Pairs from a stream of orders: amount and type of each record, as in the source and as in the target."""
+    k = F.col("o_orderkey")
+    amount, kind = F.col("o_totalprice"), F.col("o_orderstatus")
+    s = F.struct(amount.alias("amount"), kind.alias("type"))
+    d = F.struct(F.when(k % 7 == 0, amount + 1).otherwise(amount).alias("amount"), F.when(k % 31 == 0, "X").otherwise(kind).alias("type"))
+    return orders.where(k % 29 != 0).select(k.alias("pair_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), s.alias("s"), d.alias("d"))
+
+
 def solved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records paired by score inside each entity."""
     return pair_records(source(spark, sf_dir), target(spark, sf_dir), ("entity",) * 2, ("job",) * 2, ("type",) * 2, ("entry",) * 2, ("k",) * 2)
@@ -64,3 +75,17 @@ STAR_RULES = [
     FieldRule("entry", "entry", "R-DIRECT", date_copy("entry", "entry")),
     FieldRule("name", "name", "R-NOM", name("name", "name")),
 ]
+
+
+#: Fields whose rule leaves rows open; the columns that may leave the cluster, and those that do so as fakes only.
+OPEN = ["name"]
+IDENTIFIERS = {"src_name": "surname", "src_o_custkey": "id"}
+ALLOWED = {"src_type", "src_job", "src_entry", "src_segment", "src_amount"}
+
+
+def identified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity(solved_pairs(spark, sf_dir), {"kind": ("type", "type"), "position": ("position", "position"), "job": ("job", "job")})
+
+
+def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
+    return Dataset(identified_pairs(spark, sf_dir), STAR_RULES)

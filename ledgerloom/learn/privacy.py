@@ -1,86 +1,108 @@
 """Pseudonyms for rows that leave the cluster: allowed columns only, consistent fakes, scrubbed text, shifted dates.
 
-Fakes come from a seeded digest of the identifier: consistent everywhere, and injective but for collisions of 96 bits.
-The map from real to fake is a DataFrame of one run and is never written.
+Everything is derived from a secret that is drawn for each run and is in no output: fakes are its digests with the
+identifier, consistent inside a run and, without the secret, not to be recomputed from a list of names. (Plans hold the
+secret as a literal, so event logs are as private as the data.) They are injective but for collisions of 96 bits. The
+map from real to fake is a DataFrame of one run and is never written.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
+import secrets
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_DAYS = 3650
-DIGITS = r"\d{5,}"
+DIGITS = r"^\d{5,}$"
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+#: Where letters and digits end or begin.
+BORDERS = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
+#: Identifiers found in texts up to which their table is sent to every executor.
+BROADCAST_ROWS = 50_000
 
 
-def fake_map(df: DataFrame, columns: dict[str, str], seed: int) -> DataFrame:
-    """kind, real, fake: for the values of ``columns`` (column to kind). A fake is 96 bits of a seeded digest, in letters
-    only (so that the digit scrub leaves it alone); no task sees all identifiers."""
-    values = None
-    for c, kind in columns.items():
-        part = df.select(F.lit(kind).alias("kind"), F.col(f"`{c}`").cast("string").alias("real")).where("real is not null")
-        values = part if values is None else values.unionByName(part)
-    code = F.sha2(F.concat(F.lit(f"{seed}/"), F.col("kind"), F.lit("/"), F.col("real")), 256)
-    return values.distinct().withColumn("fake", F.concat(F.upper(F.left("kind", F.lit(1))), F.translate(F.left(code, F.lit(24)), "0123456789", "ghijklmnop")))
+def digest(secret: str, purpose: str, value: Column) -> Column:
+    return F.sha2(F.concat(F.lit(f"{secret}/{purpose}/"), value), 256)
 
 
-def shift_days(row: Column, seed: int) -> Column:
+def fake_map(df: DataFrame, columns: dict[str, str], secret: str) -> DataFrame:
+    """kind, real, fake: for the values of ``columns`` (column to kind). A fake is 96 bits of a digest, in letters only
+    (so that the digit scrub leaves it alone); no task sees all identifiers."""
+    parts = [df.select(F.lit(kind).alias("kind"), F.col(f"`{c}`").cast("string").alias("real")).where("trim(real) <> ''") for c, kind in columns.items()]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "kind string, real string, fake string")
+    code = digest(secret, "fake", F.concat(F.col("kind"), F.lit("/"), F.col("real")))
+    return reduce(DataFrame.unionByName, parts).distinct().withColumn("fake", F.concat(F.upper(F.left("kind", F.lit(1))), F.translate(F.left(code, F.lit(24)), "0123456789", "ghijklmnop")))
+
+
+def shift_days(row: Column, secret: str) -> Column:
     """Days to shift a row's dates by: -MOST_DAYS to MOST_DAYS, never 0."""
-    x = F.pmod(F.xxhash64(F.lit(seed), row.cast("string")), F.lit(2 * MOST_DAYS)).cast("int")
+    x = (F.conv(F.left(digest(secret, "days", row.cast("string")), F.lit(8)), 16, 10).cast("long") % (2 * MOST_DAYS)).cast("int")
     return F.when(x < MOST_DAYS, x - MOST_DAYS).otherwise(x - MOST_DAYS + 1)
 
 
-def digits_of(run: str, seed: int) -> str:
+def other_digits(run: Column, secret: str) -> Column:
     """Other digits for a run, the same wherever the run stands."""
-    number = int.from_bytes(hashlib.sha256(f"{seed}/{run}".encode()).digest(), "big")
-    fake = str(number)[-len(run) :].zfill(len(run))
-    return fake if fake != run else fake[::-1] if fake[::-1] != run else "9" * len(run) if set(run) != {"9"} else "8" * len(run)
-
-
-def scrub_digits(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """Runs of five digits and more drawn anew, in Arrow batches (regexp_replace can't call back)."""
+    fake = F.left(F.repeat(F.translate(digest(secret, "digits", run), "abcdef", "012345"), F.ceil(F.length(run) / 64).cast("int")), F.length(run))
+    return F.when(fake != run, fake).otherwise(F.translate(run, "0123456789", "1234567890"))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            yield x.map(lambda t: None if t is None else re.sub(DIGITS, lambda m: digits_of(m[0], seed), t))
 
-    return df.withColumn(column, F.pandas_udf(run, "string")(F.col(column)))
-
-
-def scrub_own(df: DataFrame, column: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Each row's own identifiers in ``column`` (real and fake column names, longest real first) replaced, whatever the
-    case; identifiers of other rows are found by ``scrub_known``."""
-    text = F.col(column)
-    for real, fake in pairs:
-        quoted = F.concat(F.lit(r"(?i)\Q"), F.replace(F.col(real), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
-        text = F.when(F.length(real) > 0, F.regexp_replace(text, quoted, F.col(fake))).otherwise(text)
-    return df.withColumn(column, text)
+def scrub_digits(df: DataFrame, column: str, secret: str) -> DataFrame:
+    """Runs of five digits and more drawn anew."""
+    parts = F.split(column, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    return df.withColumn(column, F.array_join(F.transform(parts, lambda x: F.when(x.rlike(DIGITS), other_digits(x, secret)).otherwise(x)), ""))
 
 
 def scrub_known(df: DataFrame, column: str, fakes: DataFrame, row: str) -> DataFrame:
-    """Words of ``column`` that are an identifier of any row, replaced: an equi-join on words, no pattern of all
-    identifiers is built."""
-    words = df.select(row, F.posexplode(F.split(column, r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])")).alias("_at", "_word"))
+    """What in ``column`` is an identifier of any row, replaced by its fake, whatever the case; where several fit, the
+    first and longest. Every run of as many words as some identifier has is looked up by an equi-join; a pattern of all
+    identifiers is never built. The runs that occur are made distinct before they meet the identifiers, so a common word
+    is one row there, and only identifiers that occur go on."""
+    parts = F.split(column, BORDERS)
     known = fakes.select(F.lower("real").alias("_key"), "fake").groupBy("_key").agg(F.min("fake").alias("fake"))
-    swapped = words.join(known, F.lower("_word") == F.col("_key"), "left")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("fake", "_word").alias("w")))), lambda x: x["w"]), "")
-    return df.drop(column).join(swapped.groupBy(row).agg(text.alias(column)), row, "left")
-
-
-def pseudonymise(df: DataFrame, row: str, identifiers: dict[str, str], allowed: list[str], dates: list[str], target: str | None = None, seed: int = 7) -> DataFrame:
-    """Only ``row``, identifiers (as fakes) and ``allowed`` columns; ``dates`` among them shifted by the row's days; in
-    ``target`` known identifiers and long digit runs replaced. All identifiers are numbered before any text is read."""
-    fakes = fake_map(df, identifiers, seed)
+    lengths = [r[0] for r in known.select(F.size(F.split("_key", BORDERS)).alias("n")).distinct().collect()]  # as many as there are lengths
+    if not lengths:
+        return df
+    texts = df.where(F.col(column).isNotNull()).select(row, parts.alias("_parts"))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("_parts") >= n, F.sequence(F.lit(0), F.size("_parts") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.struct(at.alias("at"), F.lit(n).alias("n"), F.lower(F.array_join(F.slice("_parts", at + 1, n), "")).alias("key")))
+
+    each = texts.select(row, F.explode(F.concat(*map(runs, lengths))).alias("_run")).select(row, F.col("_run.at").alias("_at"), F.col("_run.n").alias("_n"), F.col("_run.key").alias("_key"))
+    present = known.join(each.select("_key").distinct(), "_key")
+    small = present.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = each.join(F.broadcast(present) if small else present, "_key").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("_at", F.negative("_n").alias("_less"), "fake"))).alias("_found"))
+    begin = F.struct(F.lit(0).alias("free"), F.array().cast(found.schema["_found"].dataType).alias("kept"))
+    step = lambda acc, x: F.when(x["_at"] >= acc["free"], F.struct((x["_at"] - x["_less"]).alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    kept = F.aggregate("_found", begin, step, lambda acc: acc["kept"])
+
+    def shown(part: Column, i: Column) -> Column:
+        here = F.filter("_kept", lambda x: (x["_at"] <= i) & (i < x["_at"] - x["_less"]))
+        return F.when(F.size(here) == 0, part).when(here[0]["_at"] == i, here[0]["fake"]).otherwise("")
+
+    done = df.join(found.select(row, kept.alias("_kept")), row, "left")
+    return done.withColumn(column, F.when(F.col("_kept").isNull(), F.col(column)).otherwise(F.array_join(F.transform(parts, shown), ""))).drop("_kept")
+
+
+def pseudonymise(df: DataFrame, row: str, identifiers: dict[str, str], allowed: list[str], dates: list[str], target: str | None = None, secret: str | None = None) -> DataFrame:
+    """Only ``row``, identifiers (as fakes) and ``allowed`` columns. ``dates`` among them, and the ``target`` where it is a
+    date, shifted by the row's days; in any other target known identifiers and long digit runs replaced. All identifiers
+    are numbered before any text is read. Without a ``secret`` one is drawn."""
+    secret = secret or secrets.token_hex(16)
+    fakes = fake_map(df, identifiers, secret)
+    days = shift_days(F.col(row), secret)
     out = df.select(row, *(f"`{c}`" for c in [*identifiers, *allowed]), *([target] if target else []))
     for c, kind in identifiers.items():
         own = fakes.where(F.col("kind") == kind).select(F.col("real").alias("_real"), F.col("fake").alias("_fake"))
         out = out.join(own, F.col(f"`{c}`").cast("string") == F.col("_real"), "left").withColumn(c, F.col("_fake")).drop("_real", "_fake")
-    out = out.withColumns({c: F.date_add(F.col(f"`{c}`").cast("date"), shift_days(F.col(row), seed)) for c in dates if c in allowed})
+    out = out.withColumns({c: F.date_add(F.col(f"`{c}`").cast("date"), days) for c in dates if c in allowed})
     if target:
-        out = scrub_digits(scrub_known(out, target, fakes, row), target, seed)
+        text = F.col(target).cast("string")
+        moved = F.date_format(F.date_add(F.when(text.rlike(ISO_DATE), text).try_cast("date"), days), "yyyy-MM-dd")
+        out = out.withColumns({"_moved": moved, target: F.when(moved.isNull(), text)})  # a date never meets the text scrub
+        out = scrub_digits(scrub_known(out, target, fakes, row), target, secret)
+        out = out.withColumn(target, F.coalesce("_moved", target)).drop("_moved")
     return out

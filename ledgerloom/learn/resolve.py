@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.features import Features
+from ..operators.verdicts import signature_key
 from ..plans.tree import AMBIGUOUS, ANOMALY, JUSTIFIED
-from .dsl import Expr, Kinds, from_json
-from .search import ACCEPTED, PENALTY, Hypothesis, Learned, learn, staged, synthesize
+from .dsl import Kinds, Rule, from_json, grounded
+from .search import ACCEPTED, Hypothesis, Learned, Search, chosen
 
 #: Share of a field's rows from which a signature counts as systemic.
 SYSTEMIC = 0.5
-#: Hypotheses that compete when a row is left out.
-RIVALS = 24
 
 
 @dataclass
@@ -24,83 +24,107 @@ class FieldModel:
     stability: float
 
 
-def matches(df: DataFrame, target: str, kinds: Kinds, hypotheses: list[Hypothesis]) -> DataFrame:
-    """Rows per vector of hits (1 or 0 for each hypothesis)."""
-    st = staged(df, target, kinds)
-    bits = ", ".join(f"if({st.sql(h.expr)} <=> _y, '1', '0')" for h in hypotheses)
-    return st.df.groupBy(F.expr(f"concat({bits})").alias("hits")).agg(F.count("*").alias("rows"))
+def rivals(found: list[Hypothesis], rows: int) -> list[Hypothesis]:
+    """The hypotheses that can win when one row is left out. That moves a coverage by a hit at most, so a hypothesis can
+    only win if its best case is not below another one's worst case."""
+    best = lambda h: h.score + (min(h.hits / (rows - 1), 1.0) - h.coverage)
+    worst = lambda h: h.score + ((h.hits - 1) / (rows - 1) - h.coverage)
+    some = [h for h in found if grounded(h.rule) and h.hits >= ACCEPTED * (rows - 1)]
+    sure = [h for h in some if h.hits - 1 >= ACCEPTED * (rows - 1)]
+    out = [h for h in some if not sure or best(h) >= max(map(worst, sure)) - 1e-12]
+    if not sure:
+        out += [h for h in found if h not in out and best(h) >= max(map(worst, found)) - 1e-12]
+    return out
+
+
+def leave_one_out(search: Search, found: list[Hypothesis]) -> list[tuple[str, int, float]]:
+    """(rule, folds, share) over all folds that leave one row out, most frequent first. Rows with equal hits of the rivals
+    have the same winner, so folds are counted per vector of hits. The hypotheses are those of all rows, which differ from
+    a search per fold only where a constant, an end or the beam hangs on one row."""
+    if search.rows < 2 or not found:
+        return []
+    pool = rivals(found, search.rows)
+    wins: dict[str, int] = {}
+    for r in search.vectors([h.rule for h in pool]).collect():  # one row per vector of hits that occurs
+        rest = [Hypothesis(h.rule, h.hits - int(bit), search.rows - 1) for h, bit in zip(pool, r["hits"], strict=True)]
+        name = str(chosen(sorted(rest, key=lambda h: (-h.score, h.rule.complexity))).rule)
+        wins[name] = wins.get(name, 0) + r["rows"]
+    return sorted(((k, n, n / search.rows) for k, n in wins.items()), key=lambda x: -x[1])
 
 
-def stability(df: DataFrame, target: str, kinds: Kinds, rule: Expr | None = None) -> list[tuple[str, int, float]]:
-    """(rule, folds, share) over all leave-one-out folds, most frequent first.
+def stability(features: DataFrame, target: str, kinds: Kinds) -> list[tuple[str, int, float]]:
+    with Search(features, target, kinds) as search:
+        return leave_one_out(search, search.hypotheses())
 
-    Leaving a row out changes each coverage only by that row's hit, so rows with equal hit vectors have the same winner:
-    folds are counted per vector. The pool of hypotheses is that of all rows (its RIVALS best), which differs from a
-    search per fold only where a constant, an affix or the beam hangs on one row."""
-    found = synthesize(df, target, kinds)
-    good = [h for h in found if h.coverage >= ACCEPTED]
-    pool = (good + [h for h in found if h not in good])[:RIVALS]
-    if not pool:
-        return []
-    total = df.count()
-    wins: dict[str, int] = {}
-    for r in matches(df, target, kinds, pool).collect():  # at most 2 ** RIVALS, in fact a few
-        rest = [Hypothesis(h.expr, (h.coverage * total - int(bit)) / max(1, total - 1)) for h, bit in zip(pool, r["hits"], strict=True)]
-        best = max(rest, key=lambda h: (h.coverage >= ACCEPTED, h.coverage - PENALTY * h.expr.complexity))
-        wins[str(best.expr)] = wins.get(str(best.expr), 0) + r["rows"]
-    return sorted(((k, n, n / total) for k, n in wins.items()), key=lambda x: -x[1])
+
+def field_model(features: Features, field: str) -> FieldModel:
+    with Search(features.df, features.targets[field], features.kinds) as search:
+        found = search.hypotheses()
+        learned = chosen(found)
+        shares = {name: share for name, _, share in leave_one_out(search, found)} if learned.accepted else {}
+    return FieldModel(field, learned, shares.get(str(learned), 0.0))
+
+
+def signature_counts(df: DataFrame) -> DataFrame:
+    """Per field and signature: rows and share of the field's rows that have one."""
+    counts = df.where("signature <> ''").groupBy("field", "signature").agg(F.count("*").alias("n"))
+    return counts.join(counts.groupBy("field").agg(F.sum("n").alias("total")), "field").select("field", "signature", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def field_model(features: DataFrame, field: str, target: str, kinds: Kinds) -> FieldModel:
-    learned = learn(features, target, kinds)
-    share = {k: p for k, _, p in stability(features, target, kinds)}.get(str(learned), 0.0) if learned.accepted else 0.0
-    return FieldModel(field, learned, share)
+def most_common(df: DataFrame) -> DataFrame:
+    """The signatures of each field with their counts as one text, most frequent first (signatures break ties)."""
+    each = F.sort_array(F.collect_list(F.struct(F.negative("n").alias("less"), "signature")))
+    return signature_counts(df).groupBy("field").agg(F.array_join(F.transform(each, lambda x: F.concat(x["signature"], F.lit(" x"), F.negative(x["less"]).cast("string"))), "; ").alias("signatures"))
 
 
 def judge(df: DataFrame) -> DataFrame:
-    """Per field: systemic signatures, share of the commonest, confidence (that share, or what is missing to 1)."""
-    counts = df.where("signature <> ''").groupBy("field", "signature").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    shares = counts.where("signature <> '='").join(totals, "field").withColumn("share", F.col("n") / F.col("total"))
+    """Per field: systemic signatures, share of the commonest difference, confidence (that share, or what is missing to 1)."""
+    shares = signature_counts(df).where("signature <> '='")
     top = F.max("share")
     return shares.groupBy("field").agg(
         F.sort_array(F.collect_list(F.when(F.col("share") >= SYSTEMIC, F.col("signature")))).alias("systemic"), top.alias("top_share"), F.when(top >= SYSTEMIC, top).otherwise(1 - top).alias("confidence")
     )
 
 
-def settle(verdicts: DataFrame, features: DataFrame, models: list[FieldModel], kinds: Kinds, systemic: float = SYSTEMIC) -> DataFrame:
+def _by_field(values: dict, kind: str) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("field")] if values else F.lit(None).cast(kind)
+
+
+def settle(verdicts: DataFrame, features: Features, models: list[FieldModel], systemic: float = SYSTEMIC) -> DataFrame:
     """Open rows of modelled fields decided, in this order: the learned rule gives the target's value; the signature is
-    systemic; a reliable rule is broken; the signature is isolated; else open. ``features`` has pair_id and the columns
-    of ``kinds``; ``verdicts`` has pair_id, field, actual, signature, verdict, layer, confidence, method, explanation, path."""
-    counts = verdicts.where("signature <> ''").groupBy("field", "signature").agg(F.count("*").alias("_n"))
-    totals = counts.groupBy("field").agg(F.sum("_n").alias("_total"))
-    shares = counts.join(totals, "field").withColumn("_share", F.col("_n") / F.col("_total")).drop("_n", "_total")
-    reliable = [m for m in models if m.learned.accepted]
-    predicted = F.map_from_arrays(F.array(*(F.lit(m.field) for m in reliable)), F.array(*(m.learned.expr.text(kinds) for m in reliable))) if reliable else F.lit(None).cast("map<string,string>")
-    pairs = features.select("pair_id", predicted.alias("_predicted"))
-    literal = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv)) if values else F.lit(None).cast("map<string,double>")
-    coverage, steady = literal({m.field: m.learned.coverage for m in reliable}), literal({m.field: m.stability for m in reliable})
-    rules = F.create_map(*(F.lit(x) for m in reliable for x in (m.field, str(m.learned)))) if reliable else F.lit(None).cast("map<string,string>")
-    modelled = F.col("field").isin(*[m.field for m in models]) if models else F.lit(False)
-    wide = verdicts.join(shares, ["field", "signature"], "left").join(pairs, "pair_id", "left")
-    wide = wide.withColumns({"_rule": rules[F.col("field")], "_guess": F.col("_predicted")[F.col("field")], "_coverage": coverage[F.col("field")], "_steady": steady[F.col("field")]})
-    known, other = F.col("_rule").isNotNull(), F.col("signature") != "="
-    share = F.coalesce("_share", F.lit(0.0))
-    cases = [
-        (known & F.col("_guess").eqNullSafe(F.col("actual")), JUSTIFIED, F.col("_coverage") * F.greatest("_steady", F.lit(0.5)), "learned rule"),
-        (other & (share >= systemic), JUSTIFIED, share, "systemic signature"),
-        (known, ANOMALY, F.col("_coverage"), "learned rule broken"),
-        (other, ANOMALY, 1 - share, "isolated signature"),
-    ]
-
-    def chosen(values: list, default) -> F.Column:
-        out = None
-        for (condition, *_), value in zip(cases, values, strict=True):
-            out = F.when(condition, value) if out is None else out.when(condition, value)
-        return out.otherwise(default)
-
-    wide = wide.withColumn("_open", modelled & (F.col("verdict") == AMBIGUOUS))
-    wide = wide.withColumn("_new", chosen([F.struct(F.lit(v).alias("verdict"), F.round(c, 3).alias("confidence"), F.lit(m).alias("method")) for _, v, c, m in cases], F.struct(F.lit(AMBIGUOUS).alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("").alias("method"))))
+    systemic; a reliable rule is broken; the signature is isolated; else open. ``verdicts`` has pair_id, field, actual,
+    signature, verdict, layer, confidence, method, explanation, path.
+
+    Shares are joined for differences only: rows that are equal, most of them, take no part (see ``signature_key``)."""
+    reliable = {m.field: m.learned for m in models if m.learned.accepted}
+    shares = signature_counts(verdicts).where("signature <> '='").select(F.col("field").alias("_field"), F.col("signature").alias("_signature"), F.col("share").alias("_share"))
+    wide = verdicts.withColumn("_key", signature_key(F.col("signature"), F.col("pair_id")))
+    wide = wide.join(shares, (F.col("field") == F.col("_field")) & (F.col("_key") == F.col("_signature")), "left").drop("_key", "_field", "_signature")
+    if reliable:
+        guesses = F.create_map(*(x for name, m in reliable.items() for x in (F.lit(name), m.rule.text(features.kinds))))
+        wide = wide.join(features.df.select("pair_id", guesses.alias("_guesses")), "pair_id", "left")
+        wide = wide.withColumn("_guess", F.col("_guesses")[F.col("field")])
+    else:
+        wide = wide.withColumn("_guess", F.lit(None).cast("string"))
+    wide = wide.withColumns({
+        "_rule": _by_field({name: str(m) for name, m in reliable.items()}, "string"),
+        "_coverage": _by_field({name: m.coverage for name, m in reliable.items()}, "double"),
+        "_steady": _by_field({m.field: m.stability for m in models if m.field in reliable}, "double"),
+        "_open": F.col("field").isin(*[m.field for m in models]) & (F.col("verdict") == AMBIGUOUS) if models else F.lit(False),
+    })
+    known, other, share = F.col("_rule").isNotNull(), ~F.col("signature").isin("=", ""), F.coalesce("_share", F.lit(0.0))
+
+    def case(verdict: str, confidence: Column, method: str) -> Column:
+        return F.struct(F.lit(verdict).alias("verdict"), F.round(confidence, 3).alias("confidence"), F.lit(method).alias("method"))
+
+    decided = (
+        F.when(known & F.col("_guess").eqNullSafe(F.col("actual")), case(JUSTIFIED, F.col("_coverage") * F.greatest("_steady", F.lit(0.5)), "learned rule"))
+        .when(other & (share >= systemic), case(JUSTIFIED, share, "systemic signature"))
+        .when(known, case(ANOMALY, F.col("_coverage"), "learned rule broken"))
+        .when(other, case(ANOMALY, 1 - share, "isolated signature"))
+        .otherwise(case(AMBIGUOUS, F.lit(0.0), ""))
+    )
+    wide = wide.withColumn("_new", decided)
     settled = F.col("_open") & (F.col("_new.method") != "")
     note = F.concat(F.col("_new.method"), F.when(F.col("_new.method").startswith("learned"), F.concat(F.lit(" "), F.col("_rule"))).otherwise(F.concat(F.lit(" "), F.col("signature"))))
     return wide.withColumns({
@@ -113,29 +137,38 @@ def settle(verdicts: DataFrame, features: DataFrame, models: list[FieldModel], k
     }).select(*verdicts.columns)
 
 
-def evidence(features: DataFrame, target: str, kinds: Kinds, expr: Expr) -> DataFrame:
+def evidence(features: DataFrame, target: str, kinds: Kinds, rule: Rule) -> DataFrame:
     """The rule row by row: what it read, what it gave, what the target has."""
-    given = expr.text(kinds)
-    return features.select("pair_id", *(F.col(f"`{c}`") for c in expr.columns()), given.alias("given"), F.col(f"`{target}`").alias("target_value"), given.eqNullSafe(F.col(f"`{target}`")).alias("reproduced"))
+    given = rule.text(kinds)
+    return features.select("pair_id", *(F.col(f"`{c}`") for c in rule.columns()), given.alias("given"), F.col(f"`{target}`").alias("target_value"), given.eqNullSafe(F.col(f"`{target}`")).alias("reproduced"))
 
 
 def alternatives(features: DataFrame, target: str, kinds: Kinds, k: int = 8) -> list[Hypothesis]:
     """The best different rules."""
-    return list({str(h.expr): h for h in reversed(synthesize(features, target, kinds))}.values())[::-1][:k]
+    with Search(features, target, kinds) as search:
+        found = search.hypotheses()
+    return list({str(h.rule): h for h in reversed(found)}.values())[::-1][:k]
 
 
 def verify_proposals(features: DataFrame, target: str, kinds: Kinds, proposals: list[dict]) -> Learned:
     """Rules proposed from outside (JSON): each is executed on all rows; the best is accepted from ACCEPTED on."""
-    st, exprs = staged(features, target, kinds), []
-    for j in proposals:
-        try:
-            rule = from_json(j)
-            st.sql(rule)
-        except (KeyError, TypeError, ValueError):
-            continue  # no rule of the language, or of these columns
-        exprs.append(rule)
-    if not exprs:
+    with Search(features, target, kinds) as search:
+        rules = []
+        for j in proposals:
+            try:
+                rule = from_json(j)
+                rule.compiled(search.sql)
+            except (KeyError, TypeError, ValueError):
+                continue  # no rule of the language, or of these columns
+            rules.append(rule)
+        found = search.weigh(rules) if rules and search.rows else []
+    if not found:
         return Learned(None, 0.0, False, [])
-    found = [Hypothesis(e, r) for e, r in zip(exprs, st.coverage(exprs), strict=True)]
     best = max(found, key=lambda h: h.coverage)
-    return Learned(best.expr, best.coverage, best.coverage >= ACCEPTED, [h for h in found if h is not best])
+    return Learned(best.rule, best.coverage, best.coverage >= ACCEPTED, [h for h in found if h is not best])
+
+
+def agreement_of(proposals: list[dict]) -> float:
+    """Share of the proposals that are the commonest rule."""
+    texts = [str(from_json(j)) for j in proposals]
+    return max(map(texts.count, texts)) / len(texts) if texts else 0.0

@@ -1,210 +1,232 @@
 """Search for the rule that maps features to a target field.
 
-The driver enumerates expressions; Spark counts, for many at once, on how many rows each gives the target's value. The
-score is coverage - PENALTY x complexity; a rule is accepted from ACCEPTED coverage on if it reads the source.
-Everything is counted over all rows. Columns and functions of columns are computed once, as columns of ``staged``; the
-rest of an expression is SQL text over those, as thousands of Column objects would take the driver longer than the
-counting takes the cluster.
+``Search`` holds the features as a table of leaves (columns, and functions of columns, as canonical text) with the target
+beside them, and a board of hits: on how many rows a rule gives the target's value. Rounds of proposals are weighed
+together, many rules in one pass over all rows; what a round has found decides what the next one proposes. Only rules
+and counts are on the driver. Rules over leaves are SQL text, as thousands of Column objects would take the driver
+longer than the counting takes the cluster.
+
+The score of a rule is coverage - PENALTY x complexity; it is accepted from ACCEPTED coverage on if it reads the source.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, combinations, product
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dsl import FUNCTIONS, NUMBER_FUNCTIONS, Affix, Col, Concat, Const, DateAgg, Expr, Fn, IfEq, Kinds, grounded
+from .dsl import BY_KIND, Kinds, Rule, Sql, branch, call, col, const, date_edge, grounded, joined, wrapped
 
 PENALTY, ACCEPTED, LEAST_BRANCH = 0.02, 0.80, 2
 CONSTANTS, BRANCH_VALUES, BRANCH_COMPLEXITY = 12, (2, 6), 3
 BEAM, PARTS, PREFIX_RATE, SEPARATORS = 40, 3, 0.5, ("", "-")
-AFFIX_CHARACTERS = "_-@."
-CHUNK = 200
+EDGE_CHARACTERS = "_-@."
+#: Conditions in one pass.
+CHUNK = 400
 
 
-@dataclass
+@dataclass(frozen=True)
 class Hypothesis:
-    expr: Expr
-    coverage: float
+    rule: Rule
+    hits: int
+    rows: int
+
+    @property
+    def coverage(self) -> float:
+        return self.hits / self.rows
 
     @property
     def score(self) -> float:
-        return self.coverage - PENALTY * self.expr.complexity
+        return self.coverage - PENALTY * self.rule.complexity
 
 
 @dataclass
 class Learned:
-    expr: Expr | None
+    rule: Rule | None
     coverage: float
     accepted: bool
     alternatives: list[Hypothesis]
 
     def __str__(self) -> str:
-        return str(self.expr) if self.expr else "(no hypothesis)"
+        return str(self.rule) if self.rule else "(no hypothesis)"
 
 
-def quoted(text: str | None) -> str:
-    return "cast(null as string)" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def leaf_rules(kinds: Kinds) -> Iterator[Rule]:
+    for name, kind in kinds.items():
+        yield col(name)
+        yield from (call(fn, col(name)) for fn in BY_KIND.get(kind, ()))
 
 
-@dataclass
-class Staged:
-    """``df`` with a column for every leaf (column or function of a column) and the target as _y."""
-
-    df: DataFrame
-    leaves: dict[str, str]
-
-    def sql(self, e: Expr) -> str:
-        if (leaf := self.leaves.get(str(e))) and isinstance(e, (Col, Fn)):
-            return leaf
-        if isinstance(e, Const):
-            return quoted(e.value)
-        if isinstance(e, Concat):
-            return "concat(" + f", {quoted(e.sep)}, ".join(map(self.sql, e.parts)) + ")"
-        if isinstance(e, DateAgg):
-            return f"{'least' if e.op == 'min' else 'greatest'}({self.sql(e.a)}, {self.sql(e.b)})"
-        if isinstance(e, Affix):
-            return f"concat({quoted(e.prefix)}, {self.sql(e.core)}, {quoted(e.suffix)})"
-        if isinstance(e, IfEq):
-            return f"if({self.leaves[e.col]} <=> {quoted(e.value)}, {self.sql(e.then)}, {self.sql(e.other)})"
-        raise ValueError(f"not staged: {e}")
-
-    def rates(self, conditions: list[str]) -> list[float]:
-        """Share of rows that meet each condition, in passes of CHUNK conditions."""
-        out: list[float] = []
+def date_rules(kinds: Kinds) -> Iterator[Rule]:
+    dates = [col(name) for name, kind in kinds.items() if kind == "date"]
+    return (date_edge(side, a, b) for (a, b), side in product(combinations(dates, 2), ("min", "max")))
+
+
+def _numbers(conditions: list[str]) -> str:
+    """SQL of the numbers of the conditions that hold on a row."""
+    return f"filter(array({', '.join(f'if({c}, {i}, -1)' for i, c in enumerate(conditions))}), x -> x >= 0)"
+
+
+class Search:
+    """Use as a context: the table of leaves is kept (in memory, else on disk) while the search lasts."""
+
+    def __init__(self, features: DataFrame, target: str, kinds: Kinds):
+        self.kinds = kinds
+        leaves = {rule: f"_l{i}" for i, rule in enumerate(leaf_rules(kinds))}
+        self.sql = Sql(leaves)
+        self.texts = [r for r in leaves if kinds[r.columns()[0]] in BY_KIND]  # what can be a part of a text
+        self.frame = features.select(F.col(f"`{target}`").alias("_y"), *(r.text(kinds).alias(name) for r, name in leaves.items()))
+        self.hits: dict[Rule, int] = {}
+
+    def __enter__(self) -> Search:
+        self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = self.frame.count()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.frame.unpersist()
+
+    def tally(self, conditions: list[str]) -> list[int]:
+        """On how many rows each condition holds: rows give the numbers of those that hold, and these are counted."""
+        out: list[int] = []
         for i in range(0, len(conditions), CHUNK):
-            row = self.df.selectExpr(*(f"avg(if({c}, 1D, 0D))" for c in conditions[i : i + CHUNK])).first()
-            out += [float(x or 0) for x in row]
+            part = conditions[i : i + CHUNK]
+            out += self._count(self.frame.selectExpr(f"explode({_numbers(part)}) as _i"), len(part))
+        return out
+
+    def _count(self, numbers: DataFrame, size: int) -> list[int]:
+        found = {r["_i"]: r["n"] for r in numbers.groupBy("_i").agg(F.count("*").alias("n")).collect()}  # one row per number
+        return [found.get(i, 0) for i in range(size)]
+
+    def weigh(self, rules: list[Rule]) -> list[Hypothesis]:
+        new = [r for r in dict.fromkeys(rules) if r not in self.hits]
+        self.hits.update(zip(new, self.tally([f"{r.compiled(self.sql)} <=> _y" for r in new]), strict=True))
+        return [Hypothesis(r, self.hits[r], self.rows) for r in dict.fromkeys(rules)]
+
+    def constants(self) -> list[Rule]:
+        """The target's values, if they are few."""
+        found = [r[0] for r in self.frame.select("_y").distinct().limit(CONSTANTS + 1).collect()]
+        return [const(v) for v in sorted(found, key=lambda v: (v is None, v))] if len(found) <= CONSTANTS else []
+
+    def ends(self) -> tuple[str, str]:
+        """The longest beginning and end that all values of the target share, of those that a separator closes: the
+        candidates come from one value, and counting tells which of them all values have."""
+        value, some = self.frame.selectExpr("min(_y)", "count(_y)").first()
+        if some < 2 or not value:
+            return "", ""
+        cuts = [i for i, c in enumerate(value) if c in EDGE_CHARACTERS]
+        begins, closes = [value[: i + 1] for i in reversed(cuts)], [value[i:] for i in cuts]  # longest first
+        counts = self.tally([f"startswith(_y, {self.sql.value(x)})" for x in begins] + [f"endswith(_y, {self.sql.value(x)})" for x in closes])
+        longest = lambda texts, found: next((x for x, n in zip(texts, found, strict=True) if n == some), "")
+        return longest(begins, counts[: len(begins)]), longest(closes, counts[len(begins) :])
+
+    def begins(self, core: str, rule: Rule) -> str:
+        """Whether the text ``core`` begins with what a rule gives (both SQL)."""
+        x = rule.compiled(self.sql)
+        return f"{x} <> '' and startswith({core}, {x})"
+
+    def chains(self, core: str) -> list[Rule]:
+        """Concatenations of up to PARTS leaves that ``core`` often begins with; BEAM of each length. A level is one pass:
+        each row says which stems it can go on with which leaf."""
+
+        def fitting(rules: list[Rule], hits: list[int], weight: int) -> list[Rule]:
+            ranked = ((-n, weight * r.complexity, i) for i, (r, n) in enumerate(zip(rules, hits, strict=True)) if n >= PREFIX_RATE * self.rows)
+            return [rules[i] for *_, i in heapq.nsmallest(BEAM, ranked)]
+
+        def lengthened(stem: Rule, sep: str, leaf: Rule) -> Rule:
+            return joined(sep, *(stem.parts if (stem.op, stem.words) == ("concat", (sep,)) else (stem,)), leaf)
+
+        def longer_hits(stems: list[Rule]) -> list[int]:
+            arrays = {"_p": [r.compiled(self.sql) for r in stems], "_s": [self.sql.value(x) for x in SEPARATORS], "_l": [r.compiled(self.sql) for r in self.texts]}
+            rows = self.frame.selectExpr(f"{core} as _core", *(f"array({', '.join(x)}) as {name}" for name, x in arrays.items()))
+            number = f"(i * {len(SEPARATORS)} + j) * {len(self.texts)} + m"
+            each = f"flatten(transform(_p, (p, i) -> flatten(transform(_s, (s, j) -> transform(_l, (l, m) -> if(startswith(_core, concat(p, s, l)), {number}, -1))))))"
+            return self._count(rows.selectExpr(f"explode(filter({each}, x -> x >= 0)) as _i"), len(stems) * len(SEPARATORS) * len(self.texts))
+
+        levels = [fitting(self.texts, self.tally([self.begins(core, r) for r in self.texts]), 0)]
+        while len(levels) < PARTS and levels[-1]:
+            rules = [lengthened(*x) for x in product(levels[-1], SEPARATORS, self.texts)]
+            levels.append(fitting(rules, longer_hits(levels[-1]), 1))
+        return list(chain.from_iterable(levels[1:]))
+
+    def pool(self) -> list[Rule]:
+        """All rules without conditions, in the order that decides between equal ones."""
+        rules = [*leaf_rules(self.kinds), *date_rules(self.kinds), *self.constants(), *self.chains("_y")]
+        prefix, suffix = self.ends()
+        if prefix or suffix:
+            edge = len(prefix) + len(suffix)
+            fits = f"startswith(_y, {self.sql.value(prefix)}) and endswith(_y, {self.sql.value(suffix)}) and length(_y) >= {edge}"
+            core = f"if({fits}, substr(_y, {len(prefix) + 1}, length(_y) - {edge}), null)"
+            rules += [wrapped(prefix, r, suffix) for r in self.texts + self.chains(core)]
+        return rules
+
+    def cells(self, rules: list[Rule]) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
+        """The (column, value) cells of columns with few values, their rows, and the hits of each rule inside each cell."""
+        names = list(self.kinds)
+        about = self.frame.selectExpr(*(f"approx_count_distinct({self.sql.column(c)})" for c in names)).first()
+        few = [c for c, n in zip(names, about, strict=True) if BRANCH_VALUES[0] <= n <= BRANCH_VALUES[1] + 2]
+        if not few or not rules:
+            return [], np.zeros(0, np.int64), np.zeros((len(rules), 0), np.int64)
+        sizes: dict[tuple[int, str], int] = {}
+        hits: dict[tuple[int, str], np.ndarray] = {}
+        for first in range(0, len(rules), CHUNK):
+            part = [f"{r.compiled(self.sql)} <=> _y" for r in rules[first : first + CHUNK]]
+            stacked = self.frame.selectExpr(f"array_append({_numbers(part)}, -1) as _h", f"posexplode(array({', '.join(map(self.sql.column, few))})) as (_c, _v)").where("_v is not null")
+            for r in stacked.selectExpr("_c", "_v", "explode(_h) as _i").groupBy("_c", "_v", "_i").agg(F.count("*").alias("n")).collect():  # few columns x few values x rules
+                cell = r["_c"], r["_v"]
+                if r["_i"] < 0:
+                    sizes[cell] = r["n"]  # -1 stands for the row itself
+                else:
+                    hits.setdefault(cell, np.zeros(len(rules), np.int64))[first + r["_i"]] = r["n"]
+        values = np.bincount([c for c, _ in sizes], minlength=len(few))
+        own = sorted(cell for cell in sizes if BRANCH_VALUES[0] <= values[cell[0]] <= BRANCH_VALUES[1])
+        inside = np.array([hits.get(cell, np.zeros(len(rules), np.int64)) for cell in own], np.int64).reshape(len(own), len(rules)).T
+        return [(few[c], v) for c, v in own], np.array([sizes[cell] for cell in own], np.int64), inside
+
+    def branches(self, simple: list[Hypothesis]) -> list[Hypothesis]:
+        """For each cell the best rule inside and the best outside; outside is everywhere less inside."""
+        cells, sizes, inside = self.cells([h.rule for h in simple])
+        cost = np.array([PENALTY * h.rule.complexity for h in simple])[:, None]
+        outside = np.array([h.hits for h in simple], np.int64)[:, None] - inside
+        enough = (sizes >= LEAST_BRANCH) & (self.rows - sizes >= LEAST_BRANCH)
+        out = []
+        for k in np.flatnonzero(enough).tolist():
+            then, other = ((hits[:, k] / self.rows - cost[:, 0]).argmax() for hits in (inside, outside))
+            if then != other:
+                out.append(Hypothesis(branch(*cells[k], simple[then].rule, simple[other].rule), int(inside[then, k] + outside[other, k]), self.rows))
         return out
 
-    def coverage(self, exprs: list[Expr]) -> list[float]:
-        return self.rates([f"{self.sql(e)} <=> _y" for e in exprs])
-
-
-def staged(df: DataFrame, target: str, kinds: Kinds) -> Staged:
-    leaves = [e for e in base_candidates(kinds, []) if isinstance(e, (Col, Fn))]
-    names = {str(e): f"_l{i}" for i, e in enumerate(leaves)}
-    return Staged(df.select(F.col(f"`{target}`").alias("_y"), *(e.text(kinds).alias(names[str(e)]) for e in leaves)), names)
-
-
-def base_candidates(kinds: Kinds, constants: list[str | None]) -> list[Expr]:
-    out: list[Expr] = []
-    for c, kind in kinds.items():
-        out.append(Col(c))
-        out += [Fn(f, Col(c)) for f in (FUNCTIONS if kind == "string" else NUMBER_FUNCTIONS if kind == "double" else ())]
-    dates = [c for c, kind in kinds.items() if kind == "date"]
-    out += [DateAgg(op, Col(a), Col(b)) for i, a in enumerate(dates) for b in dates[i + 1 :] for op in ("min", "max")]
-    return out + [Const(v) for v in constants]
-
-
-def common_affix(df: DataFrame, target: str) -> tuple[str, str]:
-    """Longest common prefix and suffix of the target, cut at a separator. Two aggregates: what the smallest and the
-    largest value share, all share."""
-    y = F.col(f"`{target}`")
-    low, high, back_low, back_high, some = df.agg(F.min(y), F.max(y), F.min(F.reverse(y)), F.max(F.reverse(y)), F.count(y)).first()
-    if some < 2:
-        return "", ""
-
-    def shared(a: str, b: str) -> str:
-        n = 0
-        while n < min(len(a), len(b)) and a[n] == b[n]:
-            n += 1
-        return a[:n]
-
-    prefix, suffix = shared(low, high), shared(back_low, back_high)[::-1]
-    cut = max(prefix.rfind(c) for c in AFFIX_CHARACTERS)
-    cuts = [suffix.find(c) for c in AFFIX_CHARACTERS if c in suffix]
-    return prefix[: cut + 1], suffix[min(cuts) :] if cuts else ""
-
-
-def prefix_rates(st: Staged, core: str, exprs: list[Expr]) -> list[float]:
-    """Share of rows whose (stripped) target, the SQL ``core``, begins with what the expression gives."""
-    return st.rates([f"{st.sql(e)} <> '' and startswith({core}, {st.sql(e)})" for e in exprs])
-
-
-def grown(st: Staged, core: str, textual: list[Expr]) -> list[Expr]:
-    """Concatenations that stay a prefix of the target, left to right, BEAM a level."""
-    ranked = sorted(zip(prefix_rates(st, core, textual), range(len(textual)), strict=True), key=lambda x: (-x[0], x[1]))[:BEAM]
-    frontier, out = [textual[i] for r, i in ranked if r >= PREFIX_RATE], []
-    for _ in range(PARTS - 1):
-        wider = [Concat(sep, (*(left.parts if isinstance(left, Concat) and left.sep == sep else (left,)), right)) for left in frontier for sep in SEPARATORS for right in textual]
-        found = [(-r, e.complexity, i) for i, (r, e) in enumerate(zip(prefix_rates(st, core, wider), wider, strict=True)) if r >= PREFIX_RATE]
-        frontier = [wider[i] for *_, i in sorted(found)[:BEAM]]
-        out += frontier
-    return out
-
-
-def conditional(st: Staged, kinds: Kinds, scored: list[Hypothesis], total: int) -> list[Hypothesis]:
-    """IF column = value THEN rule ELSE rule, for columns of few values. One pass per chunk of rules: hits by column and
-    value from grouping sets; what is outside a branch is the total less the branch."""
-    simple = [h for h in scored if h.expr.complexity <= BRANCH_COMPLEXITY]
-    few: list[str] = []
-    names = list(kinds)
-    for i in range(0, len(names), CHUNK):
-        row = st.df.selectExpr(*(f"approx_count_distinct({st.leaves[c]})" for c in names[i : i + CHUNK])).first()
-        few += [c for c, n in zip(names[i : i + CHUNK], row, strict=True) if 2 <= n <= BRANCH_VALUES[1] + 2]
-    if not few or not simple:
-        return []
-    sets = [st.leaves[c] for c in few]
-    hits: dict[tuple[int, str], dict[int, int]] = {}
-    rows: dict[tuple[int, str], int] = {}
-    keyed = st.df.selectExpr("*", *(f"{c} as _c{k}" for k, c in enumerate(sets)))
-    columns = [F.col(f"_c{k}") for k in range(len(sets))]
-    for i in range(0, len(simple), CHUNK):
-        part = simple[i : i + CHUNK]
-        aggs = [f"count_if({st.sql(h.expr)} <=> _y)" for h in part]
-        grouped = keyed.groupingSets([[c] for c in columns], *columns).agg(F.grouping_id().alias("_set"), F.count("*").alias("_rows"), F.expr(f"array({', '.join(aggs)})").alias("_hits"))
-        for r in grouped.collect():  # columns x few values
-            own = next(k for k in range(len(few)) if not r["_set"] >> (len(few) - 1 - k) & 1)
-            if (value := r[f"_c{own}"]) is not None:
-                rows[own, value] = r["_rows"]
-                hits.setdefault((own, value), {}).update({i + j: n for j, n in enumerate(r["_hits"])})
-    out = []
-    for k, c in enumerate(few):
-        values = sorted(v for own, v in rows if own == k)
-        if not BRANCH_VALUES[0] <= len(values) <= BRANCH_VALUES[1]:
-            continue
-        for v in values:
-            if rows[k, v] < LEAST_BRANCH or total - rows[k, v] < LEAST_BRANCH:
-                continue
-            inside = [hits[k, v][i] / total - PENALTY * h.expr.complexity for i, h in enumerate(simple)]
-            outside = [round(h.coverage * total - hits[k, v][i]) / total - PENALTY * h.expr.complexity for i, h in enumerate(simple)]
-            a, b = max(range(len(simple)), key=inside.__getitem__), max(range(len(simple)), key=outside.__getitem__)
-            if str(simple[a].expr) != str(simple[b].expr):
-                matched = hits[k, v][a] + round(simple[b].coverage * total) - hits[k, v][b]
-                out.append(Hypothesis(IfEq(c, v, simple[a].expr, simple[b].expr), matched / total))
-    return out
-
-
-def synthesize(df: DataFrame, target: str, kinds: Kinds, conditions: bool = True) -> list[Hypothesis]:
-    """All hypotheses, best first; ``target`` is a column of canonical text. Ties keep the order they were made in."""
-    y = F.col(f"`{target}`")
-    total = df.count()
-    if not total:
-        return []
-    distinct = [r[0] for r in df.select(y).distinct().limit(CONSTANTS + 1).collect()]
-    st = staged(df, target, kinds)
-    base = base_candidates(kinds, sorted(distinct, key=lambda v: (v is None, v)) if len(distinct) <= CONSTANTS else [])
-    textual = [e for e in base if isinstance(e, (Col, Fn)) and kinds[e.columns()[0]] in ("string", "double")]
-    pool = list(base)
-    prefix, suffix = common_affix(df, target)
-    pool += grown(st, "_y", textual)
-    if prefix or suffix:
-        fits = f"startswith(_y, {quoted(prefix)}) and endswith(_y, {quoted(suffix)}) and length(_y) >= {len(prefix) + len(suffix)}"
-        core = f"if({fits}, substr(_y, {len(prefix) + 1}, length(_y) - {len(prefix) + len(suffix)}), null)"
-        pool += [Affix(prefix, e, suffix) for e in textual + grown(st, core, textual)]
-    scored = [Hypothesis(e, r) for e, r in zip(pool, st.coverage(pool), strict=True)]
-    if conditions:
-        scored += conditional(st, kinds, scored, total)
-    return sorted(scored, key=lambda h: (-h.score, h.expr.complexity))
-
-
-def learn(df: DataFrame, target: str, kinds: Kinds, conditions: bool = True) -> Learned:
+    def hypotheses(self, conditions: bool = True) -> list[Hypothesis]:
+        """All hypotheses, best first; equal ones in the order they were proposed in."""
+        if not self.rows:
+            return []
+        found = self.weigh(self.pool())
+        if conditions:
+            found += self.branches([h for h in found if h.rule.complexity <= BRANCH_COMPLEXITY])
+        return sorted(found, key=lambda h: (-h.score, h.rule.complexity))
+
+    def vectors(self, rules: list[Rule]) -> DataFrame:
+        """Rows per vector of hits (1 or 0 for each rule)."""
+        bits = ", ".join(f"if({r.compiled(self.sql)} <=> _y, '1', '0')" for r in rules)
+        return self.frame.groupBy(F.expr(f"concat({bits})").alias("hits")).agg(F.count("*").alias("rows"))
+
+
+def chosen(found: list[Hypothesis]) -> Learned:
     """The best hypothesis that covers enough and reads the source, else the best, not accepted."""
-    found = synthesize(df, target, kinds, conditions)
-    good = [h for h in found if h.coverage >= ACCEPTED and grounded(h.expr)]
     if not found:
         return Learned(None, 0.0, False, [])
-    best = (good or found)[0]
-    return Learned(best.expr, best.coverage, bool(good), [h for h in found if h is not best][:8])
+    best = next((h for h in found if h.coverage >= ACCEPTED and grounded(h.rule)), None)
+    top = best or found[0]
+    return Learned(top.rule, top.coverage, best is not None, [h for h in found if h is not top][:8])
+
+
+def learn(features: DataFrame, target: str, kinds: Kinds, conditions: bool = True) -> Learned:
+    """``target`` is a column of canonical text."""
+    with Search(features, target, kinds) as search:
+        return chosen(search.hypotheses(conditions))

@@ -3,8 +3,9 @@
 ``pair_records`` gives every record of both sides exactly once: as a pair, or alone. Inside an entity the pairing has
 the highest total score; the smaller side is always fully paired; of equal pairings the first counts, in the order of
 the smaller side's records, each taking the lowest partner that keeps the optimum. Order comes from ``seq``, never from
-partitions. Entities with one record on each side pair by a plain join; others go to a solver, one row of small
-structs per entity, so what it gathers is bounded by the records of an entity.
+partitions. Each side is shuffled once, by entity, with its records: entities with one record on each side pair as they
+meet; for the others a solver in Arrow batches reads a matrix of scores and says which records meet, which are then picked
+where they are. What is gathered is bounded by the records of an entity.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Up to so many records on the larger side the optimum is searched over subsets, beyond by augmenting paths.
 SUBSETS = 10
@@ -80,54 +82,52 @@ def assign(score: list[list[int]]) -> list[int]:
     return chosen
 
 
-def _features(row: dict) -> tuple:
-    return row["job"], row["kind"], row["start"]
+def meetings(score: list) -> list[dict[str, int]]:
+    """Which row of a matrix of scores meets which column; -1 for what meets none."""
+    rows = [list(r) for r in score]
+    straight = len(rows) <= len(rows[0])
+    chosen = assign(rows if straight else [list(c) for c in zip(*rows, strict=True)])
+    met = list(enumerate(chosen)) + [(-1, k) for k in range(max(len(rows), len(rows[0]))) if k not in chosen]
+    return [{"i": a, "j": b} if straight else {"i": b, "j": a} for a, b in met]
 
 
-def pair_keys(source: DataFrame, target: DataFrame) -> DataFrame:
-    """entity, s_seq, d_seq (null for what is missing) from tables with entity, seq, job, kind and start. Records
-    without an entity stay alone."""
-    fields = ["seq", "job", "kind", "start"]
-    gather = lambda df, name: df.where("entity is not null").groupBy("entity").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-    both = gather(source, "s").join(gather(target, "d"), "entity", "full_outer")
-    alone = F.array().cast("array<bigint>")
-    single = both.where("size(s) = 1 and size(d) = 1 or s is null or d is null").select(
-        "entity",
-        F.explode(F.arrays_zip(F.coalesce(F.col("s.seq"), alone).alias("s_seq"), F.coalesce(F.col("d.seq"), alone).alias("d_seq"))).alias("p"),
-    ).select("entity", "p.s_seq", "p.d_seq")
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"entity": [], "s_seq": [], "d_seq": []}
-            for row in batch.to_pylist():
-                sides = row["s"], row["d"]
-                swap = len(sides[0]) > len(sides[1])
-                small, large = sides[::-1] if swap else sides
-                score = [[2 * (a["job"] == b["job"]) + (a["kind"] == b["kind"]) + (a["start"] == b["start"]) for b in large] for a in small]
-                chosen = assign(score)
-                pairs = [(a["seq"], large[c]["seq"]) for a, c in zip(small, chosen, strict=True)]
-                pairs += [(None, b["seq"]) for c, b in enumerate(large) if c not in set(chosen)]
-                for a, b in pairs:
-                    out["entity"].append(row["entity"])
-                    out["s_seq"].append(b if swap else a)
-                    out["d_seq"].append(a if swap else b)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("entity", pa.string()), ("s_seq", pa.int64()), ("d_seq", pa.int64())]))
-
-    several = both.where("s is not null and d is not null and not (size(s) = 1 and size(d) = 1)").mapInArrow(solve, "entity string, s_seq long, d_seq long")
-    nobody = [df.where("entity is null").select(F.lit(None).cast("string").alias("entity"), *(F.col("seq").alias(c) if c == own else F.lit(None).cast("long").alias(c) for c in ("s_seq", "d_seq"))) for df, own in ((source, "s_seq"), (target, "d_seq"))]
-    return single.unionByName(several).unionByName(nobody[0]).unionByName(nobody[1])
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``_score`` replaced by what meets; the records pass through as they are."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+    for batch in batches:
+        at = batch.schema.get_field_index("_score")
+        yield batch.set_column(at, pa.field("_score", kind), pa.array([meetings(x) for x in batch.column(at).to_pylist()], kind))
 
 
 def pair_records(source: DataFrame, target: DataFrame, entity: tuple[str, str], job: tuple[str, str], kind: tuple[str, str], start: tuple[str, str], seq: tuple[str, str]) -> DataFrame:
-    """pair_id, entity, s and d (structs of the two records, null where there is none). ``seq`` is a unique long."""
-    sides = []
+    """pair_id, entity, s and d (structs of the two records, null where there is none). ``seq`` is a unique long. Records
+    without an entity stay alone."""
+    sides, alone = [], []
     for i, df in enumerate((source, target)):
-        sides.append(df.select(F.col(entity[i]).cast("string").alias("entity"), F.col(seq[i]).cast("long").alias("seq"), *(F.col(c[i]).cast("string").alias(n) for c, n in ((job, "job"), (kind, "kind"), (start, "start")))))
-    keys = pair_keys(*sides)
-    s = source.select(F.col(seq[0]).cast("long").alias("s_seq"), F.struct("*").alias("s"))
-    d = target.select(F.col(seq[1]).cast("long").alias("d_seq"), F.struct("*").alias("d"))
-    joined = keys.join(s, "s_seq", "left").join(d, "d_seq", "left")
-    return joined.select(F.concat_ws("-", F.coalesce(F.col("s_seq").cast("string"), F.lit("x")), F.coalesce(F.col("d_seq").cast("string"), F.lit("x"))).alias("pair_id"), "entity", "s", "d")
+        own = df.select(
+            F.col(entity[i]).cast("string").alias("entity"),
+            F.struct(F.col(seq[i]).cast("long").alias("seq"), *(F.col(c[i]).cast("string").alias(n) for c, n in ((job, "job"), (kind, "kind"), (start, "start"))), F.struct("*").alias("record")).alias("r"),
+        )
+        sides.append(own.where("entity is not null").groupBy("entity").agg(F.sort_array(F.collect_list("r")).alias("sd"[i])))
+        alone.append(own.where("entity is null").select("entity", "r"))
+    both = sides[0].join(sides[1], "entity", "full_outer")
+    left, right = (both.schema[c].dataType for c in "sd")
+    none = lambda t: F.lit(None).cast(t.elementType)
+    meet = lambda x, y: F.struct(x.alias("s"), y.alias("d"))
+    single = both.where("size(s) = 1 and size(d) = 1 or s is null or d is null").withColumn(
+        "p", F.when(F.col("d").isNull(), F.transform("s", lambda x: meet(x, none(right)))).when(F.col("s").isNull(), F.transform("d", lambda y: meet(none(left), y))).otherwise(F.array(meet(F.col("s")[0], F.col("d")[0])))
+    )
+    same = lambda x, y, c, n: F.when(x[c].eqNullSafe(y[c]), n).otherwise(0)
+    score = F.transform("s", lambda x: F.transform("d", lambda y: same(x, y, "job", 2) + same(x, y, "kind", 1) + same(x, y, "start", 1)))
+    several = both.where("s is not null and d is not null and not (size(s) = 1 and size(d) = 1)").withColumn("_score", score)
+    met = T.StructType([*several.schema.fields[:-1], T.StructField("_score", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))])
+    several = several.mapInArrow(_solve, met).select("entity", "s", "d", F.explode("_score").alias("_x"))
+    several = several.select("entity", F.struct(F.get("s", F.col("_x.i")).alias("s"), F.get("d", F.col("_x.j")).alias("d")).alias("p"))
+    pairs = single.select("entity", F.explode("p").alias("p")).unionByName(several)
+    pairs = pairs.select("entity", "p.s", "p.d")
+    pairs = pairs.unionByName(alone[0].select("entity", F.col("r").alias("s"), none(right).alias("d"))).unionByName(alone[1].select("entity", none(left).alias("s"), F.col("r").alias("d")))
+    name = lambda c: F.coalesce(F.col(f"{c}.seq").cast("string"), F.lit("x"))
+    return pairs.select(F.concat_ws("-", name("s"), name("d")).alias("pair_id"), "entity", F.col("s.record").alias("s"), F.col("d.record").alias("d"))
 
 
 def entity_counts(source: DataFrame, target: DataFrame, entity: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tree import AMBIGUOUS, ANOMALY, VERDICTS
 
 LAYERS = ("RULE", "LEARNED", "EXPERT")
+LABELS = {"MATCH": "Match", "JUSTIFIED": "Justified difference", "ANOMALY": "Anomaly", "AMBIGUOUS": "Open"}
 SEARCHED = ("id", "entity", "field", "expected", "actual", "explanation")
 
 
@@ -60,6 +61,16 @@ def page(df: DataFrame, order: list, size: int = 100, start: int = 0) -> DataFra
     return df.orderBy(*order).offset(start).limit(size)
 
 
+def labelled(df: DataFrame) -> DataFrame:
+    """With the verdicts as words for readers."""
+    return df.withColumn("verdict", F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))[F.col("verdict")])
+
+
+def catalogue(df: DataFrame) -> DataFrame:
+    """The rules that occur, by name, with their texts and rows."""
+    return df.groupBy("rule").agg(F.first("rule_text", ignorenulls=True).alias("rule_text"), F.count("*").alias("rows")).orderBy("rule")
+
+
 def field_bars(df: DataFrame) -> DataFrame:
     """Fields by anomalies, open and justified rows."""
     return by_field(df, None).orderBy(F.desc(ANOMALY), F.desc(AMBIGUOUS), F.desc("JUSTIFIED"), "field")
@@ -90,7 +101,3 @@ def path_steps(df: DataFrame) -> DataFrame:
 def drill_down(df: DataFrame, pairs: DataFrame, row: str) -> DataFrame:
     """The two records behind one verdict row."""
     return df.where(F.col("id") == row).join(pairs.select("pair_id", "s", "d"), "pair_id")
-
-
-def top_per(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_nth") <= k).drop("_nth")

@@ -62,11 +62,22 @@ def signature_share(df: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("field")))
 
 
+def signature_key(signature: Column, row: Column) -> Column:
+    """What rows join counts of differences by. Rows without a difference, most of a table, meet no count, so they are
+    dealt over many keys instead of landing on one."""
+    return F.when(signature.isin("=", ""), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(row), F.lit(4096)).cast("string"))).otherwise(signature)
+
+
 def with_recurrence(df: DataFrame) -> DataFrame:
     """Rows with the same field and signature; 1 without a signature. Counted by an aggregate that combines before it
-    shuffles, then joined: a signature may hold most rows."""
-    counts = df.where("signature <> ''").groupBy("field", "signature").agg(F.count("*").alias("recurrence"))
-    return df.join(counts, ["field", "signature"], "left").withColumn("recurrence", F.coalesce("recurrence", F.lit(1)))
+    shuffles. Equal rows take their field's count from a table of one row per field, differences join by signature."""
+    counts = df.where("signature <> ''").groupBy("field", "signature").agg(F.count("*").alias("_n"))
+    equal = counts.where("signature = '='").select(F.col("field").alias("_equal_field"), F.col("_n").alias("_equal"))
+    other = counts.where("signature <> '='").select(F.col("field").alias("_field"), F.col("signature").alias("_signature"), "_n")
+    keyed = df.withColumn("_key", signature_key(F.col("signature"), F.col("pair_id")))
+    both = keyed.join(F.broadcast(equal), F.col("field") == F.col("_equal_field"), "left")  # one row per mapped field
+    both = both.join(other, (F.col("field") == F.col("_field")) & (F.col("_key") == F.col("_signature")), "left")
+    return both.withColumn("recurrence", F.coalesce(F.when(F.col("signature") == "=", F.col("_equal")), "_n", F.lit(1))).select(*df.columns, "recurrence")
 
 
 def with_priority(df: DataFrame, impact: dict[str, tuple[float, str]] = IMPACT) -> DataFrame:

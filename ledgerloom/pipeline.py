@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.normalize import row_id
-from .learn.dsl import Kinds
-from .learn.resolve import FieldModel, field_model, settle
+from .learn.resolve import FieldModel, field_model, most_common, settle
+from .operators.features import Features, feature_table
 from .operators.overrides import apply_overrides
 from .operators.verdicts import describe_rules, in_order, run_rules, with_defaults, with_priority, with_recurrence
 from .plans.tree import AMBIGUOUS
@@ -22,28 +23,40 @@ COLUMNS = [
 
 @dataclass
 class Result:
+    """``kept`` is the table of rule verdicts that all later steps read; ``close`` lets go of it."""
+
     verdicts: DataFrame
     models: list[FieldModel] = field(default_factory=list)
+    kept: DataFrame | None = None
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def with_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("id", row_id(*(F.col(c) for c in ("entity", "kind", "position", "field"))))
 
 
-def reconcile(pairs: DataFrame, rules: list, features: DataFrame | None = None, targets: dict[str, str] | None = None, kinds: Kinds | None = None, overrides: DataFrame | None = None) -> Result:
-    """``pairs`` has pair_id, entity, kind, position, job, s, d and what the rules look up. ``features`` (one row per
-    pair: pair_id, the columns of ``kinds``, and for each modelled field its target column, named in ``targets``) turns
-    the learned layer on, for fields that have open rows."""
+def reconcile(pairs: DataFrame, rules: list, learned: bool = True, features: Features | None = None, overrides: DataFrame | None = None) -> Result:
+    """``pairs`` has pair_id, entity, kind, position, job, s, d and what the rules look up (hist, reason). With
+    ``learned`` open rows are settled from the population: by rules learned from ``features`` (if not given, made of the
+    pairs) and by signatures.
+
+    Pairing and rules run once: pairs (if learned from) and rule verdicts are kept in memory, else on disk, as counts,
+    models and the joins all read them."""
     keep = ["pair_id", "entity", "kind", "position", "job"]
-    verdicts = with_defaults(with_ids(describe_rules(run_rules(pairs, rules, keep))))
-    models: list[FieldModel] = []
-    if features is not None and targets and kinds:
-        open_fields = [r[0] for r in verdicts.where(F.col("verdict") == AMBIGUOUS).select("field").distinct().collect()]  # one per rule at most
-        models = [field_model(features, f, targets[f], kinds) for f in sorted(open_fields) if f in targets]
-        verdicts = settle(verdicts, features, models, kinds)
+    verdicts = with_defaults(with_ids(describe_rules(run_rules(pairs, rules, keep)))).persist(StorageLevel.MEMORY_AND_DISK)
+    kept, models = verdicts, []
+    if learned:
+        open_fields = sorted(r[0] for r in verdicts.where(F.col("verdict") == AMBIGUOUS).select("field").distinct().collect())  # one per rule at most
+        if open_fields:
+            features = features or feature_table(pairs, open_fields)
+            models = [field_model(features, f) for f in open_fields if f in features.targets]
+            verdicts = settle(verdicts, features, models)
     if overrides is not None:
         verdicts = apply_overrides(verdicts, overrides)
-    return Result(with_priority(with_recurrence(verdicts)).select(*COLUMNS), models)
+    return Result(with_priority(with_recurrence(verdicts)).select(*COLUMNS), models, kept)
 
 
 def report_order(result: Result) -> DataFrame:
@@ -51,6 +64,9 @@ def report_order(result: Result) -> DataFrame:
 
 
 def learned_rules(result: Result) -> list[dict]:
-    """One entry per modelled field: rule, coverage, stability, accepted, rows it settled."""
+    """One entry per modelled field: rule, coverage, stability, accepted, signatures, rows it settled."""
+    if not result.models:
+        return []
     settled = {r["field"]: r["count"] for r in result.verdicts.where("layer = 'LEARNED'").groupBy("field").count().collect()}
-    return [{"field": m.field, "rule": str(m.learned), "coverage": m.learned.coverage, "stability": m.stability, "accepted": m.learned.accepted, "settled": settled.get(m.field, 0)} for m in result.models]
+    shapes = {r["field"]: r["signatures"] for r in most_common(result.verdicts.where(F.col("field").isin(*[m.field for m in result.models]))).collect()}
+    return [{"field": m.field, "rule": str(m.learned), "coverage": m.learned.coverage, "stability": m.stability, "accepted": m.learned.accepted, "signatures": shapes.get(m.field, ""), "settled": settled.get(m.field, 0)} for m in result.models]

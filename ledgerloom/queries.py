@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from . import bindings as b
 from .functions import normalize as n
 from .learn import evaluate as ev
+from .functions.chance import drawn_sql
 from .learn import privacy, resolve, search
-from .learn.dsl import Col, Concat, Fn, IfEq
+from .learn.dsl import branch, call, col, joined
+from .operators import features as ft
 from .operators import history, lookup, overrides, pairing, report, verdicts
-from .pipeline import reconcile, report_order, with_ids
+from .pipeline import learned_rules, reconcile, report_order, with_ids
 from .plans import fields as f
+from .streaming import verdicts as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,7 +148,24 @@ def pair_score(spark, sf_dir):
     return pairing.scored_candidates(b.source(spark, sf_dir), b.target(spark, sf_dir), "entity", "job", "type", "entry").groupBy("score").agg(F.count("*").alias("n"))
 
 
-@query()
+#: All ways to assign the smaller side's records, one step a record; the best, and of these the first, is kept.
+ASSIGNED = f"""{BOTH.replace("WITH src", "WITH RECURSIVE src")},
+ sr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM src),
+ tr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY k) - 1 AS j, count(*) OVER (PARTITION BY entity) AS m FROM tgt),
+ scored AS (SELECT s.entity, n <= m AS straight, least(n, m) AS small, CASE WHEN n <= m THEN i ELSE j END AS a, CASE WHEN n <= m THEN j ELSE i END AS b, CASE WHEN s.job IS NOT DISTINCT FROM d.job THEN 2 ELSE 0 END + CASE WHEN s.type IS NOT DISTINCT FROM d.type THEN 1 ELSE 0 END + CASE WHEN s.entry IS NOT DISTINCT FROM d.entry THEN 1 ELSE 0 END AS score FROM sr s JOIN tr d USING (entity)),
+ walk AS (SELECT DISTINCT entity, straight, small, 0 AS depth, CAST([] AS BIGINT[]) AS chosen, 0 AS total FROM scored
+  UNION ALL SELECT w.entity, w.straight, w.small, depth + 1, list_append(chosen, b), total + score FROM walk w JOIN scored c ON c.entity = w.entity AND a = depth AND NOT list_contains(chosen, b)),
+ best AS (SELECT entity, straight, arg_min(chosen, {{'less': -total, 'list': chosen}}) AS chosen FROM walk WHERE depth = small GROUP BY 1, 2),
+ met AS (SELECT entity, straight, unnest(range(len(chosen))) AS a, unnest(chosen) AS b FROM best),
+ matched AS (SELECT entity, s.k AS s_k, d.k AS d_k FROM met JOIN sr s USING (entity) JOIN tr d USING (entity) WHERE s.i = CASE WHEN straight THEN a ELSE b END AND d.j = CASE WHEN straight THEN b ELSE a END),
+ assigned AS (SELECT entity, s_k, d_k FROM matched UNION ALL SELECT entity, k, NULL FROM src WHERE k NOT IN (SELECT s_k FROM matched) UNION ALL SELECT entity, NULL, k FROM tgt WHERE k NOT IN (SELECT d_k FROM matched))"""
+
+
+for _name in ("src", "tgt", "sr", "tr", "scored", "best", "met", "matched"):  # else each step of the recursion makes them again
+    ASSIGNED = ASSIGNED.replace(f" {_name} AS (", f" {_name} AS MATERIALIZED (", 1)
+
+
+@query(f"{ASSIGNED} SELECT concat(coalesce(CAST(s_k AS VARCHAR), 'x'), '-', coalesce(CAST(d_k AS VARCHAR), 'x')) AS pair_id, entity, s_k, d_k FROM assigned")
 def pair_assignment(spark, sf_dir):
     return b.solved_pairs(spark, sf_dir).select("pair_id", "entity", F.col("s.k").alias("s_k"), F.col("d.k").alias("d_k"))
 
@@ -310,14 +330,26 @@ def crosstab_field(spark, sf_dir):
     return report.by_field(_long(spark, sf_dir))
 
 
-@query(f"{BOTH}{LONG} SELECT 'RULE' AS layer, {FOUR}, count(*) AS total FROM v")
+#: All layers: open names are settled (see resolve_ambiguous), one amount has an expert's verdict.
+LAYERED = f"""{BOTH}{LONG}, l AS (SELECT k, field, verdict AS rule_verdict, CASE WHEN k = 14 AND field = 'amount' THEN 'EXPERT' WHEN verdict = 'AMBIGUOUS' THEN 'LEARNED' ELSE 'RULE' END AS layer,
+ CASE WHEN k = 14 AND field = 'amount' THEN 'JUSTIFIED' WHEN verdict = 'AMBIGUOUS' THEN 'ANOMALY' ELSE verdict END AS verdict FROM v)"""
+
+
+def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = b.known_pairs(spark, sf_dir).where("pair_id = 14").select(n.row_id(F.col("entity"), F.col("kind"), F.col("position"), F.lit("amount"))).first()[0]
+    said = spark.createDataFrame([(0, "2024-01-02", "amount", "row", "JUSTIFIED", one, None, "seen")], overrides.SCHEMA)
+    made = reconcile(b.known_pairs(spark, sf_dir), b.STAR_RULES, overrides=said).verdicts
+    return made.withColumn("layer", F.when((F.col("layer") == "EXPERT") & (F.col("pair_id") != 14), "RULE").otherwise(F.col("layer"))).withColumn("verdict", F.when((F.col("layer") == "RULE"), F.col("rule_verdict")).otherwise(F.col("verdict")))
+
+
+@query(f"{LAYERED} SELECT layer, {FOUR}, count(*) AS total FROM l GROUP BY 1")
 def crosstab_layer(spark, sf_dir):
-    return report.by_layer(_signed(spark, sf_dir))
+    return report.by_layer(_layered(spark, sf_dir))
 
 
-@query(f"{BOTH}{LONG}, every AS (SELECT unnest(['MATCH', 'JUSTIFIED', 'ANOMALY', 'AMBIGUOUS']) AS rule_verdict) SELECT rule_verdict, {FOUR} FROM every LEFT JOIN v ON rule_verdict = verdict GROUP BY 1")
+@query(f"{LAYERED}, every AS (SELECT unnest(['MATCH', 'JUSTIFIED', 'ANOMALY', 'AMBIGUOUS']) AS rule_verdict), w AS (SELECT every.rule_verdict, l.verdict FROM every LEFT JOIN l USING (rule_verdict)) SELECT rule_verdict, {FOUR} FROM w GROUP BY 1")
 def flow_matrix(spark, sf_dir):
-    return report.flow(_signed(spark, sf_dir))
+    return report.flow(_layered(spark, sf_dir))
 
 
 @query(f"{BOTH}{LONG} SELECT count(*) AS checks, count(*) FILTER (verdict IN ('ANOMALY', 'AMBIGUOUS')) AS to_investigate, count(*) FILTER (verdict = 'JUSTIFIED') AS justified, count(*) FILTER (verdict = 'MATCH') AS matching, 0 AS learned, 0 AS expert, count(DISTINCT entity) AS entities FROM v")
@@ -391,17 +423,35 @@ def _overridden(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFram
     return overrides.apply_overrides(df, spark.createDataFrame(rows, overrides.SCHEMA)).select("pair_id", "field", "verdict", "layer", "confidence", "explanation")
 
 
-@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, CASE WHEN k = 14 AND field = 'amount' THEN 'JUSTIFIED' ELSE verdict END AS verdict, CASE WHEN k = 14 AND field = 'amount' THEN 'EXPERT' ELSE 'RULE' END AS layer FROM v")
+#: What the rules say of each row.
+SAID = """CASE WHEN field = '(assignment)' THEN 'No partner for this record of the source.' WHEN verdict = 'AMBIGUOUS' THEN concat('Only case differs (', expected, ' / ', actual, ').') WHEN verdict = 'ANOMALY' THEN concat('Expected ', coalesce(expected, '∅'), ', found ', coalesce(actual, '∅'), '.')
+ WHEN field = 'name' THEN concat('Equal (', coalesce(actual, '∅'), ').') ELSE concat('As expected (', coalesce(actual, '∅'), ').') END"""
+
+
+def _overridden_sql(hit: str, verdict: str, head: str) -> str:
+    changed = lambda new, old: f"CASE WHEN {hit} THEN {new} ELSE {old} END"
+    text = f"concat('Expert (2024-01-02, {head}): ', verdict, ' → {verdict}'"
+    comment = "' - seen'" if head == "this row" else "''"
+    return f"{BOTH}{SIGNED} SELECT k AS pair_id, field, {changed(repr(verdict), 'verdict')} AS verdict, {changed(repr('EXPERT'), repr('RULE'))} AS layer, 1.0 AS confidence, CASE WHEN field <> 'amount' THEN {changed(f'{text}, {comment}, {chr(39)}. Before: {chr(39)}, {SAID})', SAID)} END AS explanation FROM w"
+
+
+def _without_numbers(df: DataFrame) -> DataFrame:
+    """Texts that hold a double are left out: engines write doubles differently."""
+    return df.withColumn("explanation", F.when(F.col("field") != "amount", F.col("explanation")))
+
+
+@query(_overridden_sql("k = 14 AND field = 'type'", "JUSTIFIED", "this row"))
 def override_row(spark, sf_dir):
-    return _overridden(spark, sf_dir, [(0, "2024-01-02", "amount", "row", "JUSTIFIED", "14/amount", None, "seen")]).drop("confidence", "explanation")
+    return _without_numbers(_overridden(spark, sf_dir, [(0, "2024-01-02", "type", "row", "JUSTIFIED", "14/type", None, "seen")]))
 
 
-@query(f"{BOTH}{SIGNED} SELECT k AS pair_id, field, CASE WHEN field = 'type' AND signature = 'a → a' THEN 'JUSTIFIED' ELSE verdict END AS verdict, CASE WHEN field = 'type' AND signature = 'a → a' THEN 'EXPERT' ELSE 'RULE' END AS layer FROM w")
+@query(_overridden_sql("field = 'type' AND signature = 'a → a'", "JUSTIFIED", "pattern a → a of type"))
 def override_pattern(spark, sf_dir):
-    return _overridden(spark, sf_dir, [(0, "2024-01-02", "type", "pattern", "JUSTIFIED", None, "a → a", "")]).drop("confidence", "explanation")
+    return _without_numbers(_overridden(spark, sf_dir, [(0, "2024-01-02", "type", "pattern", "JUSTIFIED", None, "a → a", "")]))
 
 
-@query()
+@query(f"""{BOTH}{SIGNED}, one AS (SELECT *, concat('Expert (2024-01-02, pattern a → a of type): ', verdict, ' → JUSTIFIED. Before: ', {SAID}) AS first FROM w WHERE field = 'type' AND signature = 'a → a')
+ SELECT k AS pair_id, field, 'ANOMALY' AS verdict, 'EXPERT' AS layer, 1.0 AS confidence, CASE WHEN k = 31 THEN concat('Expert (2024-01-03, this row): JUSTIFIED → ANOMALY - no. Before: ', first) ELSE concat('Expert (2024-01-04, pattern a → a of type): JUSTIFIED → ANOMALY. Before: ', first) END AS explanation FROM one""")
 def override_fold(spark, sf_dir):
     rows = [(0, "2024-01-02", "type", "pattern", "JUSTIFIED", None, "a → a", ""), (1, "2024-01-03", "type", "row", "ANOMALY", "31/type", None, "no"), (2, "2024-01-04", "type", "pattern", "ANOMALY", None, "a → a", "")]
     return _overridden(spark, sf_dir, rows).where("layer = 'EXPERT'")
@@ -418,50 +468,84 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("y_mixed", F.when(F.col("s_type") == "F", F.col("s_job")).otherwise(F.col("s_segment")))
 
 
+MADE = f"{BOTH}, f AS (SELECT k, s.type AS s_type, s.job AS s_job, s.segment AS s_segment, strftime(s.entry, '%Y-%m-%d') AS s_entry, d.type AS y_type, strftime(d.entry, '%Y-%m-%d') AS y_entry, CASE WHEN s.type = 'F' THEN s.job ELSE s.segment END AS y_mixed, concat('ID_', upper(s.job), '@x') AS y_made {MATCHED})"
+#: The copies of source columns, as rows, with the target ``y``.
+COPIES = "leaf AS (SELECT k, y, unnest(['s_type', 's_job', 's_segment', 's_entry']) AS rule, unnest([s_type, s_job, s_segment, s_entry]) AS given FROM g), hit AS (SELECT k, rule, CAST(given IS NOT DISTINCT FROM y AS INT) AS h FROM leaf), total AS (SELECT rule, sum(h) AS hits, count(*) AS n FROM hit GROUP BY 1)"
+
+
 @query(f"{BOTH} SELECT 'type' AS rule, avg(CAST(s.type IS NOT DISTINCT FROM d.type AS INT)) AS coverage {MATCHED} UNION ALL SELECT 'lower(type)', avg(CAST(lower(s.type) IS NOT DISTINCT FROM d.type AS INT)) {MATCHED} UNION ALL SELECT 'type + type', avg(CAST(concat(s.type, s.type) IS NOT DISTINCT FROM d.type AS INT)) {MATCHED}")
 def dsl_coverage(spark, sf_dir):
-    rules = {"type": Col("s_type"), "lower(type)": Fn("lower", Col("s_type")), "type + type": Concat("", (Col("s_type"), Col("s_type")))}
-    rates = search.staged(_features(spark, sf_dir), "y_type", KINDS).coverage(list(rules.values()))
+    rules = {"type": col("s_type"), "lower(type)": call("lower", col("s_type")), "type + type": joined("", col("s_type"), col("s_type"))}
+    with search.Search(_features(spark, sf_dir), "y_type", KINDS) as s:
+        rates = [h.coverage for h in s.weigh(list(rules.values()))]
     return spark.createDataFrame(list(zip(rules, rates, strict=True)), "rule string, coverage double")
 
 
-@query(f"{BOTH} SELECT avg(CAST(CASE WHEN s.type = 'F' THEN s.job ELSE s.segment END IS NOT DISTINCT FROM CASE WHEN s.type = 'F' THEN s.job ELSE s.segment END AS INT)) AS coverage, avg(CAST(s.job = CASE WHEN s.type = 'F' THEN s.job ELSE s.segment END AS INT)) AS plain {MATCHED}")
+@query(f"{MADE} SELECT avg(CAST((s_segment = 'BUILDING' AND s_segment = y_mixed) OR (s_segment <> 'BUILDING' AND s_job = y_mixed) AS INT)) AS coverage, avg(CAST(s_job = y_mixed AS INT)) AS plain FROM f")
 def dsl_conditional(spark, sf_dir):
-    rule = IfEq("s_type", "F", Col("s_job"), Col("s_segment"))
-    rates = search.staged(_features(spark, sf_dir), "y_mixed", KINDS).coverage([rule, Col("s_job")])
+    with search.Search(_features(spark, sf_dir), "y_mixed", KINDS) as s:
+        rates = [h.coverage for h in s.weigh([branch("s_segment", "BUILDING", col("s_segment"), col("s_job")), col("s_job")])]
     return spark.createDataFrame([tuple(rates)], "coverage double, plain double")
 
 
-@query("SELECT 'ID_' AS prefix, '@x' AS suffix")
+@query(f"""{MADE}, m AS (SELECT min(y_made) AS y, count(y_made) AS n FROM f), c AS (SELECT y, n, unnest(range(1, length(y) + 1)) AS i FROM m), e AS (SELECT * FROM c WHERE substr(y, i, 1) IN ('_', '-', '@', '.')),
+ p AS (SELECT max(i) AS i FROM e WHERE (SELECT count(*) FROM f WHERE starts_with(y_made, left(e.y, e.i))) = n), z AS (SELECT min(i) AS i FROM e WHERE (SELECT count(*) FROM f WHERE ends_with(y_made, substr(e.y, e.i))) = n)
+ SELECT coalesce(left(m.y, p.i), '') AS prefix, coalesce(substr(m.y, z.i), '') AS suffix FROM m, p, z""")
 def affix(spark, sf_dir):
-    return spark.createDataFrame([search.common_affix(_features(spark, sf_dir), "y_made")], "prefix string, suffix string")
+    with search.Search(_features(spark, sf_dir), "y_made", KINDS) as s:
+        return spark.createDataFrame([s.ends()], "prefix string, suffix string")
 
 
 @query(f"{BOTH} SELECT avg(CAST(starts_with(concat(s.type, '-', s.job), s.type) AS INT)) AS first, avg(CAST(starts_with(concat(s.type, '-', s.job), s.segment) AS INT)) AS second {MATCHED}")
 def prefix_rate(spark, sf_dir):
     made = _features(spark, sf_dir).withColumn("y", F.concat_ws("-", "s_type", "s_job"))
-    return spark.createDataFrame([tuple(search.prefix_rates(search.staged(made, "y", KINDS), "_y", [Col("s_type"), Col("s_segment")]))], "first double, second double")
+    with search.Search(made, "y", KINDS) as s:
+        return spark.createDataFrame([tuple(x / s.rows for x in s.tally([s.begins("_y", r) for r in (col("s_type"), col("s_segment"))]))], "first double, second double")
+
+
+@query(f"{MADE} SELECT count(DISTINCT s_type) AS few, (SELECT count(DISTINCT y_made) FROM f) AS made FROM f")
+def constants(spark, sf_dir):
+    found = []
+    for y in ("y_type_plain", "y_made"):
+        with search.Search(_features(spark, sf_dir).withColumn("y_type_plain", F.col("s_type")), y, KINDS) as s:
+            found.append(len(s.constants()))
+    return spark.createDataFrame([tuple(found)], "few long, made long")
 
 
-@query("SELECT * FROM (VALUES ('y_type', 's_type', true), ('y_entry', 's_entry', true), ('y_mixed', 'IF s_type = ''F'' THEN s_job ELSE s_segment', true)) AS t(target, rule, accepted)")
+def _best_sql(target: str) -> str:
+    """The best rule of copies, and choices between copies by one value of a column, with its coverage."""
+    return f"""(WITH g AS (SELECT *, {target} AS y FROM f), {COPIES},
+ cell AS (SELECT k, rule AS c, given AS v FROM leaf WHERE rule <> 's_entry'), inside AS (SELECT c, v, rule, sum(h) AS hin FROM cell JOIN hit USING (k) GROUP BY 1, 2, 3),
+ choice AS (SELECT c, v, arg_max(rule, hin) AS a, max(hin) AS ha, arg_max(rule, hits - hin) AS z, max(hits - hin) AS hz, max(n) AS n FROM inside JOIN total USING (rule) GROUP BY 1, 2),
+ every AS (SELECT rule, hits / n AS coverage, 1 AS cost FROM total UNION ALL SELECT concat('IF ', c, ' = ''', v, ''' THEN ', a, ' ELSE ', z), (ha + hz) / n, 3 FROM choice WHERE a <> z)
+ SELECT '{target}' AS target, rule, coverage, coverage >= 0.8 AS accepted FROM every ORDER BY coverage - 0.02 * cost DESC, cost LIMIT 1)"""
+
+
+@query(f"{MADE} SELECT * FROM {_best_sql('y_type')} UNION ALL SELECT * FROM {_best_sql('y_entry')} UNION ALL SELECT * FROM {_best_sql('y_mixed')}")
 def dsl_learn(spark, sf_dir):
-    df = _features(spark, sf_dir).cache()
-    out = [(y, str(m := search.learn(df, y, KINDS)), m.accepted) for y in ("y_type", "y_entry", "y_mixed")]
-    df.unpersist()
-    return spark.createDataFrame(out, "target string, rule string, accepted boolean")
+    df = _features(spark, sf_dir)
+    out = [(y, str(m := search.learn(df, y, KINDS)), m.coverage, m.accepted) for y in ("y_type", "y_entry", "y_mixed")]
+    return spark.createDataFrame(out, "target string, rule string, coverage double, accepted boolean")
 
 
-@query("SELECT 's_type' AS rule, 1.0 AS share")
+@query(f"{MADE}, g AS (SELECT *, y_type AS y FROM f), {COPIES}, fold AS (SELECT k, arg_max(rule, (hits - h) / (n - 1)) AS rule, max((hits - h) / (n - 1)) AS coverage FROM hit JOIN total USING (rule) GROUP BY 1) SELECT rule, count(*) / (SELECT count(*) FROM g) AS share FROM fold WHERE coverage >= 0.8 GROUP BY 1")
 def stability(spark, sf_dir):
-    found = resolve.stability(_features(spark, sf_dir), "y_type", {k: KINDS[k] for k in ("s_type", "s_job", "s_segment")})
-    return spark.createDataFrame([(r, s) for r, _, s in found], "rule string, share double")
+    return spark.createDataFrame([(r, s) for r, _, s in resolve.stability(_features(spark, sf_dir), "y_type", KINDS)], "rule string, share double")
+
 
+#: Names: copied on ten of eleven rows, so the copy is learned, and rows that differ in case break it.
+SETTLED = f"{BOTH}{LONG}, l AS (SELECT k, field, CASE WHEN verdict = 'AMBIGUOUS' THEN 'LEARNED' ELSE 'RULE' END AS layer, CASE WHEN verdict = 'AMBIGUOUS' THEN 'learned rule broken' ELSE '' END AS method, CASE WHEN verdict = 'AMBIGUOUS' THEN 'ANOMALY' ELSE verdict END AS verdict, CASE WHEN verdict = 'AMBIGUOUS' THEN round((SELECT count(*) FILTER (verdict = 'MATCH') / count(*) FROM v WHERE field = 'name'), 3) ELSE 1 END AS confidence FROM v)"
 
-@query()
+
+@query(f"{SETTLED} SELECT field, layer, method, verdict, max(confidence) AS confidence, count(*) AS n FROM l GROUP BY 1, 2, 3, 4")
 def resolve_ambiguous(spark, sf_dir):
-    features = _features(spark, sf_dir).join(b.known_pairs(spark, sf_dir).select("pair_id", F.col("s.name").alias("s_name"), F.col("d.name").alias("y_name")), "pair_id")
-    result = reconcile(b.known_pairs(spark, sf_dir), b.STAR_RULES, features, {"name": "y_name"}, {"s_name": "string", "s_segment": "string"})
-    return result.verdicts.groupBy("field", "layer", "method", "verdict").agg(F.count("*").alias("n"))
+    result = reconcile(b.known_pairs(spark, sf_dir), b.STAR_RULES)
+    return result.verdicts.groupBy("field", "layer", "method", "verdict").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+
+
+@query(f"{BOTH}{LONG} SELECT 'name' AS field, 'src_name' AS rule, count(*) FILTER (verdict = 'MATCH') / count(*) AS coverage, 1.0 AS stability, true AS accepted, concat('= x', count(*) FILTER (verdict = 'MATCH'), '; a#9 → a#9 x', count(*) FILTER (verdict <> 'MATCH')) AS signatures, count(*) FILTER (verdict = 'AMBIGUOUS') AS settled FROM v WHERE field = 'name'")
+def learned_summary(spark, sf_dir):
+    return spark.createDataFrame(learned_rules(reconcile(b.known_pairs(spark, sf_dir), b.STAR_RULES)), "field string, rule string, coverage double, stability double, accepted boolean, signatures string, settled long")
 
 
 @query(f"{BOTH}{LONG} SELECT field, 'sum' AS method, count(*) FILTER (k % 5 = 0 AND verdict = 'ANOMALY') / nullif(count(*) FILTER (k % 5 = 0), 0) AS precision, count(*) FILTER (k % 5 = 0 AND verdict = 'ANOMALY') / nullif(count(*) FILTER (verdict = 'ANOMALY'), 0) AS recall FROM v GROUP BY 1")
@@ -476,26 +560,151 @@ def f1_pivot(spark, sf_dir):
     return ev.f1_pivot(ev.counts(flagged, ["field", "method"]), ["even"])
 
 
-@query()
+def _injected_sql(target: str, seed: int, per_field: int, eligible: str) -> str:
+    """Rows of f made wrong as in evaluate.inject_errors."""
+    d = lambda i: drawn_sql("k", seed * 4 + i)
+    return f"""picked AS (SELECT k FROM f WHERE {eligible} ORDER BY {d(0)}, k LIMIT {per_field}), given AS (SELECT list({target} ORDER BY o, k) AS donors FROM (SELECT {target}, k, {d(1)} AS o FROM f WHERE {target} IS NOT NULL ORDER BY o, k LIMIT {ev.DONORS * per_field})),
+ wrong AS (SELECT f.*, k IN (SELECT k FROM picked) AS injected, [x for x in donors if x <> {target}] AS others FROM f, given),
+ spoiled AS (SELECT * REPLACE (CASE WHEN injected THEN others[({d(2)} % len(others)) + 1] ELSE {target} END AS {target}) FROM wrong)"""
+
+
+@query(f"{MADE}, {_injected_sql('y_type', 1, 50, 'true')} SELECT k AS pair_id, y_type FROM spoiled WHERE injected")
 def inject_errors(spark, sf_dir):
     return ev.inject_errors(_features(spark, sf_dir), "y_type", "pair_id", 1, 50, F.lit(True)).where("injected").select("pair_id", "y_type")
 
 
-@query()
+@query(f"""{MADE}, {_injected_sql('y_type', 3, 20, 'y_type = s_type')}, c AS (SELECT count(*) FILTER (y_type IS DISTINCT FROM s_type) AS tp, count(*) FILTER (injected) AS injected, avg(CAST(y_type IS NOT DISTINCT FROM s_type AS INT)) AS coverage FROM spoiled)
+ SELECT 'type' AS field, method, CASE WHEN method IN ('S1', 'S1b', 'H') THEN 's_type' END AS rule, CASE WHEN method IN ('S1', 'S1b', 'H') THEN coverage END AS coverage, CASE WHEN method <> 'S4' THEN 1.0 END AS agreement, false AS abstained, tp, 0 AS fp, 0 AS fn, injected AS found, injected FROM c, (SELECT unnest(['S1', 'S1b', 'S2', 'S4', 'H']) AS method)""")
 def experiment(spark, sf_dir):
     df = ev.inject_errors(_features(spark, sf_dir).withColumn("expected", F.col("s_type")), "y_type", "pair_id", 3, 20, F.col("y_type") == F.col("s_type"))
     kinds = {k: KINDS[k] for k in ("s_type", "s_job", "s_segment")}
     return ev.experiment(df.withColumn("truth", ~F.col("y_type").eqNullSafe(F.col("expected"))), "type", "y_type", kinds, "expected", "truth", "injected")
 
 
-@query()
+_TP = "count(*) FILTER (k % 5 = 0 AND verdict = 'ANOMALY')"
+
+
+@query(f"{BOTH}{LONG}, t AS (SELECT {_TP} / count(*) FILTER (k % 5 = 0) AS precision, {_TP} / count(*) FILTER (verdict = 'ANOMALY') AS recall FROM v WHERE field <> '(assignment)') SELECT 'fives' AS method, unnest(['precision', 'recall', 'f1']) AS measure, unnest([precision, recall, 2 * precision * recall / (precision + recall)]) AS value FROM t")
+def measures(spark, sf_dir):
+    flagged = _long(spark, sf_dir).where("field <> '(assignment)'").select(F.lit("fives").alias("method"), (F.col("pair_id") % 5 == 0).alias("flag"), (F.col("verdict") == "ANOMALY").alias("truth"))
+    return ev.measures_long(ev.prf(ev.counts(flagged, ["method"]), ["method"]))
+
+
+@query(f"{BOTH}{LONG}, c AS (SELECT field, avg(CAST(verdict = 'MATCH' AS INT)) AS agreement, bool_or(verdict = 'AMBIGUOUS') AS abstained, count(*) FILTER (verdict = 'ANOMALY' AND k % 2 = 0) AS found, count(*) FILTER (verdict = 'ANOMALY') AS injected FROM v GROUP BY 1) SELECT 'rules' AS method, count(*) FILTER (agreement = 1) AS recovered, count(*) FILTER (abstained) AS abstentions, sum(found) / sum(injected) AS rate FROM c")
+def recovered_and_detected(spark, sf_dir):
+    v, k = F.col("verdict"), F.col("pair_id")
+    own = _long(spark, sf_dir).groupBy(F.lit("rules").alias("method"), "field").agg(F.avg((v == "MATCH").cast("int")).alias("agreement"), F.bool_or(v == "AMBIGUOUS").alias("abstained"), F.count_if((v == "ANOMALY") & (k % 2 == 0)).alias("found"), F.count_if(v == "ANOMALY").alias("injected"))
+    return ev.recovered(own).join(ev.detection(own).select("method", "rate"), "method")
+
+
+@query(f"{BOTH}{SIGNED}, c AS (SELECT field, signature, count(*) AS n FROM w WHERE signature <> '' GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY field) AS share FROM c) SELECT field, max(share) AS top_share, 1 - max(share) AS confidence FROM t WHERE signature <> '=' GROUP BY 1 HAVING max(share) < 0.5")
+def signature_judge(spark, sf_dir):
+    return resolve.judge(_signed(spark, sf_dir)).where(F.size("systemic") == 0).select("field", "top_share", "confidence")
+
+
+@query(f"{BOTH}{SIGNED}, c AS (SELECT field, signature, count(*) AS n FROM w WHERE signature <> '' GROUP BY 1, 2) SELECT field, string_agg(concat(signature, ' x', n), '; ' ORDER BY n DESC, signature) AS signatures FROM c GROUP BY 1")
+def signatures_by_count(spark, sf_dir):
+    return resolve.most_common(_signed(spark, sf_dir))
+
+
+@query(f"{BOTH} SELECT k AS pair_id, s.type AS src_type, strftime(s.entry, '%Y-%m-%d') AS src_entry, s.k AS src_k, n_name AS reason_code, d.job AS y_job, strftime(d.entry, '%Y-%m-%d') AS y_entry {MATCHED} LEFT JOIN nation ON s.reason = n_nationkey")
+def feature_rows(spark, sf_dir):
+    made = ft.feature_table(lookup.with_reason(b.known_pairs(spark, sf_dir), b.reasons(spark, sf_dir), "reason"), ["job", "entry"], ("segment",))
+    assert "src_segment" not in made.kinds and made.targets == {"job": "y_job", "entry": "y_entry"}
+    return made.df.select("pair_id", "src_type", F.date_format("src_entry", "yyyy-MM-dd").alias("src_entry"), F.col("src_k").cast("long").alias("src_k"), "reason_code", "y_job", "y_entry")
+
+
+SECRET = "0123456789abcdef"
+_FAKE = "translate(left(sha256(concat('{secret}/fake/surname/', {0})), 24), '0123456789', 'ghijklmnop')".replace("{secret}", SECRET)
+_DAYS = f"CAST(concat('0x', left(sha256(concat('{SECRET}/days/', k)), 8)) AS BIGINT) % {2 * privacy.MOST_DAYS}"
+_RUN = f"left(translate(sha256(concat('{SECRET}/digits/', k + 100000)), 'abcdef', '012345'), length(concat('', k + 100000)))"
+
+
+@query(f"WITH {SRC}, q AS (SELECT *, concat('S', {_FAKE.format('name')}) AS fake, {_DAYS} AS x FROM src) SELECT k, fake AS name, job, entry + CAST(CASE WHEN x < {privacy.MOST_DAYS} THEN x - {privacy.MOST_DAYS} ELSE x - {privacy.MOST_DAYS} + 1 END AS INT) AS entry, concat('call ', fake, ' at ', CASE WHEN {_RUN} <> concat('', k + 100000) THEN {_RUN} ELSE translate(concat('', k + 100000), '0123456789', '1234567890') END) AS note FROM q")
 def pseudonymise_check(spark, sf_dir):
-    rows = b.source(spark, sf_dir).select("k", "name", "job", "entry", F.concat_ws(" ", F.lit("call"), "name", F.lit("at"), (F.col("k") + 100000).cast("string")).alias("note"))
-    return privacy.pseudonymise(rows, "k", {"name": "surname"}, ["job", "entry"], ["entry"], "note")
+    rows = b.source(spark, sf_dir).select("k", "name", "job", "entry", F.concat_ws(" ", F.lit("call"), F.upper("name"), F.lit("at"), (F.col("k") + 100000).cast("string")).alias("note"))
+    return privacy.pseudonymise(rows, "k", {"name": "surname"}, ["job", "entry"], ["entry"], "note", SECRET)
+
+
+# Small parts --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT k, strip_accents(t) AS strip_accents, lower(t) AS lower, upper(t) AS upper, left(t, 1) AS first_char, right(t, 3) AS last3, CASE WHEN regexp_full_match(u, '\\d+') THEN lpad(u, CAST(greatest(length(u), 5) AS INT), '0') END AS zpad5 FROM (SELECT o_orderkey AS k, concat(o_orderpriority, ' É', o_orderkey) AS t, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE concat('', o_orderkey) END AS u FROM orders)")
+def dsl_functions(spark, sf_dir):
+    rows = _orders(spark, sf_dir, "concat(o_orderpriority, ' É', o_orderkey)").join(_orders(spark, sf_dir, "CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE string(o_orderkey) END").withColumnRenamed("t", "u"), "k")
+    kinds = {"t": "string", "u": "string"}
+    return rows.select("k", *(call(fn, col("u" if fn == "zpad5" else "t")).text(kinds).alias(fn) for fn in ("strip_accents", "lower", "upper", "first_char", "last3", "zpad5")))
+
+
+@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, concat(entity, '/', kind, '/', position, '/', field) AS id FROM v")
+def row_ids(spark, sf_dir):
+    return with_ids(_long(spark, sf_dir)).select("pair_id", "field", "id")
+
+
+@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, {SAID} AS explanation FROM v WHERE field <> 'amount'")
+def explanations(spark, sf_dir):
+    return _long(spark, sf_dir, True).where("field <> 'amount'").select("pair_id", "field", "explanation")
+
+
+@query(f"{BOTH} SELECT coalesce(s.k, d.k) AS pair_id, coalesce(s.type, d.type) AS kind, coalesce(s.job, d.job) AS job FROM (SELECT * FROM src WHERE k % 23 <> 0) s FULL JOIN tgt d ON s.k = d.k")
+def source_first(spark, sf_dir):
+    s, d = b.source(spark, sf_dir).where("k % 23 <> 0"), b.target(spark, sf_dir)
+    pairs = s.select(F.col("k").alias("_a"), F.struct("*").alias("s")).join(d.select(F.col("k").alias("_b"), F.struct("*").alias("d")), F.col("_a") == F.col("_b"), "full_outer")
+    return verdicts.identity(pairs.select(F.coalesce("_a", "_b").alias("pair_id"), "s", "d"), {"kind": ("type", "type"), "job": ("job", "job")}).select("pair_id", "kind", "job")
+
+
+@query(f"{BOTH}{LONG} SELECT rule, CASE rule WHEN 'R-DIRECT' THEN '{f.RULES['R-DIRECT']}' WHEN 'R-NOM' THEN '{f.RULES['R-NOM']}' ELSE '{f.RULES['R-MATCH']}' END AS rule_text, count(*) AS rows FROM v GROUP BY 1")
+def rule_catalogue(spark, sf_dir):
+    return report.catalogue(verdicts.describe_rules(_long(spark, sf_dir)))
+
+
+@query(f"{BOTH}{LONG} SELECT field, count(*) AS open FROM v WHERE verdict = 'AMBIGUOUS' GROUP BY 1")
+def open_rows(spark, sf_dir):
+    return _long(spark, sf_dir).where("verdict = 'AMBIGUOUS'").groupBy("field").agg(F.count("*").alias("open"))
+
+
+@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, {PRIORITY} AS priority FROM v WHERE verdict IN ('ANOMALY', 'AMBIGUOUS') ORDER BY 3 DESC, concat(entity, '/', kind, '/', position, '/', field), k LIMIT 50 OFFSET 8")
+def investigate_page(spark, sf_dir):
+    return report.page(report.to_investigate(_ranked(spark, sf_dir)), [F.desc("priority"), "id", "pair_id"], 50, 8).select("pair_id", "field", "priority")
+
+
+@query(f"{BOTH}{LONG} SELECT k AS pair_id, rule, verdict, {SAID} AS explanation FROM v WHERE field = '(assignment)'")
+def unmatched_rows(spark, sf_dir):
+    return _long(spark, sf_dir, True).where("rule = 'R-MATCH'").select("pair_id", "rule", "verdict", "explanation")
+
+
+@query("SELECT unnest(['a', 'b', 'c', 'd']) AS field, unnest(['x', 'x', 'y', 'z w']) AS source")
+def used_columns(spark, sf_dir):
+    made = spark.createDataFrame([("a", "x"), ("b", " x "), ("c", "y"), ("d", "z w,")], "field string, sources string")
+    return report.used_sources(made.union(made))
+
+
+@query("SELECT unnest(['e', 'e']) AS field, unnest(['p', 'q history']) AS source")
+def used_columns_joined(spark, sf_dir):
+    return report.used_sources(spark.createDataFrame([("e", "p + q history")], "field string, sources string"))
+
+
+@query(f"{BOTH}, p AS (SELECT DISTINCT job AS code, type AS label FROM tgt), q AS (SELECT *, count(*) OVER (PARTITION BY code) = 1 AND count(*) OVER (PARTITION BY label) = 1 AS one_to_one FROM p) SELECT k AS pair_id, one_to_one {MATCHED} LEFT JOIN q ON d.job = q.code AND d.type = q.label")
+def fd_lookup(spark, sf_dir):
+    pairs = b.known_pairs(spark, sf_dir).where("d is not null")
+    return lookup.with_dependency(pairs, b.target(spark, sf_dir), "job", "type").select("pair_id", F.col("fd.one_to_one").alias("one_to_one"))
+
+
+@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, CASE verdict WHEN 'MATCH' THEN 'Match' WHEN 'ANOMALY' THEN 'Anomaly' ELSE 'Open' END AS verdict FROM v")
+def verdict_labels(spark, sf_dir):
+    return report.labelled(_long(spark, sf_dir)).select("pair_id", "field", "verdict")
+
+
+@query(f"{BOTH}, q AS (SELECT k, year(CAST(s.entry AS DATE)) AS year, {CASES['amount']} AS amount, {CASES['type']} AS type {MATCHED}), v AS (SELECT year, unnest(['amount', 'type']) AS field, unnest([amount, type]) AS verdict FROM q) SELECT year, field, {FOUR} FROM v GROUP BY 1, 2")
+def stream_counts(spark, sf_dir):
+    """The rules over a stream of orders; counts per year, as a stream keeps them, read from its table at the end."""
+    orders = spark.readStream.schema(b.table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    rules = [r for r in b.STAR_RULES if r.target in ("amount", "type")]
+    rows = streams.stream_verdicts(b.streamed_pairs(orders), rules, ["pair_id", "ts"])
+    return streams.finished(streams.windowed_counts(rows, "ts", "1 day"), "verdict_windows").groupBy(F.year("window.start").alias("year"), "field").agg(*(F.sum(v).alias(v) for v in verdicts.RANK))
 
 
-@query()
+@query(f"""{ASSIGNED}, pr AS (SELECT concat(coalesce(CAST(s_k AS VARCHAR), 'x'), '-', coalesce(CAST(d_k AS VARCHAR), 'x')) AS pair_id, s_k, d_k FROM assigned), {LONG[2:].replace(MATCHED, "FROM pr JOIN src s ON s.k = s_k JOIN tgt d ON d.k = d_k").replace("SELECT k, s.entity", "SELECT pair_id AS k, s.entity").replace("SELECT k, entity, type, position, '(assignment)', 'ANOMALY', 'R-MATCH', NULL, NULL FROM src WHERE k % 29 = 0", "SELECT pair_id, coalesce(s.entity, d.entity), coalesce(s.type, d.type), coalesce(s.position, d.position), '(assignment)', 'ANOMALY', 'R-MATCH', NULL, NULL FROM pr LEFT JOIN src s ON s.k = s_k LEFT JOIN tgt d ON d.k = d_k WHERE s_k IS NULL OR d_k IS NULL")}
+ SELECT k AS pair_id, field, verdict AS rule_verdict, rule, CASE WHEN verdict = 'AMBIGUOUS' THEN 'ANOMALY' ELSE verdict END AS verdict, CASE WHEN verdict = 'AMBIGUOUS' THEN 'LEARNED' ELSE 'RULE' END AS layer FROM v""")
 def full_pipeline(spark, sf_dir):
-    pairs = b.solved_pairs(spark, sf_dir)
-    pairs = verdicts.identity(pairs, {"kind": ("type", "type"), "position": ("position", "position"), "job": ("job", "job")})
-    return report_order(reconcile(pairs, b.STAR_RULES))
+    return report_order(reconcile(b.identified_pairs(spark, sf_dir), b.STAR_RULES)).select("pair_id", "field", "rule_verdict", "rule", "verdict", "layer")

@@ -1,22 +1,25 @@
 """What a front end asks for, as plain functions over DataFrames: datasets, results, one row, rules, proofs, overrides,
-exports. Results are kept per dataset and state of the override log; proofs per field and dataset."""
+evaluations, exports. Results are kept per dataset and state of the override log; proofs per field and version of a
+dataset."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .learn import privacy, resolve
-from .learn.dsl import Kinds
-from .learn.search import Learned, staged
+from .learn import evaluate, privacy, resolve
+from .learn.dsl import OPS
+from .learn.search import Learned, Search
 from .operators import report
+from .operators.features import Features, feature_table
 from .pipeline import Result, learned_rules, reconcile, report_order
 from .plans.tree import describe
-from .sources.tables import REQUIRED, add_override, load_overrides, remove_override, write_csv, write_report
+from .sources.tables import Inputs, add_line, add_override, as_json, load_all, load_overrides, remove_override, write_csv, write_report
 
 #: Rows of a report sheet at most; the whole table goes to Parquet (``sources.tables.write_verdicts``).
 SHEET_ROWS = 100_000
@@ -24,13 +27,21 @@ SHEET_ROWS = 100_000
 
 @dataclass
 class Dataset:
-    """Pairs with all looked-up columns, the rules, and what the learned layer needs."""
+    """Pairs with all looked-up columns, the rules, and the source columns that learners may not see."""
 
     pairs: DataFrame
     rules: list
-    features: DataFrame | None = None
-    targets: dict[str, str] | None = None
-    kinds: Kinds | None = None
+    features: Features | None = None
+    hidden: tuple[str, ...] = ()
+
+    def learnable(self) -> Features:
+        if self.features is None:
+            self.features = feature_table(self.pairs, [r.target for r in self.rules], self.hidden)
+        return self.features
+
+    def study(self, open_fields: list[str], proposals: dict | None = None) -> evaluate.Study:
+        names = [r.target for r in self.rules if r.target in self.learnable().targets]
+        return evaluate.Study(self.pairs, self.rules, self.features, [x for x in names if x not in open_fields], [x for x in names if x in open_fields], proposals or {})
 
 
 @dataclass
@@ -38,53 +49,88 @@ class Service:
     spark: SparkSession
     log: Path
     datasets: dict[str, Dataset] = field(default_factory=dict)
+    _versions: dict[str, int] = field(default_factory=dict)
     _results: dict[tuple, Result] = field(default_factory=dict)
     _proofs: dict[tuple, dict] = field(default_factory=dict)
 
-    def register(self, name: str, dataset: Dataset, files: dict[str, str] | None = None) -> None:
-        """``files``, if given, must name all required inputs; nothing is kept if one is missing."""
-        if files is not None and (missing := sorted(set(REQUIRED) - set(files))):
-            raise ValueError(f"missing inputs: {', '.join(missing)}")
+    def register(self, name: str, dataset: Dataset) -> None:
+        """A dataset of this name begins a new version: results and proofs of the old one are let go."""
         self.datasets[name] = dataset
-        for kept in (self._results, self._proofs):
-            for k in [k for k in kept if k[0] == name]:
-                del kept[k]
+        self._versions[name] = self._versions.get(name, 0) + 1
+        for old in [k for k in self._results if k[0] == name]:
+            self._results.pop(old).close()
+        for old in [k for k in self._proofs if k[0] == name]:
+            del self._proofs[old]
+
+    def upload(self, name: str, paths: dict[str, str], build: Callable[[Inputs], Dataset]) -> DataFrame:
+        """Loads the four inputs (all must be named), builds the dataset and reconciles it once. If anything fails the
+        dataset of this name stays what it was."""
+        before = self.datasets.get(name)
+        made = build(load_all(self.spark, paths))
+        try:
+            self.register(name, made)
+            return self.spark.createDataFrame(report.kpis(self.result(name).verdicts).collect())
+        except Exception:
+            if before is None:
+                self.datasets.pop(name, None)
+            else:
+                self.register(name, before)
+            raise
 
     def result(self, name: str) -> Result:
-        stamp = self.log.stat().st_mtime_ns if self.log.exists() else 0
-        if (name, stamp) not in self._results:
+        key = (name, self._versions[name], self.log.stat().st_mtime_ns if self.log.exists() else 0)
+        if key not in self._results:
             for old in [k for k in self._results if k[0] == name]:
-                self._results.pop(old).verdicts.unpersist()
+                self._results.pop(old).close()
             d = self.datasets[name]
-            made = reconcile(d.pairs, d.rules, d.features, d.targets, d.kinds, load_overrides(self.spark, self.log))
-            self._results[name, stamp] = Result(made.verdicts.cache(), made.models)
-        return self._results[name, stamp]
+            self._results[key] = reconcile(d.pairs, d.rules, True, d.learnable(), load_overrides(self.spark, self.log))
+        return self._results[key]
 
     def summary(self, name: str) -> dict[str, DataFrame]:
         df = self.result(name).verdicts
-        return {"kpis": report.kpis(df), "fields": report.by_field(df), "layers": report.by_layer(df), "flow": report.flow(df), "learned": self.spark.createDataFrame(learned_rules(self.result(name)) or [], "field string, rule string, coverage double, stability double, accepted boolean, settled long")}
+        learned = self.spark.createDataFrame(learned_rules(self.result(name)), "field string, rule string, coverage double, stability double, accepted boolean, signatures string, settled long")
+        return {"kpis": report.kpis(df), "fields": report.by_field(df), "layers": report.by_layer(df), "flow": report.flow(df), "learned": learned, "catalogue": report.catalogue(df)}
 
     def rows(self, name: str, size: int = 100, start: int = 0, **criteria) -> DataFrame:
         return report_order(Result(report.browse(self.result(name).verdicts, **criteria))).offset(start).limit(size)
 
+    def rows_json(self, name: str, size: int = 100, start: int = 0, **criteria) -> list[str]:
+        """A page as JSON objects."""
+        return [r["json"] for r in as_json(self.rows(name, size, start, **criteria)).collect()]
+
+    def top(self, name: str, size: int = 8) -> DataFrame:
+        """What to look at first."""
+        return report.page(report.to_investigate(self.result(name).verdicts), [F.desc("priority"), "id"], size)
+
     def row(self, name: str, row: str) -> DataFrame:
         return report.drill_down(self.result(name).verdicts, self.datasets[name].pairs, row)
 
     def rules(self, name: str) -> list[dict]:
-        counts = {r["field"]: r.asDict() for r in report.by_field(self.result(name).verdicts, None).collect()}
-        return [{"field": r.target, "sources": r.sources, "rule": r.rule, "tree": describe(r.tree)} | counts.get(r.target, {}) for r in self.datasets[name].rules]
+        """The rules with their counts, what was learned about their fields and the overrides of their fields."""
+        df = self.result(name).verdicts
+        counts = {r["field"]: r.asDict() for r in report.by_field(df, None).collect()}
+        learned = {x["field"]: x for x in learned_rules(self.result(name))}
+        said = {r["field"]: r["count"] for r in load_overrides(self.spark, self.log).groupBy("field").count().collect()}
+        used: dict[str, list[str]] = {}
+        for r in report.used_sources(df).collect():  # a few per rule
+            used.setdefault(r["field"], []).append(r["source"])
+        return [
+            {"field": r.target, "sources": r.sources, "columns": sorted(used.get(r.target, [])), "rule": r.rule, "tree": describe(r.tree), "learned": learned.get(r.target), "overrides": said.get(r.target, 0)} | counts.get(r.target, {})
+            for r in self.datasets[name].rules
+        ]
 
     def proof(self, name: str, of: str) -> dict:
         """The learned rule of a field, its evidence, rivals, folds and whether pseudonyms change its coverage."""
-        if (name, of) not in self._proofs:
-            d = self.datasets[name]
-            y = d.targets[of]
-            model = resolve.field_model(d.features, of, y, d.kinds)
-            found: dict = {"rule": str(model.learned), "coverage": model.learned.coverage, "accepted": model.learned.accepted, "rivals": resolve.alternatives(d.features, y, d.kinds), "folds": resolve.stability(d.features, y, d.kinds)}
-            if model.learned.expr:
-                found |= {"evidence": in_doubt_first(resolve.evidence(d.features, y, d.kinds, model.learned.expr)), "private": privacy_check(d.features, y, d.kinds, model.learned)}
-            self._proofs[name, of] = found
-        return self._proofs[name, of]
+        key = (name, self._versions[name], of)
+        if key not in self._proofs:
+            f = self.datasets[name].learnable()
+            y = f.targets[of]
+            model = resolve.field_model(f, of)
+            found: dict = {"rule": str(model.learned), "coverage": model.learned.coverage, "accepted": model.learned.accepted, "rivals": resolve.alternatives(f.df, y, f.kinds), "folds": resolve.stability(f.df, y, f.kinds)}
+            if model.learned.rule:
+                found |= {"evidence": in_doubt_first(resolve.evidence(f.df, y, f.kinds, model.learned.rule)), "private": privacy_check(f, y, model.learned)}
+            self._proofs[key] = found
+        return self._proofs[key]
 
     def override(self, entry: dict) -> dict:
         return add_override(entry, self.log)
@@ -92,14 +138,27 @@ class Service:
     def undo(self, index: int) -> None:
         remove_override(index, self.log)
 
+    def feedback(self, entry: dict) -> dict:
+        """A remark of a reader, kept beside the override log."""
+        return add_line(entry, self.log.with_name("feedback.jsonl"))
+
+    def evaluate(self, name: str, open_fields: list[str], folder: str | Path, seeds: int = 5, proposals: dict | None = None) -> dict[str, DataFrame]:
+        evaluate.write_study(self.datasets[name].study(open_fields, proposals), folder, seeds)
+        return evaluate.load_study(self.spark, folder)
+
     def export_csv(self, name: str, path: str | Path) -> None:
         write_csv(report_order(self.result(name)), path)
 
     def export_workbook(self, name: str, path: str | Path) -> Path:
+        """A workbook for readers. A sheet holds SHEET_ROWS rows at most; what a sheet leaves out is counted on the sheet
+        "Rows", and the whole table is had by ``export_csv`` or as Parquet."""
         df, parts = self.result(name).verdicts, self.summary(name)
-        sheets = {"Summary": parts["kpis"], "Layers": parts["layers"], "Fields": parts["fields"], "To investigate": report.to_investigate(df).limit(SHEET_ROWS)}
-        sheets |= {v.capitalize(): df.where(F.col("verdict") == v).limit(SHEET_ROWS) for v in ("JUSTIFIED", "MATCH")} | {"All": report_order(self.result(name)).limit(SHEET_ROWS), "Learned rules": parts["learned"]}
-        return write_report(sheets | {"Overrides": load_overrides(self.spark, self.log)}, path)
+        whole = {"To investigate": report.to_investigate(df), "Justified": df.where("verdict = 'JUSTIFIED'"), "Match": df.where("verdict = 'MATCH'"), "All": report_order(self.result(name))}
+        n = {r["verdict"]: r["count"] for r in df.groupBy("verdict").count().collect()}
+        rows = {"To investigate": n.get("ANOMALY", 0) + n.get("AMBIGUOUS", 0), "Justified": n.get("JUSTIFIED", 0), "Match": n.get("MATCH", 0), "All": sum(n.values())}
+        held = self.spark.createDataFrame([(k, min(v, SHEET_ROWS), v) for k, v in rows.items()], "sheet string, rows_here long, rows_in_all long")
+        sheets = {"Summary": parts["kpis"], "Layers": parts["layers"], "Fields": parts["fields"], "Rows": held} | {k: report.labelled(v.limit(SHEET_ROWS)) for k, v in whole.items()}
+        return write_report(sheets | {"Learned rules": parts["learned"], "Rule catalogue": parts["catalogue"], "Overrides": load_overrides(self.spark, self.log)}, path)
 
 
 def in_doubt_first(evidence: DataFrame) -> DataFrame:
@@ -107,15 +166,16 @@ def in_doubt_first(evidence: DataFrame) -> DataFrame:
     return evidence.orderBy("reproduced", "pair_id")
 
 
-def privacy_check(features: DataFrame, target: str, kinds: Kinds, learned: Learned, seed: int = 7) -> dict[str, float]:
-    """Coverage of the rule on real dates and on dates shifted per row: relations inside a row survive."""
-    days = privacy.shift_days(F.col("pair_id"), seed)
-    dates = [c for c, kind in kinds.items() if kind == "date"]
-    moved = features.withColumns({c: F.date_add(F.col(f"`{c}`"), days) for c in dates})
-    as_date = F.col(f"`{target}`").try_cast("date")
-    if dates:
-        moved = moved.withColumn(target, F.when(F.col(f"`{target}`").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.date_format(F.date_add(as_date, days), "yyyy-MM-dd")).otherwise(F.col(f"`{target}`")))
-    return {name: staged(df, target, kinds).coverage([learned.expr])[0] for name, df in (("real", features), ("shifted", moved))}
+def privacy_check(features: Features, target: str, learned: Learned, identifiers: dict[str, str] | None = None) -> dict[str, float]:
+    """Coverage of the rule on real rows and on rows as they would be sent out: what holds inside a row survives."""
+    names = identifiers or {}
+    dates = [c for c, kind in features.kinds.items() if kind == "date"]
+    sent = privacy.pseudonymise(features.df, "pair_id", names, [c for c in features.kinds if c not in names], dates, target)
+    out = {}
+    for name, df in (("real", features.df), ("pseudonyms", sent)):
+        with Search(df, target, features.kinds) as search:
+            out[name] = search.weigh([learned.rule])[0].coverage
+    return out
 
 
 def agreement(evidence: DataFrame, documented: DataFrame) -> DataFrame:
@@ -134,10 +194,31 @@ def flagged_labels(flags: DataFrame) -> DataFrame:
 
 def examples(features: DataFrame, target: str, columns: list[str], k: int = 6) -> list[str]:
     """The first rows as JSON for an external proposer: sorted columns, empty ones left out. Pseudonymise before."""
-    rows = features.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)), F.col(f"`{target}`").cast("string").alias("target")).limit(k).collect()
+    rows = features.orderBy("pair_id").select(*(F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)), F.col(f"`{target}`").cast("string").alias("target")).limit(k).collect()
     return [json.dumps({c: v for c, v in r.asDict().items() if v not in (None, "")}, ensure_ascii=False) for r in rows]
 
 
-def audit(payload: list[str], path: str | Path) -> None:
+def grammar() -> str:
+    """The rule language as JSON forms, one per operation."""
+    form = lambda name, op: {"op": name} | {w: "..." for w in op.words} | ({op.parts: ["rule", "rule"]} if isinstance(op.parts, str) else {p: "rule" for p in op.parts})
+    return "\n".join(json.dumps(form(name, op)) for name, op in OPS.items())
+
+
+def payload(study: evaluate.Study, of: str, identifiers: dict[str, str], allowed: list[str], folder: str | Path, k: int = 6) -> str:
+    """What would be sent out to have a rule proposed for an open field: pseudonyms of ``k`` rows. It is written to
+    ``folder`` before anybody can send it. A field with a documented rule is never sent."""
+    if of not in study.open:
+        raise ValueError(f"{of} has a documented rule and is not sent")
+    f, y = study.features, study.features.targets[of]
+    some = f.df.orderBy("pair_id").limit(k)
+    dates = [c for c in allowed if f.kinds.get(c) == "date"]
+    rows = examples(privacy.pseudonymise(some, "pair_id", identifiers, allowed, dates, y), y, [*identifiers, *allowed], k)
+    text = "\n".join([f"Target field: {of}. Give the rule that makes the target of the other columns, as JSON.", grammar(), *rows])
+    audit(text, Path(folder, f"{of}.txt"))
+    return text
+
+
+def audit(text: str, path: str | Path) -> None:
     """Keeps what was sent out."""
-    Path(path).write_text("\n".join(payload) + "\n", "utf-8")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(text + "\n", "utf-8")

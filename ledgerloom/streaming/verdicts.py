@@ -17,3 +17,10 @@ def stream_verdicts(pairs: DataFrame, rules: list, keep: list[str]) -> DataFrame
 def windowed_counts(verdicts: DataFrame, ts: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Verdicts per field and window; later rows than ``late`` are dropped."""
     return verdicts.withWatermark(ts, late).groupBy(F.window(ts, length).alias("window"), "field").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS))
+
+
+def finished(counts: DataFrame, name: str) -> DataFrame:
+    """What a stream of counts holds when all that is there has been read."""
+    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return counts.sparkSession.table(name)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.learn import evaluate as ev
 from ledgerloom.learn import privacy
-from ledgerloom.learn.dsl import Affix, Col, Concat, DateAgg, Fn, IfEq, from_json, grounded
-from ledgerloom.learn.resolve import FieldModel, settle, stability, verify_proposals
+from ledgerloom.learn.dsl import branch, call, col, const, date_edge, from_json, grounded, joined, wrapped
+from ledgerloom.learn.resolve import FieldModel, agreement_of, settle, stability, verify_proposals
 from ledgerloom.learn.search import Learned, learn
+from ledgerloom.operators.features import Features
 from ledgerloom.operators.overrides import SCHEMA, apply_overrides
 from ledgerloom.operators.report import by_field, demo_picks
 from ledgerloom.sources.tables import add_override, load_overrides, load_sheet, nested_csv, remove_override, write_csv, write_report
@@ -25,21 +26,44 @@ def features(spark):
 
 @pytest.mark.parametrize(
     "rule",
-    [Col("b"), Fn("upper", Col("b")), Concat("-", (Col("a"), Col("b"))), DateAgg("max", Col("d1"), Col("d2")), Affix("ID_", Col("b"), "@x"), IfEq("a", "F", Col("b"), Fn("upper", Col("b"))), Fn("zpad5", Col("n"))],
+    [col("b"), call("upper", col("b")), joined("-", col("a"), col("b")), date_edge("max", col("d1"), col("d2")), wrapped("ID_", col("b"), "@x"), branch("a", "F", col("b"), call("upper", col("b"))), call("zpad5", col("n"))],
 )
 def test_rules_are_found_again(features, rule):
     df = features.withColumn("y", rule.text(KINDS))
     found = learn(df, "y", KINDS)
-    assert found.accepted and found.coverage == 1.0 and grounded(found.expr)
-    assert df.where(~found.expr.text(KINDS).eqNullSafe(F.col("y"))).isEmpty()
-    assert from_json(rule.to_json()) == rule and from_json(found.expr.to_json()) == found.expr
+    assert found.accepted and found.coverage == 1.0 and grounded(found.rule)
+    assert df.where(~found.rule.text(KINDS).eqNullSafe(F.col("y"))).isEmpty()
+    assert from_json(rule.to_json()) == rule and from_json(found.rule.to_json()) == found.rule
 
 
 def test_noise_is_not_accepted(features):
     assert not learn(features.withColumn("y", F.sha2(F.col("pair_id").cast("string"), 256)), "y", KINDS).accepted
     assert not learn(features.withColumn("y", F.lit("same")), "y", KINDS).accepted  # a constant reads nothing
-    with pytest.raises(ValueError, match="unknown"):
-        from_json({"op": "eval"})
+    for bad in ({"op": "eval"}, {"op": "fn", "fn": "rm", "arg": {"op": "col", "name": "a"}}, "col", {"op": "date_min", "args": [{"op": "col", "name": "a"}]}):
+        with pytest.raises(ValueError):
+            from_json(bad)
+
+
+def test_rules_are_printed_and_weighed():
+    rule = branch("a", "F", wrapped("", col("b"), "@x"), joined("-", call("last3", col("n")), const("7")))
+    assert str(rule) == "IF a = 'F' THEN b + '@x' ELSE last3(n) + '-' + '7'" and rule.complexity == 1 + 1.5 + 4.5 and rule.columns() == ["a", "b", "n"]
+    assert from_json(rule.to_json()) == rule
+    assert grounded(rule) and not grounded(const("x")) and not grounded(branch("a", "F", const("x"), const("x")))
+
+
+@pytest.mark.parametrize("n, wrong", [(6, 1), (12, 2), (30, 6)])
+def test_leave_one_out_equals_learning_without_the_row(spark, n, wrong):
+    rows = [(i, f"w{i}", f"v{i}", f"w{i}" if i >= wrong else f"v{i}") for i in range(n)]
+    df = spark.createDataFrame(rows, "pair_id long, a string, b string, y string")
+    kinds = {"a": "string", "b": "string"}
+    want = {}
+    for i in sorted({0, wrong - 1, n - 1}):  # rows of one kind give one answer
+        want[i] = str(learn(df.where(F.col("pair_id") != i), "y", kinds))
+    counted = {}
+    for i in range(n):
+        name = want[0] if i < wrong else want[n - 1]
+        counted[name] = counted.get(name, 0) + 1
+    assert {k: v for k, v, _ in stability(df, "y", kinds)} == counted
 
 
 def test_stability_and_proposals(features):
@@ -47,15 +71,17 @@ def test_stability_and_proposals(features):
     assert stability(df, "y", {"a": "string", "b": "string"})[0] == ("b", 60, 1.0)
     best = verify_proposals(df, "y", KINDS, [{"op": "col", "name": "a"}, {"op": "fn", "fn": "rm", "arg": {}}, {"op": "col", "name": "b"}])
     assert best.accepted and str(best) == "b"
+    assert agreement_of([{"op": "col", "name": "b"}] * 2 + [{"op": "col", "name": "a"}]) == pytest.approx(2 / 3)
 
 
 def test_settle_order(spark, features):
     base = [(i, "f", "AMBIGUOUS", "RULE", 1.0, "", "w", "path", f"w{i % 7}-{i % 3}" if i else "odd", "a → 9" if i < 50 else "=" if i < 58 else "9 → a") for i in range(60)]
     df = spark.createDataFrame(base, "pair_id long, field string, verdict string, layer string, confidence double, method string, explanation string, path string, actual string, signature string")
-    model = lambda ok: [FieldModel("f", Learned(Col("b"), 0.9, ok, []), 1.0)]
-    rule = {r["pair_id"]: (r["verdict"], r["method"], r["confidence"]) for r in settle(df, features, model(True), KINDS).collect()}
+    model = lambda ok: [FieldModel("f", Learned(col("b"), 0.9, ok, []), 1.0)]
+    known = Features(features, KINDS, {"f": "b"})
+    rule = {r["pair_id"]: (r["verdict"], r["method"], r["confidence"]) for r in settle(df, known, model(True)).collect()}
     assert rule[1] == ("JUSTIFIED", "learned rule", 0.9) and rule[0] == ("JUSTIFIED", "systemic signature", 0.833)
-    none = {r["pair_id"]: (r["verdict"], r["method"]) for r in settle(df, features, model(False), KINDS).collect()}
+    none = {r["pair_id"]: (r["verdict"], r["method"]) for r in settle(df, known, model(False)).collect()}
     assert none[1] == ("JUSTIFIED", "systemic signature") and none[55] == ("AMBIGUOUS", "") and none[59] == ("ANOMALY", "isolated signature")
 
 
@@ -68,12 +94,47 @@ def test_experiment_finds_injected_errors(features):
 
 
 def test_pseudonyms(spark):
-    rows = [(1, "1002003", "Roy", "2020-01-01", "mail roy 1002003 and 55667788"), (2, "1002004", "Roy", "2021-01-01", "Roy wrote to 1002003"), (3, "1002005", None, None, None)]
+    rows = [(1, "1002003", "Roy", "2020-01-01", "mail roy 1002003 and 55667788"), (2, "1002004", "Jean-Pierre d'Arc", "2021-01-01", "Roy wrote to 1002003, not to JEAN-PIERRE D'ARC."), (3, "1002005", None, None, None), (4, "1002006", "Pierre", None, "jean-pierre and pierre"), (5, "1002007", " ", None, "2022-03-04")]
     df = spark.createDataFrame(rows, "k long, id string, last string, day string, note string")
-    out = privacy.pseudonymise(df, "k", {"id": "id", "last": "surname"}, ["day"], ["day"], "note").orderBy("k").collect()
+    made = privacy.pseudonymise(df, "k", {"id": "id", "last": "surname"}, ["day"], ["day"], "note").orderBy("k").cache()
+    out = made.collect()
     text = " ".join(str(x) for r in out for x in r[1:])
-    assert not re.search(r"(?i)1002003|1002004|1002005|\broy\b|55667788|2020-01-01|2021-01-01", text)
-    assert out[0]["last"] == out[1]["last"] and len({r["id"] for r in out}) == 3 and out[0]["id"] in out[1]["note"]
+    assert not re.search(r"(?i)1002003|1002004|1002005|\broy\b|55667788|2020-01-01|2021-01-01|2022-03-04|pierre|arc", text)
+    assert len({r["id"] for r in out}) == 5 and out[0]["id"] in out[1]["note"] and out[1]["last"] in out[1]["note"] and out[2]["note"] is None
+    assert out[3]["note"] == f"jean-{out[3]['last']} and {out[3]['last']}"
+    shift = (out[0]["day"] - __import__("datetime").date(2020, 1, 1)).days
+    assert 0 < abs(shift) <= privacy.MOST_DAYS and re.fullmatch(r"\d{4}-\d\d-\d\d", out[4]["note"])
+    again = privacy.pseudonymise(df, "k", {"id": "id", "last": "surname"}, ["day"], ["day"], "note").orderBy("k").collect()
+    assert not {r["id"] for r in again} & {r["id"] for r in out}  # another secret
+    same = [privacy.pseudonymise(df, "k", {"id": "id"}, ["day"], ["day"], "note", "s").orderBy("k").collect() for _ in range(2)]
+    assert same[0] == same[1]
+
+
+def test_rules_hold_on_pseudonyms(spark, features):
+    df = features.withColumn("later", F.date_format(F.greatest("d1", "d2"), "yyyy-MM-dd"))
+    sent = privacy.pseudonymise(df, "pair_id", {"b": "id"}, ["a", "n", "d1", "d2"], ["d1", "d2"], "later")
+    rule = date_edge("max", col("d1"), col("d2"))
+    assert sent.where(~rule.text(KINDS).eqNullSafe(F.col("later"))).isEmpty() and sent.join(df.select("pair_id", F.col("d1").alias("before")), "pair_id").where("d1 = before").isEmpty()
+
+
+def test_study(spark, tmp_path):
+    from ledgerloom.plans.fields import FieldRule, direct, name
+    from ledgerloom.service import Dataset, payload
+
+    rows = [(i, "FG"[i % 2], f"Éva{'abcde'[i % 5]}", "FG"[i % 2] if i != 3 else "H", f"Éva{'abcde'[i % 5]}".upper() if i % 4 == 0 else f"Éva{'abcde'[i % 5]}") for i in range(40)]
+    pairs = spark.createDataFrame([(i, f"e{i}", "P", "1", "j", (a, b), (c, e)) for i, a, b, c, e in rows], "pair_id long, entity string, kind string, position string, job string, s struct<a:string,n:string>, d struct<a:string,n:string>")
+    made = Dataset(pairs, [FieldRule("a", "a", "R-DIRECT", direct("a", "a")), FieldRule("n", "n", "R-NOM", name("n", "n"))])
+    study = made.study(["n"], {"n": [{"op": "col", "name": "src_n"}]})
+    text = ev.write_study(study, tmp_path, 2).read_text("utf-8")
+    assert "## A." in text and "## C." in text and "| S3 |" in text
+    read = ev.load_study(spark, tmp_path)
+    a = {r["method"]: r for r in read["A"].collect()}
+    assert a["S1"]["rule"] == "src_a" and (a["S1"]["tp"], a["S1"]["fp"], a["S1"]["fn"]) == (1, 0, 0) and set(a) == {"S1", "S1b", "S2", "S4", "H"}
+    assert {r["method"]: r["rate"] for r in read["detection"].collect()}["H"] == 1.0 and read["B"].count() == 10
+    sent = payload(study, "n", {"src_n": "surname"}, ["src_a"], tmp_path / "sent")
+    assert "Éva" not in sent and (tmp_path / "sent" / "n.txt").read_text("utf-8").startswith("Target field: n")
+    with pytest.raises(ValueError):
+        payload(study, "a", {}, [], tmp_path)
 
 
 def test_overrides_fold_in_order(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.history import summarise
 from ledgerloom.operators.lookup import one_to_one, with_reason
-from ledgerloom.operators.pairing import assign, pair_keys
+from ledgerloom.operators.pairing import assign, pair_records
 from ledgerloom.operators.verdicts import run_rules
 from ledgerloom.plans.fields import CONTRACT_CODES, CONTRACT_PROFILED, RULES, FieldRule, contract, hr_rules, name, situation, Situation, start_date
 from ledgerloom.plans.tree import describe
@@ -73,7 +73,10 @@ def test_pairing_keeps_every_record_once(spark):
     make = lambda n, base: [(None if i % 9 == 0 else f"e{rng.randint(0, 12)}", base + i, rng.choice("ab"), rng.choice("xy"), rng.choice("12")) for i in range(n)]
     schema = "entity string, seq long, job string, kind string, start string"
     left, right = make(40, 0), make(45, 1000)
-    got = pair_keys(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
+    same = lambda c: (c, c)
+    made = pair_records(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), *map(same, ("entity", "job", "kind", "start", "seq")))
+    got = made.select("pair_id", "entity", F.col("s.seq").alias("s_seq"), F.col("d.seq").alias("d_seq")).collect()
+    assert all(r["pair_id"] == f"{'x' if r['s_seq'] is None else r['s_seq']}-{'x' if r['d_seq'] is None else r['d_seq']}" for r in got)
     assert sorted(r["s_seq"] for r in got if r["s_seq"] is not None) == [x[1] for x in left]
     assert sorted(r["d_seq"] for r in got if r["d_seq"] is not None) == [x[1] for x in right]
     for e in {x[0] for x in left} - {None}:

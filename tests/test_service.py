@@ -1,19 +1,24 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.features import Features
 from ledgerloom.plans.fields import FieldRule, name
+from ledgerloom.hr import hr_dataset
+from ledgerloom.pipeline import reconcile
 from ledgerloom.service import Dataset, Service, agreement, examples, flagged_labels
+from ledgerloom.sources.tables import Inputs
 
 
 @pytest.fixture
 def service(spark, tmp_path):
     rows = [(i, f"e{i}", "P", "1", "j", (f"Éva{i}",), (f"ÉVA{i}".replace("É", "E"),)) for i in range(20)]
     pairs = spark.createDataFrame(rows, "pair_id long, entity string, kind string, position string, job string, s struct<n:string>, d struct<n:string>")
-    features = pairs.select("pair_id", F.col("s.n").alias("n"), F.col("d.n").alias("y"), F.lit("2020-01-01").cast("date").alias("day"))
+    features = pairs.select("pair_id", F.col("s.n").alias("n"), F.lit("2020-01-01").cast("date").alias("day"))
     made = Service(spark, tmp_path / "log.jsonl")
-    made.register("x", Dataset(pairs, [FieldRule("name", "n", "R-NOM", name("n", "n"))], features.withColumn("y", F.upper("n")), {"name": "y"}, {"n": "string", "day": "date"}))
+    made.register("x", Dataset(pairs, [FieldRule("name", "n", "R-NOM", name("n", "n"))], Features(features.withColumn("y", F.upper("n")), {"n": "string", "day": "date"}, {"name": "y"})))
     return made
 
 
@@ -27,17 +32,72 @@ def test_round(service, tmp_path):
     assert service.rows("x", verdicts=["ANOMALY"]).first()["layer"] == "EXPERT"
     service.undo(0)
     proof = service.proof("x", "name")
-    assert proof["rule"] == "upper(n)" and proof["private"] == {"real": 1.0, "shifted": 1.0} and proof["folds"][0][1] == 20
+    assert proof["rule"] == "upper(n)" and proof["private"] == {"real": 1.0, "pseudonyms": 1.0} and proof["folds"][0][1] == 20
     service.export_csv("x", tmp_path / "o.csv")
     assert service.export_workbook("x", tmp_path / "o.xlsx").stat().st_size > 1000
     with pytest.raises(ValueError, match="history"):
-        service.register("y", service.datasets["x"], {"source": "a", "target": "b", "reasons": "c"})
+        service.upload("y", {"source": "a", "target": "b", "reasons": "c"}, lambda inputs: service.datasets["x"])
+    assert service.top("x", 3).count() == 0 and json.loads(service.rows_json("x", 1)[0])["field"] == "name"
+    rule = service.rules("x")[0]
+    assert rule["columns"] == ["n"] and rule["learned"]["settled"] == 20 and rule["learned"]["signatures"].startswith("a9 → a9") and rule["overrides"] == 0
+    assert service.feedback({"text": "well"})["text"] == "well"
+    service.register("x", service.datasets["x"])
+    assert service.proof("x", "name") is not proof
+
+
+def hr_rows(spark):
+    """A small company: the reference's kinds of cases, with invented people."""
+    names = ["Matricule", "PrénomUsuel", "NomFamille", "DateEmbaucheRécente", "TypeAffectation", "CodePoste", "CodeEmploi", "IntituléEmploi", "DateEntréePoste", "DateSortiePoste", "CodeSite", "LibelléSite", "CodeDirection", "LibelléDirection", "CodeImputation",
+             "CatégorieEmploi", "EstPermanent", "EstTempsPlein", "ÉchelleSalariale", "HeuresNormeHebdo", "HeuresNormeQuotidienne", "CodeStatutEmploi", "CodeRaisonStatut", "CodeSuspensionAccès", "DateRetourAnticipée", "IdentifiantResponsable", "NomResponsable"]
+    people = [("Éva", "Lune"), ("Otto", "Prado"), ("Ines", "Vald"), ("Marc", "Orme"), ("Nina", "Brun"), ("Paul", "Cher"), ("Lise", "Fort"), ("Hugo", "Gard"), ("Anne", "Hiver"), ("Rene", "Jura")]
+    source = [(str(1000 + i), a, b, "2015-01-05", "P" if i != 9 else "A", "7", "55", "Clerk", "2020-01-01", None, "10", "North", "3", "Sales", "99", "V", "Oui", "Oui", "12", "35.0", "7.0", "1", "807" if i == 2 else None, "2" if i == 2 else "0", None, "m", "Boss") for i, (a, b) in enumerate(people)]
+    given = ["personId", "givenName", "surname", "contactEmail", "onboardDate", "positionId", "positionCode", "positionName", "siteCode", "siteName", "divisionId", "divisionCode", "divisionName", "contractTypeCode", "payGradeId", "isPrimaryAssignment", "isTemporaryAssignment",
+             "assignmentStartDate", "assignmentEndDate", "termEndDate", "weeklyHoursOverride", "dailyHoursOverride", "statusReasonCode", "detailedStatus", "expectedReturnDate"]
+    plain = lambda x: x.replace("É", "E")
+    target = [(str(1000 + i), plain(a), b, f"{plain(a)[0]}{b}{str(1000 + i)[-3:]}@x.org", "2015-01-05", "55", "55", "55-Clerk", "10", "North", "3", "99", "3-Sales", "WHX" if i == 4 else "JWN", "12", str(i != 9), str(i == 9), "2020-01-01", None, None, "40.0", "8.0", "170" if i == 2 else None, "Absence complète" if i == 2 else "Actif", None) for i, (a, b) in enumerate(people) if i != 7]
+    history = [("7", "43831", "3", "40.0", "8.0", "55", "b1", "g", "5")]
+    table = lambda rows, columns: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ", ".join(f"`{c}` string" for c in columns) + ", _seq long")
+    past = table(history, ["IdentifiantPoste", "DateEffet", "CodeDirectionAffectée", "HeuresSemaineContrat", "HeuresJourContrat", "IdentifiantEmploi", "CodeBudget", "IndicateurGestion", "JoursTravailléesSemaine"])
+    past = past.withColumns({"DateEffet": F.lit("2020-01-01").cast("date"), "HeuresSemaineContrat": F.col("HeuresSemaineContrat").cast("double"), "HeuresJourContrat": F.col("HeuresJourContrat").cast("double")})
+    there = table(target, given).withColumns({c: F.col(c).cast("double") for c in ("weeklyHoursOverride", "dailyHoursOverride")})
+    return Inputs(table(source, names), there, past, table([("807", "170", "2")], ["CodeCatégorieStatut", "CodeStatutSystèmeExterne", "CodeGestionAccès"]))
+
+
+def test_hr_catalogue_end_to_end(spark):
+    made = hr_dataset(hr_rows(spark), "@x.org", "2024-01-01")
+    result = reconcile(made.pairs, made.rules, features=made.learnable())
+    rows = {(r["entity"], r["field"]): r for r in result.verdicts.collect()}
+    assert len(rows) == 9 * 24 + 1 and rows["1007", "(assignment)"]["priority"] == 100
+    assert rows["1000", "givenName"]["verdict"] == "JUSTIFIED" and rows["1001", "givenName"]["verdict"] == "MATCH"
+    assert rows["1002", "statusReasonCode"]["verdict"] == "JUSTIFIED" and "807" in rows["1002", "statusReasonCode"]["explanation"]
+    assert rows["1004", "contractTypeCode"]["verdict"] == "ANOMALY" and "category O" in rows["1004", "contractTypeCode"]["explanation"]
+    assert rows["1009", "isTemporaryAssignment"]["verdict"] == "MATCH"
+    hours = {r["layer"]: r for (e, f), r in rows.items() if f == "weeklyHoursOverride"}
+    assert set(hours) == {"LEARNED"} and hours["LEARNED"]["verdict"] == "JUSTIFIED"
+    model = {m.field: m for m in result.models}["weeklyHoursOverride"]
+    assert model.learned.accepted and str(model.learned) == "hist_week_hours" and model.learned.coverage == 1.0
+    assert all(r["verdict"] != "AMBIGUOUS" for r in rows.values()) and all(r["priority"] > 0 for r in rows.values() if r["verdict"] == "ANOMALY")
+    assert not {c for c in made.learnable().kinds if "Responsable" in c}
+    result.close()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ledgerloom.__main__ import main
+
+    main(["trees", "name"])
+    assert "R-NOM" in capsys.readouterr().out
+    if Path("/root/testdata/sf0.001").exists():
+        main(["run", "/root/testdata/sf0.001", str(tmp_path / "out"), "--report", str(tmp_path / "r.xlsx")])
+        written = spark.read.parquet(str(tmp_path / "out"))
+        assert written.where("verdict = 'AMBIGUOUS'").isEmpty() and not written.where("layer = 'LEARNED'").isEmpty()
+        main(["payload", "/root/testdata/sf0.001", str(tmp_path / "sent")])
+        assert "Customer#" not in (tmp_path / "sent" / "name.txt").read_text("utf-8")
 
 
 def test_small_reports(spark, service):
     evidence = service.proof("x", "name")["evidence"]
-    documented = service.datasets["x"].features.select("pair_id", F.upper("n").alias("expected"), F.lit("MATCH").alias("verdict"))
+    documented = service.datasets["x"].features.df.select("pair_id", F.upper("n").alias("expected"), F.lit("MATCH").alias("verdict"))
     assert tuple(agreement(evidence, documented).first()) == (1.0, 0)
     flags = spark.createDataFrame([("S1", 2, "b", True), ("S1", 1, "a", True), ("S1", 3, "c", False)], "method string, seq int, label string, flag boolean")
     assert flagged_labels(flags).first()["labels"] == "a, b"
-    assert json.loads(examples(service.datasets["x"].features, "y", ["n"])[0])["n"].startswith("Éva")
+    assert json.loads(examples(service.datasets["x"].features.df, "y", ["n"])[0])["n"].startswith("Éva")
