@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dsl import BY_KIND, Kinds, Rule, Sql, branch, call, col, const, date_edge, grounded, joined, wrapped
+from .dsl import BY_KIND, FUNCTIONS, Kinds, Rule, Sql, branch, call, col, const, date_edge, grounded, joined, wrapped
 
 PENALTY, ACCEPTED, LEAST_BRANCH = 0.02, 0.80, 2
 CONSTANTS, BRANCH_VALUES, BRANCH_COMPLEXITY = 12, (2, 6), 3
@@ -81,7 +81,10 @@ class Search:
         leaves = {rule: f"_l{i}" for i, rule in enumerate(leaf_rules(kinds))}
         self.sql = Sql(leaves)
         self.texts = [r for r in leaves if kinds[r.columns()[0]] in BY_KIND]  # what can be a part of a text
-        self.frame = features.select(F.col(f"`{target}`").alias("_y"), *(r.text(kinds).alias(name) for r, name in leaves.items()))
+        keys = {c: f"_k{i}" for i, c in enumerate(kinds)}  # canonical texts first, so that the functions of a column share one
+        plain = features.select(F.col(f"`{target}`").alias("_y"), *(col(c).text(kinds).alias(k) for c, k in keys.items()))
+        made = lambda r: F.col(keys[r.columns()[0]]) if r.op == "col" else FUNCTIONS[r.words[0]](F.col(keys[r.columns()[0]]))
+        self.frame = plain.select("_y", *(made(r).alias(name) for r, name in leaves.items()))
         self.hits: dict[Rule, int] = {}
 
     def __enter__(self) -> Search:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -23,15 +23,15 @@ COLUMNS = [
 
 @dataclass
 class Result:
-    """``kept`` is the table of rule verdicts that all later steps read; ``close`` lets go of it."""
+    """``kept`` are the tables that later steps read, rule verdicts and features; ``close`` lets go of them."""
 
     verdicts: DataFrame
     models: list[FieldModel] = field(default_factory=list)
-    kept: DataFrame | None = None
+    kept: list[DataFrame] = field(default_factory=list)
 
     def close(self) -> None:
-        if self.kept is not None:
-            self.kept.unpersist()
+        for df in self.kept:
+            df.unpersist()
 
 
 def with_ids(df: DataFrame) -> DataFrame:
@@ -43,15 +43,17 @@ def reconcile(pairs: DataFrame, rules: list, learned: bool = True, features: Fea
     ``learned`` open rows are settled from the population: by rules learned from ``features`` (if not given, made of the
     pairs) and by signatures.
 
-    Pairing and rules run once: pairs (if learned from) and rule verdicts are kept in memory, else on disk, as counts,
-    models and the joins all read them."""
+    Rule verdicts and features are kept in memory, else on disk, as counts, models and the joins all read them."""
     keep = ["pair_id", "entity", "kind", "position", "job"]
     verdicts = with_defaults(with_ids(describe_rules(run_rules(pairs, rules, keep)))).persist(StorageLevel.MEMORY_AND_DISK)
-    kept, models = verdicts, []
+    kept: list[DataFrame] = [verdicts]
+    models: list[FieldModel] = []
     if learned:
         open_fields = sorted(r[0] for r in verdicts.where(F.col("verdict") == AMBIGUOUS).select("field").distinct().collect())  # one per rule at most
         if open_fields:
             features = features or feature_table(pairs, open_fields)
+            features = replace(features, df=features.df.persist(StorageLevel.MEMORY_AND_DISK))
+            kept.append(features.df)
             models = [field_model(features, f) for f in open_fields if f in features.targets]
             verdicts = settle(verdicts, features, models)
     if overrides is not None:
