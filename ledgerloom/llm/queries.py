@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lempel_ziv, lines, media, mixing, packing, repeats, tokens, toxicity
+from . import dialogue, jaccard, langid, lempel_ziv, lines, media, merkle, mixing, packing, repeats, secretscan, sql, tokens, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT, ranks=BYTE_RANKS)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(secretscan.scan(documents(spark, sf_dir)))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -72,10 +84,12 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
-
 def _seeded(x: str, seed: int) -> str:
     p = mixing.PRIME
     first = f"((((coalesce({x}, -1) % {p}) + {p}) % {p}) * 48271 + {seed}) % {p}"
@@ -118,4 +132,4 @@ MIX_SQL = f"""WITH sized AS (SELECT doc_id, source IS NULL AS nul, coalesce(sour
  placed AS (SELECT *, CAST(sum(size) OVER (PARTITION BY nul, src, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM dealt JOIN t3 USING (nul, src, shard))
  SELECT doc_id, size, source_size, target, CAST(CASE WHEN m > 0 THEN {_taken("stop", BLOCK)} - {_taken("stop - size", BLOCK)} ELSE 0 END AS BIGINT) AS taken FROM placed"""
 
-ORACLE: dict[str, str] = {"op8_source_mix": MIX_SQL}
+ORACLE: dict[str, str] = {"op8_source_mix": MIX_SQL, "op11_secret_scan": sql.secrets_sql(), "op12_conversation_repair": sql.dialogue_sql(), "op13_merkle_manifest": sql.merkle_sql()}
