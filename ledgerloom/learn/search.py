@@ -2,9 +2,15 @@
 
 ``Search`` holds the features as a table of leaves (columns, and functions of columns, as canonical text) with the target
 beside them, and a board of hits: on how many rows a rule gives the target's value. Rounds of proposals are weighed
-together, many rules in one pass over all rows; what a round has found decides what the next one proposes. Only rules
-and counts are on the driver. Rules over leaves are SQL text, as thousands of Column objects would take the driver
-longer than the counting takes the cluster.
+together, many rules in one pass; what a round has found decides what the next one proposes. Only rules and counts are
+on the driver. Rules over leaves are SQL text, as thousands of Column objects would take the driver longer than the
+counting takes the cluster.
+
+A round has two phases. A sample of the rows, drawn by a hash of their id and about SAMPLE in number, is kept and tried
+with every rule; its hits bound the rule's hits on all rows (Chernoff, which holds for draws without replacement; all
+bounds of a round together fail with probability RISK at most). Rules that cannot win, be among the RANKS best or win
+when a row is left out go; the hits of those that are left are counted over all rows. So thousands of rules read the
+sample and a few the table, and coverages are never estimates. A table of up to FULL times SAMPLE rows is its own sample.
 
 The score of a rule is coverage - PENALTY x complexity; it is accepted from ACCEPTED coverage on if it reads the source.
 """
@@ -12,7 +18,7 @@ The score of a rule is coverage - PENALTY x complexity; it is accepted from ACCE
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, combinations, product
 
@@ -29,6 +35,49 @@ BEAM, PARTS, PREFIX_RATE, SEPARATORS = 40, 3, 0.5, ("", "-")
 EDGE_CHARACTERS = "_-@."
 #: Conditions in one pass.
 CHUNK = 400
+#: Rows of the sample, tables that are tried whole, chance that a bound fails, hypotheses that are told.
+SAMPLE, FULL, RISK, RANKS = 20_000, 4, 1e-9, 9
+#: Numbers the sample is drawn from.
+DRAWS = 1 << 30
+
+
+def bounds(hits: np.ndarray, tried: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most hits on all rows, from those on a sample of ``tried`` rows."""
+    hits = np.asarray(hits, float)
+    if tried >= rows:
+        return hits, hits
+    share, limit = hits / tried, np.log(2 * max(hits.size, 1) / RISK) / tried
+
+    def far(q: np.ndarray) -> np.ndarray:
+        """Whether the share is farther from q than chance may bring it."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = lambda p, q: np.where(p > 0, p * np.log(p / q), 0.0)
+            return part(share, q) + part(1 - share, 1 - q) > limit
+
+    out = []
+    for edge in (0.0, 1.0):
+        near, beyond = share.copy(), np.full_like(share, edge)
+        for _ in range(50):
+            middle = (near + beyond) / 2
+            away = far(middle)
+            near, beyond = np.where(away, near, middle), np.where(away, middle, beyond)
+        out.append(beyond)
+    return np.maximum(np.floor(out[0] * rows), hits), np.minimum(np.ceil(out[1] * rows), rows - (tried - hits))
+
+
+class Reach:
+    """What a hypothesis has to reach to matter: as much as the best that is surely accepted, or as the RANKS best. The
+    margin is what leaving out a row can move."""
+
+    def __init__(self, low: np.ndarray, cost: np.ndarray, reads: np.ndarray, rows: int):
+        score, self.rows, self.margin = low / rows - cost, rows, 2 / max(rows - 1, 1) + 1e-12
+        sure = reads & (low >= ACCEPTED * rows)
+        self.won = score[sure].max() if sure.any() else -np.inf
+        self.told = np.sort(score)[-RANKS] if score.size >= RANKS else -np.inf
+
+    def __call__(self, high: np.ndarray, cost: np.ndarray, reads: np.ndarray) -> np.ndarray:
+        score = high / self.rows - cost + self.margin
+        return (score >= self.told) | reads & (high / self.rows + self.margin >= ACCEPTED) & (score >= self.won)
 
 
 @dataclass(frozen=True)
@@ -74,41 +123,55 @@ def _numbers(conditions: list[str]) -> str:
 
 
 class Search:
-    """Use as a context: the table of leaves is kept (in memory, else on disk) while the search lasts."""
+    """Use as a context: the sample's leaves are kept (in memory, else on disk) while the search lasts."""
 
-    def __init__(self, features: DataFrame, target: str, kinds: Kinds):
-        self.kinds = kinds
+    def __init__(self, features: DataFrame, target: str, kinds: Kinds, row: str = "pair_id", sample: int = SAMPLE):
+        self.kinds, self.sample = kinds, sample
         leaves = {rule: f"_l{i}" for i, rule in enumerate(leaf_rules(kinds))}
         self.sql = Sql(leaves)
         self.texts = [r for r in leaves if kinds[r.columns()[0]] in BY_KIND]  # what can be a part of a text
-        self.frame = features.select(F.col(f"`{target}`").alias("_y"), *(r.text(kinds).alias(name) for r, name in leaves.items()))
+        draw = F.pmod(F.xxhash64(f"`{row}`"), F.lit(DRAWS)) if row in features.columns else (F.rand(7) * DRAWS).cast("long")
+        self.frame = features.select(F.col(f"`{target}`").alias("_y"), draw.alias("_draw"), *(r.text(kinds).alias(name) for r, name in leaves.items()))
         self.hits: dict[Rule, int] = {}
 
     def __enter__(self) -> Search:
-        self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
-        self.rows = self.frame.count()
+        self.rows = self.tried = self.frame.count()
+        whole = self.rows <= FULL * self.sample
+        self.some = (self.frame if whole else self.frame.where(F.col("_draw") < self.sample * DRAWS // self.rows)).persist(StorageLevel.MEMORY_AND_DISK)
+        if whole:
+            self.frame = self.some
+        else:
+            self.tried = self.some.count()
         return self
 
     def __exit__(self, *_) -> None:
-        self.frame.unpersist()
+        self.some.unpersist()
 
-    def tally(self, conditions: list[str]) -> list[int]:
+    def tally(self, conditions: list[str], frame: DataFrame | None = None) -> list[int]:
         """On how many rows each condition holds: rows give the numbers of those that hold, and these are counted."""
         out: list[int] = []
         for i in range(0, len(conditions), CHUNK):
             part = conditions[i : i + CHUNK]
-            out += self._count(self.frame.selectExpr(f"explode({_numbers(part)}) as _i"), len(part))
+            out += self._count((self.frame if frame is None else frame).selectExpr(f"explode({_numbers(part)}) as _i"), len(part))
         return out
 
     def _count(self, numbers: DataFrame, size: int) -> list[int]:
         found = {r["_i"]: r["n"] for r in numbers.groupBy("_i").agg(F.count("*").alias("n")).collect()}  # one row per number
         return [found.get(i, 0) for i in range(size)]
 
+    def exact(self, which: list[int], tried: np.ndarray, condition: Callable[[int], str]) -> list[int]:
+        """The hits on all rows of the conditions ``which``, of which the sample's are known."""
+        return [int(tried[i]) for i in which] if self.tried == self.rows else self.tally([condition(i) for i in which])
+
     def weigh(self, rules: list[Rule]) -> list[Hypothesis]:
+        """Counted over all rows."""
         new = [r for r in dict.fromkeys(rules) if r not in self.hits]
-        self.hits.update(zip(new, self.tally([f"{r.compiled(self.sql)} <=> _y" for r in new]), strict=True))
+        self.hits.update(zip(new, self.tally([self.fits(r) for r in new]), strict=True))
         return [Hypothesis(r, self.hits[r], self.rows) for r in dict.fromkeys(rules)]
 
+    def fits(self, rule: Rule) -> str:
+        return f"{rule.compiled(self.sql)} <=> _y"
+
     def constants(self) -> list[Rule]:
         """The target's values, if they are few."""
         found = [r[0] for r in self.frame.select("_y").distinct().limit(CONSTANTS + 1).collect()]
@@ -133,26 +196,41 @@ class Search:
 
     def chains(self, core: str) -> list[Rule]:
         """Concatenations of up to PARTS leaves that ``core`` often begins with; BEAM of each length. A level is one pass:
-        each row says which stems it can go on with which leaf."""
-
-        def fitting(rules: list[Rule], hits: list[int], weight: int) -> list[Rule]:
-            ranked = ((-n, weight * r.complexity, i) for i, (r, n) in enumerate(zip(rules, hits, strict=True)) if n >= PREFIX_RATE * self.rows)
-            return [rules[i] for *_, i in heapq.nsmallest(BEAM, ranked)]
-
-        def lengthened(stem: Rule, sep: str, leaf: Rule) -> Rule:
-            return joined(sep, *(stem.parts if (stem.op, stem.words) == ("concat", (sep,)) else (stem,)), leaf)
-
-        def longer_hits(stems: list[Rule]) -> list[int]:
-            arrays = {"_p": [r.compiled(self.sql) for r in stems], "_s": [self.sql.value(x) for x in SEPARATORS], "_l": [r.compiled(self.sql) for r in self.texts]}
-            rows = self.frame.selectExpr(f"{core} as _core", *(f"array({', '.join(x)}) as {name}" for name, x in arrays.items()))
-            number = f"(i * {len(SEPARATORS)} + j) * {len(self.texts)} + m"
-            each = f"flatten(transform(_p, (p, i) -> flatten(transform(_s, (s, j) -> transform(_l, (l, m) -> if(startswith(_core, concat(p, s, l)), {number}, -1))))))"
-            return self._count(rows.selectExpr(f"explode(filter({each}, x -> x >= 0)) as _i"), len(stems) * len(SEPARATORS) * len(self.texts))
-
-        levels = [fitting(self.texts, self.tally([self.begins(core, r) for r in self.texts]), 0)]
+        a row looks up the leaves it can go on with once for each place where one of its stems and a separator end."""
+        size, n_seps = len(self.texts), len(SEPARATORS)
+
+        def fitting(rule: Callable[[int], Rule], tried: list[int], condition: Callable[[int], str], weight: int) -> list[Rule]:
+            low, high = bounds(np.array(tried), self.tried, self.rows)
+            least = max(PREFIX_RATE * self.rows, np.sort(low)[-BEAM] if low.size > BEAM else 0)
+            which = np.flatnonzero(high >= least).tolist()
+            ranked = ((-n, weight * rule(i).complexity, i) for i, n in zip(which, self.exact(which, tried, condition), strict=True) if n >= PREFIX_RATE * self.rows)
+            return [rule(i) for *_, i in heapq.nsmallest(BEAM, ranked)]
+
+        def longer(stems: list[Rule]) -> list[Rule]:
+            stem = lambda i: (stems[i // (n_seps * size)], SEPARATORS[i // size % n_seps], self.texts[i % size])
+
+            def rule(i: int) -> Rule:
+                first, sep, leaf = stem(i)
+                return joined(sep, *(first.parts if (first.op, first.words) == ("concat", (sep,)) else (first,)), leaf)
+
+            def condition(i: int) -> str:
+                first, sep, leaf = stem(i)
+                return f"startswith({core}, concat({first.compiled(self.sql)}, {self.sql.value(sep)}, {leaf.compiled(self.sql)}))"
+
+            return fitting(rule, self._count(self.some.selectExpr(f"{core} as _core", *arrays(stems)).selectExpr(*ends).selectExpr(*fits).selectExpr(numbers), len(stems) * n_seps * size), condition, 1)
+
+        def arrays(stems: list[Rule]) -> list[str]:
+            return [f"array({', '.join(x)}) as {name}" for name, x in (("_p", [r.compiled(self.sql) for r in stems]), ("_l", [r.compiled(self.sql) for r in self.texts]))]
+
+        seps = f"array({', '.join(map(self.sql.value, SEPARATORS))})"
+        ends = ["_core", "_l", f"flatten(transform(_p, (p, i) -> transform({seps}, (s, j) -> if(startswith(_core, concat(p, s)), named_struct('k', i * {n_seps} + j, 'end', length(p) + length(s)), null)))) as _e"]
+        found = "filter(transform(_l, (l, m) -> if(startswith(substr(_core, x + 1), l), m, -1)), m -> m >= 0)"
+        fits = ["filter(_e, e -> e is not null) as _e", f"map_from_entries(transform(array_distinct(transform(filter(_e, e -> e is not null), e -> e.end)), x -> struct(x, {found}))) as _m"]
+        numbers = f"explode(flatten(transform(_e, e -> transform(_m[e.end], m -> e.k * {size} + m)))) as _i"
+        begun = [self.begins(core, r) for r in self.texts]
+        levels = [fitting(self.texts.__getitem__, self.tally(begun, self.some), begun.__getitem__, 0)]
         while len(levels) < PARTS and levels[-1]:
-            rules = [lengthened(*x) for x in product(levels[-1], SEPARATORS, self.texts)]
-            levels.append(fitting(rules, longer_hits(levels[-1]), 1))
+            levels.append(longer(levels[-1]))
         return list(chain.from_iterable(levels[1:]))
 
     def pool(self) -> list[Rule]:
@@ -167,48 +245,66 @@ class Search:
         return rules
 
     def cells(self, rules: list[Rule]) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
-        """The (column, value) cells of columns with few values, their rows, and the hits of each rule inside each cell."""
+        """The (column, value) cells of columns with few values, their rows, and the hits of each rule inside each cell of
+        the sample."""
         names = list(self.kinds)
         about = self.frame.selectExpr(*(f"approx_count_distinct({self.sql.column(c)})" for c in names)).first()
         few = [c for c, n in zip(names, about, strict=True) if BRANCH_VALUES[0] <= n <= BRANCH_VALUES[1] + 2]
         if not few or not rules:
             return [], np.zeros(0, np.int64), np.zeros((len(rules), 0), np.int64)
-        sizes: dict[tuple[int, str], int] = {}
-        hits: dict[tuple[int, str], np.ndarray] = {}
-        for first in range(0, len(rules), CHUNK):
-            part = [f"{r.compiled(self.sql)} <=> _y" for r in rules[first : first + CHUNK]]
-            stacked = self.frame.selectExpr(f"array_append({_numbers(part)}, -1) as _h", f"posexplode(array({', '.join(map(self.sql.column, few))})) as (_c, _v)").where("_v is not null")
-            for r in stacked.selectExpr("_c", "_v", "explode(_h) as _i").groupBy("_c", "_v", "_i").agg(F.count("*").alias("n")).collect():  # few columns x few values x rules
-                cell = r["_c"], r["_v"]
-                if r["_i"] < 0:
-                    sizes[cell] = r["n"]  # -1 stands for the row itself
-                else:
-                    hits.setdefault(cell, np.zeros(len(rules), np.int64))[first + r["_i"]] = r["n"]
+        stacked = f"posexplode(array({', '.join(map(self.sql.column, few))})) as (_c, _v)"
+        sizes = {(r["_c"], r["_v"]): r["n"] for r in self.frame.selectExpr(stacked).where("_v is not null").groupBy("_c", "_v").agg(F.count("*").alias("n")).collect()}  # few columns x few values
         values = np.bincount([c for c, _ in sizes], minlength=len(few))
         own = sorted(cell for cell in sizes if BRANCH_VALUES[0] <= values[cell[0]] <= BRANCH_VALUES[1])
-        inside = np.array([hits.get(cell, np.zeros(len(rules), np.int64)) for cell in own], np.int64).reshape(len(own), len(rules)).T
+        inside, number = np.zeros((len(rules), len(own)), np.int64), {cell: k for k, cell in enumerate(own)}
+        for first in range(0, len(rules), CHUNK):
+            part = [self.fits(r) for r in rules[first : first + CHUNK]]
+            hits = self.some.selectExpr(f"{_numbers(part)} as _h", stacked).where("_v is not null").selectExpr("_c", "_v", "explode(_h) as _i")
+            for r in hits.groupBy("_c", "_v", "_i").agg(F.count("*").alias("n")).collect():  # few columns x few values x rules
+                if (cell := (r["_c"], r["_v"])) in number:
+                    inside[first + r["_i"], number[cell]] = r["n"]
         return [(few[c], v) for c, v in own], np.array([sizes[cell] for cell in own], np.int64), inside
 
-    def branches(self, simple: list[Hypothesis]) -> list[Hypothesis]:
-        """For each cell the best rule inside and the best outside; outside is everywhere less inside."""
-        cells, sizes, inside = self.cells([h.rule for h in simple])
-        cost = np.array([PENALTY * h.rule.complexity for h in simple])[:, None]
-        outside = np.array([h.hits for h in simple], np.int64)[:, None] - inside
+    def branches(self, rules: list[Rule], tried: np.ndarray, reach: Reach) -> list[Hypothesis]:
+        """For each cell that can matter the best rule inside and the best outside; outside is everywhere less inside."""
+        cells, sizes, inside = self.cells(rules)
+        cost = np.array([PENALTY * r.complexity for r in rules])
         enough = (sizes >= LEAST_BRANCH) & (self.rows - sizes >= LEAST_BRANCH)
-        out = []
+        asked: list[tuple[int, list[int], list[int]]] = []
         for k in np.flatnonzero(enough).tolist():
-            then, other = ((hits[:, k] / self.rows - cost[:, 0]).argmax() for hits in (inside, outside))
+            ways, most, best = [], 0.0, -PENALTY
+            for hits, size in ((inside[:, k], sizes[k]), (tried - inside[:, k], self.rows - sizes[k])):
+                low, high = bounds(hits, self.tried, self.rows)
+                high = np.minimum(high, size)
+                ways.append(np.flatnonzero(high / self.rows - cost >= (np.minimum(low, size) / self.rows - cost).max()).tolist())
+                most, best = most + high.max(), best + (high / self.rows - cost).max()
+            if reach(np.array([most]), np.array([most / self.rows - best]), np.array([True]))[0]:
+                asked.append((k, *ways))
+        at = lambda k: f"{self.sql.column(cells[k][0])} <=> {self.sql.value(cells[k][1])}"
+        where = [(f"{at(k)} and {self.fits(rules[i])}", inside[i, k]) for k, then, _ in asked for i in then] + [(f"not ({at(k)}) and {self.fits(rules[i])}", tried[i] - inside[i, k]) for k, _, other in asked for i in other]
+        counted = iter(self.exact(list(range(len(where))), np.array([n for _, n in where]), lambda i: where[i][0]))
+        hits = [[{i: next(counted) for i in ways[side]} for _, *ways in asked] for side in (0, 1)]
+        out = []
+        for (k, *_), *found in zip(asked, *hits, strict=True):
+            then, other = (max(h, key=lambda i: (h[i] / self.rows - cost[i], -i)) for h in found)
             if then != other:
-                out.append(Hypothesis(branch(*cells[k], simple[then].rule, simple[other].rule), int(inside[then, k] + outside[other, k]), self.rows))
+                out.append(Hypothesis(branch(*cells[k], rules[then], rules[other]), found[0][then] + found[1][other], self.rows))
         return out
 
     def hypotheses(self, conditions: bool = True) -> list[Hypothesis]:
-        """All hypotheses, best first; equal ones in the order they were proposed in."""
+        """The hypotheses that matter (see ``Reach``), best first; equal ones in the order they were proposed in."""
         if not self.rows:
             return []
-        found = self.weigh(self.pool())
+        rules = list(dict.fromkeys(self.pool()))
+        tried = np.array(self.tally([self.fits(r) for r in rules], self.some), np.int64)
+        cost, reads = np.array([PENALTY * r.complexity for r in rules]), np.array([grounded(r) for r in rules])
+        low, high = bounds(tried, self.tried, self.rows)
+        which = np.flatnonzero(Reach(low, cost, reads, self.rows)(high, cost, reads)).tolist()
+        hits = self.exact(which, tried, lambda i: self.fits(rules[i]))
+        found = [Hypothesis(rules[i], n, self.rows) for i, n in zip(which, hits, strict=True)]
         if conditions:
-            found += self.branches([h for h in found if h.rule.complexity <= BRANCH_COMPLEXITY])
+            short = [i for i, r in enumerate(rules) if r.complexity <= BRANCH_COMPLEXITY]
+            found += self.branches([rules[i] for i in short], tried[short], Reach(np.array(hits, float), cost[which], reads[which], self.rows))
         return sorted(found, key=lambda h: (-h.score, h.rule.complexity))
 
     def vectors(self, rules: list[Rule]) -> DataFrame:

@@ -3,23 +3,30 @@
 ``pair_records`` gives every record of both sides exactly once: as a pair, or alone. Inside an entity the pairing has
 the highest total score; the smaller side is always fully paired; of equal pairings the first counts, in the order of
 the smaller side's records, each taking the lowest partner that keeps the optimum. Order comes from ``seq``, never from
-partitions. Each side is shuffled once, by entity, with its records: entities with one record on each side pair as they
-meet; for the others a solver in Arrow batches reads a matrix of scores and says which records meet, which are then picked
-where they are. What is gathered is bounded by the records of an entity.
+partitions.
+
+Records are never gathered: what meets is found from the entity, ``seq`` and the scored columns alone. Entities with one
+record on each side, or on one side only, are settled by an expression. The others stream in order through the task
+that has the entity, which keeps a number and a class for each record and solves the entity over its classes
+(``assignment``). The numbers of what meets are then joined to the records by ``seq``, so a record lies with no other of
+its entity, however many there are.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Up to so many records on the larger side the optimum is searched over subsets, beyond by augmenting paths.
-SUBSETS = 10
+from .assignment import assign
+
+#: What job, type and start date are worth.
+WORTH = (2, 1, 1)
+#: Rows of an output batch.
+BATCH = 10_000
 
 
 def pair_score(job: tuple[Column, Column], kind: tuple[Column, Column], start: tuple[Column, Column]) -> Column:
@@ -27,107 +34,82 @@ def pair_score(job: tuple[Column, Column], kind: tuple[Column, Column], start: t
     return F.when(job[0].eqNullSafe(job[1]), 2).otherwise(0) + F.when(kind[0].eqNullSafe(kind[1]), 1).otherwise(0) + F.when(start[0].eqNullSafe(start[1]), 1).otherwise(0)
 
 
-def _augmented(score: list[list[int]], rows: list[int], columns: list[int]) -> int:
-    """Highest total of an assignment of ``rows`` to ``columns`` (as many or more)."""
-    n, m = len(rows), len(columns)
-    u, v, owner = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        owner[0], j, slack, back, used = i, 0, [1 << 60] * (m + 1), [0] * (m + 1), [False] * (m + 1)
-        while owner[j]:
-            used[j] = True
-            delta, following = 1 << 60, 0
-            for k in range(1, m + 1):
-                if not used[k]:
-                    cost = -score[rows[owner[j] - 1]][columns[k - 1]] - u[owner[j]] - v[k]
-                    if cost < slack[k]:
-                        slack[k], back[k] = cost, j
-                    if slack[k] < delta:
-                        delta, following = slack[k], k
-            for k in range(m + 1):
-                if used[k]:
-                    u[owner[k]] += delta
-                    v[k] -= delta
-                else:
-                    slack[k] -= delta
-            j = following
-        while j:
-            owner[j] = owner[back[j]]
-            j = back[j]
-    return sum(score[rows[owner[k] - 1]][columns[k - 1]] for k in range(1, m + 1) if owner[k])
-
-
-def assign(score: list[list[int]]) -> list[int]:
-    """For each row (not more than columns) its column: highest total, then lexicographically first."""
-    n, m = len(score), len(score[0]) if score else 0
-    chosen: list[int] = []
-    if m <= SUBSETS:
-
-        @lru_cache(None)
-        def best(row: int, taken: int) -> int:
-            return 0 if row == n else max(score[row][c] + best(row + 1, taken | 1 << c) for c in range(m) if not taken >> c & 1)
-
-        taken = 0
-        for row in range(n):
-            column = next(c for c in range(m) if not taken >> c & 1 and score[row][c] + best(row + 1, taken | 1 << c) == best(row, taken))
-            chosen.append(column)
-            taken |= 1 << column
-        return chosen
-    free = list(range(m))
-    for row in range(n):
-        rest = list(range(row + 1, n))
-        goal = _augmented(score, [row, *rest], free)
-        column = next(c for c in free if score[row][c] + _augmented(score, rest, [x for x in free if x != c]) == goal)
-        chosen.append(column)
-        free.remove(column)
-    return chosen
-
-
-def meetings(score: list) -> list[dict[str, int]]:
-    """Which row of a matrix of scores meets which column; -1 for what meets none."""
-    rows = [list(r) for r in score]
-    straight = len(rows) <= len(rows[0])
-    chosen = assign(rows if straight else [list(c) for c in zip(*rows, strict=True)])
-    met = list(enumerate(chosen)) + [(-1, k) for k in range(max(len(rows), len(rows[0]))) if k not in chosen]
-    return [{"i": a, "j": b} if straight else {"i": b, "j": a} for a, b in met]
+class _Entity:
+    """The records of an entity as they stream in: their numbers, and their scored columns, held once for each class."""
+
+    def __init__(self, name: str):
+        self.name, self.seq, self.classes, self.known = name, (array("q"), array("q")), ([], []), {}
+
+    def add(self, side: int, seq: int, scored: tuple) -> None:
+        self.seq[side].append(seq)
+        self.classes[side].append(self.known.setdefault(scored, scored))
+
+    def met(self) -> Iterator[tuple[str, int | None, int | None]]:
+        short = int(len(self.seq[0]) > len(self.seq[1]))
+        rows, columns = self.seq[short], self.seq[1 - short]
+        chosen = assign(self.classes[short], self.classes[1 - short], WORTH) if rows else []
+        turned = (lambda a, b: (self.name, b, a)) if short else lambda a, b: (self.name, a, b)
+        yield from (turned(rows[i], columns[j]) for i, j in enumerate(chosen))
+        taken = set(chosen)
+        yield from (turned(None, x) for j, x in enumerate(columns) if j not in taken)
+
+
+_MET = pa.schema([("entity", pa.string()), ("s_seq", pa.int64()), ("d_seq", pa.int64())])
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with ``_score`` replaced by what meets; the records pass through as they are."""
-    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
-    for batch in batches:
-        at = batch.schema.get_field_index("_score")
-        yield batch.set_column(at, pa.field("_score", kind), pa.array([meetings(x) for x in batch.column(at).to_pylist()], kind))
+    """From (entity, side, seq, job, kind, start) in order: the numbers of what meets."""
+
+    def solved() -> Iterator[tuple]:
+        held = None
+        for batch in batches:
+            for entity, side, seq, *scored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or entity != held.name:
+                    if held:
+                        yield from held.met()
+                    held = _Entity(entity)
+                held.add(side, seq, tuple(scored))
+        if held:
+            yield from held.met()
+
+    out: list[tuple] = []
+    for row in solved():
+        out.append(row)
+        if len(out) >= BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MET)], schema=_MET)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MET)], schema=_MET)
+
+
+def meetings(keys: DataFrame) -> DataFrame:
+    """entity, s_seq, d_seq from one row for each record: entity, side (0 or 1), seq, job, kind, start."""
+    whole = Window.partitionBy("entity")
+    counted = keys.withColumns({f"_n{i}": F.sum(F.when(F.col("side") == i, 1).otherwise(0)).over(whole) for i in (0, 1)})
+    few = (F.col("_n0") <= 1) & (F.col("_n1") <= 1)
+    number = lambda i: F.max(F.when(F.col("side") == i, F.col("seq")))
+    single = counted.where(few).groupBy("entity").agg(number(0).alias("s_seq"), number(1).alias("d_seq"))
+    one_sided = (F.col("_n0") == 0) | (F.col("_n1") == 0)
+    lone = counted.where(~few & one_sided).select("entity", F.when(F.col("side") == 0, F.col("seq")).alias("s_seq"), F.when(F.col("side") == 1, F.col("seq")).alias("d_seq"))
+    several = counted.where(~few & ~one_sided).select("entity", "side", "seq", "job", "kind", "start").sortWithinPartitions("entity", "side", "seq")  # the window has dealt by entity
+    return single.unionByName(lone).unionByName(several.mapInArrow(_solve, "entity string, s_seq long, d_seq long"))
 
 
 def pair_records(source: DataFrame, target: DataFrame, entity: tuple[str, str], job: tuple[str, str], kind: tuple[str, str], start: tuple[str, str], seq: tuple[str, str]) -> DataFrame:
     """pair_id, entity, s and d (structs of the two records, null where there is none). ``seq`` is a unique long. Records
     without an entity stay alone."""
-    sides, alone = [], []
+    keys, records, alone = [], [], []
     for i, df in enumerate((source, target)):
-        own = df.select(
-            F.col(entity[i]).cast("string").alias("entity"),
-            F.struct(F.col(seq[i]).cast("long").alias("seq"), *(F.col(c[i]).cast("string").alias(n) for c, n in ((job, "job"), (kind, "kind"), (start, "start"))), F.struct("*").alias("record")).alias("r"),
-        )
-        sides.append(own.where("entity is not null").groupBy("entity").agg(F.sort_array(F.collect_list("r")).alias("sd"[i])))
-        alone.append(own.where("entity is null").select("entity", "r"))
-    both = sides[0].join(sides[1], "entity", "full_outer")
-    left, right = (both.schema[c].dataType for c in "sd")
-    none = lambda t: F.lit(None).cast(t.elementType)
-    meet = lambda x, y: F.struct(x.alias("s"), y.alias("d"))
-    single = both.where("size(s) = 1 and size(d) = 1 or s is null or d is null").withColumn(
-        "p", F.when(F.col("d").isNull(), F.transform("s", lambda x: meet(x, none(right)))).when(F.col("s").isNull(), F.transform("d", lambda y: meet(none(left), y))).otherwise(F.array(meet(F.col("s")[0], F.col("d")[0])))
-    )
-    same = lambda x, y, c, n: F.when(x[c].eqNullSafe(y[c]), n).otherwise(0)
-    score = F.transform("s", lambda x: F.transform("d", lambda y: same(x, y, "job", 2) + same(x, y, "kind", 1) + same(x, y, "start", 1)))
-    several = both.where("s is not null and d is not null and not (size(s) = 1 and size(d) = 1)").withColumn("_score", score)
-    met = T.StructType([*several.schema.fields[:-1], T.StructField("_score", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))])
-    several = several.mapInArrow(_solve, met).select("entity", "s", "d", F.explode("_score").alias("_x"))
-    several = several.select("entity", F.struct(F.get("s", F.col("_x.i")).alias("s"), F.get("d", F.col("_x.j")).alias("d")).alias("p"))
-    pairs = single.select("entity", F.explode("p").alias("p")).unionByName(several)
-    pairs = pairs.select("entity", "p.s", "p.d")
-    pairs = pairs.unionByName(alone[0].select("entity", F.col("r").alias("s"), none(right).alias("d"))).unionByName(alone[1].select("entity", none(left).alias("s"), F.col("r").alias("d")))
-    name = lambda c: F.coalesce(F.col(f"{c}.seq").cast("string"), F.lit("x"))
-    return pairs.select(F.concat_ws("-", name("s"), name("d")).alias("pair_id"), "entity", F.col("s.record").alias("s"), F.col("d.record").alias("d"))
+        name, number = F.col(entity[i]).cast("string"), F.col(seq[i]).cast("long")
+        keys.append(df.where(name.isNotNull()).select(name.alias("entity"), F.lit(i).alias("side"), number.alias("seq"), *(F.col(c[i]).cast("string").alias(n) for c, n in ((job, "job"), (kind, "kind"), (start, "start")))))
+        records.append(df.select(number.alias(f"_{i}"), F.lit(True).alias(f"_has{i}"), F.struct("*").alias("sd"[i])))
+        alone.append(df.where(name.isNull()).select(F.lit(None).cast("string").alias("entity"), *((number if i == k else F.lit(None).cast("long")).alias(f"{x}_seq") for k, x in enumerate("sd"))))
+    pairs = meetings(keys[0].unionByName(keys[1])).unionByName(alone[0]).unionByName(alone[1])
+    for i, (mine, other) in enumerate((("s_seq", "d_seq"), ("d_seq", "s_seq"))):  # what has no record here is dealt by the other side's number
+        met = (F.coalesce(mine, other) == F.col(f"_{i}")) & (F.col(mine).isNotNull() == F.col(f"_has{i}"))
+        pairs = pairs.join(records[i], met, "left").drop(f"_{i}", f"_has{i}")
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("x"))
+    return pairs.select(F.concat_ws("-", number("s_seq"), number("d_seq")).alias("pair_id"), "entity", "s", "d")
 
 
 def entity_counts(source: DataFrame, target: DataFrame, entity: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.history import summarise
 from ledgerloom.operators.lookup import one_to_one, with_reason
-from ledgerloom.operators.pairing import assign, pair_records
+from ledgerloom.operators.assignment import Assignment, assign
+from ledgerloom.operators.pairing import WORTH, pair_records
 from ledgerloom.operators.verdicts import run_rules
 from ledgerloom.plans.fields import CONTRACT_CODES, CONTRACT_PROFILED, RULES, FieldRule, contract, hr_rules, name, situation, Situation, start_date
 from ledgerloom.plans.tree import describe
@@ -57,15 +58,49 @@ def test_catalogue():
     assert all("UNCOVERED" in describe(r.tree) for r in rules)
 
 
-@pytest.mark.parametrize("seed", range(40))
+def first_optimum(rows, columns):
+    """By all permutations: the highest total, then the first in the order of the rows."""
+    score = lambda r, c: sum(w for w, x, y in zip(WORTH, r, c) if x == y)
+    best = max(itertools.permutations(range(len(columns)), len(rows)), key=lambda p: (sum(score(rows[i], columns[j]) for i, j in enumerate(p)), [-j for j in p]))
+    return list(best)
+
+
+@pytest.mark.parametrize("seed", range(30))
 def test_assignment_is_the_first_optimum(seed):
     rng = random.Random(seed)
-    n, m = rng.randint(1, 4), rng.randint(4, 6)
-    score = [[rng.randint(0, 4) for _ in range(m)] for _ in range(n)]
-    best = max(itertools.permutations(range(m), n), key=lambda p: (sum(score[i][c] for i, c in enumerate(p)), [-c for c in p]))
-    assert assign(score) == list(best)
-    wide = [row + [0] * 7 for row in score]
-    assert sum(wide[i][c] for i, c in enumerate(assign(wide))) == sum(score[i][c] for i, c in enumerate(best))
+    for _ in range(20):
+        kinds = rng.choice([(2, 2, 2), (3, 2, 3), (1, 2, 2), (4, 3, 4)])
+        record = lambda: (rng.randrange(kinds[0]) or None, *(rng.randrange(k) for k in kinds[1:]))  # noqa: B023, E731
+        n = rng.randint(1, 5)
+        rows, columns = [record() for _ in range(n)], [record() for _ in range(rng.randint(n, 6))]
+        assert assign(rows, columns, WORTH) == first_optimum(rows, columns)
+        assert Assignment(rows, columns, WORTH).dealt() == first_optimum(rows, columns)
+
+
+def test_assignment_of_many_copies_is_that_of_few():
+    """Classes, not records, are searched: beside 40 equal pairs the rest is dealt as if they were not there."""
+    rng = random.Random(5)
+    for _ in range(30):
+        record = lambda: (rng.randrange(3), rng.randrange(2), rng.randrange(3))
+        rows, columns = [record() for _ in range(4)], [record() for _ in range(6)]
+        other = ("apart",) * 3
+        got = assign(rows + [other] * 40, columns + [other] * 40, WORTH)
+        assert got[4:] == list(range(6, 46)) and got[:4] == first_optimum(rows, columns)
+
+
+def test_an_entity_of_a_million_records(spark):
+    """One entity, a million records: every record once, all of the smaller side paired, at the best total (that of a flow
+    over classes, which is bounded by the pairs that agree)."""
+    n = 500_000
+    side = lambda more, a: spark.range(n + more).select((F.col("id") + a).alias("seq"), F.lit("e").alias("entity"), *((F.xxhash64("id", F.lit(a + k)) % m).cast("string").alias(c) for k, (c, m) in enumerate((("job", 5), ("kind", 3), ("start", 4)))))
+    same = lambda c: (c, c)
+    left, right = side(0, 0), side(1000, 10_000_000)
+    made = pair_records(left, right, *map(same, ("entity", "job", "kind", "start", "seq"))).select(F.col("s.seq").alias("a"), F.col("d.seq").alias("b"), F.concat_ws("/", "s.job", "s.kind", "s.start").alias("x"), F.concat_ws("/", "d.job", "d.kind", "d.start").alias("y"))
+    r = made.agg(F.count("*"), F.count("a"), F.count("b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()), F.count_distinct("a"), F.count_distinct("b"), F.count_if(F.col("x") == F.col("y"))).first()
+    assert tuple(r)[:6] == (n + 1000, n, n + 1000, n, n, n + 1000)
+    classes = lambda df: df.groupBy("job", "kind", "start").count()
+    most = classes(left).join(classes(right).withColumnRenamed("count", "other"), ["job", "kind", "start"]).agg(F.sum(F.least("count", "other"))).first()[0]
+    assert 0.97 * most <= r[6] <= most
 
 
 def test_pairing_keeps_every_record_once(spark):
