@@ -58,7 +58,6 @@ def main(argv: list[str] | None = None) -> None:
     result = _result(spark, args)
     if args.verb == "run":
         write_verdicts(result.verdicts, args.out)
-        result.close()
         written = spark.read.parquet(args.out)
         if args.report:
             write_report({"Summary": kpis(written), "Fields": by_field(written), "To investigate": to_investigate(written).limit(1000)}, args.report)

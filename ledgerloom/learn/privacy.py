@@ -87,12 +87,12 @@ def scrub_known(df: DataFrame, column: str, fakes: DataFrame, row: str) -> DataF
     return done.withColumn(column, F.when(F.col("_kept").isNull(), F.col(column)).otherwise(F.array_join(F.transform(parts, shown), ""))).drop("_kept")
 
 
-def pseudonymise(df: DataFrame, row: str, identifiers: dict[str, str], allowed: list[str], dates: list[str], target: str | None = None, secret: str | None = None) -> DataFrame:
+def pseudonymise(df: DataFrame, row: str, identifiers: dict[str, str], allowed: list[str], dates: list[str], target: str | None = None, secret: str | None = None, everyone: DataFrame | None = None) -> DataFrame:
     """Only ``row``, identifiers (as fakes) and ``allowed`` columns. ``dates`` among them, and the ``target`` where it is a
-    date, shifted by the row's days; in any other target known identifiers and long digit runs replaced. All identifiers
-    are numbered before any text is read. Without a ``secret`` one is drawn."""
+    date, shifted by the row's days; in any other target known identifiers and long digit runs replaced. The identifiers
+    looked for are those of all rows of ``everyone``, of which ``df`` may be a part. Without a ``secret`` one is drawn."""
     secret = secret or secrets.token_hex(16)
-    fakes = fake_map(df, identifiers, secret)
+    fakes = fake_map(df if everyone is None else everyone, identifiers, secret)
     days = shift_days(F.col(row), secret)
     out = df.select(row, *(f"`{c}`" for c in [*identifiers, *allowed]), *([target] if target else []))
     for c, kind in identifiers.items():

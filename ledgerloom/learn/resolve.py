@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import Features
-from ..operators.verdicts import signature_key
+from ..operators.verdicts import counted, signature_key
 from ..plans.tree import AMBIGUOUS, ANOMALY, JUSTIFIED
 from .dsl import Kinds, Rule, from_json, grounded
-from .search import ACCEPTED, Hypothesis, Learned, Search, chosen
+from .search import ACCEPTED, Hypothesis, Learned, Leaves, Search, chosen
 
 #: Share of a field's rows from which a signature counts as systemic.
 SYSTEMIC = 0.5
@@ -57,17 +57,18 @@ def stability(features: DataFrame, target: str, kinds: Kinds) -> list[tuple[str,
         return leave_one_out(search, search.hypotheses())
 
 
-def field_model(features: Features, field: str) -> FieldModel:
-    with Search(features.df, features.targets[field], features.kinds) as search:
+def field_model(features: Features, field: str, leaves: Leaves | None = None) -> FieldModel:
+    with Search(features.df, features.targets[field], features.kinds, leaves=leaves) as search:
         found = search.hypotheses()
         learned = chosen(found)
         shares = {name: share for name, _, share in leave_one_out(search, found)} if learned.accepted else {}
     return FieldModel(field, learned, shares.get(str(learned), 0.0))
 
 
-def signature_counts(df: DataFrame) -> DataFrame:
-    """Per field and signature: rows and share of the field's rows that have one."""
-    counts = df.where("signature <> ''").groupBy("field", "signature").agg(F.count("*").alias("n"))
+def signature_counts(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Per field and signature: rows and share of the field's rows that have one. ``counts``: as of ``verdicts.counted``, if
+    that is known."""
+    counts = (counted(df) if counts is None else counts).where("signature <> ''").select("field", "signature", "n")
     return counts.join(counts.groupBy("field").agg(F.sum("n").alias("total")), "field").select("field", "signature", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
@@ -90,15 +91,18 @@ def _by_field(values: dict, kind: str) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("field")] if values else F.lit(None).cast(kind)
 
 
-def settle(verdicts: DataFrame, features: Features, models: list[FieldModel], systemic: float = SYSTEMIC) -> DataFrame:
+def settle(verdicts: DataFrame, features: Features, models: list[FieldModel], systemic: float = SYSTEMIC, counts: DataFrame | None = None) -> DataFrame:
     """Open rows of modelled fields decided, in this order: the learned rule gives the target's value; the signature is
     systemic; a reliable rule is broken; the signature is isolated; else open. ``verdicts`` has pair_id, field, actual,
     signature, verdict, layer, confidence, method, explanation, path.
 
-    Shares are joined for differences only: rows that are equal, most of them, take no part (see ``signature_key``)."""
+    Only open rows meet shares and what the rules give; the others, nearly all of a table, pass by without a shuffle."""
+    if not models:
+        return verdicts
+    is_open = F.col("field").isin(*[m.field for m in models]) & (F.col("verdict") == AMBIGUOUS)
     reliable = {m.field: m.learned for m in models if m.learned.accepted}
-    shares = signature_counts(verdicts).where("signature <> '='").select(F.col("field").alias("_field"), F.col("signature").alias("_signature"), F.col("share").alias("_share"))
-    wide = verdicts.withColumn("_key", signature_key(F.col("signature"), F.col("pair_id")))
+    shares = signature_counts(verdicts, counts).where("signature <> '='").select(F.col("field").alias("_field"), F.col("signature").alias("_signature"), F.col("share").alias("_share"))
+    wide = verdicts.where(is_open).withColumn("_key", signature_key(F.col("signature"), F.col("pair_id")))
     wide = wide.join(shares, (F.col("field") == F.col("_field")) & (F.col("_key") == F.col("_signature")), "left").drop("_key", "_field", "_signature")
     if reliable:
         guesses = F.create_map(*(x for name, m in reliable.items() for x in (F.lit(name), m.rule.text(features.kinds))))
@@ -110,7 +114,6 @@ def settle(verdicts: DataFrame, features: Features, models: list[FieldModel], sy
         "_rule": _by_field({name: str(m) for name, m in reliable.items()}, "string"),
         "_coverage": _by_field({name: m.coverage for name, m in reliable.items()}, "double"),
         "_steady": _by_field({m.field: m.stability for m in models if m.field in reliable}, "double"),
-        "_open": F.col("field").isin(*[m.field for m in models]) & (F.col("verdict") == AMBIGUOUS) if models else F.lit(False),
     })
     known, other, share = F.col("_rule").isNotNull(), ~F.col("signature").isin("=", ""), F.coalesce("_share", F.lit(0.0))
 
@@ -125,16 +128,17 @@ def settle(verdicts: DataFrame, features: Features, models: list[FieldModel], sy
         .otherwise(case(AMBIGUOUS, F.lit(0.0), ""))
     )
     wide = wide.withColumn("_new", decided)
-    settled = F.col("_open") & (F.col("_new.method") != "")
+    settled = F.col("_new.method") != ""
     note = F.concat(F.col("_new.method"), F.when(F.col("_new.method").startswith("learned"), F.concat(F.lit(" "), F.col("_rule"))).otherwise(F.concat(F.lit(" "), F.col("signature"))))
-    return wide.withColumns({
+    wide = wide.withColumns({
         "explanation": F.when(settled, F.concat(F.lit("Population: "), note, F.lit(". Rule: "), F.coalesce("explanation", F.lit("")))).otherwise(F.col("explanation")),
         "path": F.when(settled, F.concat(F.coalesce("path", F.lit("")), F.lit(" | [LEARNED] "), note, F.lit(" → "), F.col("_new.verdict"))).otherwise(F.col("path")),
-        "confidence": F.when(F.col("_open"), F.col("_new.confidence")).otherwise(F.col("confidence")),
+        "confidence": F.col("_new.confidence"),
         "method": F.when(settled, F.col("_new.method")).otherwise(F.col("method")),
         "layer": F.when(settled, "LEARNED").otherwise(F.col("layer")),
         "verdict": F.when(settled, F.col("_new.verdict")).otherwise(F.col("verdict")),
-    }).select(*verdicts.columns)
+    })
+    return verdicts.where(~is_open).unionByName(wide.select(*verdicts.columns))
 
 
 def evidence(features: DataFrame, target: str, kinds: Kinds, rule: Rule) -> DataFrame:

@@ -18,15 +18,16 @@ The score of a rule is coverage - PENALTY x complexity; it is accepted from ACCE
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, combinations, product
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..keeping import checkpointed
 from .dsl import BY_KIND, Kinds, Rule, Sql, branch, call, col, const, date_edge, grounded, joined, wrapped
 
 PENALTY, ACCEPTED, LEAST_BRANCH = 0.02, 0.80, 2
@@ -122,30 +123,56 @@ def _numbers(conditions: list[str]) -> str:
     return f"filter(array({', '.join(f'if({c}, {i}, -1)' for i, c in enumerate(conditions))}), x -> x >= 0)"
 
 
-class Search:
-    """Use as a context: the sample's leaves are kept (in memory, else on disk) while the search lasts."""
+class Leaves:
+    """Features as a table of leaves with the targets beside them, and its sample, for the searches for several targets.
+    The sample is kept without the plan that made it until nobody holds it any more."""
 
-    def __init__(self, features: DataFrame, target: str, kinds: Kinds, row: str = "pair_id", sample: int = SAMPLE):
-        self.kinds, self.sample = kinds, sample
+    def __init__(self, features: DataFrame, targets: Iterable[str], kinds: Kinds, row: str = "pair_id", sample: int = SAMPLE):
+        self.kinds = kinds
         leaves = {rule: f"_l{i}" for i, rule in enumerate(leaf_rules(kinds))}
         self.sql = Sql(leaves)
         self.texts = [r for r in leaves if kinds[r.columns()[0]] in BY_KIND]  # what can be a part of a text
+        self.targets = {y: f"_y{i}" for i, y in enumerate(dict.fromkeys(targets))}
         draw = F.pmod(F.xxhash64(f"`{row}`"), F.lit(DRAWS)) if row in features.columns else (F.rand(7) * DRAWS).cast("long")
-        self.frame = features.select(F.col(f"`{target}`").alias("_y"), draw.alias("_draw"), *(r.text(kinds).alias(name) for r, name in leaves.items()))
-        self.hits: dict[Rule, int] = {}
-
-    def __enter__(self) -> Search:
-        self.rows = self.tried = self.frame.count()
-        whole = self.rows <= FULL * self.sample
-        self.some = (self.frame if whole else self.frame.where(F.col("_draw") < self.sample * DRAWS // self.rows)).persist(StorageLevel.MEMORY_AND_DISK)
-        if whole:
-            self.frame = self.some
+        frame = features.select(draw.alias("_draw"), *(F.col(f"`{y}`").alias(name) for y, name in self.targets.items()), *(r.text(kinds).alias(name) for r, name in leaves.items()))
+        self.rows = self.tried = features.count()
+        if self.rows <= FULL * sample:
+            self.frame = self.some = checkpointed(frame)
         else:
+            self.frame, self.some = frame, checkpointed(frame.where(F.col("_draw") < sample * DRAWS // self.rows))
             self.tried = self.some.count()
+
+    @cached_property
+    def few(self) -> tuple[list[str], dict[tuple[int, str], int]]:
+        """Columns with few values, and the rows of each value of theirs."""
+        names = list(self.kinds)
+        about = self.frame.selectExpr(*(f"approx_count_distinct({self.sql.column(c)})" for c in names)).first()
+        few = [c for c, n in zip(names, about, strict=True) if BRANCH_VALUES[0] <= n <= BRANCH_VALUES[1] + 2]
+        if not few:
+            return [], {}
+        rows = self.frame.selectExpr(self.stacked(few)).where("_v is not null").groupBy("_c", "_v").agg(F.count("*").alias("n"))
+        return few, {(r["_c"], r["_v"]): r["n"] for r in rows.collect()}  # few columns x few values
+
+    def stacked(self, columns: list[str]) -> str:
+        return f"posexplode(array({', '.join(map(self.sql.column, columns))})) as (_c, _v)"
+
+
+class Search:
+    """Use as a context. ``leaves`` can be shared by searches for several targets."""
+
+    def __init__(self, features: DataFrame, target: str, kinds: Kinds, row: str = "pair_id", sample: int = SAMPLE, leaves: Leaves | None = None):
+        self.kinds, self.hits = kinds, {}
+        self._make = lambda: leaves or Leaves(features, [target], kinds, row, sample)
+        self._target = target
+
+    def __enter__(self) -> Search:
+        self.leaves = held = self._make()
+        self.sql, self.texts, self.rows, self.tried = held.sql, held.texts, held.rows, held.tried
+        self.frame, self.some = (df.withColumnRenamed(held.targets[self._target], "_y") for df in (held.frame, held.some))
         return self
 
     def __exit__(self, *_) -> None:
-        self.some.unpersist()
+        del self.leaves, self.frame, self.some  # if nobody else holds the sample, it goes
 
     def tally(self, conditions: list[str], frame: DataFrame | None = None) -> list[int]:
         """On how many rows each condition holds: rows give the numbers of those that hold, and these are counted."""
@@ -247,13 +274,10 @@ class Search:
     def cells(self, rules: list[Rule]) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
         """The (column, value) cells of columns with few values, their rows, and the hits of each rule inside each cell of
         the sample."""
-        names = list(self.kinds)
-        about = self.frame.selectExpr(*(f"approx_count_distinct({self.sql.column(c)})" for c in names)).first()
-        few = [c for c, n in zip(names, about, strict=True) if BRANCH_VALUES[0] <= n <= BRANCH_VALUES[1] + 2]
+        few, sizes = self.leaves.few
         if not few or not rules:
             return [], np.zeros(0, np.int64), np.zeros((len(rules), 0), np.int64)
-        stacked = f"posexplode(array({', '.join(map(self.sql.column, few))})) as (_c, _v)"
-        sizes = {(r["_c"], r["_v"]): r["n"] for r in self.frame.selectExpr(stacked).where("_v is not null").groupBy("_c", "_v").agg(F.count("*").alias("n")).collect()}  # few columns x few values
+        stacked = self.leaves.stacked(few)
         values = np.bincount([c for c, _ in sizes], minlength=len(few))
         own = sorted(cell for cell in sizes if BRANCH_VALUES[0] <= values[cell[0]] <= BRANCH_VALUES[1])
         inside, number = np.zeros((len(rules), len(own)), np.int64), {cell: k for k, cell in enumerate(own)}

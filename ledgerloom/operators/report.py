@@ -88,7 +88,7 @@ def demo_picks(df: DataFrame, cases: dict[str, tuple]) -> DataFrame:
 def used_sources(df: DataFrame) -> DataFrame:
     """The source columns that each field reads."""
     names = F.filter(F.transform(F.split("sources", r"[+,]"), lambda x: F.trim(x)), lambda x: x != "")
-    return df.select("field", "sources").distinct().withColumn("source", F.explode(names)).drop("sources")
+    return df.select("field", "sources").distinct().select("field", F.explode(names).alias("source")).distinct()
 
 
 def path_steps(df: DataFrame) -> DataFrame:

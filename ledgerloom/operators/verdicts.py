@@ -68,10 +68,16 @@ def signature_key(signature: Column, row: Column) -> Column:
     return F.when(signature.isin("=", ""), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(row), F.lit(4096)).cast("string"))).otherwise(signature)
 
 
-def with_recurrence(df: DataFrame) -> DataFrame:
+def counted(df: DataFrame) -> DataFrame:
+    """Rows and open rows (n, n_open) of each field and signature."""
+    return df.groupBy("field", "signature").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == AMBIGUOUS).alias("n_open"))
+
+
+def with_recurrence(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Rows with the same field and signature; 1 without a signature. Counted by an aggregate that combines before it
-    shuffles. Equal rows take their field's count from a table of one row per field, differences join by signature."""
-    counts = df.where("signature <> ''").groupBy("field", "signature").agg(F.count("*").alias("_n"))
+    shuffles (``counts``, if that is known). Equal rows take their field's count from a table of one row per field,
+    differences join by signature."""
+    counts = (counted(df) if counts is None else counts).where("signature <> ''").select("field", "signature", F.col("n").alias("_n"))
     equal = counts.where("signature = '='").select(F.col("field").alias("_equal_field"), F.col("_n").alias("_equal"))
     other = counts.where("signature <> '='").select(F.col("field").alias("_field"), F.col("signature").alias("_signature"), "_n")
     keyed = df.withColumn("_key", signature_key(F.col("signature"), F.col("pair_id")))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.normalize import row_id
+from .keeping import checkpointed
+from .learn.search import Leaves
 from .learn.resolve import FieldModel, field_model, most_common, settle
 from .operators.features import Features, feature_table
 from .operators.overrides import apply_overrides
-from .operators.verdicts import describe_rules, in_order, run_rules, with_defaults, with_priority, with_recurrence
-from .plans.tree import AMBIGUOUS
+from .operators.verdicts import counted, describe_rules, in_order, run_rules, with_defaults, with_priority, with_recurrence
 
 COLUMNS = [
     "id", "priority", "verdict", "layer", "confidence", "entity", "kind", "position", "job", "field", "sources", "expected", "actual", "rule", "rule_text",
@@ -23,19 +23,14 @@ COLUMNS = [
 
 @dataclass
 class Result:
-    """``kept`` are the tables that later steps read, rule verdicts and features; ``close`` lets go of them."""
-
     verdicts: DataFrame
     models: list[FieldModel] = field(default_factory=list)
-    kept: list[DataFrame] = field(default_factory=list)
-
-    def close(self) -> None:
-        for df in self.kept:
-            df.unpersist()
 
 
 def with_ids(df: DataFrame) -> DataFrame:
-    return df.withColumn("id", row_id(*(F.col(c) for c in ("entity", "kind", "position", "field"))))
+    """What a row is called: entity, kind, position, field and, as an entity can have two assignments alike in these, the
+    pair."""
+    return df.withColumn("id", row_id(*(F.col(c) for c in ("entity", "kind", "position", "field")), F.col("pair_id").cast("string")))
 
 
 def reconcile(pairs: DataFrame, rules: list, learned: bool = True, features: Features | None = None, overrides: DataFrame | None = None) -> Result:
@@ -43,22 +38,24 @@ def reconcile(pairs: DataFrame, rules: list, learned: bool = True, features: Fea
     ``learned`` open rows are settled from the population: by rules learned from ``features`` (if not given, made of the
     pairs) and by signatures.
 
-    Rule verdicts and features are kept in memory, else on disk, as counts, models and the joins all read them."""
-    keep = ["pair_id", "entity", "kind", "position", "job"]
-    verdicts = with_defaults(with_ids(describe_rules(run_rules(pairs, rules, keep)))).persist(StorageLevel.MEMORY_AND_DISK)
-    kept: list[DataFrame] = [verdicts]
+    Pairs are kept, being all that joins and solvers have made. Verdicts are not: they are one projection of the pairs
+    with many rows each, so whatever needs few columns of them makes these anew. They are passed through twice, to count
+    signatures and open rows by field, which no later layer changes, and for the result."""
+    pairs = checkpointed(pairs)
+    verdicts = with_defaults(with_ids(describe_rules(run_rules(pairs, rules, ["pair_id", "entity", "kind", "position", "job"]))))
+    counts = checkpointed(counted(verdicts))
     models: list[FieldModel] = []
     if learned:
-        open_fields = sorted(r[0] for r in verdicts.where(F.col("verdict") == AMBIGUOUS).select("field").distinct().collect())  # one per rule at most
+        open_fields = sorted(r[0] for r in counts.where("n_open > 0").select("field").distinct().collect())  # one per rule at most
         if open_fields:
-            features = features or feature_table(pairs, open_fields)
-            features = replace(features, df=features.df.persist(StorageLevel.MEMORY_AND_DISK))
-            kept.append(features.df)
-            models = [field_model(features, f) for f in open_fields if f in features.targets]
-            verdicts = settle(verdicts, features, models)
+            features = replace(features, df=checkpointed(features.df)) if features else feature_table(pairs, open_fields)
+            modelled = [f for f in open_fields if f in features.targets]
+            leaves = Leaves(features.df, [features.targets[f] for f in modelled], features.kinds) if modelled else None
+            models = [field_model(features, f, leaves) for f in modelled]
+            verdicts = settle(verdicts, features, models, counts=counts)
     if overrides is not None:
         verdicts = apply_overrides(verdicts, overrides)
-    return Result(with_priority(with_recurrence(verdicts)).select(*COLUMNS), models, kept)
+    return Result(with_priority(with_recurrence(verdicts, counts)).select(*COLUMNS), models)
 
 
 def report_order(result: Result) -> DataFrame:

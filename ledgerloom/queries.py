@@ -107,10 +107,18 @@ def norm_signature(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", n.signature(F.col("source"), F.col("lang")).alias("signature"))
 
 
-@query("SELECT * FROM (VALUES ('complÃ¨te', 'complète', true), ('complète', 'complète', false), ('plain', 'plain', false), ('日本', '日本', false), ('Ã©tÃ©', 'été', true)) AS t(raw, mended, broken)")
+#: Letters beyond ASCII up to U+00FF, as they look when their UTF-8 is read as Latin-1. Fixed values.
+_SPOILED = [(chr(c), chr(c).encode().decode("latin-1")) for c in range(0xA1, 0x100)]
+
+
+@query(f"SELECT doc_id, t AS mended, t <> raw AS broken FROM (SELECT doc_id, concat(text, ' ') AS t, CASE WHEN doc_id % 2 = 0 AND regexp_full_match(text, '[\\x00-\\x7F\\xA1-\\xFF]*') THEN {'replace(' * len(_SPOILED)}concat(text, ' '){''.join(f", '{a}', concat(chr({ord(b[0])}), chr({ord(b[1])})))" for a, b in reversed(_SPOILED))} ELSE t END AS raw FROM documents)")
 def norm_mojibake(spark, sf_dir):
-    raw = spark.createDataFrame([(x,) for x in ("complÃ¨te", "complète", "plain", "日本", "Ã©tÃ©")], "raw string")
-    return raw.select("raw", n.fix_mojibake(F.col("raw")).alias("mended"), n.has_mojibake(F.col("raw")).alias("broken"))
+    """Every other document spoiled (its UTF-8 read as Latin-1), and mended again; the others have to stay as they are."""
+    docs = b.table(spark, sf_dir, "documents")
+    narrow = F.col("text").rlike(r"^[\x00-\x7F\xA1-\xFF]*$")
+    text = F.concat("text", F.lit(" "))
+    raw = F.when((F.col("doc_id") % 2 == 0) & narrow, F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")).otherwise(text)
+    return docs.select("doc_id", n.fix_mojibake(raw).alias("mended"), n.has_mojibake(raw).alias("broken"))
 
 
 MAIL = "CASE o_orderkey % 3 WHEN 0 THEN concat('TEST-a1_', o_custkey, '@x.org') WHEN 1 THEN concat('u', o_custkey, '@x.org') ELSE concat('_', o_custkey) END"
@@ -304,6 +312,8 @@ def rule_uncovered(spark, sf_dir):
 
 # Verdicts and reports -----------------------------------------------------------------------------------------------
 
+#: The id of a row of v.
+ID = "concat(entity, '/', kind, '/', position, '/', field, '/', k)"
 KEEP = ["pair_id", "entity", "kind", "position", "job"]
 
 
@@ -335,11 +345,14 @@ LAYERED = f"""{BOTH}{LONG}, l AS (SELECT k, field, verdict AS rule_verdict, CASE
  CASE WHEN k = 14 AND field = 'amount' THEN 'JUSTIFIED' WHEN verdict = 'AMBIGUOUS' THEN 'ANOMALY' ELSE verdict END AS verdict FROM v)"""
 
 
+def _named(spark: SparkSession, sf_dir: str, pair: int, field: str) -> str:
+    """The id of a row."""
+    return with_ids(b.known_pairs(spark, sf_dir).where(F.col("pair_id") == pair).withColumn("field", F.lit(field))).first()["id"]
+
+
 def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = b.known_pairs(spark, sf_dir).where("pair_id = 14").select(n.row_id(F.col("entity"), F.col("kind"), F.col("position"), F.lit("amount"))).first()[0]
-    said = spark.createDataFrame([(0, "2024-01-02", "amount", "row", "JUSTIFIED", one, None, "seen")], overrides.SCHEMA)
-    made = reconcile(b.known_pairs(spark, sf_dir), b.STAR_RULES, overrides=said).verdicts
-    return made.withColumn("layer", F.when((F.col("layer") == "EXPERT") & (F.col("pair_id") != 14), "RULE").otherwise(F.col("layer"))).withColumn("verdict", F.when((F.col("layer") == "RULE"), F.col("rule_verdict")).otherwise(F.col("verdict")))
+    said = spark.createDataFrame([(0, "2024-01-02", "amount", "row", "JUSTIFIED", _named(spark, sf_dir, 14, "amount"), None, "seen")], overrides.SCHEMA)
+    return reconcile(b.known_pairs(spark, sf_dir), b.STAR_RULES, overrides=said).verdicts
 
 
 @query(f"{LAYERED} SELECT layer, {FOUR}, count(*) AS total FROM l GROUP BY 1")
@@ -390,12 +403,11 @@ def browse_filter(spark, sf_dir):
     return report.browse(_signed(spark, sf_dir).drop("id"), ["ANOMALY"], ["RULE"], None, "7-199").select("pair_id", "field", "verdict")
 
 
-@query(f"{BOTH}{LONG} SELECT * FROM (SELECT 'name case' AS \"case\", k AS pair_id FROM v WHERE field = 'name' AND verdict = 'AMBIGUOUS' ORDER BY k LIMIT 1) UNION ALL SELECT * FROM (SELECT 'wrong amount', k FROM v WHERE field = 'amount' AND verdict = 'ANOMALY' ORDER BY k LIMIT 1) UNION ALL SELECT * FROM (SELECT 'fallback', k FROM v WHERE verdict = 'MATCH' ORDER BY k LIMIT 1)")
+@query(f"{BOTH}{LONG} SELECT * FROM (SELECT 'name case' AS \"case\", k AS pair_id FROM v WHERE field = 'name' AND verdict = 'AMBIGUOUS' ORDER BY {ID} LIMIT 1) UNION ALL SELECT * FROM (SELECT 'wrong amount', k FROM v WHERE field = 'amount' AND verdict = 'ANOMALY' ORDER BY {ID} LIMIT 1) UNION ALL SELECT * FROM (SELECT 'fallback', k FROM v WHERE verdict = 'MATCH' ORDER BY {ID} LIMIT 1)")
 def demo_pick(spark, sf_dir):
     v, field = F.col("verdict"), F.col("field")
     cases = {"name case": ((field == "name") & (v == "AMBIGUOUS"), v == "AMBIGUOUS"), "wrong amount": ((field == "amount") & (v == "ANOMALY"), v == "ANOMALY"), "fallback": (F.lit(False), v == "MATCH")}
-    df = _signed(spark, sf_dir).withColumn("id", F.lpad(F.col("pair_id").cast("string"), 12, "0"))
-    return report.demo_picks(df, cases).select("case", "pair_id")
+    return report.demo_picks(_signed(spark, sf_dir), cases).select("case", "pair_id")
 
 
 @query(f"{BOTH}{LONG} SELECT field, {FOUR} FROM v GROUP BY 1")
@@ -405,22 +417,19 @@ def field_bars(spark, sf_dir):
 
 @query(f"{BOTH} SELECT k AS pair_id, s.amount AS s_amount, d.amount AS d_amount {MATCHED} WHERE k = 7")
 def drill_down(spark, sf_dir):
-    df = _signed(spark, sf_dir).where("field = 'amount'").withColumn("id", F.col("pair_id").cast("string"))
-    return report.drill_down(df, b.known_pairs(spark, sf_dir), "7").select("pair_id", F.col("s.amount").alias("s_amount"), F.col("d.amount").alias("d_amount"))
+    return report.drill_down(_signed(spark, sf_dir), b.known_pairs(spark, sf_dir), _named(spark, sf_dir, 7, "amount")).select("pair_id", F.col("s.amount").alias("s_amount"), F.col("d.amount").alias("d_amount"))
 
 
-@query(f"{BOTH} SELECT k AS pair_id, step, node, answer FROM (SELECT k, unnest([0, 1, 2]) AS step, unnest(['R-DIRECT.exp', 'R-DIRECT.act', 'R-DIRECT.eq']) AS node, unnest([s.job, d.job, CASE WHEN s.job = d.job THEN 'yes' ELSE 'no' END]) AS answer {MATCHED})")
+@query(f"{BOTH} SELECT concat(entity, '/', type, '/', position, '/job/', k) AS id, step, node, answer FROM (SELECT k, s.entity, s.type, s.position, unnest([0, 1, 2]) AS step, unnest(['R-DIRECT.exp', 'R-DIRECT.act', 'R-DIRECT.eq']) AS node, unnest([s.job, d.job, CASE WHEN s.job = d.job THEN 'yes' ELSE 'no' END]) AS answer {MATCHED})")
 def path_steps(spark, sf_dir):
-    df = _long(spark, sf_dir, True).where("field = 'job'").withColumn("id", F.col("pair_id"))
-    return report.path_steps(df).select(F.col("id").alias("pair_id"), "step", "node", "answer")
+    return report.path_steps(_signed(spark, sf_dir, True).where("field = 'job'")).select("id", "step", "node", "answer")
 
 
 # Overrides ----------------------------------------------------------------------------------------------------------
 
 
 def _overridden(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
-    df = _signed(spark, sf_dir, True).withColumn("id", F.concat_ws("/", F.col("pair_id").cast("string"), "field"))
-    return overrides.apply_overrides(df, spark.createDataFrame(rows, overrides.SCHEMA)).select("pair_id", "field", "verdict", "layer", "confidence", "explanation")
+    return overrides.apply_overrides(_signed(spark, sf_dir, True), spark.createDataFrame(rows, overrides.SCHEMA)).select("pair_id", "field", "verdict", "layer", "confidence", "explanation")
 
 
 #: What the rules say of each row.
@@ -442,7 +451,7 @@ def _without_numbers(df: DataFrame) -> DataFrame:
 
 @query(_overridden_sql("k = 14 AND field = 'type'", "JUSTIFIED", "this row"))
 def override_row(spark, sf_dir):
-    return _without_numbers(_overridden(spark, sf_dir, [(0, "2024-01-02", "type", "row", "JUSTIFIED", "14/type", None, "seen")]))
+    return _without_numbers(_overridden(spark, sf_dir, [(0, "2024-01-02", "type", "row", "JUSTIFIED", _named(spark, sf_dir, 14, "type"), None, "seen")]))
 
 
 @query(_overridden_sql("field = 'type' AND signature = 'a → a'", "JUSTIFIED", "pattern a → a of type"))
@@ -453,7 +462,7 @@ def override_pattern(spark, sf_dir):
 @query(f"""{BOTH}{SIGNED}, one AS (SELECT *, concat('Expert (2024-01-02, pattern a → a of type): ', verdict, ' → JUSTIFIED. Before: ', {SAID}) AS first FROM w WHERE field = 'type' AND signature = 'a → a')
  SELECT k AS pair_id, field, 'ANOMALY' AS verdict, 'EXPERT' AS layer, 1.0 AS confidence, CASE WHEN k = 31 THEN concat('Expert (2024-01-03, this row): JUSTIFIED → ANOMALY - no. Before: ', first) ELSE concat('Expert (2024-01-04, pattern a → a of type): JUSTIFIED → ANOMALY. Before: ', first) END AS explanation FROM one""")
 def override_fold(spark, sf_dir):
-    rows = [(0, "2024-01-02", "type", "pattern", "JUSTIFIED", None, "a → a", ""), (1, "2024-01-03", "type", "row", "ANOMALY", "31/type", None, "no"), (2, "2024-01-04", "type", "pattern", "ANOMALY", None, "a → a", "")]
+    rows = [(0, "2024-01-02", "type", "pattern", "JUSTIFIED", None, "a → a", ""), (1, "2024-01-03", "type", "row", "ANOMALY", _named(spark, sf_dir, 31, "type"), None, "no"), (2, "2024-01-04", "type", "pattern", "ANOMALY", None, "a → a", "")]
     return _overridden(spark, sf_dir, rows).where("layer = 'EXPERT'")
 
 
@@ -636,7 +645,7 @@ def dsl_functions(spark, sf_dir):
     return rows.select("k", *(call(fn, col("u" if fn == "zpad5" else "t")).text(kinds).alias(fn) for fn in ("strip_accents", "lower", "upper", "first_char", "last3", "zpad5")))
 
 
-@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, concat(entity, '/', kind, '/', position, '/', field) AS id FROM v")
+@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, {ID} AS id FROM v")
 def row_ids(spark, sf_dir):
     return with_ids(_long(spark, sf_dir)).select("pair_id", "field", "id")
 
@@ -663,9 +672,9 @@ def open_rows(spark, sf_dir):
     return _long(spark, sf_dir).where("verdict = 'AMBIGUOUS'").groupBy("field").agg(F.count("*").alias("open"))
 
 
-@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, {PRIORITY} AS priority FROM v WHERE verdict IN ('ANOMALY', 'AMBIGUOUS') ORDER BY 3 DESC, concat(entity, '/', kind, '/', position, '/', field), k LIMIT 50 OFFSET 8")
+@query(f"{BOTH}{LONG} SELECT k AS pair_id, field, {PRIORITY} AS priority FROM v WHERE verdict IN ('ANOMALY', 'AMBIGUOUS') ORDER BY 3 DESC, {ID} LIMIT 50 OFFSET 8")
 def investigate_page(spark, sf_dir):
-    return report.page(report.to_investigate(_ranked(spark, sf_dir)), [F.desc("priority"), "id", "pair_id"], 50, 8).select("pair_id", "field", "priority")
+    return report.page(report.to_investigate(_ranked(spark, sf_dir)), [F.desc("priority"), "id"], 50, 8).select("pair_id", "field", "priority")
 
 
 @query(f"{BOTH}{LONG} SELECT k AS pair_id, rule, verdict, {SAID} AS explanation FROM v WHERE field = '(assignment)'")
@@ -673,15 +682,17 @@ def unmatched_rows(spark, sf_dir):
     return _long(spark, sf_dir, True).where("rule = 'R-MATCH'").select("pair_id", "rule", "verdict", "explanation")
 
 
-@query("SELECT unnest(['a', 'b', 'c', 'd']) AS field, unnest(['x', 'x', 'y', 'z w']) AS source")
+@query(f"{BOTH}{LONG} SELECT DISTINCT field, field AS source FROM v WHERE field <> '(assignment)'")
 def used_columns(spark, sf_dir):
-    made = spark.createDataFrame([("a", "x"), ("b", " x "), ("c", "y"), ("d", "z w,")], "field string, sources string")
-    return report.used_sources(made.union(made))
+    return report.used_sources(_long(spark, sf_dir))
 
 
-@query("SELECT unnest(['e', 'e']) AS field, unnest(['p', 'q history']) AS source")
+@query("SELECT DISTINCT p_brand AS field, source FROM (SELECT p_brand, unnest([p_name, split_part(p_type, ' ', 1), 'of ' || split_part(p_type, ' ', 2)]) AS source FROM part)")
 def used_columns_joined(spark, sf_dir):
-    return report.used_sources(spark.createDataFrame([("e", "p + q history")], "field string, sources string"))
+    """Sources joined by commas and plus signs, with blanks around them and inside."""
+    word = lambda i: F.split_part("p_type", F.lit(" "), F.lit(i))
+    made = b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("field"), F.concat(F.col("p_name"), F.lit(" + "), word(1), F.lit(", of "), word(2), F.lit(" ,")).alias("sources"))
+    return report.used_sources(made)
 
 
 @query(f"{BOTH}, p AS (SELECT DISTINCT job AS code, type AS label FROM tgt), q AS (SELECT *, count(*) OVER (PARTITION BY code) = 1 AND count(*) OVER (PARTITION BY label) = 1 AS one_to_one FROM p) SELECT k AS pair_id, one_to_one {MATCHED} LEFT JOIN q ON d.job = q.code AND d.type = q.label")

@@ -6,12 +6,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .keeping import checkpointed
 from .learn import evaluate, privacy, resolve
 from .learn.dsl import OPS
 from .learn.search import Learned, Search
@@ -55,10 +56,10 @@ class Service:
 
     def register(self, name: str, dataset: Dataset) -> None:
         """A dataset of this name begins a new version: results and proofs of the old one are let go."""
-        self.datasets[name] = dataset
+        self.datasets[name] = replace(dataset, pairs=checkpointed(dataset.pairs))
         self._versions[name] = self._versions.get(name, 0) + 1
         for old in [k for k in self._results if k[0] == name]:
-            self._results.pop(old).close()
+            del self._results[old]
         for old in [k for k in self._proofs if k[0] == name]:
             del self._proofs[old]
 
@@ -81,7 +82,7 @@ class Service:
         key = (name, self._versions[name], self.log.stat().st_mtime_ns if self.log.exists() else 0)
         if key not in self._results:
             for old in [k for k in self._results if k[0] == name]:
-                self._results.pop(old).close()
+                del self._results[old]
             d = self.datasets[name]
             self._results[key] = reconcile(d.pairs, d.rules, True, d.learnable(), load_overrides(self.spark, self.log))
         return self._results[key]
@@ -157,8 +158,8 @@ class Service:
         n = {r["verdict"]: r["count"] for r in df.groupBy("verdict").count().collect()}
         rows = {"To investigate": n.get("ANOMALY", 0) + n.get("AMBIGUOUS", 0), "Justified": n.get("JUSTIFIED", 0), "Match": n.get("MATCH", 0), "All": sum(n.values())}
         held = self.spark.createDataFrame([(k, min(v, SHEET_ROWS), v) for k, v in rows.items()], "sheet string, rows_here long, rows_in_all long")
-        sheets = {"Summary": parts["kpis"], "Layers": parts["layers"], "Fields": parts["fields"], "Rows": held} | {k: report.labelled(v.limit(SHEET_ROWS)) for k, v in whole.items()}
-        return write_report(sheets | {"Learned rules": parts["learned"], "Rule catalogue": parts["catalogue"], "Overrides": load_overrides(self.spark, self.log)}, path)
+        sheets = {"Summary": parts["kpis"], "Layers": parts["layers"], "Fields": parts["fields"], "Rows": held} | {k: v.limit(SHEET_ROWS) for k, v in whole.items()}
+        return write_report(sheets | {"Learned rules": parts["learned"], "Rule catalogue": parts["catalogue"], "Overrides": load_overrides(self.spark, self.log)}, path, report.LABELS)
 
 
 def in_doubt_first(evidence: DataFrame) -> DataFrame:
@@ -205,14 +206,14 @@ def grammar() -> str:
 
 
 def payload(study: evaluate.Study, of: str, identifiers: dict[str, str], allowed: list[str], folder: str | Path, k: int = 6) -> str:
-    """What would be sent out to have a rule proposed for an open field: pseudonyms of ``k`` rows. It is written to
-    ``folder`` before anybody can send it. A field with a documented rule is never sent."""
+    """What would be sent out to have a rule proposed for an open field: ``k`` rows, in which the identifiers of all rows
+    are pseudonyms. It is written to ``folder`` before anybody can send it. A field with a documented rule is never sent."""
     if of not in study.open:
         raise ValueError(f"{of} has a documented rule and is not sent")
     f, y = study.features, study.features.targets[of]
     some = f.df.orderBy("pair_id").limit(k)
     dates = [c for c in allowed if f.kinds.get(c) == "date"]
-    rows = examples(privacy.pseudonymise(some, "pair_id", identifiers, allowed, dates, y), y, [*identifiers, *allowed], k)
+    rows = examples(privacy.pseudonymise(some, "pair_id", identifiers, allowed, dates, y, everyone=f.df), y, [*identifiers, *allowed], k)
     text = "\n".join([f"Target field: {of}. Give the rule that makes the target of the other columns, as JSON.", grammar(), *rows])
     audit(text, Path(folder, f"{of}.txt"))
     return text

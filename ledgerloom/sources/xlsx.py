@@ -115,9 +115,11 @@ def _cell(ref: str, value: object, style: int) -> str:
     return f'<c r="{ref}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def write_workbook(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
+def write_workbook(sheets: dict[str, tuple[list[str], list[tuple]]], words: dict[str, str] | None = None) -> bytes:
     """Sheets by name: header and rows. Header bold and frozen, filter over the table, columns as wide as their text (70
-    at most), the cell of a verdict filled by its colour."""
+    at most). The cell of a verdict is filled by its colour, in whatever column it stands, and shown by its word in
+    ``words``."""
+    words = words or {}
     fills = list(FILLS)
     solid = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{FILLS[v]}"/></patternFill></fill>' for v in fills)
     styles = f'<styleSheet xmlns="{_NS["m"]}"><fonts count="2"><font/><font><b/></font></fonts><fills count="{len(fills) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{solid}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(fills) + 2}"><xf/><xf fontId="1" applyFont="1"/>' + "".join(f'<xf fillId="{i + 2}" applyFill="1"/>' for i in range(len(fills))) + "</cellXfs></styleSheet>"
@@ -136,7 +138,7 @@ def write_workbook(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
             width = [min(70, 2 + max([len(str(h)), *(len(str(r[k])) for r in rows if r[k] is not None)])) for k, h in enumerate(head)]
             body = [f'<row r="1">{"".join(_cell(f"{_letters(k)}1", h, 1) for k, h in enumerate(head))}</row>']
             for n, r in enumerate(rows, 2):
-                body.append(f'<row r="{n}">' + "".join(_cell(f"{_letters(k)}{n}", v, fills.index(v) + 2 if head[k] == "verdict" and v in FILLS else 0) for k, v in enumerate(r)) + "</row>")
+                body.append(f'<row r="{n}">' + "".join(_cell(f"{_letters(k)}{n}", words.get(v, v) if v in FILLS else v, fills.index(v) + 2 if v in FILLS else 0) for k, v in enumerate(r)) + "</row>")
             cols = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{w}" customWidth="1"/>' for k, w in enumerate(width))
             last = f"{_letters(max(0, len(head) - 1))}{len(rows) + 1}"
             z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{_NS["m"]}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{"".join(body)}</sheetData><autoFilter ref="A1:{last}"/></worksheet>')

@@ -1,4 +1,5 @@
 import re
+import zipfile
 from pathlib import Path
 
 import pytest
@@ -132,6 +133,10 @@ def test_study(spark, tmp_path):
     assert a["S1"]["rule"] == "src_a" and (a["S1"]["tp"], a["S1"]["fp"], a["S1"]["fn"]) == (1, 0, 0) and set(a) == {"S1", "S1b", "S2", "S4", "H"}
     assert {r["method"]: r["rate"] for r in read["detection"].collect()}["H"] == 1.0 and read["B"].count() == 10
     sent = payload(study, "n", {"src_n": "surname"}, ["src_a"], tmp_path / "sent")
+    assert "Éva" not in sent
+    far = pairs.withColumn("s", F.when(F.col("pair_id") == 35, F.col("s").withField("n", F.lit("Zoé Far"))).otherwise(F.col("s"))).withColumn("d", F.when(F.col("pair_id") == 0, F.col("d").withField("n", F.lit("ask zoé far"))).otherwise(F.col("d")))
+    sent = payload(Dataset(far, made.rules).study(["n"]), "n", {"src_n": "surname"}, ["src_a"], tmp_path / "sent")
+    assert "ask" in sent and not re.search("(?i)zo|far", sent.split("ask")[1]) and "Éva" not in sent  # row 35 is not sent, its name is not either
     assert "Éva" not in sent and (tmp_path / "sent" / "n.txt").read_text("utf-8").startswith("Target field: n")
     with pytest.raises(ValueError):
         payload(study, "a", {}, [], tmp_path)
@@ -155,6 +160,12 @@ def test_report_files(spark, tmp_path):
     df = spark.createDataFrame([("f", "MATCH", 1.5, True), ("g", "ANOMALY", None, False)], "field string, verdict string, v double, b boolean")
     path = write_report({"Summary": by_field(df), "All <rows>": df}, tmp_path / "r.xlsx")
     back = load_sheet(spark, str(path), "All <rows>").orderBy("_seq").collect()
+    write_report({"A": df.withColumnRenamed("verdict", "decision")}, tmp_path / "w.xlsx", {"ANOMALY": "Deviation"})
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        sheet, styles = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/styles.xml").decode()
+    cell = re.search(r'<c r="B3" s="(\d+)"[^>]*><is><t[^>]*>([^<]*)', sheet)
+    fill = re.findall(r'<xf fillId="(\d+)"', styles)[int(cell[1]) - 2]
+    assert cell[2] == "Deviation" and re.findall(r'<fill>.*?</fill>', styles)[int(fill)].count("FFF8CBAD") == 1
     assert [tuple(r)[:4] for r in back] == [("f", "MATCH", "1.5", "true"), ("g", "ANOMALY", None, "false")]
     write_csv(df, tmp_path / "r.csv")
     assert Path(tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbffield,verdict")

@@ -1,4 +1,6 @@
 import json
+import re
+import zipfile
 from pathlib import Path
 
 import pytest
@@ -35,6 +37,10 @@ def test_round(service, tmp_path):
     assert proof["rule"] == "upper(n)" and proof["private"] == {"real": 1.0, "pseudonyms": 1.0} and proof["folds"][0][1] == 20
     service.export_csv("x", tmp_path / "o.csv")
     assert service.export_workbook("x", tmp_path / "o.xlsx").stat().st_size > 1000
+    with zipfile.ZipFile(tmp_path / "o.xlsx") as z:
+        names = re.findall(r'<sheet name="([^"]+)"', z.read("xl/workbook.xml").decode())
+        sheet = z.read(f"xl/worksheets/sheet{names.index('All') + 1}.xml").decode()
+    assert len(re.findall(r's="4" t="inlineStr"><is><t xml:space="preserve">Justified difference<', sheet)) == 20  # coloured by the code, shown as the word
     with pytest.raises(ValueError, match="history"):
         service.upload("y", {"source": "a", "target": "b", "reasons": "c"}, lambda inputs: service.datasets["x"])
     assert service.top("x", 3).count() == 0 and json.loads(service.rows_json("x", 1)[0])["field"] == "name"
@@ -78,7 +84,6 @@ def test_hr_catalogue_end_to_end(spark):
     assert model.learned.accepted and str(model.learned) == "hist_week_hours" and model.learned.coverage == 1.0
     assert all(r["verdict"] != "AMBIGUOUS" for r in rows.values()) and all(r["priority"] > 0 for r in rows.values() if r["verdict"] == "ANOMALY")
     assert not {c for c in made.learnable().kinds if "Responsable" in c}
-    result.close()
 
 
 def test_command_line(spark, tmp_path, capsys):
