@@ -4,9 +4,11 @@ For each language a suffix automaton is built over a bounded sample of labelled
 each automaton: the longest match with the sample is one phrase, and the next starts after it. The language that needs
 the fewest phrases, normalised by the bits that address its sample (log2 of the sample's length), wins.
 
-Learning: ``SAMPLE_DOCS`` documents of each of the ``LANGUAGES`` languages with most documents, those with the smallest
-hash of the id, give ``SAMPLE_CHARS`` characters each from a place set by that hash. The bound is what the automata's
-size depends on, so they can be broadcast. Predicting: whole texts, as UTF-8 of the lower-cased text with everything between letters as one class. Texts
+Learning: all languages that have labelled text are learned. ``SAMPLE_DOCS`` documents of each, those with the smallest
+hash of the id, give ``SAMPLE_CHARS`` characters each from a place set by that hash; where there are so many languages
+that this would be more than ``SAMPLE_ROWS`` documents, each gives an equal part of these, ``LEAST_DOCS`` at least. The
+bound is one of labelled rows; the automata's size depends on it, so they can be broadcast. Predicting: whole texts, as
+UTF-8 of the lower-cased text with everything between letters as one class. Texts
 are cut into stretches of ``STRETCH`` bytes that are parsed side by side; each stretch starts a new phrase for every
 language alike.
 
@@ -30,8 +32,7 @@ from .common import keyed, map_arrow
 from .tokens import by_bytes
 
 SAMPLE_DOCS, SAMPLE_CHARS = 120, 400
-#: Languages that are learned: those with most labelled documents.
-LANGUAGES = 200
+SAMPLE_ROWS, LEAST_DOCS = 24_000, 12
 STRETCH = 1024
 UNDETERMINED = "und"
 
@@ -145,19 +146,18 @@ def learn(df: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
     rows = df.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("_hash", F.xxhash64("doc_id", F.lit(5)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not sizes:
         return None
-    chosen = F.lit(False)
-    for lang, n in sizes.items():  # about twice as many as wanted pass the hash; the smallest are taken below
-        below = int(min(1.0, 2 * SAMPLE_DOCS / n) * ((1 << 64) - 1)) - (1 << 63)
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("_hash") <= F.lit(min(below, (1 << 63) - 1))))
+    docs = max(LEAST_DOCS, min(SAMPLE_DOCS, SAMPLE_ROWS // len(sizes)))
+    below = [(lang, min(int(min(1.0, 2 * docs / n) * ((1 << 64) - 1)) - (1 << 63), (1 << 63) - 1)) for lang, n in sizes.items()]  # about twice as many as wanted pass the hash; the smallest are taken below
+    passing = rows.join(F.broadcast(df.sparkSession.createDataFrame(below, "lang string, _below long")), "lang").where("_hash <= _below")
     begin = F.pmod("_hash", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
-    sample = rows.where(chosen).select("lang", "_hash", "doc_id", F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("part")).collect()
+    sample = passing.select("lang", "_hash", "doc_id", F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("part")).collect()
     parts: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["_hash"], r["doc_id"], r["part"])):
         parts.setdefault(r["lang"], []).append(r["part"])
-    texts = {lang: b" ".join(prepared(x) for x in own[:SAMPLE_DOCS]) for lang, own in parts.items()}
+    texts = {lang: b" ".join(prepared(x) for x in own[:docs]) for lang, own in parts.items()}
     texts = {lang: x for lang, x in texts.items() if x.strip()}
     if not texts:
         return None

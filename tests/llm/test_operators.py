@@ -269,6 +269,17 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_many_languages_are_all_learned(spark):
+    rng = np.random.default_rng(4)
+    words = {f"l{i:03}": ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], 6)) for _ in range(12)] for i in range(300)}
+    rows = [(300 * k + i, " ".join(rng.choice(own, 30)), lang if k else None) for k in range(3) for i, (lang, own) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, F.lit(True))
+    assert model.languages == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df.where("lang is null"), model).collect()}
+    assert got == dict(enumerate(words))
+
+
 def test_cross_parsing_counts_greedy_phrases():
     sample, text = b"abracadabra", b"abraabcadzbrac"
     automaton = langid.Automaton.of(bytes(c - 96 for c in sample), 30)
