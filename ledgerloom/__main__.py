@@ -1,23 +1,48 @@
-"""Command line over star-schema tables: run, demo, learn, payload, trees. Spark settings come from spark-submit."""
+"""Command line: run, demo, learn, payload, trees. ``data`` is a folder of star-schema tables or, with ``--domain``, one
+with the four inputs of the HR mapping (source, target, history, reasons; each a spreadsheet, CSV, JSON lines or
+Parquet). Spark settings come from spark-submit."""
 
 from __future__ import annotations
 
 import argparse
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import bindings
+from . import bindings, hr
 from .operators.report import by_field, demo_picks, kpis, to_investigate
 from .pipeline import Result, reconcile, report_order
+from .operators.verdicts import run_rules
 from .plans.tree import describe
-from .service import payload
-from .sources.tables import load_overrides, write_report, write_verdicts
+from .service import Dataset, payload
+from .sources.tables import REQUIRED, load_all, load_overrides, write_report, write_verdicts
+
+
+def _dataset(spark: SparkSession, args: argparse.Namespace) -> Dataset:
+    if not args.domain:
+        return bindings.dataset(spark, args.data)
+    return hr.hr_dataset(hr.hr_inputs(load_all(spark, found_inputs(args.data))), args.domain, args.reference or date.today(), args.policy)
+
+
+def found_inputs(folder: str) -> dict[str, str]:
+    """The files of a folder that are named as the inputs are."""
+    return {p.name.split(".")[0]: str(p) for p in sorted(Path(folder).iterdir()) if p.name.split(".")[0] in REQUIRED}
 
 
 def _result(spark: SparkSession, args: argparse.Namespace) -> Result:
-    return reconcile(bindings.identified_pairs(spark, args.data), bindings.STAR_RULES, not args.no_learning, overrides=load_overrides(spark, args.overrides) if args.overrides else None)
+    made = _dataset(spark, args)
+    features = made.features if made.features or not made.hidden else made.learnable()
+    return reconcile(made.pairs, made.rules, not args.no_learning, features, load_overrides(spark, args.overrides) if args.overrides else None)
+
+
+def _open(made: Dataset, args: argparse.Namespace) -> list[str]:
+    """Fields whose rule leaves rows open."""
+    if not args.domain:
+        return bindings.OPEN
+    rows = run_rules(made.pairs, made.rules, ["pair_id"], trace=False)
+    return sorted(r[0] for r in rows.where("verdict = 'AMBIGUOUS'").select("field").distinct().collect())  # one per rule at most
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -29,6 +54,9 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("field", nargs="?")
             continue
         p.add_argument("data")
+        p.add_argument("--domain", help="the mail domain of the HR mapping, as @x.org; data then holds its four inputs")
+        p.add_argument("--reference", help="the day on which the history is read (today)")
+        p.add_argument("--policy", default="latest", choices=("latest", "oldest"), help="which date the start-date rule takes")
         if verb in ("run", "learn", "payload"):
             p.add_argument("out")
         if verb in ("run", "demo"):
@@ -46,13 +74,16 @@ def main(argv: list[str] | None = None) -> None:
     if args.verb == "learn":
         from .learn.evaluate import write_study
 
-        print(write_study(bindings.dataset(spark, args.data).study(bindings.OPEN), args.out, args.seeds))
+        made = _dataset(spark, args)
+        print(write_study(made.study(_open(made, args)), args.out, args.seeds))
         return
     if args.verb == "payload":
-        study = bindings.dataset(spark, args.data).study(bindings.OPEN)
-        allowed = [c for c in study.features.kinds if c in bindings.ALLOWED]
+        made = _dataset(spark, args)
+        study = made.study(_open(made, args))
+        identifiers, permitted = (hr.IDENTIFIERS, hr.ALLOWED) if args.domain else (bindings.IDENTIFIERS, bindings.ALLOWED)
+        allowed = [c for c in study.features.kinds if c in permitted]
         for name in study.open:
-            payload(study, name, bindings.IDENTIFIERS, allowed, args.out)
+            payload(study, name, {k: v for k, v in identifiers.items() if k in study.features.kinds}, allowed, args.out)
         print("\n".join(str(p) for p in sorted(Path(args.out).glob("*.txt"))))
         return
     result = _result(spark, args)

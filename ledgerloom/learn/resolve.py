@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import Features
 from ..operators.verdicts import counted, signature_key
 from ..plans.tree import AMBIGUOUS, ANOMALY, JUSTIFIED
-from .dsl import Kinds, Rule, from_json, grounded
-from .search import ACCEPTED, Hypothesis, Learned, Leaves, Search, chosen
+from .dsl import Kinds, Rule, from_json
+from .search import ACCEPTED, PENALTY, Case, Hypothesis, Learned, Leaves, Search, chosen
 
 #: Share of a field's rows from which a signature counts as systemic.
 SYSTEMIC = 0.5
@@ -24,31 +26,64 @@ class FieldModel:
     stability: float
 
 
-def rivals(found: list[Hypothesis], rows: int) -> list[Hypothesis]:
-    """The hypotheses that can win when one row is left out. That moves a coverage by a hit at most, so a hypothesis can
-    only win if its best case is not below another one's worst case."""
-    best = lambda h: h.score + (min(h.hits / (rows - 1), 1.0) - h.coverage)
-    worst = lambda h: h.score + ((h.hits - 1) / (rows - 1) - h.coverage)
-    some = [h for h in found if grounded(h.rule) and h.hits >= ACCEPTED * (rows - 1)]
-    sure = [h for h in some if h.hits - 1 >= ACCEPTED * (rows - 1)]
-    out = [h for h in some if not sure or best(h) >= max(map(worst, sure)) - 1e-12]
-    if not sure:
-        out += [h for h in found if h not in out and best(h) >= max(map(worst, found)) - 1e-12]
-    return out
+@dataclass
+class Folds:
+    """The winner without a row, for rows whose absence changes counts but not what is proposed. ``rules`` and then the
+    cells of ``cases`` are what a row is described by."""
+
+    simple: list[Hypothesis]
+    cases: list[Case]
+    rules: list[Rule]
+    rows: int
+
+    def winner(self, bits: str) -> str:
+        hit = dict(zip(self.rules, map(int, bits), strict=False))
+        found = [Hypothesis(h.rule, h.hits - hit[h.rule], self.rows - 1) for h in self.simple]
+        for case, inside in zip(self.cases, map(int, bits[len(self.rules) :]), strict=True):
+            less = lambda way, here: [(i, r, n - hit[r] * here) for i, r, n in way]
+            best = replace(case, size=case.size - inside, then=less(case.then, inside), other=less(case.other, 1 - inside)).best(self.rows - 1)
+            found += [best] if best else []
+        return str(chosen(sorted(found, key=lambda h: (-h.score, h.rule.complexity))).rule)
 
 
 def leave_one_out(search: Search, found: list[Hypothesis]) -> list[tuple[str, int, float]]:
-    """(rule, folds, share) over all folds that leave one row out, most frequent first. Rows with equal hits of the rivals
-    have the same winner, so folds are counted per vector of hits. The hypotheses are those of all rows, which differ from
-    a search per fold only where a constant, an end or the beam hangs on one row."""
+    """(rule, folds, share) over all folds that leave one row out and search anew, most frequent first.
+
+    Nearly all rows change nothing but counts: their folds' winners follow from the hits of the few rules and cells that
+    can matter, once for each description that occurs, on the cluster; names come back with their folds. Rows on which
+    a constant, an end, a cell's size or the beam hangs (the search notes conditions for them) are searched anew without
+    the row; of rows that hang on the same things and have the same description one is. A beam counts only if a chain
+    could win."""
     if search.rows < 2 or not found:
         return []
-    pool = rivals(found, search.rows)
+    rules = list(dict.fromkeys([*(h.rule for h in search.simple), *(r for c in search.cases for way in (c.then, c.other) for _, r, _ in way)]))
+    folds = Folds(search.simple, search.cases, rules, search.rows)
+    described = search.bits([search.fits(r) for r in rules] + [c.where for c in search.cases])
+    top = chosen(found)
+    least = next(h for h in found if h.rule == top.rule).score - 4 / (search.rows - 1)
+    chains = any("concat" in str(h.rule.to_json()) and h.score >= least for h in found)
+    hangs = list(dict.fromkeys(search.hangs))
+    for beam in (b for b in search.beams if b.stems and (chains or b.loose() - PENALTY * 3 >= least)):
+        bits, kept = search.bits(beam.conditions), beam.chosen()
+        seen = [r[0] for r in search.frame.selectExpr(f"{bits} as b").distinct().collect()]  # descriptions by the stems near the cut
+        if moved := [b for b in seen if beam.chosen(b) != kept]:
+            hangs.append(f"{bits} in ({', '.join(repr(b) for b in moved)})")
     wins: dict[str, int] = {}
-    for r in search.vectors([h.rule for h in pool]).collect():  # one row per vector of hits that occurs
-        rest = [Hypothesis(h.rule, h.hits - int(bit), search.rows - 1) for h, bit in zip(pool, r["hits"], strict=True)]
-        name = str(chosen(sorted(rest, key=lambda h: (-h.score, h.rule.complexity))).rule)
-        wins[name] = wins.get(name, 0) + r["rows"]
+    frame = search.frame.selectExpr(f"{described} as described", f"{search.bits(hangs)} as hangs", "_row")
+    if hangs:
+        apart = frame.where(F.col("hangs").contains("1")).groupBy("described", "hangs").agg(F.count("*").alias("n"), F.min("_row").alias("row"))
+        for r in apart.collect():
+            with search.without(r["row"]) as other:
+                name = str(chosen(other.hypotheses()).rule)
+            wins[name] = wins.get(name, 0) + r["n"]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([folds.winner(b) for b in batch.column("described").to_pylist()], pa.string()), batch.column("n")], ["name", "n"])
+
+    usual = frame.where(~F.col("hangs").contains("1")).groupBy("described").agg(F.count("*").alias("n"))
+    for r in usual.mapInArrow(named, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect():  # one row per winner
+        wins[r["name"]] = wins.get(r["name"], 0) + r["n"]
     return sorted(((k, n, n / search.rows) for k, n in wins.items()), key=lambda x: -x[1])
 
 

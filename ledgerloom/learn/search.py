@@ -18,7 +18,9 @@ The score of a rule is coverage - PENALTY x complexity; it is accepted from ACCE
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain, combinations, product
@@ -123,6 +125,47 @@ def _numbers(conditions: list[str]) -> str:
     return f"filter(array({', '.join(f'if({c}, {i}, -1)' for i, c in enumerate(conditions))}), x -> x >= 0)"
 
 
+@dataclass
+class Beam:
+    """The stems of a level that are in the beam or would be but for a row: conditions, and (hits, cost, number)."""
+
+    conditions: list[str]
+    stems: list[tuple[int, float, int]]
+    rows: int
+
+    def chosen(self, bits: str | None = None) -> list[int]:
+        """Numbers of the stems in the beam; with ``bits``, without a row that has these hits."""
+        fewer, rows = (map(int, bits), self.rows - 1) if bits is not None else ([0] * len(self.stems), self.rows)
+        ranked = ((b - n, cost, i) for (n, cost, i), b in zip(self.stems, fewer, strict=True) if n - b >= PREFIX_RATE * rows)
+        return [i for *_, i in heapq.nsmallest(BEAM, ranked)]
+
+    def loose(self) -> float:
+        """Share of rows of the best stem that another one could replace; below 0 if none."""
+        near = sorted((n for n, *_ in self.stems), reverse=True)
+        if len(near) > BEAM and near[BEAM - 1] - near[BEAM] <= 1:
+            return (near[BEAM - 1] + 1) / self.rows
+        half = [n for n in near if abs(n - PREFIX_RATE * self.rows) <= 1]
+        return max(half) / self.rows if half else -1.0
+
+
+@dataclass
+class Case:
+    """A cell with the rules that may be the best inside and outside: (number, rule, hits there)."""
+
+    column: str
+    value: str
+    where: str
+    size: int
+    then: list[tuple[int, Rule, int]]
+    other: list[tuple[int, Rule, int]]
+
+    def best(self, rows: int) -> Hypothesis | None:
+        if min(self.size, rows - self.size) < LEAST_BRANCH:
+            return None
+        a, b = (max(way, key=lambda x: (x[2] / rows - PENALTY * x[1].complexity, -x[0])) for way in (self.then, self.other))
+        return Hypothesis(branch(self.column, self.value, a[1], b[1]), a[2] + b[2], rows) if a[0] != b[0] else None
+
+
 class Leaves:
     """Features as a table of leaves with the targets beside them, and its sample, for the searches for several targets.
     The sample is kept without the plan that made it until nobody holds it any more."""
@@ -134,7 +177,8 @@ class Leaves:
         self.texts = [r for r in leaves if kinds[r.columns()[0]] in BY_KIND]  # what can be a part of a text
         self.targets = {y: f"_y{i}" for i, y in enumerate(dict.fromkeys(targets))}
         draw = F.pmod(F.xxhash64(f"`{row}`"), F.lit(DRAWS)) if row in features.columns else (F.rand(7) * DRAWS).cast("long")
-        frame = features.select(draw.alias("_draw"), *(F.col(f"`{y}`").alias(name) for y, name in self.targets.items()), *(r.text(kinds).alias(name) for r, name in leaves.items()))
+        own = F.col(f"`{row}`").cast("string") if row in features.columns else F.monotonically_increasing_id().cast("string")
+        frame = features.select(draw.alias("_draw"), own.alias("_row"), *(F.col(f"`{y}`").alias(name) for y, name in self.targets.items()), *(r.text(kinds).alias(name) for r, name in leaves.items()))
         self.rows = self.tried = features.count()
         if self.rows <= FULL * sample:
             self.frame = self.some = checkpointed(frame)
@@ -142,6 +186,15 @@ class Leaves:
             self.frame, self.some = frame, checkpointed(frame.where(F.col("_draw") < sample * DRAWS // self.rows))
             self.tried = self.some.count()
 
+    def without(self, row: str) -> Leaves:
+        """The same table without a row."""
+        out = copy(self)
+        out.__dict__.pop("few", None)
+        other = F.col("_row") != row
+        out.frame, out.some, out.rows = self.frame.where(other), self.some.where(other), self.rows - 1
+        out.tried = out.rows if self.tried == self.rows else out.some.count()
+        return out
+
     @cached_property
     def few(self) -> tuple[list[str], dict[tuple[int, str], int]]:
         """Columns with few values, and the rows of each value of theirs."""
@@ -169,8 +222,15 @@ class Search:
         self.leaves = held = self._make()
         self.sql, self.texts, self.rows, self.tried = held.sql, held.texts, held.rows, held.tried
         self.frame, self.some = (df.withColumnRenamed(held.targets[self._target], "_y") for df in (held.frame, held.some))
+        self.hangs: list[str] = []  # conditions of rows without which something else would be proposed
+        self.beams: list[Beam] = []
+        self.simple: list[Hypothesis] = []  # what mattered, in the order it was proposed in
+        self.cases: list[Case] = []
         return self
 
+    def without(self, row: str) -> Search:
+        return Search(None, self._target, self.kinds, leaves=self.leaves.without(row))
+
     def __exit__(self, *_) -> None:
         del self.leaves, self.frame, self.some  # if nobody else holds the sample, it goes
 
@@ -201,7 +261,9 @@ class Search:
 
     def constants(self) -> list[Rule]:
         """The target's values, if they are few."""
-        found = [r[0] for r in self.frame.select("_y").distinct().limit(CONSTANTS + 1).collect()]
+        found = {r["_y"]: r["count"] for r in self.frame.groupBy("_y").count().limit(CONSTANTS + 2).collect()}
+        if len(found) == CONSTANTS + 1:  # one value less, and all are constants
+            self.hangs += [f"_y <=> {self.sql.value(v)}" for v, n in found.items() if n == 1]
         return [const(v) for v in sorted(found, key=lambda v: (v is None, v))] if len(found) <= CONSTANTS else []
 
     def ends(self) -> tuple[str, str]:
@@ -214,8 +276,23 @@ class Search:
         begins, closes = [value[: i + 1] for i in reversed(cuts)], [value[i:] for i in cuts]  # longest first
         counts = self.tally([f"startswith(_y, {self.sql.value(x)})" for x in begins] + [f"endswith(_y, {self.sql.value(x)})" for x in closes])
         longest = lambda texts, found: next((x for x, n in zip(texts, found, strict=True) if n == some), "")
+        self._hang_ends(some)
         return longest(begins, counts[: len(begins)]), longest(closes, counts[len(begins) :])
 
+    def _hang_ends(self, some: int) -> None:
+        """Rows that alone have the least or greatest value (or reversed value), if the others share more of an end."""
+        if some == 2:
+            self.hangs.append("_y is not null")
+            return
+        shared = lambda a, b: next((i for i in range(min(len(a), len(b)), 0, -1) if a[:i] == b[:i] and a[i - 1] in EDGE_CHARACTERS), 0)
+        for y in ("_y", "reverse(_y)"):
+            low, high = self.frame.selectExpr(f"min({y})", f"max({y})").first()
+            at = [f"{y} = {self.sql.value(x)}" for x in (low, high)]
+            low2, high2, *alone = self.frame.selectExpr(f"min(if({at[0]}, null, {y}))", f"max(if({at[1]}, null, {y}))", *(f"count_if({x})" for x in at)).first()
+            for condition, n, (a, b) in zip(at, alone, ((low2, high), (low, high2)), strict=True):
+                if n == 1 and a is not None and b is not None and shared(a, b) != shared(low, high):
+                    self.hangs.append(condition)
+
     def begins(self, core: str, rule: Rule) -> str:
         """Whether the text ``core`` begins with what a rule gives (both SQL)."""
         x = rule.compiled(self.sql)
@@ -229,9 +306,10 @@ class Search:
         def fitting(rule: Callable[[int], Rule], tried: list[int], condition: Callable[[int], str], weight: int) -> list[Rule]:
             low, high = bounds(np.array(tried), self.tried, self.rows)
             least = max(PREFIX_RATE * self.rows, np.sort(low)[-BEAM] if low.size > BEAM else 0)
-            which = np.flatnonzero(high >= least).tolist()
-            ranked = ((-n, weight * rule(i).complexity, i) for i, n in zip(which, self.exact(which, tried, condition), strict=True) if n >= PREFIX_RATE * self.rows)
-            return [rule(i) for *_, i in heapq.nsmallest(BEAM, ranked)]
+            which = np.flatnonzero(high >= least - 1).tolist()  # and those that one row keeps out
+            beam = Beam([condition(i) for i in which], [(n, weight * rule(i).complexity, i) for i, n in zip(which, self.exact(which, tried, condition), strict=True)], self.rows)
+            self.beams.append(beam)
+            return [rule(i) for i in beam.chosen()]
 
         def longer(stems: list[Rule]) -> list[Rule]:
             stem = lambda i: (stems[i // (n_seps * size)], SEPARATORS[i // size % n_seps], self.texts[i % size])
@@ -300,7 +378,7 @@ class Search:
             for hits, size in ((inside[:, k], sizes[k]), (tried - inside[:, k], self.rows - sizes[k])):
                 low, high = bounds(hits, self.tried, self.rows)
                 high = np.minimum(high, size)
-                ways.append(np.flatnonzero(high / self.rows - cost >= (np.minimum(low, size) / self.rows - cost).max()).tolist())
+                ways.append(np.flatnonzero((high + 2) / self.rows - cost >= (np.minimum(low, size) / self.rows - cost).max()).tolist())  # a row may decide
                 most, best = most + high.max(), best + (high / self.rows - cost).max()
             if reach(np.array([most]), np.array([most / self.rows - best]), np.array([True]))[0]:
                 asked.append((k, *ways))
@@ -308,12 +386,16 @@ class Search:
         where = [(f"{at(k)} and {self.fits(rules[i])}", inside[i, k]) for k, then, _ in asked for i in then] + [(f"not ({at(k)}) and {self.fits(rules[i])}", tried[i] - inside[i, k]) for k, _, other in asked for i in other]
         counted = iter(self.exact(list(range(len(where))), np.array([n for _, n in where]), lambda i: where[i][0]))
         hits = [[{i: next(counted) for i in ways[side]} for _, *ways in asked] for side in (0, 1)]
-        out = []
-        for (k, *_), *found in zip(asked, *hits, strict=True):
-            then, other = (max(h, key=lambda i: (h[i] / self.rows - cost[i], -i)) for h in found)
-            if then != other:
-                out.append(Hypothesis(branch(*cells[k], rules[then], rules[other]), found[0][then] + found[1][other], self.rows))
-        return out
+        of = lambda h: [(i, rules[i], n) for i, n in h.items()]
+        self.cases = [Case(*cells[k], at(k), int(sizes[k]), of(a), of(b)) for (k, *_), a, b in zip(asked, *hits, strict=True)]
+        values = Counter(c for c, _ in self.leaves.few[1])
+        for (c, v), n in self.leaves.few[1].items():  # values that a row takes with it, or brings near enough
+            where = f"{self.sql.column(self.leaves.few[0][c])} <=> {self.sql.value(v)}"
+            if n == 1 and values[c] in (BRANCH_VALUES[0], BRANCH_VALUES[1] + 1) or n == LEAST_BRANCH and values[c] <= BRANCH_VALUES[1]:
+                self.hangs.append(where)
+            if self.rows - n == LEAST_BRANCH and values[c] <= BRANCH_VALUES[1]:
+                self.hangs.append(f"not ({where})")
+        return [h for case in self.cases if (h := case.best(self.rows))]
 
     def hypotheses(self, conditions: bool = True) -> list[Hypothesis]:
         """The hypotheses that matter (see ``Reach``), best first; equal ones in the order they were proposed in."""
@@ -326,15 +408,15 @@ class Search:
         which = np.flatnonzero(Reach(low, cost, reads, self.rows)(high, cost, reads)).tolist()
         hits = self.exact(which, tried, lambda i: self.fits(rules[i]))
         found = [Hypothesis(rules[i], n, self.rows) for i, n in zip(which, hits, strict=True)]
+        self.simple = list(found)
         if conditions:
             short = [i for i, r in enumerate(rules) if r.complexity <= BRANCH_COMPLEXITY]
             found += self.branches([rules[i] for i in short], tried[short], Reach(np.array(hits, float), cost[which], reads[which], self.rows))
         return sorted(found, key=lambda h: (-h.score, h.rule.complexity))
 
-    def vectors(self, rules: list[Rule]) -> DataFrame:
-        """Rows per vector of hits (1 or 0 for each rule)."""
-        bits = ", ".join(f"if({r.compiled(self.sql)} <=> _y, '1', '0')" for r in rules)
-        return self.frame.groupBy(F.expr(f"concat({bits})").alias("hits")).agg(F.count("*").alias("rows"))
+    def bits(self, conditions: list[str]) -> str:
+        """SQL of a text of 1 or 0 for each condition."""
+        return "concat('', " + ", ".join(f"if({c}, '1', '0')" for c in conditions) + ")" if conditions else "''"
 
 
 def chosen(found: list[Hypothesis]) -> Learned:

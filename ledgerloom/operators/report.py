@@ -85,6 +85,12 @@ def demo_picks(df: DataFrame, cases: dict[str, tuple]) -> DataFrame:
     return best.select("case", "_best.row.*")
 
 
+def learned_and_rest(df: DataFrame, learned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of fields that have a learned rule, and the others. ``learned`` has field."""
+    fields = learned.select("field").distinct()
+    return df.join(fields, "field", "left_semi"), df.join(fields, "field", "left_anti")
+
+
 def used_sources(df: DataFrame) -> DataFrame:
     """The source columns that each field reads."""
     names = F.filter(F.transform(F.split("sources", r"[+,]"), lambda x: F.trim(x)), lambda x: x != "")

@@ -552,6 +552,26 @@ def resolve_ambiguous(spark, sf_dir):
     return result.verdicts.groupBy("field", "layer", "method", "verdict").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
 
 
+#: Every outcome of settling, from signatures and a rule given: field t copies the type on most rows, and for the rows it
+#: leaves open the copy is right or broken; field m has no reliable rule, so signatures decide.
+_OPENED = "SELECT k, 't' AS field, s.type AS given, d.type AS actual, CASE WHEN k % 5 = 0 THEN 'AMBIGUOUS' ELSE 'MATCH' END AS verdict, s.type AS expected {0} UNION ALL SELECT k, 'm', NULL, CASE WHEN k % 3 = 0 THEN 'x1' WHEN k % 97 = 1 THEN '7' ELSE 'yy' END, CASE WHEN k % 2 = 0 THEN 'AMBIGUOUS' ELSE 'MATCH' END, CASE WHEN k % 97 = 1 THEN 'z' ELSE 'abc-1' END {0}"
+
+
+@query(f"""{BOTH}, o AS ({_OPENED.format(MATCHED)}), g AS (SELECT *, CASE WHEN expected IS NOT DISTINCT FROM actual THEN '=' ELSE concat({SHAPE.format('expected')}, ' → ', {SHAPE.format('actual')}) END AS signature FROM o),
+ c AS (SELECT *, count(*) OVER (PARTITION BY field, signature) / count(*) OVER (PARTITION BY field) AS share FROM g),
+ r AS (SELECT *, CASE WHEN verdict <> 'AMBIGUOUS' THEN '' WHEN field = 't' AND given IS NOT DISTINCT FROM actual THEN 'learned rule' WHEN signature <> '=' AND share >= 0.5 THEN 'systemic signature' WHEN field = 't' THEN 'learned rule broken' WHEN signature <> '=' THEN 'isolated signature' ELSE '' END AS method FROM c)
+ SELECT field, method, CASE method WHEN '' THEN verdict WHEN 'learned rule' THEN 'JUSTIFIED' WHEN 'systemic signature' THEN 'JUSTIFIED' ELSE 'ANOMALY' END AS verdict, max(CASE WHEN verdict <> 'AMBIGUOUS' THEN 1 ELSE CASE method WHEN 'learned rule' THEN 0.9 WHEN 'systemic signature' THEN round(share, 3) WHEN 'learned rule broken' THEN 0.9 WHEN 'isolated signature' THEN round(1 - share, 3) ELSE 0 END END) AS confidence, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+def settled_outcomes(spark, sf_dir):
+    pairs = b.known_pairs(spark, sf_dir).where("d is not null")
+    k, case = F.col("pair_id"), F.when
+    row = lambda field, expected, actual, is_open: F.struct(F.lit(field).alias("field"), expected.alias("expected"), actual.alias("actual"), case(is_open, "AMBIGUOUS").otherwise("MATCH").alias("verdict"))
+    rows = F.array(row("t", F.col("s.type"), F.col("d.type"), k % 5 == 0), row("m", case(k % 97 == 1, "z").otherwise("abc-1"), case(k % 3 == 0, "x1").when(k % 97 == 1, "7").otherwise("yy"), k % 2 == 0))
+    opened = pairs.select("pair_id", F.inline(rows)).withColumns({"signature": n.signature(F.col("expected"), F.col("actual")), "layer": F.lit("RULE"), "confidence": F.lit(1.0), "method": F.lit(""), "explanation": F.lit(""), "path": F.lit("")})
+    models = [resolve.FieldModel("t", search.Learned(col("s_type"), 0.9, True, []), 1.0), resolve.FieldModel("m", search.Learned(None, 0.0, False, []), 0.0)]
+    features = ft.Features(_features(spark, sf_dir), KINDS, {"t": "y_type"})
+    return resolve.settle(opened, features, models).groupBy("field", "method", "verdict").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+
+
 @query(f"{BOTH}{LONG} SELECT 'name' AS field, 'src_name' AS rule, count(*) FILTER (verdict = 'MATCH') / count(*) AS coverage, 1.0 AS stability, true AS accepted, concat('= x', count(*) FILTER (verdict = 'MATCH'), '; a#9 → a#9 x', count(*) FILTER (verdict <> 'MATCH')) AS signatures, count(*) FILTER (verdict = 'AMBIGUOUS') AS settled FROM v WHERE field = 'name'")
 def learned_summary(spark, sf_dir):
     return spark.createDataFrame(learned_rules(reconcile(b.known_pairs(spark, sf_dir), b.STAR_RULES)), "field string, rule string, coverage double, stability double, accepted boolean, signatures string, settled long")
@@ -687,7 +707,7 @@ def used_columns(spark, sf_dir):
     return report.used_sources(_long(spark, sf_dir))
 
 
-@query("SELECT DISTINCT p_brand AS field, source FROM (SELECT p_brand, unnest([p_name, split_part(p_type, ' ', 1), 'of ' || split_part(p_type, ' ', 2)]) AS source FROM part)")
+@query("SELECT DISTINCT p_brand AS field, source FROM (SELECT p_brand, unnest([p_name, split_part(p_type, ' ', 1), trim('of ' || split_part(p_type, ' ', 2))]) AS source FROM part)")
 def used_columns_joined(spark, sf_dir):
     """Sources joined by commas and plus signs, with blanks around them and inside."""
     word = lambda i: F.split_part("p_type", F.lit(" "), F.lit(i))
@@ -695,6 +715,13 @@ def used_columns_joined(spark, sf_dir):
     return report.used_sources(made)
 
 
+@query(f"{BOTH}{LONG} SELECT field IN (SELECT field FROM v WHERE verdict = 'AMBIGUOUS') AS learned, field, count(*) AS n FROM v GROUP BY 1, 2")
+def learned_split(spark, sf_dir):
+    rows = _long(spark, sf_dir)
+    ours, rest = report.learned_and_rest(rows, rows.where("verdict = 'AMBIGUOUS'"))
+    return ours.withColumn("learned", F.lit(True)).unionByName(rest.withColumn("learned", F.lit(False))).groupBy("learned", "field").agg(F.count("*").alias("n"))
+
+
 @query(f"{BOTH}, p AS (SELECT DISTINCT job AS code, type AS label FROM tgt), q AS (SELECT *, count(*) OVER (PARTITION BY code) = 1 AND count(*) OVER (PARTITION BY label) = 1 AS one_to_one FROM p) SELECT k AS pair_id, one_to_one {MATCHED} LEFT JOIN q ON d.job = q.code AND d.type = q.label")
 def fd_lookup(spark, sf_dir):
     pairs = b.known_pairs(spark, sf_dir).where("d is not null")

@@ -1,7 +1,9 @@
+import random
 import re
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ledgerloom.learn import evaluate as ev
 from ledgerloom.learn import privacy
 from ledgerloom.learn.dsl import branch, call, col, const, date_edge, from_json, grounded, joined, wrapped
 from ledgerloom.learn.resolve import FieldModel, agreement_of, settle, stability, verify_proposals
-from ledgerloom.learn.search import Learned, learn
+from ledgerloom.learn.search import Learned, Search, bounds, chosen, learn
 from ledgerloom.operators.features import Features
 from ledgerloom.operators.overrides import SCHEMA, apply_overrides
 from ledgerloom.operators.report import by_field, demo_picks
@@ -67,6 +69,50 @@ def test_leave_one_out_equals_learning_without_the_row(spark, n, wrong):
     assert {k: v for k, v, _ in stability(df, "y", kinds)} == counted
 
 
+@pytest.mark.parametrize("seed", [1, 2, 4])
+def test_folds_with_another_pool_are_searched_anew(spark, seed):
+    """Small random tables on whose rows cells, constants, ends and winners hang: the folds are those of learning anew."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(rng.randint(7, 14)):
+        a, b, c = rng.choice("FG" if seed % 2 else "FGH"), f"w{rng.randrange(3)}", f"x{rng.randrange(4)}"
+        y = {1: b if a == "F" else c, 2: f"ID_{b}@z", 4: rng.choice([a, b, c])}[seed]
+        if rng.random() < 0.2:
+            y = rng.choice([a, b, c, "q_" + b, f"odd{i}"])
+        rows.append((i, a, b, c, y))
+    df, kinds = spark.createDataFrame(rows, "pair_id long, a string, b string, c string, y string").coalesce(1), {k: "string" for k in "abc"}
+    want = {}
+    for i in range(len(rows)):
+        name = str(learn(df.where(F.col("pair_id") != i), "y", kinds))
+        want[name] = want.get(name, 0) + 1
+    assert {k: v for k, v, _ in stability(df, "y", kinds)} == want
+
+
+@pytest.mark.parametrize("rule", [joined("-", col("a"), col("b")), branch("a", "F", col("b"), call("upper", col("c"))), wrapped("ID_", joined("-", col("a"), col("b")), "@x")])
+@pytest.mark.parametrize("noise", [0, 20])
+def test_a_sample_finds_what_all_rows_find(spark, rule, noise):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("FGH"), f"w{rng.randrange(7)}-{rng.randrange(3)}", f"éx{rng.randrange(40)}", rng.randrange(100)) for i in range(1500)]
+    kinds = {k: "string" for k in "abc"}
+    df = spark.createDataFrame(rows, "pair_id long, a string, b string, c string, u long").withColumn("y", F.when(F.col("u") < noise, F.concat(F.lit("z"), "b")).otherwise(rule.text(kinds)))
+    found = []
+    for size in (10**6, 300):
+        with Search(df, "y", kinds, sample=size) as search:
+            assert (search.tried == search.rows) == (size > 1500)
+            told = chosen(search.hypotheses())
+            found.append((told.rule, told.coverage, told.accepted, told.alternatives))
+    assert found[0] == found[1]
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    for rows, tried in ((4000, 300), (100_000, 5000), (50, 50)):
+        truth = np.array([rng.binomial(rows, p) for p in (0.0, 0.001, 0.02, 0.5, 0.9, 0.999, 1.0)])
+        hits = np.array([rng.hypergeometric(t, rows - t, tried) for t in truth])
+        low, high = bounds(hits, tried, rows)
+        assert (low <= truth).all() and (truth <= high).all() and ((high - low) < rows * 0.4).all()
+
+
 def test_stability_and_proposals(features):
     df = features.withColumn("y", F.col("b"))
     assert stability(df, "y", {"a": "string", "b": "string"})[0] == ("b", 60, 1.0)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.features import Features
 from ledgerloom.plans.fields import FieldRule, name
-from ledgerloom.hr import hr_dataset
+from ledgerloom.hr import hr_dataset, hr_inputs
 from ledgerloom.pipeline import reconcile
 from ledgerloom.service import Dataset, Service, agreement, examples, flagged_labels
-from ledgerloom.sources.tables import Inputs
+from ledgerloom.sources.tables import Inputs, write_report
 
 
 @pytest.fixture
@@ -86,6 +86,31 @@ def test_hr_catalogue_end_to_end(spark):
     assert not {c for c in made.learnable().kinds if "Responsable" in c}
 
 
+def test_command_line_on_four_files(spark, tmp_path, service):
+    """What a user has: four files in a folder, the history as lines of CSV in one column with spreadsheet days."""
+    from ledgerloom.__main__ import found_inputs, main
+
+    given, folder = hr_rows(spark), tmp_path / "in"
+    folder.mkdir()
+    write_report({"A": given.source.drop("_seq")}, folder / "source.xlsx")
+    given.target.drop("_seq").toPandas().to_csv(folder / "target.csv", index=False)
+    past = "7,43831,3,55,b1,g,40.0,8.0,5"
+    write_report({"A": spark.createDataFrame([(past,)], "line string")}, folder / "history.xlsx")
+    given.reasons.drop("_seq").write.parquet(str(folder / "reasons.parquet"))
+    main(["run", str(folder), str(tmp_path / "out"), "--domain", "@x.org", "--reference", "2024-01-01"])
+    rows = {(r["entity"], r["field"]): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(rows) == 9 * 24 + 1 and rows["1004", "contractTypeCode"]["verdict"] == "ANOMALY" and rows["1002", "statusReasonCode"]["verdict"] == "JUSTIFIED"
+    assert rows["1001", "weeklyHoursOverride"]["layer"] == "LEARNED" and rows["1001", "weeklyHoursOverride"]["verdict"] == "JUSTIFIED"
+    with pytest.raises(ValueError, match="_seq"):
+        hr_dataset(Inputs(given.source.drop("_seq"), given.target, given.history, given.reasons), "@x.org", "2024-01-01")
+    # the files uploaded: a dataset of that name is reconciled; one that fails leaves what was there
+    paths, small = found_inputs(str(folder)), service.datasets["x"]
+    assert service.upload("hr", paths, lambda inputs: small if hr_inputs(inputs).history.first()["HeuresSemaineContrat"] == 40.0 else None).first()["checks"] == 20
+    with pytest.raises(Exception, match="nonsense"):
+        service.upload("hr", paths, lambda inputs: Dataset(small.pairs, [FieldRule("name", "n", "R-NOM", name("nonsense", "nonsense"))]))
+    assert service.datasets["hr"].rules is small.rules and service.rows("hr", size=1).count() == 1
+
+
 def test_command_line(spark, tmp_path, capsys):
     from ledgerloom.__main__ import main
 
