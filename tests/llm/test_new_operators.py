@@ -28,8 +28,9 @@ def secret_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, _key long, spans string").repartition(3)
 
 
-@pytest.mark.parametrize("indexed", [False, True])
-def test_secret_spans(secret_docs, indexed):
+@pytest.mark.parametrize("indexed, most", [(False, 10**6), (True, 10**6), (False, 0)], ids=["own", "given", "shuffled"])
+def test_secret_spans(secret_docs, indexed, most, monkeypatch):
+    monkeypatch.setattr(secretscan, "BROADCAST_KEYS", most)
     rules = secretscan.BASE + secretscan.MORE
     docs = secretscan.keyed(secret_docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "text"))
     index = secretscan.build_index(docs) if indexed else None
