@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,24 +12,38 @@ def summarise(history: DataFrame, position: str, effective: str, unit: str, refe
     """Per position: records, first_date, last_date, unit (of the last record at or before ``reference``, else of the
     first), unit_date (since when the unit holds), unit_end (the day before the next record, if that has another unit),
     and columns of the last (``last``: name to column) and the current record (``current``). ``order`` breaks ties of the
-    date. The records of a position are sorted in one task; the aggregates around the window combine before shuffling."""
-    by = Window.partitionBy(position).orderBy(effective, *order)
-    whole = Window.partitionBy(position)
-    numbered = (
-        history.where(F.col(position).isNotNull())
-        .withColumn("_rn", F.row_number().over(by))
-        .withColumn("_changed", (F.col("_rn") == 1) | ~F.lag(unit).over(by).eqNullSafe(F.col(unit)))
-        .withColumn("_next_unit", F.lead(F.struct(F.col(unit).alias("u"))).over(by))
-        .withColumn("_next_date", F.lead(effective).over(by))
-        .withColumn("_at", F.coalesce(F.max(F.when(F.col(effective) <= F.lit(reference).cast("date"), F.col("_rn"))).over(whole), F.lit(1)))
-    )
-    here = F.col("_rn") == F.col("_at")
-    pick = lambda value: F.max_by(value, F.when(here, 1).otherwise(0))
-    until = F.when(F.col("_next_unit").isNotNull() & ~F.col("_next_unit.u").eqNullSafe(F.col(unit)), F.date_sub("_next_date", 1))
-    return numbered.groupBy(F.col(position).alias("position")).agg(
-        F.count("*").alias("records"), F.min(effective).alias("first_date"), F.max(effective).alias("last_date"), pick(F.col(unit)).alias("unit"),
-        F.max(F.when(F.col("_changed") & (F.col("_rn") <= F.col("_at")), F.col(effective))).alias("unit_date"), pick(until).alias("unit_end"),
-        *(F.max_by(c, "_rn").alias(k) for k, c in (last or {}).items()), *(pick(F.col(c)).alias(k) for k, c in (current or {}).items()),
+    date, then the unit and these columns do; null dates come first; records without a position are left out.
+
+    No position is sorted or gathered: three aggregates find the current record, then the last one before it with
+    another unit and the next one after it, then the first since that other unit. Each combines before it shuffles, and
+    between them the records meet one row of their position, so the records of a hot position stay in many tasks."""
+    last, current = last or {}, current or {}
+    rows = history.where(F.col(position).isNotNull()).select(
+        F.col(position).alias("position"), F.struct(F.col(effective).alias("date"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(unit).alias("unit"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(current.values()))).alias("_key"),
+        F.struct(*(F.col(c).alias(f"l{i}") for i, c in enumerate(last.values()))).alias("_last") if last else F.lit(0).alias("_last"),
+    )
+    key, at = F.col("_key"), F.col("_now._at")
+    whole = rows.groupBy("position").agg(
+        F.count("*").alias("records"), F.min(key.date).alias("first_date"), F.max(key.date).alias("last_date"), F.max(F.struct(key, "_last")).alias("_end"),
+        F.coalesce(F.max(F.when(key.date <= F.lit(reference).cast("date"), key)), F.min(key)).alias("_at"),
+    )
+
+    def again(found: DataFrame, *aggregates: Column) -> DataFrame:
+        """``aggregates`` over the records of each position, which see what was found so far in _now. Grouping by the
+        position itself would reuse the partitions of the join, and a join so reused is not split where it is skewed."""
+        known = found.select(F.col("position").alias("_position"), F.struct(*(c for c in found.columns if c != "position")).alias("_now"))
+        out = rows.join(known, F.col("position") == F.col("_position")).groupBy(F.struct("position").alias("_of")).agg(F.any_value("_now").alias("_now"), *aggregates)
+        return out.select("_of.position", "_now.*", *out.columns[2:])
+
+    around = again(
+        whole, F.max(F.when((key < at) & ~key.unit.eqNullSafe(at.unit), key)).alias("_other"), F.min(F.when(key > at, key)).alias("_next"),
+        ((F.count_if(key == at) > 1) & ~F.coalesce(F.bool_or(at.date <= F.lit(reference).cast("date")), F.lit(False))).alias("_repeated"),
+    )
+    since = again(around, F.min(F.when((key <= at) & (F.col("_now._other").isNull() | (key > F.col("_now._other"))), key)).alias("_since"))
+    moves = F.col("_next").isNotNull() & ~F.col("_repeated") & ~F.col("_next.unit").eqNullSafe(F.col("_at.unit"))
+    return since.select(
+        "position", "records", "first_date", "last_date", F.col("_at.unit").alias("unit"), F.col("_since.date").alias("unit_date"), F.when(moves, F.date_sub("_next.date", 1)).alias("unit_end"),
+        *(F.col(f"_end._last.l{i}").alias(k) for i, k in enumerate(last)), *(F.col(f"_at.c{i}").alias(k) for i, k in enumerate(current)),
     )
 
 

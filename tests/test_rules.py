@@ -1,5 +1,6 @@
 import itertools
 import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,49 @@ def test_history(spark):
     assert (got[2]["unit"], str(got[2]["unit_date"]), got[2]["unit_end"]) == (5, "2030-01-01", None)
 
 
+def history_of(records, reference):
+    """What summarise gives for the (date, seq, unit, hours) of one position, found in their order."""
+    own = sorted(records, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    at = max((i for i, r in enumerate(own) if r[0] is not None and r[0] <= reference), default=0)
+    changed = [r[0] for i, r in enumerate(own[: at + 1]) if not i or own[i - 1][2] != r[2]]
+    after = own[at + 1] if at + 1 < len(own) else None
+    end = str(date.fromisoformat(after[0]) - timedelta(1)) if after and after[2] != own[at][2] and after[0] else None
+    dates = [r[0] for r in own if r[0] is not None]
+    return len(own), min(dates, default=None), max(dates, default=None), own[at][2], max((d for d in changed if d), default=None), end, own[-1][3], own[at][3]
+
+
+@pytest.mark.parametrize("reference", ["2021-01-12", "2020-01-01", "2022-01-01"])
+def test_history_equals_a_walk_and_splits_a_hot_position(spark, reference):
+    rnd, rows = random.Random(reference), []
+    for i in range(3000):
+        day = rnd.choice([None, *(str(date(2021, 1, 1) + timedelta(rnd.randrange(40))) for _ in range(9))])
+        rows.append((1 if i % 3 == 0 else rnd.choice([None, *range(2, 300)]), day, i, rnd.choice(["A", "B", None]), float(i % 7)))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(rows, "p int, eff string, seq int, unit string, h double").withColumn("eff", F.to_date("eff")).repartition(6)
+        made = summarise(df, "p", "eff", "unit", reference, ["seq"], {"last_h": "h"}, {"now_h": "h"})
+        got = {r[0]: tuple(None if v is None else str(v) if hasattr(v, "year") else v for v in r[1:]) for r in made.collect()}
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {p: history_of([r[1:] for r in rows if r[0] == p], reference) for p in {r[0] for r in rows} - {None}}
+    assert "Window" not in plan and "skew=true" in plan
+
+
+def test_history_of_equal_records(spark):
+    rows = [(1, "2021-05-01", "A"), (1, "2021-05-01", "A"), (1, "2021-06-01", "B"), (2, None, "A"), (2, None, "A")]
+    df = spark.createDataFrame(rows, "p int, eff string, unit string").withColumn("eff", F.to_date("eff"))
+    got = {r["position"]: r for r in summarise(df, "p", "eff", "unit", "2021-05-15", []).collect()}
+    assert (str(got[1]["unit_date"]), str(got[1]["unit_end"]), got[1]["records"]) == ("2021-05-01", "2021-05-31", 2 + 1)
+    early = {r["position"]: r for r in summarise(df, "p", "eff", "unit", "2020-01-01", []).collect()}
+    assert early[1]["unit_end"] is None and early[2]["unit"] == "A" and early[2]["unit_date"] is None
+    assert summarise(df.where("false"), "p", "eff", "unit", "2020-01-01", []).count() == 0
+
+
 def test_one_to_one(spark):
     df = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", "b"), ("3", "b"), (None, "c")], "c string, l string")
     assert {(r["code"], r["label"]): r["one_to_one"] for r in one_to_one(df, "c", "l").collect()} == {("1", "a"): True, ("2", "b"): False, ("3", "b"): False, (None, "c"): True}
