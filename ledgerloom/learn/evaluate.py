@@ -18,13 +18,14 @@ from ..operators.features import Features
 from ..operators.verdicts import run_rules
 from ..plans.tree import ANOMALY, JUSTIFIED
 from ..sources.tables import as_markdown, write_csv
+from . import trees
 from .dsl import Kinds
 from .resolve import SYSTEMIC, verify_proposals
 from .search import Learned, Search, chosen
 
 #: What the methods do, for the report.
 METHODS = {
-    "S1": "search for a rule without conditions", "S1b": "search for a rule with one condition", "S2": "decision tree, each row judged by a tree grown without its fold", "S3": "rules proposed from outside, kept if they cover enough",
+    "S1": "search for a rule without conditions", "S1b": "search for a rule with one condition", "S2": "decision tree, each row judged by the tree grown without it", "S3": "rules proposed from outside, kept if they cover enough",
     "S4": "difference signatures: systemic or isolated", "H": "S1b where it found a reliable rule, else S4",
 }
 #: Rows whose values may stand in for others, for each row that is made wrong.
@@ -108,46 +109,6 @@ def inject_errors(df: DataFrame, target: str, row: str, seed: int, per_field: in
     return out.withColumn("injected", F.col("_row").isNotNull()).withColumn(target, F.when(F.col("injected"), wrong).otherwise(y)).drop("_row")
 
 
-def tree_predictions(df: DataFrame, target: str, kinds: Kinds, row: str, folds: int = 5, depth: int = 3, classes: int = 12, one_hot: int = 15) -> DataFrame | None:
-    """row and prediction of a decision tree grown on the other folds (so no row vouches for itself); None for a target of
-    more than ``classes`` values. Dates count as days, nulls as -1; text columns of more than ``one_hot`` values are left
-    out. A target of one value predicts that value."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-
-    y = F.col(f"`{target}`")
-    values = [r[0] for r in df.where(y.isNotNull()).select(y).distinct().limit(classes + 1).collect()]
-    if not 1 <= len(values) <= classes:
-        return None
-    if len(values) == 1:
-        return df.select(row, F.lit(values[0]).alias("prediction"))
-    inputs, wide = [], df.where(y.isNotNull()).withColumn("_fold", F.pmod(F.xxhash64(F.col(row).cast("string")), F.lit(folds)))
-    for i, (c, kind) in enumerate(kinds.items()):
-        column = F.col(f"`{c}`")
-        if kind == "string":
-            words = [r[0] for r in df.where(column.isNotNull()).select(column).distinct().limit(one_hot + 1).collect()]
-            for j, word in enumerate(sorted(words) if len(words) <= one_hot else []):
-                wide = wide.withColumn(f"_f{i}_{j}", F.coalesce((column == word).cast("double"), F.lit(0.0)))
-                inputs.append(f"_f{i}_{j}")
-        else:
-            number = F.datediff(column, F.lit("1970-01-01")) if kind == "date" else column
-            wide = wide.withColumn(f"_f{i}", F.coalesce(number.cast("double"), F.lit(-1.0)))
-            inputs.append(f"_f{i}")
-    if not inputs:
-        return None
-    indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(wide)
-    stages = [VectorAssembler(inputCols=inputs, outputCol="_features"), DecisionTreeClassifier(labelCol="_label", featuresCol="_features", maxDepth=depth, seed=0), IndexToString(inputCol="prediction", outputCol="_word", labels=indexer.labels)]
-    wide, out = indexer.transform(wide).persist(), None
-    for k in range(folds):
-        train = wide.where(F.col("_fold") != k)
-        if train.isEmpty():
-            continue
-        part = Pipeline(stages=stages).fit(train).transform(wide.where(F.col("_fold") == k)).select(row, F.col("_word").alias("prediction"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def run_methods(df: DataFrame, target: str, kinds: Kinds, expected: str, proposals: list[dict] | None = None, row: str = "pair_id") -> tuple[DataFrame, list[Method]]:
     """S1, S1b, S2, S3 (if there are ``proposals``), S4 and H, and ``df`` with what their Columns read. ``expected`` is the
     documented value. One search serves S1 and S1b."""
@@ -162,9 +123,9 @@ def run_methods(df: DataFrame, target: str, kinds: Kinds, expected: str, proposa
     with Search(df, target, kinds) as search:
         found = search.hypotheses()
     out = [of_rule("S1", chosen([h for h in found if "if_eq" not in h.rule.op])), of_rule("S1b", chosen(found))]
-    trees = tree_predictions(df, target, kinds, row)
-    if trees is not None:
-        df = df.join(trees.withColumnRenamed("prediction", "_tree"), row, "left")
+    told = trees.predictions(df, target, kinds, row)
+    if told is not None:
+        df = df.join(told.withColumnRenamed("prediction", "_tree"), row, "left")
         out.append(Method("S2", ~F.col("_tree").eqNullSafe(y), F.col("_tree")))
     else:
         out.append(Method("S2", off, abstained=True))

@@ -11,7 +11,7 @@ from . import bindings as b
 from .functions import normalize as n
 from .learn import evaluate as ev
 from .functions.chance import drawn_sql
-from .learn import privacy, resolve, search
+from .learn import privacy, resolve, search, trees
 from .learn.dsl import branch, call, col, joined
 from .operators import features as ft
 from .operators import history, lookup, overrides, pairing, report, verdicts
@@ -610,6 +610,21 @@ def experiment(spark, sf_dir):
     return ev.experiment(df.withColumn("truth", ~F.col("y_type").eqNullSafe(F.col("expected"))), "type", "y_type", kinds, "expected", "truth", "injected")
 
 
+@query("""WITH r AS (SELECT c_custkey AS k, [c_nationkey, floor(c_acctbal / 1000)] AS x, c_mktsegment AS y FROM customer),
+ cells AS (SELECT x, y FROM r GROUP BY ALL), splits AS (SELECT DISTINCT i, x[i] AS edge FROM cells, unnest([1, 2]) AS u(i)),
+ tally AS (SELECT i, edge, x[i] <= edge AS low, y, count(*) AS n FROM r, splits GROUP BY ALL),
+ without AS (SELECT c.x, c.y AS own, t.i, t.edge, t.low, t.y, t.n - CAST(t.y = c.y AND t.low = (c.x[t.i] <= t.edge) AS INT) AS n FROM cells c, tally t),
+ sides AS (SELECT x, own, i, edge, low, CAST(sum(n * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS score FROM without GROUP BY ALL HAVING sum(n) > 0),
+ scored AS (SELECT x, own, i, edge, sum(score) AS score FROM sides GROUP BY ALL HAVING count(*) = 2),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY x, own ORDER BY score DESC, i, edge) = 1),
+ said AS (SELECT w.x, w.own, w.y FROM without w JOIN best USING (x, own, i, edge) WHERE w.low = (w.x[w.i] <= w.edge) QUALIFY row_number() OVER (PARTITION BY w.x, w.own ORDER BY w.n DESC, w.y) = 1)
+ SELECT r.k, said.y AS prediction FROM r JOIN said ON r.x = said.x AND r.y = said.own""")
+def tree_leave_one_out(spark, sf_dir):
+    """Trees of one split, each grown without the customer whose segment it tells."""
+    made = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("double").alias("nation"), F.floor(F.col("c_acctbal") / 1000).cast("double").alias("balance"), F.col("c_mktsegment").alias("y"))
+    return trees.predictions(made, "y", {"nation": "double", "balance": "double"}, "k", depth=1)
+
+
 _TP = "count(*) FILTER (k % 5 = 0 AND verdict = 'ANOMALY')"
 
 

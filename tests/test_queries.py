@@ -14,7 +14,7 @@ def plain(rows):
     return sorted((tuple(word(v) for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["norm_same", "pair_score", "history_asof", "rule_situation", "rule_start", "crosstab_field", "signature_share", "priority", "override_pattern", "f1_pivot"])
+@pytest.mark.parametrize("name", ["norm_same", "pair_score", "history_asof", "rule_situation", "rule_start", "crosstab_field", "signature_share", "priority", "override_pattern", "f1_pivot", "experiment", "tree_leave_one_out"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for p in DATA.glob("*.parquet"):
