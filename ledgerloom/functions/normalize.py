@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -14,6 +17,8 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "MM/dd/yyyy")
 ENV_PREFIX = r"(?i)^([a-z0-9]+(?:-[a-z0-9]+)*_)"
 NOTHING = "∅"
+#: The first and the last Hangul syllable.
+HANGUL = ("\uac00", "\ud7a3")
 
 
 def blank(text: Column) -> Column:
@@ -58,16 +63,70 @@ def to_bool(value: Column) -> Column:
     return F.when(t.isNotNull(), t.isin(*TRUE_WORDS))
 
 
-@lru_cache
-def _folding(limit: int = 0x2000) -> tuple[str, str]:
-    """Characters below ``limit`` that compatibility decomposition without marks turns into one other character."""
-    pairs = [(chr(c), r) for c in range(0x80, limit) if len(r := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and r != chr(c)]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def without_marks(text: str) -> str:
+    """Compatibility decomposition without combining characters."""
+    return "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x))
+
+
+@dataclass(frozen=True)
+class Folding:
+    """A rule that turns each character into none, one or several, as tables: ``one`` to ``into`` (the rest of ``one`` goes)
+    for translate, and the characters ``several`` with their ``parts``, themselves folded. Hangul syllables are left to
+    arithmetic."""
+
+    one: str
+    into: str
+    several: str
+    parts: tuple[str, ...]
+
+    @classmethod
+    @lru_cache
+    def of(cls, rule: Callable[[str], str]) -> Folding:
+        chars = (c for c in map(chr, range(sys.maxunicode + 1)) if not ("\ud800" <= c <= "\udfff" or HANGUL[0] <= c <= HANGUL[1]))
+        changed = [(c, r) for c in chars if (r := rule(c)) != c]
+        single, gone, longer = ([x for x in changed if test(len(x[1]))] for test in (lambda n: n == 1, lambda n: n == 0, lambda n: n > 1))
+        return cls("".join(c for c, _ in single + gone), "".join(r for _, r in single), "".join(c for c, _ in longer), tuple(r for _, r in longer))
+
+    def apply(self, text: Column, hangul: bool) -> Column:
+        """``text`` folded. Its characters are taken one by one only where one of them becomes several."""
+
+        def spread(c: Column) -> Column:
+            at = F.position(c, F.lit(self.several))
+            found = F.coalesce(F.get(F.split(F.lit("\n".join(self.parts)), "\n"), F.when(c != "", at - 1).otherwise(-1)), c)
+            return F.when(c < self.several[0], c).when(c.between(*HANGUL), _jamo(c)).otherwise(found) if hangul else F.when(c < self.several[0], c).otherwise(found)
+
+        marked = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(self.several)) + (f"{HANGUL[0]}-{HANGUL[1]}" if hangul else "") + "]"
+        spelled = F.when(text.rlike(marked), F.array_join(F.transform(F.split(text, ""), spread), "")).otherwise(text)
+        return F.translate(spelled, self.one, self.into)
+
+
+def _ranges(chars: str) -> list[tuple[int, int]]:
+    """Ascending characters as ranges of code points."""
+    out: list[tuple[int, int]] = []
+    for c in map(ord, chars):
+        if out and out[-1][1] == c - 1:
+            out[-1] = out[-1][0], c
+        else:
+            out.append((c, c))
+    return out
+
+
+def _jamo(c: Column) -> Column:
+    """The two or three letters of a Hangul syllable, whose number is (initial * 21 + vowel) * 28 + final."""
+    number = F.ascii(c) - ord(HANGUL[0])
+    final, vowel = number % 28, F.floor(number / 28) % 21
+    letter = lambda first, count, i: F.substr(F.lit("".join(chr(first + k) for k in range(count))), (i + 1).cast("int"), F.lit(1))
+    return F.concat(letter(0x1100, 19, F.floor(number / 588)), letter(0x1161, 21, vowel), F.when(final > 0, letter(0x11A8, 27, final - 1)).otherwise(""))
+
+
+def _ascii(text: Column) -> Column:
+    return text.rlike(r"^[\x00-\x7F]*$")
 
 
 def strip_accents(text: Column) -> Column:
-    """Letters without their marks (single-character foldings; combining marks go)."""
-    return F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), *_folding())
+    """Compatibility decomposition without combining characters: letters without their marks, ligatures and the like spelled
+    out."""
+    return F.when(_ascii(text), text).otherwise(Folding.of(without_marks).apply(text, True))
 
 
 def fix_mojibake(text: Column) -> Column:
@@ -97,7 +156,8 @@ def date_eq(a: Column, b: Column) -> Column:
 
 
 def case_fold(text: Column) -> Column:
-    return F.lower(F.upper(text))
+    """Full case folding, whatever the neighbours of a letter."""
+    return F.when(_ascii(text), F.lower(text)).otherwise(Folding.of(str.casefold).apply(text, False))
 
 
 def key(value: Column, kind: str = "string") -> Column:

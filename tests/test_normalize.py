@@ -49,3 +49,20 @@ def test_rest(spark):
     assert one(spark, n.pad_five(F.col("t")), t="123456") == "123456" and one(spark, n.pad_five(F.col("t")), t="12") == "00012"
     assert one(spark, n.excel_date(F.col("t")), t="43831") == date(2020, 1, 1)
     assert one(spark, n.row_id(F.col("a"), F.col("b")), a="x", b=None) == "x/-"
+
+
+@pytest.mark.parametrize("column, plain", [(n.strip_accents, n.without_marks), (n.case_fold, str.casefold)])
+def test_foldings_of_all_characters(spark, column, plain):
+    """Each character alone, and texts of 64 in a row, so that a letter's neighbours make no difference."""
+    chars = spark.range(0x110000).where("id not between 55296 and 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("t"))
+    texts = chars.groupBy(F.floor(F.col("id") / 64)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x.t), "").alias("t"))
+    mixed = texts.select(F.concat(F.lit("Aé"), "t", F.lit("ΑΣ ﬁ한Z")).alias("t"))
+
+    def wrong(batches):
+        for batch in batches:
+            yield batch[[plain(t) != f for t, f in zip(batch["t"], batch["f"], strict=True)]]
+
+    both = chars.select("t").unionByName(mixed).repartition(8).withColumn("f", column(F.col("t")))
+    assert both.count() == 0x110000 - 2048 + 0x110000 // 64 - 32
+    assert both.mapInPandas(wrong, "t string, f string").limit(5).collect() == []
+    assert [r["f"] for r in spark.createDataFrame([(None,), ("",)], "t string").select(column(F.col("t")).alias("f")).collect()] == [None, ""]
