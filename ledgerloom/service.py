@@ -1,6 +1,6 @@
 """What a front end asks for, as plain functions over DataFrames: datasets, results, one row, rules, proofs, overrides,
 evaluations, exports. Results are kept per dataset and state of the override log; proofs per field and version of a
-dataset."""
+dataset, and with a ``ProofStore`` beyond the session."""
 
 from __future__ import annotations
 
@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from .keeping import checkpointed
 from .learn import evaluate, privacy, resolve
-from .learn.dsl import OPS
+from .learn.dsl import OPS, from_json
 from .learn.search import Learned, Search
 from .operators import report
 from .operators.features import Features, feature_table
 from .pipeline import Result, learned_rules, reconcile, report_order
 from .plans.tree import describe
+from .proofs import ProofStore, fingerprints
 from .sources.tables import Inputs, add_line, add_override, as_json, load_all, load_overrides, remove_override, write_csv, write_report
 
 #: Rows of a report sheet at most; the whole table goes to Parquet (``sources.tables.write_verdicts``).
@@ -53,6 +54,8 @@ class Service:
     _versions: dict[str, int] = field(default_factory=dict)
     _results: dict[tuple, Result] = field(default_factory=dict)
     _proofs: dict[tuple, dict] = field(default_factory=dict)
+    proofs: ProofStore | None = None
+    _prints: dict[tuple, dict[str, str]] = field(default_factory=dict)
 
     def register(self, name: str, dataset: Dataset) -> None:
         """A dataset of this name begins a new version: results and proofs of the old one are let go."""
@@ -121,18 +124,39 @@ class Service:
         ]
 
     def proof(self, name: str, of: str) -> dict:
-        """The learned rule of a field, its evidence, rivals, folds and whether pseudonyms change its coverage."""
+        """The learned rule of a field, its evidence, rivals, folds and whether pseudonyms change its coverage. With
+        ``proofs`` it is read from there if it was made from the same data, in whatever session."""
         key = (name, self._versions[name], of)
         if key not in self._proofs:
             f = self.datasets[name].learnable()
-            y = f.targets[of]
-            model = resolve.field_model(f, of)
-            found: dict = {"rule": str(model.learned), "coverage": model.learned.coverage, "accepted": model.learned.accepted, "rivals": resolve.alternatives(f.df, y, f.kinds), "folds": resolve.stability(f.df, y, f.kinds)}
-            if model.learned.rule:
-                found |= {"evidence": in_doubt_first(resolve.evidence(f.df, y, f.kinds, model.learned.rule)), "private": privacy_check(f, y, model.learned)}
-            self._proofs[key] = found
+            said = self._kept_proof(key, f) if self.proofs else self._made_proof(f, of)
+            rule = said.pop("json")
+            if rule:
+                said["evidence"] = in_doubt_first(resolve.evidence(f.df, f.targets[of], f.kinds, from_json(rule)))
+            self._proofs[key] = said
         return self._proofs[key]
 
+    def _kept_proof(self, key: tuple[str, int, str], f: Features) -> dict:
+        name, version, of = key
+        if (name, version) not in self._prints:
+            self._prints = {k: v for k, v in self._prints.items() if k[0] != name} | {(name, version): fingerprints(f)}
+        now = self._prints[name, version][of]
+        said = self.proofs.read(name, of, now)
+        if said is None:
+            said = self._made_proof(f, of)
+            self.proofs.write(name, of, now, said)
+        return said
+
+    @staticmethod
+    def _made_proof(f: Features, of: str) -> dict:
+        y = f.targets[of]
+        learned = resolve.field_model(f, of).learned
+        said = {
+            "rule": str(learned), "coverage": learned.coverage, "accepted": learned.accepted, "json": learned.rule.to_json() if learned.rule else None,
+            "rivals": [{"rule": str(h.rule), "coverage": h.coverage} for h in resolve.alternatives(f.df, y, f.kinds)], "folds": [list(x) for x in resolve.stability(f.df, y, f.kinds)],
+        }
+        return said | ({"private": privacy_check(f, y, learned)} if learned.rule else {})
+
     def override(self, entry: dict) -> dict:
         return add_override(entry, self.log)
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.features import Features
 from ledgerloom.plans.fields import FieldRule, name
 from ledgerloom.hr import hr_dataset, hr_inputs
+from ledgerloom.learn import resolve
 from ledgerloom.pipeline import reconcile
+from ledgerloom.proofs import ProofStore, column_sums
 from ledgerloom.service import Dataset, Service, agreement, examples, flagged_labels
 from ledgerloom.sources.tables import Inputs, write_report
 
@@ -51,6 +53,41 @@ def test_round(service, tmp_path):
     assert service.proof("x", "name") is not proof
 
 
+def test_proofs_outlive_the_session(spark, tmp_path, monkeypatch):
+    def served(session, rows, kept=True):
+        df = session.createDataFrame(rows, "pair_id long, n string, m string, y string, z string")
+        pairs = df.select("pair_id", F.struct("n").alias("s"), F.struct(F.col("y").alias("a"), F.col("z").alias("b")).alias("d"))
+        made = Service(session, tmp_path / "log.jsonl", proofs=ProofStore(session, str(tmp_path / "proofs")) if kept else None)
+        made.register("all / of it", Dataset(pairs, [], Features(df, {"n": "string", "m": "string"}, {"a": "y", "b": "z"})))
+        return lambda of: made.proof("all / of it", of)
+
+    plain = lambda proof: {k: sorted(map(str, v.collect())) if k == "evidence" else v for k, v in proof.items()}
+    rows = [(i, f"é{i % 7}", None if i % 5 else "x", f"É{i % 7}", f"é{i % 7}" if i else None) for i in range(40)]
+    first = plain(served(spark, rows)("a"))
+    assert first["rule"] == "upper(n)" and len(first["evidence"]) == 40 and first["rivals"] and first["folds"]
+
+    found = []
+    monkeypatch.setattr(Service, "_made_proof", staticmethod(lambda f, of: found.append(of) or {"rule": f"new {len(found)}", "json": None}))
+    again = served(spark.newSession(), rows[::-1])
+    assert plain(again("a")) == first and found == []
+    assert again("b") == {"rule": "new 1"} == served(spark, rows)("b") and found == ["b"]
+    changed = served(spark, [*rows[:-1], (39, "é4", None, "É4", None)])  # a row's target of b
+    assert plain(changed("a")) == first and changed("b") == {"rule": "new 2"}
+    assert served(spark, rows)("b") == {"rule": "new 3"}  # the proof of the changed data stood there
+    other = served(spark, [*rows[:-1], (39, "é4", "é4", *rows[-1][3:])])  # a column that both can read
+    assert other("a") == {"rule": "new 4"} and other("a") is other("a") and found == ["b", "b", "b", "a"]
+    assert served(spark, rows, False)("b") == {"rule": "new 5"}
+
+
+def test_fingerprints(spark):
+    sums = lambda rows: column_sums(spark.createDataFrame(rows, "pair_id long, a string, b string"), "pair_id", ["a", "b"])
+    one = sums([(1, "x", None), (2, None, "x"), (None, "y", "y")])
+    assert one == sums([(None, "y", "y"), (2, None, "x"), (1, "x", None)]) and len(set(one.values())) == 2
+    swapped, nulls, more = sums([(2, "x", None), (1, None, "x"), (None, "y", "y")]), sums([(1, "x", ""), (2, None, "x"), (None, "y", "y")]), sums([(1, "x", None), (2, None, "x"), (None, "y", "y"), (None, None, None)])
+    assert one["a"] != swapped["a"] and one["a"] == nulls["a"] and one["b"] != nulls["b"] and all(one[c] != more[c] for c in "ab")
+    assert set(sums([]).values()) == {"0:None:None"}
+
+
 def hr_rows(spark):
     """A small company: the reference's kinds of cases, with invented people."""
     names = ["Matricule", "PrénomUsuel", "NomFamille", "DateEmbaucheRécente", "TypeAffectation", "CodePoste", "CodeEmploi", "IntituléEmploi", "DateEntréePoste", "DateSortiePoste", "CodeSite", "LibelléSite", "CodeDirection", "LibelléDirection", "CodeImputation",
