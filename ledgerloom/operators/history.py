@@ -14,7 +14,7 @@ def summarise(history: DataFrame, position: str, effective: str, unit: str, refe
     and columns of the last (``last``: name to column) and the current record (``current``). ``order`` breaks ties of the
     date, then the unit and these columns do; null dates come first; records without a position are left out.
 
-    No position is sorted or gathered: three aggregates find the current record, then the last one before it with
+    No task needs all records of a position: three aggregates find the current record, then the last one before it with
     another unit and the next one after it, then the first since that other unit. Each combines before it shuffles, and
     between them the records meet one row of their position, so the records of a hot position stay in many tasks."""
     last, current = last or {}, current or {}
