@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written once, without its lineage, to the cluster's spark.checkpoint.dir; Spark's cleaner lets go of it when nobody
-    holds the table any more. Where the setting is missing a single machine takes a temporary folder; a cluster has no
-    folder that all machines see, so there it is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: the cluster's spark.checkpoint.dir. Where the setting is missing a single machine takes a
+    temporary folder; a cluster has no folder that all machines see, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written once, without its lineage, to the shared folder; Spark's cleaner lets go of it when nobody holds the table
+    any more."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

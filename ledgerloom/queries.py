@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bindings as b
 from .functions import normalize as n
+from .keeping import new_folder
 from .learn import evaluate as ev
 from .functions.chance import drawn_sql
 from .learn import privacy, resolve, search, trees
@@ -17,6 +18,7 @@ from .operators import features as ft
 from .operators import history, lookup, overrides, pairing, report, verdicts
 from .pipeline import learned_rules, reconcile, report_order, with_ids
 from .plans import fields as f
+from .streaming import overrides as override_streams
 from .streaming import verdicts as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,6 +468,21 @@ def override_fold(spark, sf_dir):
     return _overridden(spark, sf_dir, rows).where("layer = 'EXPERT'")
 
 
+@query(ORACLE["override_fold"])
+def override_stream(spark, sf_dir):
+    """The same as two streams: verdicts in several files, one override a micro-batch and in falling order."""
+    rows = [(2, "2024-01-04", "type", "pattern", "ANOMALY", None, "a → a", ""), (1, "2024-01-03", "type", "row", "ANOMALY", _named(spark, sf_dir, 31, "type"), None, "no"), (0, "2024-01-02", "type", "pattern", "JUSTIFIED", None, "a → a", "")]
+    folder = new_folder(spark, "override_stream")
+    signed = _signed(spark, sf_dir, True).select("pair_id", "id", "field", "signature", "verdict", "layer", "confidence", "explanation", "path")
+    signed.repartition(4, "id").write.parquet(f"{folder}/verdicts")
+    for one in rows:
+        spark.createDataFrame([one], overrides.SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/said")
+    read = lambda name, schema, files: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}")
+    changes = override_streams.stream_overridden(read("verdicts", signed.schema, 2), read("said", overrides.SCHEMA, 1))
+    override_streams.write_changes(changes, f"{folder}/changes", f"{folder}/state")
+    return override_streams.current(spark.read.parquet(f"{folder}/changes")).where("layer = 'EXPERT'").select("pair_id", "field", "verdict", "layer", "confidence", "explanation")
+
+
 # Learning -----------------------------------------------------------------------------------------------------------
 
 KINDS = {"s_type": "string", "s_job": "string", "s_segment": "string", "s_entry": "date", "s_amount": "double"}
