@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--overrides")
             p.add_argument("--no-learning", action="store_true", help="leave open rows open")
         if verb == "run":
-            p.add_argument("--report", help="also a workbook with summaries and the first 1000 rows to investigate")
+            p.add_argument("--report", help="also a workbook with summaries and the rows to investigate")
         if verb == "learn":
             p.add_argument("--seeds", type=int, default=5)
     args = parser.parse_args(argv)
@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> None:
         write_verdicts(result.verdicts, args.out)
         written = spark.read.parquet(args.out)
         if args.report:
-            write_report({"Summary": kpis(written), "Fields": by_field(written), "To investigate": to_investigate(written).limit(1000)}, args.report)
+            write_report({"Summary": kpis(written), "Fields": by_field(written), "To investigate": to_investigate(written)}, args.report)
         return
     v, layer = F.col("verdict"), F.col("layer")
     cases = {x.lower(): (v == x, v == x) for x in ("MATCH", "JUSTIFIED", "ANOMALY", "AMBIGUOUS")} | {"learned": (layer == "LEARNED", layer == "LEARNED")}

@@ -23,9 +23,6 @@ from .plans.tree import describe
 from .proofs import ProofStore, fingerprints
 from .sources.tables import Inputs, add_line, add_override, as_json, load_all, load_overrides, remove_override, write_csv, write_report
 
-#: Rows of a report sheet at most; the whole table goes to Parquet (``sources.tables.write_verdicts``).
-SHEET_ROWS = 100_000
-
 
 @dataclass
 class Dataset:
@@ -175,14 +172,10 @@ class Service:
         write_csv(report_order(self.result(name)), path)
 
     def export_workbook(self, name: str, path: str | Path) -> Path:
-        """A workbook for readers. A sheet holds SHEET_ROWS rows at most; what a sheet leaves out is counted on the sheet
-        "Rows", and the whole table is had by ``export_csv`` or as Parquet."""
+        """A workbook for readers, with all rows: a sheet that is full goes on in another."""
         df, parts = self.result(name).verdicts, self.summary(name)
         whole = {"To investigate": report.to_investigate(df), "Justified": df.where("verdict = 'JUSTIFIED'"), "Match": df.where("verdict = 'MATCH'"), "All": report_order(self.result(name))}
-        n = {r["verdict"]: r["count"] for r in df.groupBy("verdict").count().collect()}
-        rows = {"To investigate": n.get("ANOMALY", 0) + n.get("AMBIGUOUS", 0), "Justified": n.get("JUSTIFIED", 0), "Match": n.get("MATCH", 0), "All": sum(n.values())}
-        held = self.spark.createDataFrame([(k, min(v, SHEET_ROWS), v) for k, v in rows.items()], "sheet string, rows_here long, rows_in_all long")
-        sheets = {"Summary": parts["kpis"], "Layers": parts["layers"], "Fields": parts["fields"], "Rows": held} | {k: v.limit(SHEET_ROWS) for k, v in whole.items()}
+        sheets = {"Summary": parts["kpis"], "Layers": parts["layers"], "Fields": parts["fields"]} | whole
         return write_report(sheets | {"Learned rules": parts["learned"], "Rule catalogue": parts["catalogue"], "Overrides": load_overrides(self.spark, self.log)}, path, report.LABELS)
 
 
