@@ -470,15 +470,16 @@ def override_fold(spark, sf_dir):
 
 @query(ORACLE["override_fold"])
 def override_stream(spark, sf_dir):
-    """The same as two streams: verdicts in several files, one override a micro-batch and in falling order."""
+    """The same as two streams: verdicts in two micro-batches, one override a micro-batch and in falling order."""
     rows = [(2, "2024-01-04", "type", "pattern", "ANOMALY", None, "a → a", ""), (1, "2024-01-03", "type", "row", "ANOMALY", _named(spark, sf_dir, 31, "type"), None, "no"), (0, "2024-01-02", "type", "pattern", "JUSTIFIED", None, "a → a", "")]
     folder = new_folder(spark, "override_stream")
     signed = _signed(spark, sf_dir, True).select("pair_id", "id", "field", "signature", "verdict", "layer", "confidence", "explanation", "path")
-    signed.repartition(4, "id").write.parquet(f"{folder}/verdicts")
+    signed.write.parquet(f"{folder}/verdicts")
+    half = -(-len(spark.read.parquet(f"{folder}/verdicts").inputFiles()) // 2)
     for one in rows:
         spark.createDataFrame([one], overrides.SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/said")
     read = lambda name, schema, files: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}")
-    changes = override_streams.stream_overridden(read("verdicts", signed.schema, 2), read("said", overrides.SCHEMA, 1))
+    changes = override_streams.stream_overridden(read("verdicts", signed.schema, half), read("said", overrides.SCHEMA, 1))
     override_streams.write_changes(changes, f"{folder}/changes", f"{folder}/state")
     return override_streams.current(spark.read.parquet(f"{folder}/changes")).where("layer = 'EXPERT'").select("pair_id", "field", "verdict", "layer", "confidence", "explanation")
 

@@ -1,85 +1,95 @@
 """Overrides as a stream beside a stream of verdicts: what experts say corrects verdicts that came before, and meets those
 that come later.
 
-A row is given as it is when it comes. One join of the two streams, in Spark's own state, gives every pair of row and
-override once, whichever came first: overrides of one row meet it by its id, those of a pattern by field and signature.
-Rows of a signature are dealt to ``SALTS`` parts by their id and patterns, which people enter one by one, go to all of
-them, so no task has all rows of a hot signature. Only rows that an override meets have a state in Python: the overrides
-so far. When another comes the row is given anew, with all of them folded in the order of their ordinals and a higher
-``version``. So any order of micro-batches ends in the table of ``apply_overrides``: ``current`` reads it from the
-changes. The output mode is append: changes can be written to files, exactly once.
+A row is given as it is when it comes. Both streams run as one; what they have brought so far is kept in tables, not in a
+state: rows in the table of changes itself, overrides beside the stream's checkpoint. Each micro-batch joins its own rows
+with all overrides so far, and, only if it brings overrides that are new, the rows so far with these. A row that is met is
+given anew, with all of its overrides folded in the order of their ordinals and a higher ``version``. So any order of
+micro-batches ends in the table of ``apply_overrides``: ``current`` reads it from the changes. A micro-batch writes parts
+of its own, and writes them again if it is repeated, so changes are there once.
+
+What people enter is small beside the rows, so Spark as a rule sends it to the tasks and rows are not shuffled. Where it is
+not, rows of a signature are dealt to ``SALTS`` parts by their id and patterns go to all of them, so no task has all rows
+of a hot signature. Cost: one reading of id, field and signature of the rows so far for each micro-batch with new overrides.
 
 Cases: an override of a row that never comes gives nothing; the same override twice counts once, as it does in a fold;
 rows alike in all columns count as one row, others of one id as rows of their own; an empty or null signature is no
-pattern; a null id is named by no override of a row; nulls in any other column stay. The join's state grows with rows and
-overrides, as a later override may name any row: use the RocksDB state store.
+pattern; a null id is named by no override of a row; nulls in any other column stay.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from ..operators.overrides import ENTRY, folded
+from ..operators.overrides import SCHEMA, apply_overrides
 
 SALTS = 16
-_ENTRY_SCHEMA = "ordinal long, date string, verdict string, scope string, signature string, field string, comment string"
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: Columns of the table of changes that are no columns of a row.
+_OWN = ("key", "version", "_batch", "_kind")
 
 
-def _place(scope: str, first: Column, second: Column, part: Column) -> Column:
-    """Where a row and an override meet."""
-    return F.struct(F.lit(scope).alias("scope"), first.alias("first"), second.alias("second"), part.alias("part"))
-
-
-def stream_overridden(rows: DataFrame, said: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Changes of ``rows`` (streaming; columns as for ``apply_overrides``) by ``said`` (streaming, the override log): the
-    columns of ``rows``, key (one for each row as it came) and version."""
-    none, zero = F.lit(""), F.lit(0)
-    own, salt = F.col("id").cast("string"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    text = F.to_json(F.struct(*(f"`{c}`" for c in rows.columns)), _JSON)
-    named = F.when(own.isNotNull(), _place("row", own, none, zero))
-    member = F.when(F.col("signature") != "", _place("pattern", F.col("field"), F.col("signature"), salt))
-    places = rows.select(text.alias("row"), F.explode(F.array_compact(F.array(named, member))).alias("place")).select("row", "place.*")
-    by_row = F.when(F.col("id").isNotNull(), F.array(_place("row", F.col("id"), none, zero)))
-    by_pattern = F.when(F.col("signature") != "", F.transform(F.sequence(zero, F.lit(salts - 1)), lambda x: _place("pattern", F.col("field"), F.col("signature"), x)))
-    entries = said.select(F.to_json(F.struct(*ENTRY), _JSON).alias("step"), F.explode(F.when(F.col("scope") == "row", by_row).when(F.col("scope") == "pattern", by_pattern)).alias("place")).select("step", "place.*")
-    met = places.join(entries, ["scope", "first", "second", "part"]).select(F.sha2("row", 256).alias("key"), "row", "step")
-    kept = met.groupBy("key").applyInPandasWithState(_keep, "key string, row string, steps array<string>, version long", "steps string, version long", "append", "NoTimeout")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    read = kept.select("key", F.from_json("row", fields, _JSON).alias("_row"), F.transform("steps", lambda x: F.from_json(x, _ENTRY_SCHEMA)).alias("_steps"), "version")
-    flat = read.select(*(F.col("_row").getField(c).alias(c) for c in rows.columns), F.col("_steps"), F.col("key").alias("_key"), F.col("version").alias("_version"))
-    names = [f"`{c}`" for c in rows.columns]
-    changed = folded(flat, F.col("_steps")).select(*names, F.col("_key").alias("key"), F.col("_version").alias("version"))
-    return rows.select(*names, F.sha2(text, 256).alias("key"), F.lit(0).cast("long").alias("version")).unionByName(changed)
-
-
-def _keep(key: tuple, met: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    steps, version = state.get if state.exists else ("[]", 0)
-    said, row = dict.fromkeys(json.loads(steps)), None
-    known = len(said)
-    for part in met:
-        said |= dict.fromkeys(part["step"])
-        row = part["row"].iloc[0] if len(part) else row
-    if len(said) > known:  # not for what is only said again
-        state.update((json.dumps(list(said)), version + 1))
-        yield pd.DataFrame({"key": [key[0]], "row": [row], "steps": [list(said)], "version": [version + 1]})
+@dataclass
+class Overridden:
+    """``both``: a stream whose rows are either a row or an override (``row`` or ``said``, the other one null)."""
 
+    both: DataFrame
+    salts: int
+
+
+def stream_overridden(rows: DataFrame, said: DataFrame, salts: int = SALTS) -> Overridden:
+    """``rows`` (streaming; columns as for ``apply_overrides``) to be changed by ``said`` (streaming, the override log)."""
+    row, entry = F.struct(*(f"`{c}`" for c in rows.columns)).alias("row"), F.struct("*").alias("said")
+    own, entries = rows.select(row), said.select(*(x.split()[0] for x in SCHEMA.split(", "))).select(entry)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    return Overridden(own.select("row", none(entries, "said")).unionByName(entries.select(none(own, "row"), "said")), salts)
 
-def current(changes: DataFrame) -> DataFrame:
-    """The table that changes, read as a table, have led to: the last version of each row."""
-    names = [c for c in changes.columns if c not in ("key", "version")]
-    last = changes.groupBy("key").agg(F.max_by(F.struct(*(f"`{c}`" for c in names)), "version").alias("_last"))
-    return last.select(*(F.col("_last").getField(c).alias(c) for c in names))
 
+def _met(rows: DataFrame, said: DataFrame, salts: int) -> DataFrame:
+    """The rows that an override names, by their id or by field and signature."""
+    ids = said.where("scope = 'row' and id is not null").select(F.col("id").alias("_id")).distinct()
+    patterns = said.where("scope = 'pattern' and signature <> ''").select(F.col("field").alias("_field"), F.col("signature").alias("_signature")).distinct()
+    dealt = patterns.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    part = F.pmod(F.xxhash64("id"), F.lit(salts)) == F.col("_part")
+    named = rows.join(ids, F.col("id").cast("string") == F.col("_id"), "left")
+    both = named.join(dealt, (F.col("field") == F.col("_field")) & (F.col("signature") == F.col("_signature")) & part, "left")
+    return both.where("_id is not null or _signature is not null").select(*(f"`{c}`" for c in rows.columns))
 
-def write_changes(changes: DataFrame, path: str, checkpoint: str) -> None:
-    """Appends what has arrived to a table, once, in as many micro-batches as the sources give; state and place in the
+
+def write_changes(changes: Overridden, path: str, checkpoint: str) -> None:
+    """Appends what has arrived to a table, once, in as many micro-batches as the sources give: the columns of the rows,
+    key (one for each row as it came), version, and the parts _batch and _kind. Overrides so far and the place in the
     sources are in ``checkpoint``, from which the next call goes on."""
-    run = changes.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.both.schema["row"].dataType)
+    names = [f"`{f.name}`" for f in changes.both.schema["row"].dataType]
+
+    def merge(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        part = lambda kind: f"{path}/_batch={n}/_kind={kind}"
+        batch.where("said is not null").select("said.*").write.mode("overwrite").parquet(f"{checkpoint}/said/batch={n}")
+        key = F.sha2(F.to_json("row", _JSON), 256).alias("key")
+        batch.where("row is not null").select("row.*", key, F.lit(0).cast("long").alias("version")).write.mode("overwrite").parquet(part("came"))
+        said = spark.read.schema(f"{SCHEMA}, batch int").parquet(f"{checkpoint}/said").where(F.col("batch") <= n)
+        every, new = said.drop("batch").distinct(), said.where(F.col("batch") == n).drop("batch").subtract(said.where(F.col("batch") < n).drop("batch"))
+        came = spark.read.schema(f"{fields}, key string, version long, _batch int, _kind string").parquet(path).where("_kind = 'came'")
+        met = _met(came.where(F.col("_batch") == n), every, changes.salts)
+        if not new.isEmpty():
+            met = met.unionByName(_met(came.where(F.col("_batch") < n), new, changes.salts))
+        apply_overrides(met, every).select(*names, "key", F.lit(n + 1).cast("long").alias("version")).write.mode("overwrite").parquet(part("changed"))
+
+    run = changes.both.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
+
+
+def current(changes: DataFrame) -> DataFrame:
+    """The table that changes, read as a table, have led to: the last version of each row. Rows that were never changed,
+    nearly all, meet the keys of the others only; what is asked of them (a filter) is asked where they are read."""
+    names = [c for c in changes.columns if c not in _OWN]
+    quoted = [f"`{c}`" for c in names]
+    later = changes.where("version > 0")
+    last = later.groupBy("key").agg(F.max_by(F.struct(*quoted), "version").alias("_last"))
+    as_came = changes.where("version = 0").join(later.select("key").distinct(), "key", "left_anti").select(*quoted).distinct()
+    return as_came.unionByName(last.select(*(F.col("_last").getField(c).alias(c) for c in names)))
