@@ -16,17 +16,18 @@ def summarise(history: DataFrame, position: str, effective: str, unit: str, refe
 
     No task needs all records of a position: three aggregates find the current record, then the last one before it with
     another unit and the next one after it, then the first since that other unit. Each combines before it shuffles, and
-    between them the records meet one row of their position, so the records of a hot position stay in many tasks."""
+    between them the records meet one row of their position, so the records of a hot position stay in many tasks. A record
+    carries only what is compared with it through the sorts, so what nothing is compared with is found last."""
     last, current = last or {}, current or {}
+    name = {effective: "date"}  # a column stands once in the key, at its first place, which decides all comparisons
+    for c in [*order, unit, *current.values()]:
+        name.setdefault(c, f"k{len(name)}")
+    u = name[unit]
     rows = history.where(F.col(position).isNotNull()).select(
-        F.col(position).alias("position"), F.struct(F.col(effective).alias("date"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(unit).alias("unit"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(current.values()))).alias("_key"),
-        F.struct(*(F.col(c).alias(f"l{i}") for i, c in enumerate(last.values()))).alias("_last") if last else F.lit(0).alias("_last"),
+        F.col(position).alias("position"), F.struct(*(F.col(c).alias(k) for c, k in name.items())).alias("_key"), F.struct(F.lit(0).alias("none"), *(F.col(c).alias(k) for k, c in last.items() if c not in name)).alias("_last"),
     )
     key, at = F.col("_key"), F.col("_now._at")
-    whole = rows.groupBy("position").agg(
-        F.count("*").alias("records"), F.min(key.date).alias("first_date"), F.max(key.date).alias("last_date"), F.max(F.struct(key, "_last")).alias("_end"),
-        F.coalesce(F.max(F.when(key.date <= F.lit(reference).cast("date"), key)), F.min(key)).alias("_at"),
-    )
+    whole = rows.groupBy("position").agg(F.coalesce(F.max(F.when(key.date <= F.lit(reference).cast("date"), key)), F.min(key)).alias("_at"))
 
     def again(found: DataFrame, *aggregates: Column) -> DataFrame:
         """``aggregates`` over the records of each position, which see what was found so far in _now. Grouping by the
@@ -36,14 +37,18 @@ def summarise(history: DataFrame, position: str, effective: str, unit: str, refe
         return out.select("_of.position", "_now.*", *out.columns[2:])
 
     around = again(
-        whole, F.max(F.when((key < at) & ~key.unit.eqNullSafe(at.unit), key)).alias("_other"), F.min(F.when(key > at, key)).alias("_next"),
+        whole, F.max(F.when((key < at) & ~key[u].eqNullSafe(at[u]), key)).alias("_other"), F.min(F.when(key > at, key)).alias("_next"),
         ((F.count_if(key == at) > 1) & ~F.coalesce(F.bool_or(at.date <= F.lit(reference).cast("date")), F.lit(False))).alias("_repeated"),
     )
-    since = again(around, F.min(F.when((key <= at) & (F.col("_now._other").isNull() | (key > F.col("_now._other"))), key)).alias("_since"))
-    moves = F.col("_next").isNotNull() & ~F.col("_repeated") & ~F.col("_next.unit").eqNullSafe(F.col("_at.unit"))
+    around = around.withColumn("_next", F.when(F.col("_next").isNotNull(), F.struct("_next.date", F.col(f"_next.{u}").alias(u))))  # records carry it
+    since = again(
+        around, F.min(F.when((key <= at) & (F.col("_now._other").isNull() | (key > F.col("_now._other"))), key)).alias("_since"),
+        F.count("*").alias("records"), F.min(key.date).alias("first_date"), F.max(key.date).alias("last_date"), F.max(F.struct("_key", "_last")).alias("_end"),
+    )
+    moves = F.col("_next").isNotNull() & ~F.col("_repeated") & ~F.col(f"_next.{u}").eqNullSafe(F.col(f"_at.{u}"))
     return since.select(
-        "position", "records", "first_date", "last_date", F.col("_at.unit").alias("unit"), F.col("_since.date").alias("unit_date"), F.when(moves, F.date_sub("_next.date", 1)).alias("unit_end"),
-        *(F.col(f"_end._last.l{i}").alias(k) for i, k in enumerate(last)), *(F.col(f"_at.c{i}").alias(k) for i, k in enumerate(current)),
+        "position", "records", "first_date", "last_date", F.col(f"_at.{u}").alias("unit"), F.col("_since.date").alias("unit_date"), F.when(moves, F.date_sub("_next.date", 1)).alias("unit_end"),
+        *(F.col(f"_end._key.{name[c]}" if c in name else f"_end._last.{k}").alias(k) for k, c in last.items()), *(F.col(f"_at.{name[c]}").alias(k) for k, c in current.items()),
     )
 
 
