@@ -31,3 +31,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     any more."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder by columns, so that later steps read only those they need; gone with the
+    application. What Parquet has no type for is checkpointed."""
+    if re.search(r"\b(void|interval)\b", df.schema.simpleString()):
+        return checkpointed(df)
+    spark = df.sparkSession
+    folder = new_folder(spark, "kept")
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)

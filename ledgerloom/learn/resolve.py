@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..keeping import checkpointed
 from ..operators.features import Features
 from ..operators.verdicts import counted, signature_key
 from ..plans.tree import AMBIGUOUS, ANOMALY, JUSTIFIED
@@ -65,13 +66,14 @@ def leave_one_out(search: Search, found: list[Hypothesis]) -> list[tuple[str, in
     hangs = list(dict.fromkeys(search.hangs))
     for beam in (b for b in search.beams if b.stems and (chains or b.loose() - PENALTY * 3 >= least)):
         bits, kept = search.bits(beam.conditions), beam.chosen()
-        seen = [r[0] for r in search.frame.selectExpr(f"{bits} as b").distinct().collect()]  # descriptions by the stems near the cut
+        seen = [r[0] for r in search.weighed(bits).selectExpr(f"{bits} as b").distinct().collect()]  # descriptions by the stems near the cut
         if moved := [b for b in seen if beam.chosen(b) != kept]:
             hangs.append(f"{bits} in ({', '.join(repr(b) for b in moved)})")
     wins: dict[str, int] = {}
-    frame = search.frame.selectExpr(f"{described} as described", f"{search.bits(hangs)} as hangs", "_row")
-    if hangs:
-        apart = frame.where(F.col("hangs").contains("1")).groupBy("described", "hangs").agg(F.count("*").alias("n"), F.min("_row").alias("row"))
+    both = [f"{described} as described", f"{search.bits(hangs)} as hangs"]
+    alike = checkpointed(search.weighed(*both).selectExpr(*both, "_n").groupBy("described", "hangs").agg(F.sum("_n").alias("n")))
+    if hangs and not alike.where(F.col("hangs").contains("1")).isEmpty():
+        apart = search.frame.selectExpr(*both, "_row").where(F.col("hangs").contains("1")).groupBy("described", "hangs").agg(F.count("*").alias("n"), F.min("_row").alias("row"))
         for r in apart.collect():
             with search.without(r["row"]) as other:
                 name = str(chosen(other.hypotheses()).rule)
@@ -81,7 +83,7 @@ def leave_one_out(search: Search, found: list[Hypothesis]) -> list[tuple[str, in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([folds.winner(b) for b in batch.column("described").to_pylist()], pa.string()), batch.column("n")], ["name", "n"])
 
-    usual = frame.where(~F.col("hangs").contains("1")).groupBy("described").agg(F.count("*").alias("n"))
+    usual = alike.where(~F.col("hangs").contains("1")).select("described", "n")
     for r in usual.mapInArrow(named, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect():  # one row per winner
         wins[r["name"]] = wins.get(r["name"], 0) + r["n"]
     return sorted(((k, n, n / search.rows) for k, n in wins.items()), key=lambda x: -x[1])

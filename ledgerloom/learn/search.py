@@ -18,6 +18,7 @@ The score of a rule is coverage - PENALTY x complexity; it is accepted from ACCE
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from copy import copy
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..keeping import checkpointed
+from ..keeping import checkpointed, kept
 from .dsl import BY_KIND, Kinds, Rule, Sql, branch, call, col, const, date_edge, grounded, joined, wrapped
 
 PENALTY, ACCEPTED, LEAST_BRANCH = 0.02, 0.80, 2
@@ -168,7 +169,9 @@ class Case:
 
 class Leaves:
     """Features as a table of leaves with the targets beside them, and its sample, for the searches for several targets.
-    The sample is kept without the plan that made it until nobody holds it any more."""
+    Columns and targets are kept once by columns, as every round passes through some of them. Leaves and what rules give
+    are made once for each combination of the columns that they read (``weighed``), not for each row. The sample is kept
+    without the plan that made it until nobody holds it any more."""
 
     def __init__(self, features: DataFrame, targets: Iterable[str], kinds: Kinds, row: str = "pair_id", sample: int = SAMPLE):
         self.kinds = kinds
@@ -178,8 +181,10 @@ class Leaves:
         self.targets = {y: f"_y{i}" for i, y in enumerate(dict.fromkeys(targets))}
         draw = F.pmod(F.xxhash64(f"`{row}`"), F.lit(DRAWS)) if row in features.columns else (F.rand(7) * DRAWS).cast("long")
         own = F.col(f"`{row}`").cast("string") if row in features.columns else F.monotonically_increasing_id().cast("string")
-        frame = features.select(draw.alias("_draw"), own.alias("_row"), *(F.col(f"`{y}`").alias(name) for y, name in self.targets.items()), *(r.text(kinds).alias(name) for r, name in leaves.items()))
-        self.rows = self.tried = features.count()
+        self.made = {name: (rule.columns()[0], rule) for rule, name in leaves.items()}
+        self.base = base = kept(features.select(draw.alias("_draw"), own.alias("_row"), *(F.col(f"`{y}`").alias(name) for y, name in self.targets.items()), *(f"`{c}`" for c in kinds)))
+        frame = base.select("_draw", "_row", *self.targets.values(), *(r.text(kinds).alias(name) for r, name in leaves.items()))
+        self.rows = self.tried = base.count()
         if self.rows <= FULL * sample:
             self.frame = self.some = checkpointed(frame)
         else:
@@ -191,10 +196,19 @@ class Leaves:
         out = copy(self)
         out.__dict__.pop("few", None)
         other = F.col("_row") != row
-        out.frame, out.some, out.rows = self.frame.where(other), self.some.where(other), self.rows - 1
+        out.base, out.frame, out.some, out.rows = self.base.where(other), self.frame.where(other), self.some.where(other), self.rows - 1
         out.tried = out.rows if self.tried == self.rows else out.some.count()
         return out
 
+    def weighed(self, target: str, texts: list[str]) -> DataFrame:
+        """All rows as the combinations of what ``texts`` (SQL) read: leaves, the target as ``_y``, and rows ``_n``."""
+        if self.tried == self.rows:
+            return self.frame.select("*", F.col(self.targets[target]).alias("_y"), F.lit(1).cast("long").alias("_n"))
+        names = sorted(set(re.findall(r"\b_l\d+\b", " ".join(texts))) & set(self.made))
+        columns = sorted({self.made[name][0] for name in names})
+        alike = self.base.groupBy(F.col(self.targets[target]).alias("_y"), *(f"`{c}`" for c in columns)).agg(F.count("*").alias("_n"))
+        return alike.select("_y", "_n", *(self.made[name][1].text(self.kinds).alias(name) for name in names))
+
     @cached_property
     def few(self) -> tuple[list[str], dict[tuple[int, str], int]]:
         """Columns with few values, and the rows of each value of theirs."""
@@ -234,18 +248,37 @@ class Search:
     def __exit__(self, *_) -> None:
         del self.leaves, self.frame, self.some  # if nobody else holds the sample, it goes
 
-    def tally(self, conditions: list[str], frame: DataFrame | None = None) -> list[int]:
-        """On how many rows each condition holds: rows give the numbers of those that hold, and these are counted."""
+    def weighed(self, *texts: str) -> DataFrame:
+        return self.leaves.weighed(self._target, list(texts))
+
+    def tally(self, conditions: list[str], some: bool = False) -> list[int]:
+        """On how many rows (of all, or of the sample) each condition holds: rows give the numbers of those that hold."""
         out: list[int] = []
         for i in range(0, len(conditions), CHUNK):
             part = conditions[i : i + CHUNK]
-            out += self._count((self.frame if frame is None else frame).selectExpr(f"explode({_numbers(part)}) as _i"), len(part))
+            rows = self.some.withColumn("_n", F.lit(1).cast("long")) if some else self.weighed(*part)
+            out += self._count(self._alike(part, rows), "_d", len(part))
         return out
 
-    def _count(self, numbers: DataFrame, size: int) -> list[int]:
-        found = {r["_i"]: r["n"] for r in numbers.groupBy("_i").agg(F.count("*").alias("n")).collect()}  # one row per number
+    @staticmethod
+    def _alike(conditions: list[str], weighed: DataFrame) -> DataFrame:
+        """The sets of conditions that hold on a row (their numbers, ``_d``) with their rows (``_n``)."""
+        return weighed.selectExpr("_n", f"{_numbers(conditions)} as _d").groupBy("_d").agg(F.sum("_n").alias("_n"))
+
+    @staticmethod
+    def _count(weighed: DataFrame, numbers: str, size: int) -> list[int]:
+        """The rows of each number, from ``_n`` rows for all ``numbers`` (SQL). Outer, as the optimiser puts a filter for rows
+        that have numbers before all grouping otherwise, where every row would test all conditions."""
+        counted = weighed.selectExpr("_n", f"explode_outer({numbers}) as _i").groupBy("_i").agg(F.sum("_n").alias("n"))
+        found = {r["_i"]: r["n"] for r in counted.collect()}  # one row per number
         return [found.get(i, 0) for i in range(size)]
 
+    def crossed(self, rules: list[str], cells: list[str]) -> np.ndarray:
+        """On how many rows each rule fits in each cell (rule x cell), in one pass: a row tests every rule and cell once."""
+        size = len(cells)
+        of = f"flatten(transform(filter(_d, r -> r < {len(rules)}), r -> transform(filter(_d, c -> c >= {len(rules)}), c -> r * {size} + c - {len(rules)})))"
+        return np.array(self._count(self._alike(rules + cells, self.weighed(*rules, *cells)), of, len(rules) * size), np.int64).reshape(len(rules), size)
+
     def exact(self, which: list[int], tried: np.ndarray, condition: Callable[[int], str]) -> list[int]:
         """The hits on all rows of the conditions ``which``, of which the sample's are known."""
         return [int(tried[i]) for i in which] if self.tried == self.rows else self.tally([condition(i) for i in which])
@@ -322,7 +355,7 @@ class Search:
                 first, sep, leaf = stem(i)
                 return f"startswith({core}, concat({first.compiled(self.sql)}, {self.sql.value(sep)}, {leaf.compiled(self.sql)}))"
 
-            return fitting(rule, self._count(self.some.selectExpr(f"{core} as _core", *arrays(stems)).selectExpr(*ends).selectExpr(*fits).selectExpr(numbers), len(stems) * n_seps * size), condition, 1)
+            return fitting(rule, self._count(self.some.selectExpr(f"{core} as _core", *arrays(stems)).selectExpr(*ends).selectExpr(*fits).selectExpr("1L as _n", "*"), numbers, len(stems) * n_seps * size), condition, 1)
 
         def arrays(stems: list[Rule]) -> list[str]:
             return [f"array({', '.join(x)}) as {name}" for name, x in (("_p", [r.compiled(self.sql) for r in stems]), ("_l", [r.compiled(self.sql) for r in self.texts]))]
@@ -331,9 +364,9 @@ class Search:
         ends = ["_core", "_l", f"flatten(transform(_p, (p, i) -> transform({seps}, (s, j) -> if(startswith(_core, concat(p, s)), named_struct('k', i * {n_seps} + j, 'end', length(p) + length(s)), null)))) as _e"]
         found = "filter(transform(_l, (l, m) -> if(startswith(substr(_core, x + 1), l), m, -1)), m -> m >= 0)"
         fits = ["filter(_e, e -> e is not null) as _e", f"map_from_entries(transform(array_distinct(transform(filter(_e, e -> e is not null), e -> e.end)), x -> struct(x, {found}))) as _m"]
-        numbers = f"explode(flatten(transform(_e, e -> transform(_m[e.end], m -> e.k * {size} + m)))) as _i"
+        numbers = f"flatten(transform(_e, e -> transform(_m[e.end], m -> e.k * {size} + m)))"
         begun = [self.begins(core, r) for r in self.texts]
-        levels = [fitting(self.texts.__getitem__, self.tally(begun, self.some), begun.__getitem__, 0)]
+        levels = [fitting(self.texts.__getitem__, self.tally(begun, True), begun.__getitem__, 0)]
         while len(levels) < PARTS and levels[-1]:
             levels.append(longer(levels[-1]))
         return list(chain.from_iterable(levels[1:]))
@@ -383,11 +416,14 @@ class Search:
             if reach(np.array([most]), np.array([most / self.rows - best]), np.array([True]))[0]:
                 asked.append((k, *ways))
         at = lambda k: f"{self.sql.column(cells[k][0])} <=> {self.sql.value(cells[k][1])}"
-        where = [(f"{at(k)} and {self.fits(rules[i])}", inside[i, k]) for k, then, _ in asked for i in then] + [(f"not ({at(k)}) and {self.fits(rules[i])}", tried[i] - inside[i, k]) for k, _, other in asked for i in other]
-        counted = iter(self.exact(list(range(len(where))), np.array([n for _, n in where]), lambda i: where[i][0]))
-        hits = [[{i: next(counted) for i in ways[side]} for _, *ways in asked] for side in (0, 1)]
-        of = lambda h: [(i, rules[i], n) for i, n in h.items()]
-        self.cases = [Case(*cells[k], at(k), int(sizes[k]), of(a), of(b)) for (k, *_), a, b in zip(asked, *hits, strict=True)]
+        total = tried
+        if asked and self.tried < self.rows:
+            which = sorted({i for _, *ways in asked for way in ways for i in way})
+            counted = self.crossed([self.fits(rules[i]) for i in which], ["true", *(at(k) for k, *_ in asked)])
+            total, inside = np.zeros_like(tried), np.zeros_like(inside)
+            total[which], inside[np.ix_(which, [k for k, *_ in asked])] = counted[:, 0], counted[:, 1:]
+        of = lambda way, hits: [(i, rules[i], int(hits[i])) for i in way]
+        self.cases = [Case(*cells[k], at(k), int(sizes[k]), of(then, inside[:, k]), of(other, total - inside[:, k])) for k, then, other in asked]
         values = Counter(c for c, _ in self.leaves.few[1])
         for (c, v), n in self.leaves.few[1].items():  # values that a row takes with it, or brings near enough
             where = f"{self.sql.column(self.leaves.few[0][c])} <=> {self.sql.value(v)}"
@@ -402,7 +438,7 @@ class Search:
         if not self.rows:
             return []
         rules = list(dict.fromkeys(self.pool()))
-        tried = np.array(self.tally([self.fits(r) for r in rules], self.some), np.int64)
+        tried = np.array(self.tally([self.fits(r) for r in rules], True), np.int64)
         cost, reads = np.array([PENALTY * r.complexity for r in rules]), np.array([grounded(r) for r in rules])
         low, high = bounds(tried, self.tried, self.rows)
         which = np.flatnonzero(Reach(low, cost, reads, self.rows)(high, cost, reads)).tolist()
@@ -428,7 +464,7 @@ def chosen(found: list[Hypothesis]) -> Learned:
     return Learned(top.rule, top.coverage, best is not None, [h for h in found if h is not top][:8])
 
 
-def learn(features: DataFrame, target: str, kinds: Kinds, conditions: bool = True) -> Learned:
-    """``target`` is a column of canonical text."""
-    with Search(features, target, kinds) as search:
+def learn(features: DataFrame, target: str, kinds: Kinds, conditions: bool = True, leaves: Leaves | None = None) -> Learned:
+    """``target`` is a column of canonical text. ``leaves`` can be shared by several targets of the same features."""
+    with Search(features, target, kinds, leaves=leaves) as search:
         return chosen(search.hypotheses(conditions))

@@ -550,8 +550,9 @@ def _best_sql(target: str) -> str:
 
 @query(f"{MADE} SELECT * FROM {_best_sql('y_type')} UNION ALL SELECT * FROM {_best_sql('y_entry')} UNION ALL SELECT * FROM {_best_sql('y_mixed')}")
 def dsl_learn(spark, sf_dir):
-    df = _features(spark, sf_dir)
-    out = [(y, str(m := search.learn(df, y, KINDS)), m.coverage, m.accepted) for y in ("y_type", "y_entry", "y_mixed")]
+    df, targets = _features(spark, sf_dir), ("y_type", "y_entry", "y_mixed")
+    leaves = search.Leaves(df, targets, KINDS)
+    out = [(y, str(m := search.learn(df, y, KINDS, leaves=leaves)), m.coverage, m.accepted) for y in targets]
     return spark.createDataFrame(out, "target string, rule string, coverage double, accepted boolean")
 
 
