@@ -86,8 +86,9 @@ def demo_picks(df: DataFrame, cases: dict[str, tuple]) -> DataFrame:
 
 
 def learned_and_rest(df: DataFrame, learned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of fields that have a learned rule, and the others. ``learned`` has field."""
-    fields = learned.select("field").distinct()
+    """Rows of fields that have a learned rule, and the others. ``learned`` has field. The fields go to the rows: rows of
+    few fields would meet in few tasks."""
+    fields = F.broadcast(learned.select("field").distinct())  # one row per field
     return df.join(fields, "field", "left_semi"), df.join(fields, "field", "left_anti")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bindings as b
 from .functions import normalize as n
-from .keeping import new_folder
+from .keeping import kept, new_folder
 from .learn import evaluate as ev
 from .functions.chance import drawn_sql
 from .learn import privacy, resolve, search, trees
@@ -751,7 +751,7 @@ def used_columns_joined(spark, sf_dir):
 
 @query(f"{BOTH}{LONG} SELECT field IN (SELECT field FROM v WHERE verdict = 'AMBIGUOUS') AS learned, field, count(*) AS n FROM v GROUP BY 1, 2")
 def learned_split(spark, sf_dir):
-    rows = _long(spark, sf_dir)
+    rows = kept(_long(spark, sf_dir).select("field", "verdict"))  # read three times
     ours, rest = report.learned_and_rest(rows, rows.where("verdict = 'AMBIGUOUS'"))
     return ours.withColumn("learned", F.lit(True)).unionByName(rest.withColumn("learned", F.lit(False))).groupBy("learned", "field").agg(F.count("*").alias("n"))
 

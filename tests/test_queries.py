@@ -27,3 +27,8 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 7
+
+
+def test_learned_split_makes_its_verdicts_once(spark):
+    df = entry.queries()["learned_split"](spark, str(DATA))
+    assert {x.split("/")[-2][:5] for x in df.inputFiles()} == {"kept-"}  # no table is read again

@@ -6,6 +6,7 @@ from ledgerloom.learn import privacy
 from ledgerloom.learn.dsl import call, col
 from ledgerloom.learn.search import Search
 from ledgerloom.operators.history import summarise
+from ledgerloom.operators.report import learned_and_rest
 from ledgerloom.operators.verdicts import run_rules
 from ledgerloom.plans.fields import FieldRule, name
 
@@ -63,3 +64,11 @@ def test_identifiers_are_found_by_every_way(spark, monkeypatch):
     for limit in ("FIRST_WORDS", "BROADCAST_ROWS"):
         monkeypatch.setattr(privacy, limit, 0)
         assert made() == usual
+
+
+def test_fields_go_to_the_rows(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, concat('f', id % 3)) as field", "if(id % 3 = 1, 'AMBIGUOUS', 'MATCH') as verdict")
+    ours, rest = learned_and_rest(rows, rows.where("verdict = 'AMBIGUOUS'"))
+    for df, kind, n in ((ours, "LeftSemi", 857), (rest, "LeftAnti", 2143)):
+        with_hint = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if f"Join {kind}" in x]
+        assert len(with_hint) == 1 and "broadcast" in with_hint[0] and df.count() == n
