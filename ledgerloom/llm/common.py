@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the checkpoint folder, gone with the application."""
+    checkpoint_root(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def kept(df: DataFrame, folder: str) -> DataFrame:
+    """Written once to ``folder``, for tables made in rounds. A checkpoint goes on with its plan's estimate of its size, which
+    every join multiplies, so that after some rounds the number alone fills the driver's memory; of files the planner takes
+    the size they have. Plain columns, so that files are not much smaller than their rows."""
+    df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -27,6 +27,7 @@ the smallest id and is returned as null; an empty table gives an empty result; o
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, checkpointed, keyed, map_arrow
+from .common import arrow_schema, checkpointed, kept, keyed, map_arrow, new_folder, removed
 from .shared import batches_of, classes_of, distinct_keys, with_classes
 from .shingles import mixed, shingle_sets
 
@@ -126,15 +127,19 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, for the nodes of ``links`` (a, b)."""
-    edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    while True:
+    spark = links.sparkSession
+    folder = new_folder(spark)
+    edges = kept(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), f"{folder}/edges")
+    labels = kept(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{folder}/0")
+    for nth in itertools.count(1):
         around = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         nearer = labels.join(around, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         jump = nearer.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
-        following = checkpointed(nearer.join(jump, "to", "left").select("node", F.least("to", F.coalesce("beyond", "to")).alias("label"), "was"))
+        following = kept(nearer.join(jump, "to", "left").select("node", F.least("to", F.coalesce("beyond", "to")).alias("label"), "was"), f"{folder}/{nth}")
+        removed(spark, f"{folder}/{nth - 1}")
         labels = following.select("node", "label")
         if following.where("label <> was").isEmpty():
+            removed(spark, f"{folder}/edges")
             return labels
 
 
